@@ -154,3 +154,174 @@ def q_conv_turn_links(spark, sf_dir):
                            F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")))
     out = cv.assign_turns(rows, "conv_id", ["turn"])
     return out.select("conv_id", "turn", F.col("turn_index").cast("bigint"), "prev_filename")
+
+
+# ---------------------------------------------------------------------------
+# J1 + J2 + W3 + W4: gaps split conversations (a hash-chosen set of turns plays
+# the "listed file without annotation" role)
+
+_GAP = "substr(md5(concat_ws(':', 'gap', conv_id, turn)), 1, 1) = '0'"
+_FAIL = "substr(md5(concat_ws(':', 'fail', conv_id, turn)), 1, 1) = '0'"
+
+
+def _md5_flag(tag: str, *cols) -> F.Column:
+    return F.substring(F.md5(F.concat_ws(":", F.lit(tag), *[F.col(c).cast("string") for c in cols])), 1, 1) == "0"
+
+
+@register("conv_gap_split", """
+WITH files AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS path,
+                      """ + _GAP + """ AS gone FROM conversations),
+ann AS (SELECT * FROM files WHERE NOT gone),
+missing AS (SELECT * FROM files WHERE gone AND conv_id IN (SELECT conv_id FROM ann)),
+u AS (SELECT conv_id, CAST(turn AS DOUBLE) AS s, 1 AS kind, path FROM ann
+      UNION ALL SELECT conv_id, CAST(turn AS DOUBLE), 0, '' FROM missing),
+l AS (SELECT *, lag(kind) OVER (PARTITION BY conv_id ORDER BY s, kind, path) AS pk FROM u),
+fl AS (SELECT conv_id, s, path, coalesce(pk = 0, false) AS is_split FROM l WHERE kind = 1),
+k AS (SELECT *, sum(CAST(is_split AS INT)) OVER (PARTITION BY conv_id ORDER BY s, path
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM fl),
+p AS (SELECT *, CAST(conv_id AS VARCHAR) || '_part' || CAST(part AS VARCHAR) AS conv_id_split FROM k)
+SELECT conv_id, CAST(s AS BIGINT) AS turn, is_split, conv_id_split,
+       CAST(row_number() OVER (PARTITION BY conv_id_split ORDER BY s, path) - 1 AS BIGINT) AS turn_index,
+       lag(path) OVER (PARTITION BY conv_id_split ORDER BY s, path) AS prev_filename
+FROM p
+""")
+def q_conv_gap_split(spark, sf_dir):
+    conv = read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn"])
+    files = conv.select("conv_id", "turn",
+                        F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("path"),
+                        _md5_flag("gap", "conv_id", "turn").alias("__gone"))
+    ann = files.where(~F.col("__gone")).select(
+        "conv_id", F.col("turn").cast("double").alias("start_time"), F.col("path").alias("relative_audio_path"),
+        F.col("conv_id").alias("high_lvl_style"))
+    missing = cv.find_missing(files.drop("__gone"), ann, file_path="path", file_style=F.col("conv_id"))
+    mparts = missing.select("conv_id", F.col("turn").cast("double").alias("start_time"))
+    flagged = cv.mark_split_points(ann, mparts)
+    split = cv.split_parts(flagged)
+    return split.select("conv_id", F.col("start_time").cast("bigint").alias("turn"),
+                        F.col("_is_split_point").alias("is_split"), "conv_id_split",
+                        F.col("turn_index").cast("bigint"), "prev_filename")
+
+
+# ---------------------------------------------------------------------------
+# Failure propagation and the dense audio index
+
+_FAIL_SQL = """
+t AS (SELECT conv_id, turn, role = 'system' AS text_only,
+             (""" + _FAIL + """) AND role <> 'system' AS fails FROM conversations),
+ff AS (SELECT conv_id, min(turn) AS first_fail FROM t WHERE fails GROUP BY conv_id),
+st AS (SELECT t.conv_id, t.turn,
+              CASE WHEN text_only THEN -1 WHEN ff.first_fail IS NOT NULL AND t.turn >= ff.first_fail THEN -2
+                   ELSE 0 END AS state,
+              coalesce(fails AND t.turn = ff.first_fail, false) AS first_failure
+       FROM t LEFT JOIN ff ON t.conv_id = ff.conv_id)
+"""
+
+
+def _failure_states(spark, sf_dir):
+    conv = read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role"])
+    out = cv.propagate_failures(conv, conv_col="conv_id", ord_col="turn",
+                                text_only=F.col("role") == "system", fails=_md5_flag("fail", "conv_id", "turn"))
+    return out.select("conv_id", "turn", F.col("state").cast("int"),
+                      F.coalesce("first_failure", F.lit(False)).alias("first_failure"))
+
+
+@register("failure_propagation", "WITH " + _FAIL_SQL + "SELECT conv_id, turn, state, first_failure FROM st")
+def q_failure_propagation(spark, sf_dir):
+    return _failure_states(spark, sf_dir)
+
+
+@register("dense_index", "WITH " + _FAIL_SQL + """
+SELECT conv_id, turn, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS audio_idx
+FROM st WHERE state = 0
+UNION ALL SELECT conv_id, turn, CAST(state AS BIGINT) FROM st WHERE state <> 0
+""")
+def q_dense_index(spark, sf_dir):
+    st = _failure_states(spark, sf_dir)
+    return cv.dense_audio_index(st, ["conv_id", "turn"]).select("conv_id", "turn", "audio_idx")
+
+
+@register("state_breakdown", "WITH " + _FAIL_SQL + """
+SELECT count_if(state >= 0) AS n_audio, count_if(state = -1) AS n_text_only, count_if(state = -2) AS n_failed,
+       count(*) AS n_rows FROM st
+""")
+def q_state_breakdown(spark, sf_dir):
+    """A23."""
+    from colloquy.operators.profile import state_breakdown
+    return state_breakdown(_failure_states(spark, sf_dir), "state")
+
+
+# ---------------------------------------------------------------------------
+# Conversation lengths
+
+_LEN_SQL = """
+l AS (SELECT conv_id, CAST(max(turn) + 1 AS BIGINT) AS conv_len,
+             CAST(max(CASE WHEN role <> 'system' THEN turn END) + 1 AS BIGINT) AS audio_len
+      FROM conversations GROUP BY conv_id)
+"""
+
+
+def _lengths(spark, sf_dir):
+    from colloquy.operators.profile import conversation_lengths
+    conv = read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role"])
+    return conversation_lengths(conv, "conv_id", "turn", F.col("role") != "system")
+
+
+@register("conv_lengths", "WITH " + _LEN_SQL + "SELECT conv_id, conv_len, audio_len FROM l")
+def q_conv_lengths(spark, sf_dir):
+    return _lengths(spark, sf_dir)
+
+
+@register("conv_length_summary", "WITH " + _LEN_SQL + """
+SELECT round(avg(conv_len), 6) AS mean, round(median(conv_len), 6) AS median, min(conv_len) AS min,
+       max(conv_len) AS max, count(conv_len) AS count FROM l
+""")
+def q_conv_length_summary(spark, sf_dir):
+    from colloquy.operators.profile import summary
+    s = summary(_lengths(spark, sf_dir), "conv_len")
+    return s.select(r6(F.col("mean")).alias("mean"), r6(F.col("median")).alias("median"),
+                    F.col("min").cast("bigint").alias("min"), F.col("max").cast("bigint").alias("max"), "count")
+
+
+@register("conv_length_hist", "WITH " + _LEN_SQL + """,
+mm AS (SELECT min(conv_len) AS lo, max(conv_len) AS hi FROM l),
+w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 10.0 ELSE 1.0 END AS width FROM mm),
+b AS (SELECT CAST(least(floor((conv_len - lo) / width), 9) AS INT) AS bin FROM l, w),
+c AS (SELECT bin, count(*) AS count FROM b GROUP BY bin),
+d AS (SELECT CAST(r.range AS INT) AS bin, coalesce(c.count, 0) AS count FROM range(10) r LEFT JOIN c ON c.bin = r.range)
+SELECT d.bin, CAST(d.count AS BIGINT) AS count, round(w.lo + d.bin * w.width, 6) AS lo,
+       round(w.lo + (d.bin + 1) * w.width, 6) AS hi,
+       CAST(sum(d.count) OVER (ORDER BY d.bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_count,
+       round(sum(d.count) OVER (ORDER BY d.bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100.0
+             / (SELECT count(*) FROM l), 6) AS cum_pct
+FROM d, w
+""")
+def q_conv_length_hist(spark, sf_dir):
+    from colloquy.operators.profile import cumulative_share, histogram_fixed
+    h = histogram_fixed(_lengths(spark, sf_dir), "conv_len", 10)
+    c = cumulative_share(h, ["bin"], "count", "cum")
+    return c.select(F.col("bin").cast("int"), F.col("count").cast("bigint"), r6(F.col("lo")).alias("lo"),
+                    r6(F.col("hi")).alias("hi"), F.col("cum_sum").cast("bigint").alias("cum_count"),
+                    r6(F.col("cum_pct")).alias("cum_pct"))
+
+
+# ---------------------------------------------------------------------------
+# Dedup documents by text keeping the longest, duplicate report
+
+
+@register("dedup_longest", """
+SELECT doc_id, source, n_chars FROM (
+  SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id) AS rn
+  FROM documents) WHERE rn = 1
+""")
+def q_dedup_longest(spark, sf_dir):
+    docs = read_driver_table(spark, sf_dir, "documents", ["doc_id", "text", "source", "n_chars"])
+    return cv.dedup_longest(docs, "text", F.col("n_chars"), "doc_id").select("doc_id", "source", "n_chars")
+
+
+@register("dup_report", """
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS dup_rows, count(*) AS dup_keys
+FROM (SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)
+""")
+def q_dup_report(spark, sf_dir):
+    docs = read_driver_table(spark, sf_dir, "documents", ["text"])
+    return cv.duplicate_report(docs, "text")
