@@ -325,3 +325,467 @@ FROM (SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) >
 def q_dup_report(spark, sf_dir):
     docs = read_driver_table(spark, sf_dir, "documents", ["text"])
     return cv.duplicate_report(docs, "text")
+
+
+# ---------------------------------------------------------------------------
+# Splits and sampling
+
+from colloquy.operators import splits as sp  # noqa: E402
+
+_IDS_SQL = """
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+sh AS (SELECT conv_id, CAST(row_number() OVER (ORDER BY md5(concat_ws(':', '{seed}', conv_id)), conv_id) - 1 AS BIGINT)
+              AS pos FROM ids),
+n AS (SELECT count(*) AS n FROM ids)
+"""
+
+
+def _conv_ids(spark, sf_dir):
+    return read_driver_table(spark, sf_dir, "conversations", ["conv_id"])
+
+
+@register("train_val", "WITH " + _IDS_SQL.format(seed=42) + """
+SELECT conv_id, pos, CASE WHEN pos < CAST(floor(n * 0.9) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM sh, n
+""")
+def q_train_val(spark, sf_dir):
+    """X1 + X2."""
+    return sp.train_val_split(_conv_ids(spark, sf_dir), "conv_id", 0.1, 42)
+
+
+@register("kfold", "WITH " + _IDS_SQL.format(seed=42) + """,
+p AS (SELECT n // 5 AS q, n % 5 AS rem FROM n)
+SELECT conv_id, pos, CAST(CASE WHEN pos < rem * (q + 1) THEN pos // (q + 1)
+                             ELSE rem + (pos - rem * (q + 1)) // q END AS INT) AS fold FROM sh, p
+""")
+def q_kfold(spark, sf_dir):
+    """X3 (5 folds, np.array_split sizes)."""
+    return sp.k_folds(_conv_ids(spark, sf_dir), "conv_id", 5, 42)
+
+
+@register("holdout", "WITH " + _IDS_SQL.format(seed=7) + """
+SELECT conv_id, pos, CASE WHEN pos < greatest(1, CAST(floor(n * 0.1) AS BIGINT)) THEN 'test' ELSE 'pool' END AS split
+FROM sh, n
+""")
+def q_holdout(spark, sf_dir):
+    """10 % of conversations (at least one) held out."""
+    return sp.holdout(_conv_ids(spark, sf_dir), "conv_id", 0.1, 7)
+
+
+@register("leak_check", "WITH " + _IDS_SQL.format(seed=42) + """,
+s AS (SELECT conv_id, CASE WHEN pos < CAST(floor(n * 0.9) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM sh, n)
+SELECT count(*) AS n_overlap FROM (SELECT conv_id FROM s WHERE split = 'train'
+                                   INTERSECT SELECT conv_id FROM s WHERE split = 'val')
+""")
+def q_leak_check(spark, sf_dir):
+    """J7 / G4 on the train/val split."""
+    tv = sp.train_val_split(_conv_ids(spark, sf_dir), "conv_id", 0.1, 42)
+    return sp.leak_check(tv.where(F.col("split") == "train"), tv.where(F.col("split") == "val")).select("n_overlap")
+
+
+_FIXED_SQL = "WITH " + _UTT_SQL + "," + chains_sql(5) + """,
+ft AS (SELECT conv_id, anchor_turn,
+              CAST(row_number() OVER (ORDER BY md5(concat_ws(':', '999', 'dialogue', conv_id, anchor_turn)),
+                                      conv_id, anchor_turn) - 1 AS BIGINT) AS test_rank FROM chains)
+"""
+
+
+def _fixed_test(spark, sf_dir):
+    c = conversation_chains(spark, sf_dir, sp.TEST_NUM_TURNS).withColumnRenamed("part_id", "conv_id")
+    return sp.fixed_test_chains(c, key_cols=["conv_id", "anchor_turn"], num_turns=3)
+
+
+@register("fixed_test", _FIXED_SQL + "SELECT conv_id, anchor_turn, test_rank, 3 AS n_turns FROM ft WHERE test_rank < 200")
+def q_fixed_test(spark, sf_dir):
+    """X4 + W13: up to 200 five-turn chains per source (seed 999), sliced to 3 turns."""
+    return _fixed_test(spark, sf_dir).select("conv_id", "anchor_turn", "test_rank",
+                                             F.size("chain").alias("n_turns"))
+
+
+@register("train_pool", _FIXED_SQL + """
+SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM ft WHERE test_rank < 200)
+""")
+def q_train_pool(spark, sf_dir):
+    """X10 + J6: every conversation not used by the fixed test set."""
+    test_ids = _fixed_test(spark, sf_dir).select("conv_id").distinct()
+    return sp.train_pool(_conv_ids(spark, sf_dir), test_ids, "conv_id")
+
+
+@register("fewshot_alloc", """
+WITH d AS (SELECT doc_id, lower(coalesce(source, 'unknown')) AS src FROM documents),
+c AS (SELECT src, count(*) AS n FROM d GROUP BY src),
+t AS (SELECT src, n, sum(n) OVER () AS total, row_number() OVER (ORDER BY src DESC) = 1 AS is_last FROM c),
+b AS (SELECT *, least(CAST(round_even(50.0 * n / total, 0) AS BIGINT), n) AS base FROM t),
+a AS (SELECT src, CASE WHEN is_last THEN least(greatest(50 - coalesce(sum(base) OVER
+          (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), n) ELSE base END AS alloc FROM b),
+r AS (SELECT d.doc_id, d.src, a.alloc, row_number() OVER (PARTITION BY d.src ORDER BY
+          md5(concat_ws(':', '42', d.src, d.doc_id)), d.doc_id) - 1 AS shot_rank FROM d JOIN a ON d.src = a.src)
+SELECT doc_id, src AS source, CAST(shot_rank AS BIGINT) AS shot_rank FROM r WHERE shot_rank < alloc
+""")
+def q_fewshot_alloc(spark, sf_dir):
+    """50 few-shot documents, proportional to sources."""
+    docs = read_driver_table(spark, sf_dir, "documents", ["doc_id", "source"])
+    out = sp.proportional_few_shot(docs, 50, source_col="source", key_cols=["doc_id"], seed=42)
+    return out.select("doc_id", F.lower(F.coalesce(F.col("source"), F.lit("unknown"))).alias("source"), "shot_rank")
+
+
+@register("balance_majority", """
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws(':', '42', doc_id)), doc_id) AS rn
+           FROM documents WHERE lang = 'en')
+SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r WHERE rn <= 100)
+""")
+def q_balance_majority(spark, sf_dir):
+    """X9 + P13: remove 100 seeded English documents."""
+    docs = read_driver_table(spark, sf_dir, "documents", ["doc_id", "lang", "source"])
+    return sp.balance_majority(docs, {"lang": "en"}, 100, "doc_id", 42).select("doc_id", "lang", "source")
+
+
+@register("sample_conversations", """
+WITH last AS (SELECT conv_id, max(turn) AS anchor_turn FROM conversations GROUP BY conv_id),
+pick AS (SELECT conv_id, anchor_turn FROM (SELECT *, row_number() OVER (ORDER BY
+          md5(concat_ws(':', '42', 'dialogue', conv_id)), conv_id) AS rn FROM last) WHERE rn <= 20)
+SELECT c.conv_id, c.turn FROM conversations c JOIN pick p ON c.conv_id = p.conv_id WHERE c.turn <= p.anchor_turn
+""")
+def q_sample_conversations(spark, sf_dir):
+    """X8 + F5: 20 whole conversations anchored at their last turn."""
+    conv = read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn"]) \
+        .withColumn("source", F.lit("dialogue"))
+    return sp.sample_conversations(conv, n=20, source_col="source", part_col="conv_id", turn_col="turn") \
+        .select("conv_id", "turn")
+
+
+# ---------------------------------------------------------------------------
+# profiling aggregates over documents / labels / conversations
+
+from colloquy.operators import profile as pf  # noqa: E402
+
+
+def _docs(spark, sf_dir, cols=("doc_id", "text", "lang", "source", "n_chars")):
+    return read_driver_table(spark, sf_dir, "documents", list(cols))
+
+
+@register("total_hours", "SELECT round(sum(n_chars) / 3600.0, 6) AS hours FROM documents")
+def q_total_hours(spark, sf_dir):
+    """A1 (``n_chars`` plays the duration in seconds)."""
+    return pf.total_hours(_docs(spark, sf_dir, ["n_chars"]), "n_chars").select(r6(F.col("hours")).alias("hours"))
+
+
+@register("hours_by_source", "SELECT source, round(sum(n_chars) / 3600.0, 6) AS hours FROM documents GROUP BY source")
+def q_hours_by_source(spark, sf_dir):
+    """A2."""
+    return pf.total_hours(_docs(spark, sf_dir, ["source", "n_chars"]), "n_chars", ["source"]) \
+        .select("source", r6(F.col("hours")).alias("hours"))
+
+
+@register("lang_counts", "SELECT lang, count(*) AS count FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def q_lang_counts(spark, sf_dir):
+    """A3 (NULLs dropped)."""
+    return pf.value_counts(_docs(spark, sf_dir, ["lang"]), "lang")
+
+
+_LABEL_CAT_SQL = """
+j AS (SELECT d.source, CASE WHEN l.quality = 1 AND l.toxic = 1 THEN 'both' WHEN l.quality = 1 THEN 'quality_only'
+                            WHEN l.toxic = 1 THEN 'toxic_only' ELSE 'neither' END AS cat
+      FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+"""
+
+
+@register("label_pivot", "WITH " + _LABEL_CAT_SQL + """
+SELECT source, count_if(cat = 'both') AS both, count_if(cat = 'quality_only') AS quality_only,
+       count_if(cat = 'toxic_only') AS toxic_only, count_if(cat = 'neither') AS neither
+FROM j GROUP BY source
+""")
+def q_label_pivot(spark, sf_dir):
+    """A4 + P12: documents x labels, category counts pivoted by source."""
+    docs = _docs(spark, sf_dir, ["doc_id", "source"])
+    labels = read_driver_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    j = docs.join(labels, "doc_id").withColumn(
+        "cat", pf.tag_category(F.col("quality") == 1, F.col("toxic") == 1))
+    j = j.withColumn("cat", F.regexp_replace(F.regexp_replace("cat", "intrinsic", "quality"), "situational", "toxic"))
+    p = pf.pivot_counts(j, "source", "cat", ["both", "quality_only", "toxic_only", "neither"])
+    return p.select("source", *[F.col(c).cast("bigint").alias(c) for c in ["both", "quality_only", "toxic_only", "neither"]])
+
+
+@register("hours_pivot", """
+SELECT source, round(coalesce(sum(n_chars) FILTER (WHERE lang = 'de'), 0) / 3600.0, 6) AS de,
+       round(coalesce(sum(n_chars) FILTER (WHERE lang = 'en'), 0) / 3600.0, 6) AS en,
+       round(coalesce(sum(n_chars) FILTER (WHERE lang = 'es'), 0) / 3600.0, 6) AS es,
+       round(coalesce(sum(n_chars) FILTER (WHERE lang = 'fr'), 0) / 3600.0, 6) AS fr
+FROM documents GROUP BY source
+""")
+def q_hours_pivot(spark, sf_dir):
+    """A5: hours pivoted source x language."""
+    p = pf.pivot_hours(_docs(spark, sf_dir, ["source", "lang", "n_chars"]), "source", "lang", "n_chars",
+                       ["de", "en", "es", "fr"])
+    return p.select("source", *[r6(F.col(c)).alias(c) for c in ["de", "en", "es", "fr"]])
+
+
+@register("length_lang_crosstab", """
+WITH b AS (SELECT CAST(floor(log10(greatest(n_chars, 1))) AS INT) AS len_bin, lang FROM documents),
+dom AS (SELECT CAST(range AS INT) AS len_bin FROM range(0, 6)),
+c AS (SELECT len_bin, count_if(lang = 'en') AS en, count_if(lang = 'de') AS de FROM b
+      WHERE lang IN ('en', 'de') GROUP BY len_bin)
+SELECT dom.len_bin, coalesce(c.en, 0) AS en, coalesce(c.de, 0) AS de FROM dom LEFT JOIN c ON dom.len_bin = c.len_bin
+""")
+def q_length_lang_crosstab(spark, sf_dir):
+    """A6 + J12: length bins (domain 0..5 forced) x two forced languages."""
+    d = _docs(spark, sf_dir, ["n_chars", "lang"]).select(
+        F.floor(F.log10(F.greatest("n_chars", F.lit(1)))).cast("int").alias("len_bin"), "lang")
+    dom = spark.range(0, 6).select(F.col("id").cast("int").alias("len_bin"))
+    x = pf.crosstab_forced(d, "len_bin", "lang", dom, ["en", "de"])
+    return x.select("len_bin", F.col("en").cast("bigint").alias("en"), F.col("de").cast("bigint").alias("de"))
+
+
+def _turn_pairs(spark, sf_dir):
+    """Consecutive turns ``(curr, res)`` by an equi-join on ``(conv_id, turn + 1)``."""
+    conv = read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    a = conv.select("conv_id", "turn", F.col("role").alias("curr_role"), F.col("text").alias("pred"))
+    b = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("res_role"),
+                    F.col("text").alias("ref"))
+    return a.join(b, ["conv_id", "turn"], "inner")
+
+
+_PAIRS_SQL = """
+pr AS (SELECT a.conv_id, a.turn, a.role AS curr_role, b.role AS res_role, a.text AS pred, b.text AS ref
+       FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+"""
+
+
+@register("role_transitions", "WITH " + _PAIRS_SQL + """
+SELECT curr_role, res_role, count(*) AS count FROM pr GROUP BY curr_role, res_role
+""")
+def q_role_transitions(spark, sf_dir):
+    """Response role given the current role."""
+    return pf.crosstab(_turn_pairs(spark, sf_dir), "curr_role", "res_role")
+
+
+@register("role_dist", "WITH " + _PAIRS_SQL + """,
+s AS (SELECT curr_role AS label, 'curr' AS side FROM pr UNION ALL SELECT res_role, 'res' FROM pr)
+SELECT label, count_if(side = 'curr') AS curr, count_if(side = 'res') AS res FROM s GROUP BY label
+""")
+def q_role_dist(spark, sf_dir):
+    """Current and response role distributions on the label union."""
+    x = pf.side_by_side(_turn_pairs(spark, sf_dir), "curr_role", "res_role")
+    return x.select("label", F.col("curr").cast("bigint").alias("curr"), F.col("res").cast("bigint").alias("res"))
+
+
+_TOK_SQL = r"""
+tk AS (SELECT doc_id, lang, len(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda t: t <> '')) AS n_tokens
+       FROM documents)
+"""
+
+
+def _doc_tokens(spark, sf_dir):
+    from colloquy.operators.scoring import ws_tokens
+    d = _docs(spark, sf_dir, ["doc_id", "lang", "text"])
+    return d.select("doc_id", "lang", F.size(ws_tokens("text", lower=False)).cast("bigint").alias("n_tokens"))
+
+
+@register("length_percentiles", "WITH " + _TOK_SQL + """,
+q AS (SELECT quantile_cont(n_tokens, [0.5, 0.75, 0.9, 0.95, 0.99, 1.0]) AS v FROM tk)
+SELECT CAST(p AS DOUBLE) AS pct, round(v[i], 6) AS value
+FROM q, (VALUES (1, 50), (2, 75), (3, 90), (4, 95), (5, 99), (6, 100)) t(i, p)
+""")
+def q_length_percentiles(spark, sf_dir):
+    """A9 + A34: exact percentiles of whitespace token counts (whole texts)."""
+    p = pf.exact_percentiles(_doc_tokens(spark, sf_dir), "n_tokens", [50, 75, 90, 95, 99, 100])
+    return p.select("pct", r6(F.col("value")).alias("value"))
+
+
+@register("cutoff_share", "WITH " + _TOK_SQL + """
+SELECT CAST(c AS DOUBLE) AS cutoff, count_if(n_tokens > c) AS n_above,
+       round(count_if(n_tokens > c) * 100.0 / count(*), 6) AS pct_above
+FROM tk, (VALUES (100), (500), (1000), (5000)) v(c) GROUP BY c
+""")
+def q_cutoff_share(spark, sf_dir):
+    """Documents above each token cutoff."""
+    c = pf.cutoff_shares(_doc_tokens(spark, sf_dir), "n_tokens", [100, 500, 1000, 5000])
+    return c.select("cutoff", "n_above", r6(F.col("pct_above")).alias("pct_above"))
+
+
+@register("token_hist_by_lang", "WITH " + _TOK_SQL + """,
+b AS (SELECT lang, CAST(CASE WHEN n_tokens < 100 THEN 0 WHEN n_tokens < 1000 THEN 1 ELSE 2 END AS INT) AS bin FROM tk),
+c AS (SELECT lang, bin, count(*) AS count FROM b GROUP BY lang, bin)
+SELECT lang, bin, count, round(count * 100.0 / sum(count) OVER (PARTITION BY lang), 6) AS pct FROM c
+""")
+def q_token_hist_by_lang(spark, sf_dir):
+    """A16 (explicit edges) + A17: token-count histogram as percent within language."""
+    t = _doc_tokens(spark, sf_dir)
+    b = t.select("lang", F.when(F.col("n_tokens") < 100, 0).when(F.col("n_tokens") < 1000, 1).otherwise(2)
+                 .cast("int").alias("bin"))
+    c = b.groupBy("lang", "bin").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    return pf.percent_within(c, ["lang"]).select("lang", "bin", "count", r6(F.col("pct")).alias("pct"))
+
+
+@register("describe_lengths", """
+SELECT count(n_chars) AS count, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std,
+       min(n_chars) AS min, round(quantile_cont(n_chars, 0.25), 6) AS p25, round(quantile_cont(n_chars, 0.5), 6) AS p50,
+       round(quantile_cont(n_chars, 0.75), 6) AS p75, max(n_chars) AS max FROM documents
+""")
+def q_describe_lengths(spark, sf_dir):
+    """A15."""
+    d = pf.describe(_docs(spark, sf_dir, ["n_chars"]), "n_chars")
+    return d.select("count", *[r6(F.col(c)).alias(c) for c in ["mean", "std", "p25", "p50", "p75"]],
+                    F.col("min").cast("bigint").alias("min"), F.col("max").cast("bigint").alias("max"))
+
+
+@register("distinct_counts", """
+SELECT count(DISTINCT source) AS n_sources, count(DISTINCT lang) AS n_langs, count(DISTINCT text) AS n_texts
+FROM documents
+""")
+def q_distinct_counts(spark, sf_dir):
+    """A13."""
+    d = _docs(spark, sf_dir, ["source", "lang", "text"])
+    return d.agg(F.countDistinct("source").alias("n_sources"), F.countDistinct("lang").alias("n_langs"),
+                 F.countDistinct("text").alias("n_texts"))
+
+
+@register("label_domain", "SELECT lang AS label FROM documents UNION SELECT role FROM conversations")
+def q_label_domain(spark, sf_dir):
+    """A36 + G5: union of two label domains, distinct."""
+    a = _docs(spark, sf_dir, ["lang"]).select(F.col("lang").alias("label"))
+    b = read_driver_table(spark, sf_dir, "conversations", ["role"]).select(F.col("role").alias("label"))
+    return a.union(b).distinct()
+
+
+@register("null_label_report", """
+SELECT d.source, count(*) AS n_null FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+WHERE l.quality IS NULL GROUP BY d.source
+""")
+def q_null_label_report(spark, sf_dir):
+    """Documents without a quality label, per source."""
+    docs = _docs(spark, sf_dir, ["doc_id", "source"])
+    labels = read_driver_table(spark, sf_dir, "labels", ["doc_id", "quality"])
+    return pf.null_target_report(docs.join(labels, "doc_id", "left"), "quality", "source")
+
+
+# tags from part names: first word = attribute, last word = object
+
+_PART_TAGS_SQL = r"""
+pt AS (SELECT p_partkey, p_brand, regexp_extract_all(lower(p_name), '[\pL\pN_]+') AS w FROM part),
+tg AS (SELECT p_partkey, p_brand, w[1:len(w) - 1] AS attribute, w[len(w):len(w)] AS object FROM pt)
+"""
+
+
+def _part_tags(spark, sf_dir):
+    from colloquy.functions.tags import WORD
+    part = read_driver_table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_name"])
+    w = F.regexp_extract_all(F.lower("p_name"), F.lit(WORD), 0)
+    return part.select("p_partkey", "p_brand", w.alias("__w")).select(
+        "p_partkey", "p_brand", F.slice("__w", 1, F.size("__w") - 1).alias("attribute"),
+        F.slice("__w", -1, 1).alias("object"))
+
+
+@register("vocab", "WITH " + _PART_TAGS_SQL + """,
+u AS (SELECT p_brand AS source, 'attribute' AS category, unnest(attribute) AS tag FROM tg
+      UNION ALL SELECT p_brand, 'object', unnest(object) FROM tg)
+SELECT source, category, array_to_string(list_sort(list_distinct(list(tag))), ',') AS tags
+FROM u WHERE tag IS NOT NULL GROUP BY source, category
+""")
+def q_vocab(spark, sf_dir):
+    """Sorted distinct tags per source (brand) and category."""
+    v = pf.vocabulary(_part_tags(spark, sf_dir), "p_brand", ["attribute", "object"])
+    return v.select("source", "category", F.array_join("tags", ",").alias("tags"))
+
+
+@register("tag_freq", "WITH " + _PART_TAGS_SQL + """,
+u AS (SELECT unnest(attribute || object) AS tag FROM tg),
+c AS (SELECT tag, count(*) AS count FROM u WHERE tag IS NOT NULL GROUP BY tag)
+SELECT tag, count, round(count * 100.0 / sum(count) OVER (), 6) AS pct FROM c
+""")
+def q_tag_freq(spark, sf_dir):
+    """Tag frequency and percent of all tags."""
+    t = _part_tags(spark, sf_dir).select(F.concat("attribute", "object").alias("tags"))
+    return pf.tag_frequency(t, "tags").select("tag", "count", r6(F.col("pct")).alias("pct"))
+
+
+@register("tag_cooc", "WITH " + _PART_TAGS_SQL + """,
+r AS (SELECT attribute || object AS t FROM tg WHERE len(attribute || object) >= 2),
+pr AS (SELECT least(t[i], t[j]) AS tag_a, greatest(t[i], t[j]) AS tag_b
+       FROM r, range(1, 64) a(i), range(1, 64) b(j) WHERE i < j AND j <= len(t))
+SELECT tag_a, tag_b, count(*) AS count, tag_a = tag_b AS self_pair FROM pr GROUP BY tag_a, tag_b
+""")
+def q_tag_cooc(spark, sf_dir):
+    """Canonical tag co-occurrence counts."""
+    return pf.tag_cooccurrence(_part_tags(spark, sf_dir), "attribute", "object")
+
+
+# consistency inside (speaker, conversation) groups: role = speaker
+
+_CONS_SQL = r"""
+cr AS (SELECT conv_id, role, turn, CASE WHEN length(text) < 200 THEN 'short' WHEN length(text) < 800 THEN 'medium'
+                                       ELSE 'long' END AS label,
+              list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS toks FROM conversations)
+"""
+
+
+def _cons_rows(spark, sf_dir):
+    from colloquy.functions.tags import WORD
+    conv = read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    return conv.select("conv_id", "role", "turn",
+                       F.when(F.length("text") < 200, "short").when(F.length("text") < 800, "medium")
+                       .otherwise("long").alias("label"),
+                       F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0).alias("toks"))
+
+
+@register("label_consistency", "WITH " + _CONS_SQL + """,
+g AS (SELECT conv_id, role, count(*) AS n_rows FROM cr GROUP BY conv_id, role HAVING count(*) >= 2),
+lc AS (SELECT conv_id, role, label, count(*) AS c FROM cr WHERE label IS NOT NULL GROUP BY conv_id, role, label),
+m AS (SELECT conv_id, role, max(c) AS top, sum(c) AS tot FROM lc GROUP BY conv_id, role)
+SELECT g.conv_id, g.role, g.n_rows, round(m.top / m.tot, 6) AS consistency, m.top = m.tot AS unanimous
+FROM g LEFT JOIN m ON g.conv_id = m.conv_id AND g.role = m.role
+""")
+def q_label_consistency(spark, sf_dir):
+    """Majority-label share per (conversation, role)."""
+    lc = pf.label_consistency(_cons_rows(spark, sf_dir), ["conv_id", "role"], "label")
+    return lc.select("conv_id", "role", "n_rows", r6(F.col("consistency")).alias("consistency"), "unanimous")
+
+
+_PAIR_F1_SQL = "WITH " + _CONS_SQL + """,
+g AS (SELECT conv_id, role, count(*) AS n_rows FROM cr GROUP BY conv_id, role HAVING count(*) >= 2),
+pf AS (SELECT a.conv_id, a.role,
+              CASE WHEN len(a.toks) = 0 AND len(b.toks) = 0 THEN NULL
+                   WHEN len(a.toks) = 0 OR len(b.toks) = 0 THEN 0.0
+                   ELSE 2.0 * len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks)) END AS f1
+       FROM cr a JOIN cr b ON a.conv_id = b.conv_id AND a.role = b.role AND a.turn < b.turn),
+res AS (SELECT g.conv_id, g.role, g.n_rows, avg(pf.f1) AS mean_f1 FROM g LEFT JOIN pf
+        ON g.conv_id = pf.conv_id AND g.role = pf.role GROUP BY g.conv_id, g.role, g.n_rows)
+"""
+
+
+def _pair_f1(spark, sf_dir):
+    return pf.pairwise_set_f1(_cons_rows(spark, sf_dir), ["conv_id", "role"], "toks")
+
+
+@register("pairwise_f1", _PAIR_F1_SQL + "SELECT conv_id, role, n_rows, round(mean_f1, 6) AS mean_f1 FROM res")
+def q_pairwise_f1(spark, sf_dir):
+    """A25 (+ J10, H6) without forming row pairs (token / set-size algebra)."""
+    return _pair_f1(spark, sf_dir).select("conv_id", "role", "n_rows", r6(F.col("mean_f1")).alias("mean_f1"))
+
+
+@register("consistency_summary", _PAIR_F1_SQL + """
+SELECT round(avg(mean_f1), 6) AS mean, round(median(mean_f1), 6) AS median, round(stddev_samp(mean_f1), 6) AS std,
+       count_if(mean_f1 = 1.0) AS n_perfect, count(mean_f1) AS n_valid FROM res
+""")
+def q_consistency_summary(spark, sf_dir):
+    """A26."""
+    s = pf.consistency_summary(_pair_f1(spark, sf_dir))
+    return s.select(*[r6(F.col(c)).alias(c) for c in ["mean", "median", "std"]], "n_perfect", "n_valid")
+
+
+@register("url_hosts", """
+SELECT split_part(url, '/', 3) AS host, count(*) AS count FROM pages
+WHERE len(string_split(url, '/')) >= 3 GROUP BY host
+""")
+def q_url_hosts(spark, sf_dir):
+    """Third path component (host) of page URLs, counted."""
+    pages = read_driver_table(spark, sf_dir, "pages", ["url"])
+    h = pages.select(pf.nth_path_component("url", 2).alias("host")).where(F.col("host").isNotNull())
+    return pf.value_counts(h, "host")
+
+
+@register("page_dedup", "SELECT count(*) AS n_pages, count(DISTINCT url) AS n_unique FROM pages")
+def q_page_dedup(spark, sf_dir):
+    """Drop exact repeats of a key list (url)."""
+    pages = read_driver_table(spark, sf_dir, "pages", ["page_id", "url"])
+    uniq = pages.dropDuplicates(["url"])
+    return pages.agg(F.count(F.lit(1)).alias("n_pages")).join(uniq.agg(F.count(F.lit(1)).alias("n_unique")))
