@@ -15,6 +15,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.functions.tags import set_f1_metric, tag_mentions
 
@@ -127,7 +128,7 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     return len(b) - bin(v).count("1")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(list(x) if x is not None else [], list(y) if y is not None else [])
                       for x, y in zip(a, b)], dtype="int64")
@@ -165,37 +166,51 @@ def chrf_word_tokens(col: Column | str) -> Column:
     return F.flatten(F.transform(toks, cut))
 
 
-def _char_grams(text: Column, order: int) -> Column:
-    s = F.regexp_replace(text, WS_SPLIT, "")
-    n = F.length(s)
+def _char_grams(col: str, order: int) -> Column:
+    """Character ``order``-grams of an already whitespace-free string column."""
+    n = F.length(col)
     return F.when(n >= order, F.transform(F.sequence(F.lit(1), F.greatest(n - order + 1, F.lit(1))),
-                                          lambda i: F.substring(s, i, order))).otherwise(F.array().cast("array<string>"))
+                                          lambda i: F.substring(F.col(col), i, order))) \
+        .otherwise(F.array().cast("array<string>"))
 
 
-def _word_grams(tokens: Column, order: int) -> Column:
-    n = F.size(tokens)
+def _word_grams(col: str, order: int) -> Column:
+    """Word ``order``-grams of a token-array column."""
+    n = F.size(col)
     return F.when(n >= order, F.transform(F.sequence(F.lit(1), F.greatest(n - order + 1, F.lit(1))),
-                                          lambda i: F.array_join(F.slice(tokens, i, order), " "))) \
+                                          lambda i: F.array_join(F.slice(F.col(col), i, order), " "))) \
         .otherwise(F.array().cast("array<string>"))
 
 
+def _tagged(order: int):
+    # one-argument lambda: a two-argument one would receive the element index
+    return lambda g: F.struct(F.lit(order).alias("o"), g.alias("g"))
+
+
 def chrf(df: DataFrame, id_col: str = "id", pred_col: str = "pred", ref_col: str = "ref",
          out: str = "chrf") -> DataFrame:
     """Sentence chrF++ / 100 (char order 6, word order 2, beta 2).
 
     Per order ``match = sum(min(count_pred, count_ref))``; precision and recall
     are averaged over the orders with n-grams on both sides; ``score =
-    5PR / (4P + R)``.  One aggregation keyed by ``(id, order, gram)``.
+    5PR / (4P + R)``.  One aggregation keyed by ``(id, order, gram)``; the
+    stripped text and the word tokens are computed once per row before the
+    n-gram lambdas read them.
     """
     def grams(col, side):
-        text = F.col(col)
-        wt = chrf_word_tokens(text)
-        parts = [F.transform(_char_grams(text, k), lambda g, k=k: F.struct(F.lit(k).alias("o"), g.alias("g")))
-                 for k in range(1, CHAR_ORDER + 1)]
-        parts += [F.transform(_word_grams(wt, k), lambda g, k=k: F.struct(F.lit(100 + k).alias("o"), g.alias("g")))
-                  for k in range(1, WORD_ORDER + 1)]
-        return df.select(id_col, F.explode(F.concat(*parts)).alias("x")) \
-            .select(id_col, "x.o", "x.g", F.lit(side).alias("side"))
+        prep = df.select(id_col, F.regexp_replace(F.col(col), WS_SPLIT, "").alias("__s"),
+                         chrf_word_tokens(F.col(col)).alias("__w"))
+        # positions are generated as integers and the n-grams cut in a plain
+        # (code-generated) projection; ``sequence`` is only built where non-empty
+        ch = prep.select(id_col, "__s", F.explode(F.array(*[F.lit(k) for k in range(1, CHAR_ORDER + 1)])).alias("o")) \
+            .where(F.length("__s") >= F.col("o")) \
+            .select(id_col, "__s", "o", F.explode(F.sequence(F.lit(1), F.length("__s") - F.col("o") + 1)).alias("i")) \
+            .select(id_col, "o", F.substring(F.col("__s"), F.col("i"), F.col("o")).alias("g"))
+        wd = prep.select(id_col, "__w", F.explode(F.array(*[F.lit(k) for k in range(1, WORD_ORDER + 1)])).alias("k")) \
+            .where(F.size("__w") >= F.col("k")) \
+            .select(id_col, "__w", "k", F.explode(F.sequence(F.lit(1), F.size("__w") - F.col("k") + 1)).alias("i")) \
+            .select(id_col, (F.col("k") + 100).alias("o"), F.array_join(F.slice("__w", F.col("i"), F.col("k")), " ").alias("g"))
+        return ch.unionByName(wd).withColumn("side", F.lit(side))
     both = grams(pred_col, 1).unionByName(grams(ref_col, 2))
     cnt = both.groupBy(id_col, "o", "g").agg(F.sum((F.col("side") == 1).cast("int")).alias("cp"),
                                              F.sum((F.col("side") == 2).cast("int")).alias("cr"))

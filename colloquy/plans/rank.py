@@ -10,7 +10,9 @@ its rows, so the offset window over it is bounded.  The join back lets AQE pick
 broadcast only after it has measured the statistics side.
 
 All results are exact: the order columns must make rows unique (callers add a
-tiebreak column).
+tiebreak column).  The numbered rows are checkpointed (reliable checkpoint in
+``spark.checkpoint.dir``) so the statistics and the final join read one frozen
+copy: the range shuffle runs once and survives executor loss.
 """
 
 from __future__ import annotations
@@ -47,6 +49,9 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())
     )
+    # Freeze the numbered rows once: both the statistics and the join read this
+    # copy (no second range shuffle; lineage cut in spark.checkpoint.dir).
+    ordered = ordered.checkpoint(eager=True)
     stats = ordered.groupBy(_PID, *keys).agg(
         F.min(_MID).alias("__first"), F.count(F.lit(1)).alias("__cnt"))
     w = Window.partitionBy(*key_cols).orderBy(_PID) if keys else Window.orderBy(_PID)

@@ -789,3 +789,146 @@ def q_page_dedup(spark, sf_dir):
     pages = read_driver_table(spark, sf_dir, "pages", ["page_id", "url"])
     uniq = pages.dropDuplicates(["url"])
     return pages.agg(F.count(F.lit(1)).alias("n_pages")).join(uniq.agg(F.count(F.lit(1)).alias("n_unique")))
+
+
+# ---------------------------------------------------------------------------
+# scoring
+
+from colloquy.operators import scoring as sc  # noqa: E402
+
+_SQL_PUNCT = sc.PUNCTUATION.replace("'", "''")
+
+
+def _part_pairs(spark, sf_dir):
+    """(pred, ref) = names of consecutive parts (equi-join on ``partkey + 1``)."""
+    part = read_driver_table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_name"])
+    a = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("source"), F.col("p_name").alias("pred"))
+    b = part.select((F.col("p_partkey") - 1).alias("id"), F.col("p_name").alias("ref"))
+    return a.join(b, "id", "inner")
+
+
+@register("tag_f1", "WITH " + _PART_TAGS_SQL + r""",
+voc AS (SELECT 'attribute' AS category, unnest(attribute) AS tag FROM tg UNION SELECT 'object', unnest(object) FROM tg),
+vl AS (SELECT category, list(DISTINCT tag) AS tags FROM voc GROUP BY category
+       UNION ALL SELECT 'overall', list(DISTINCT tag) FROM voc),
+pr AS (SELECT a.p_brand AS source, regexp_extract_all(lower(a.p_name), '[\pL\pN_]+') AS pw,
+              regexp_extract_all(lower(b.p_name), '[\pL\pN_]+') AS rw
+       FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+s AS (SELECT pr.source, vl.category, list_distinct(list_intersect(pw, vl.tags)) AS P,
+             list_distinct(list_intersect(rw, vl.tags)) AS R FROM pr, vl),
+t AS (SELECT source, category, len(P) AS np, len(R) AS nr, len(list_intersect(P, R)) AS tp FROM s),
+f AS (SELECT source, category, CASE WHEN np = 0 AND nr = 0 THEN 1.0 WHEN np = 0 OR nr = 0 THEN 0.0 WHEN tp = 0 THEN 0.0
+             ELSE 2.0 * (tp / np) * (tp / nr) / ((tp / np) + (tp / nr)) END AS f1 FROM t)
+SELECT source, category, round(avg(f1), 6) AS tag_f1_mean, round(stddev_pop(f1), 6) AS tag_f1_std
+FROM f GROUP BY source, category
+""")
+def q_tag_f1(spark, sf_dir):
+    """T1 (+ H7, H8): tag-F1 per category and overall, vocabulary built by A19."""
+    voc = pf.vocabulary(_part_tags(spark, sf_dir), "p_brand", ["attribute", "object"]) \
+        .select("category", F.explode("tags").alias("tag")).distinct()
+    out = sc.tag_f1(_part_pairs(spark, sf_dir), voc, id_col="id", group_col="source", max_words=1)
+    return out.select("source", "category", r6(F.col("tag_f1_mean")).alias("tag_f1_mean"),
+                      r6(F.col("tag_f1_std")).alias("tag_f1_std"))
+
+
+_DIST_SQL = r"""
+tt AS (SELECT role, list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}]+'), lambda x: x <> '') AS t
+       FROM conversations),
+uni AS (SELECT role, unnest(t) AS g FROM tt),
+bi AS (SELECT role, unnest(list_transform(range(1, len(t)), lambda i: t[i] || chr(1) || t[i + 1])) AS g FROM tt),
+dn AS (SELECT r.role, coalesce((SELECT count(DISTINCT g) * 1.0 / count(g) FROM uni WHERE uni.role = r.role), 0.0) AS dist1,
+              coalesce((SELECT count(DISTINCT g) * 1.0 / nullif(count(g), 0) FROM bi WHERE bi.role = r.role), 0.0) AS dist2
+       FROM (SELECT DISTINCT role FROM conversations) r)
+"""
+
+
+@register("dist_n", "WITH " + _DIST_SQL + "SELECT role, round(dist1, 6) AS dist1, round(dist2, 6) AS dist2 FROM dn")
+def q_dist_n(spark, sf_dir):
+    """T5: Dist-1 / Dist-2 of turn texts per role."""
+    conv = read_driver_table(spark, sf_dir, "conversations", ["role", "text"])
+    d = sc.dist_n(conv, "role", "text")
+    return d.select("role", r6(F.col("dist1")).alias("dist1"), r6(F.col("dist2")).alias("dist2"))
+
+
+_CHRF_SQL = "WITH " + _PAIRS_SQL + r""",
+side AS (SELECT conv_id, turn, 1 AS sd, pred AS txt FROM pr UNION ALL SELECT conv_id, turn, 2, ref FROM pr),
+cs AS (SELECT conv_id, turn, sd, regexp_replace(txt, '[\s\p{Z}]+', '', 'g') AS s FROM side),
+cg AS (SELECT conv_id, turn, sd, k AS o, substring(s, i, k) AS g
+       FROM cs, range(1, 7) kk(k), LATERAL (SELECT unnest(generate_series(1, length(s) - k + 1)) AS i) WHERE length(s) >= k),
+wt AS (SELECT conv_id, turn, sd, unnest(list_filter(regexp_split_to_array(txt, '[\s\p{Z}]+'), lambda x: x <> '')) AS w
+       FROM side),
+wt2 AS (SELECT conv_id, turn, sd, list(p ORDER BY pos) AS toks FROM (
+          SELECT conv_id, turn, sd, row_number() OVER () AS pos0, w,
+                 CASE WHEN length(w) = 1 THEN [w]
+                      WHEN contains('{P}', right(w, 1)) THEN [left(w, length(w) - 1), right(w, 1)]
+                      WHEN contains('{P}', left(w, 1)) THEN [left(w, 1), substring(w, 2)]
+                      ELSE [w] END AS parts FROM wt) x, LATERAL (SELECT unnest(parts) AS p,
+                      pos0 * 10 + generate_subscripts(parts, 1) AS pos)
+        GROUP BY conv_id, turn, sd),
+wg AS (SELECT conv_id, turn, sd, 100 + k AS o, array_to_string(toks[i:i + k - 1], ' ') AS g
+       FROM wt2, range(1, 3) kk(k), LATERAL (SELECT unnest(generate_series(1, len(toks) - k + 1)) AS i)
+       WHERE len(toks) >= k),
+allg AS (SELECT * FROM cg UNION ALL SELECT * FROM wg),
+cnt AS (SELECT conv_id, turn, o, g, count_if(sd = 1) AS cp, count_if(sd = 2) AS cr FROM allg GROUP BY ALL),
+po AS (SELECT conv_id, turn, o, sum(cp) AS np, sum(cr) AS nr, sum(least(cp, cr)) AS m FROM cnt GROUP BY ALL),
+av AS (SELECT conv_id, turn, avg(m / np) AS P, avg(m / nr) AS R FROM po WHERE np > 0 AND nr > 0 GROUP BY ALL),
+ch AS (SELECT pr.conv_id, pr.turn, pr.curr_role, CASE WHEN coalesce(P + R, 0) > 0 THEN 5 * P * R / (4 * P + R) ELSE 0.0 END AS chrf
+       FROM pr LEFT JOIN av ON pr.conv_id = av.conv_id AND pr.turn = av.turn)
+""".replace("{P}", _SQL_PUNCT)
+
+
+def _chrf_rows(spark, sf_dir):
+    pairs = _turn_pairs(spark, sf_dir).withColumn("id", F.concat_ws(":", F.col("conv_id").cast("string"),
+                                                                    F.col("turn").cast("string")))
+    return sc.chrf(pairs, "id", "pred", "ref")
+
+
+@register("chrf", _CHRF_SQL + "SELECT conv_id, turn, round(chrf, 6) AS chrf FROM ch")
+def q_chrf(spark, sf_dir):
+    """Sentence chrF++ of each turn against the next one."""
+    return _chrf_rows(spark, sf_dir).select("conv_id", "turn", r6(F.col("chrf")).alias("chrf"))
+
+
+@register("rouge_l")
+def q_rouge_l(spark, sf_dir):
+    """ROUGE-L F of each turn against the next one (LCS in an Arrow UDF;
+    checked against a dynamic-programming brute force in tests)."""
+    out = sc.rouge_l(_turn_pairs(spark, sf_dir))
+    return out.select("conv_id", "turn", r6(F.col("rouge_l")).alias("rouge_l"))
+
+
+@register("score_report", _CHRF_SQL + "," + _DIST_SQL + """,
+m AS (SELECT curr_role AS source, 'chrf' AS metric, avg(chrf) AS value FROM ch GROUP BY curr_role
+      UNION ALL SELECT curr_role, 'chrf_std', stddev_pop(chrf) FROM ch GROUP BY curr_role
+      UNION ALL SELECT role, 'dist1', dist1 FROM dn UNION ALL SELECT role, 'dist2', dist2 FROM dn)
+SELECT source, source || '/' || metric AS metric, round(value, 6) AS value FROM m
+""")
+def q_score_report(spark, sf_dir):
+    """T6 (+ P22): per-source metric report as long rows ``source/metric``."""
+    ch_rows = _chrf_rows(spark, sf_dir).withColumnRenamed("curr_role", "source")
+    cm = ch_rows.groupBy("source").agg(F.avg("chrf").alias("chrf_mean"), F.stddev_pop("chrf").alias("chrf_std"))
+    conv = read_driver_table(spark, sf_dir, "conversations", ["role", "text"]).withColumnRenamed("role", "source")
+    dn = sc.dist_n(conv, "source", "text")
+    rep = sc.score_report([cm, dn], "source")
+    return rep.select("source", "metric", r6(F.col("value")).alias("value"))
+
+
+@register("vec_collapse", """
+WITH e AS (SELECT label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS nrm
+           FROM embeddings),
+d AS (SELECT label, nrm, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS dim FROM e),
+pd AS (SELECT label, dim, stddev_samp(x) AS sd, sum(CASE WHEN nrm > 0 THEN x / nrm ELSE 0.0 END) AS su
+       FROM d GROUP BY label, dim),
+g1 AS (SELECT label, avg(sd) AS vec_std, sum(su * su) AS s2 FROM pd GROUP BY label),
+g2 AS (SELECT label, count(*) AS n, stddev_samp(nrm) / avg(nrm) AS cv,
+              sum(CASE WHEN nrm > 0 THEN 1.0 ELSE 0.0 END) AS self FROM e GROUP BY label)
+SELECT g2.label, g2.n, round(vec_std, 6) AS vec_std, round(cv, 6) AS vec_norm_cv,
+       round(CASE WHEN n >= 2 THEN (s2 - self) / (n * (n - 1)) END, 6) AS mean_cosine_sim
+FROM g2 JOIN g1 ON g1.label = g2.label
+""")
+def q_vec_collapse(spark, sf_dir):
+    """A33 + J13 (+ T4): collapse diagnostics of embeddings per label, no pairs formed."""
+    emb = read_driver_table(spark, sf_dir, "embeddings", ["label", "embedding"]) \
+        .withColumn("embedding", F.col("embedding").cast("array<double>"))
+    v = sc.vector_collapse(emb, "label", "embedding")
+    return v.select("label", "n", *[r6(F.col(c)).alias(c) for c in ["vec_std", "vec_norm_cv", "mean_cosine_sim"]])
