@@ -40,9 +40,10 @@ def finished_runs(runs: DataFrame, pattern: str, run_col: str = "run_name", stat
     return runs.where((F.col(state_col) == "finished") & F.col(run_col).rlike(pattern))
 
 
-def flatten_config(runs: DataFrame, config_col: str = "config", run_col: str = "run_name") -> DataFrame:
-    """P20 (+ P19): config map -> long ``(run, field, raw, value)`` with numeric coercion."""
-    return runs.select(run_col, F.explode(config_col).alias("field", "raw")) \
+def flatten_config(runs: DataFrame, config_col: str = "config", run_col: str = "run_name",
+                   keep: Sequence[str] = ()) -> DataFrame:
+    """P20 (+ P19): config map -> long ``(run, keep..., field, raw, value)`` with numeric coercion."""
+    return runs.select(run_col, *keep, F.explode(config_col).alias("field", "raw")) \
         .withColumn("value", F.col("raw").cast("string").try_cast("double"))
 
 
@@ -71,15 +72,23 @@ def best_per_metric(summary: DataFrame, dataset_col: str, metric_col: str = "met
     low = F.col(metric_col).isin(list(lower_is_better)) if lower_is_better else F.lit(False)
     best = F.when(low, F.min("mean").over(w)).otherwise(F.max("mean").over(w))
     out = summary.withColumn("is_best", F.abs(F.col("mean") - best) < tol)
-    cell = F.format_string("%.3f ± %.3f", F.col("mean"), F.coalesce(F.col("std"), F.lit(0.0)))
-    return out.withColumn("cell", cell)
+    return out.withColumn("cell", mean_std_cell("mean", "std"))
 
 
-def config_correlation(config_long: DataFrame, loss: DataFrame, run_col: str = "run_name",
-                       field_col: str = "field", value_col: str = "value", loss_col: str = "loss") -> DataFrame:
-    """Pearson correlation of each numeric config field with the loss,
-    pairwise complete, sorted by correlation."""
-    j = config_long.where(F.col(value_col).isNotNull()).join(loss.where(F.col(loss_col).isNotNull()), run_col)
+def mean_std_cell(mean: Column | str, std: Column | str, places: int = 3) -> Column:
+    """``'mean ± std'`` with ``places`` decimals, rounded half away from zero on
+    the decimal value (engine-independent; a NULL std prints as 0)."""
+    def fmt(c):
+        c = F.col(c) if isinstance(c, str) else c
+        return F.round(c.cast("decimal(38,10)"), places).cast(f"decimal(38,{places})").cast("string")
+    return F.concat(fmt(mean), F.lit(" ± "), fmt(F.coalesce(F.col(std) if isinstance(std, str) else std, F.lit(0.0))))
+
+
+def config_correlation(config_long: DataFrame, field_col: str = "field", value_col: str = "value",
+                       loss_col: str = "loss") -> DataFrame:
+    """Pearson correlation of each numeric config field with the loss
+    (carried on the long rows), pairwise complete, sorted by correlation."""
+    j = config_long.where(F.col(value_col).isNotNull() & F.col(loss_col).isNotNull())
     return j.groupBy(field_col).agg(F.corr(value_col, loss_col).alias("corr")).orderBy(F.col("corr").desc_nulls_last())
 
 

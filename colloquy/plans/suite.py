@@ -932,3 +932,184 @@ def q_vec_collapse(spark, sf_dir):
         .withColumn("embedding", F.col("embedding").cast("array<double>"))
     v = sc.vector_collapse(emb, "label", "embedding")
     return v.select("label", "n", *[r6(F.col(c)).alias(c) for c in ["vec_std", "vec_norm_cv", "mean_cosine_sim"]])
+
+
+# ---------------------------------------------------------------------------
+# run analysis: events as metric series (user = run), lineitem as run records
+
+from colloquy.operators import runs as rn  # noqa: E402
+
+_W = 1.0 - 2.0 / (rn.SMOOTH_SPAN + 1.0)
+_EWM_SQL = """
+s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step
+      FROM events WHERE value IS NOT NULL),
+e AS (SELECT user_id, step, sum(value * pow({w}, -step)) OVER (PARTITION BY user_id ORDER BY step
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * pow({w}, step) / ((1 - pow({w}, step + 1)) / (1 - {w}))
+             AS ewm FROM s)
+""".replace("{w}", repr(_W))
+
+
+def _ewm(spark, sf_dir):
+    ev = read_driver_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
+    pos = rn.series_positions(ev, ["user_id"], ["ts", "event_id"], "value", out="step")
+    return rn.ewm_mean(pos, ["user_id"], "step", "value", span=rn.SMOOTH_SPAN)
+
+
+@register("ewm_by_user", "WITH " + _EWM_SQL + "SELECT user_id, CAST(step AS BIGINT) AS step, round(ewm, 6) AS ewm FROM e")
+def q_ewm_by_user(spark, sf_dir):
+    """EWM (span 10, adjust=True) of event values per user in time order."""
+    return _ewm(spark, sf_dir).select("user_id", "step", r6(F.col("ewm")).alias("ewm"))
+
+
+@register("aligned_mean", "WITH " + _EWM_SQL + """,
+lv AS (SELECT user_id, arg_max(ewm, step) AS last_v, max(step) AS last_step FROM e GROUP BY user_id),
+st AS (SELECT range AS step FROM range(0, (SELECT max(last_step) + 1 FROM lv))),
+g AS (SELECT st.step, coalesce(e.ewm, lv.last_v) AS v FROM st CROSS JOIN lv
+      LEFT JOIN e ON e.user_id = lv.user_id AND e.step = st.step)
+SELECT CAST(step AS BIGINT) AS step, round(avg(v), 6) AS mean FROM g GROUP BY step
+""")
+def q_aligned_mean(spark, sf_dir):
+    """Smoothed series aligned to the longest run (last value held), mean per step."""
+    m = rn.aligned_mean(_ewm(spark, sf_dir), ["user_id"], "step", "ewm")
+    return m.select(F.col("step").cast("bigint"), r6(F.col("mean")).alias("mean"))
+
+
+@register("step_mean", "WITH " + _EWM_SQL + """
+SELECT CAST(step AS BIGINT) AS step, round(avg(ewm), 6) AS mean FROM e GROUP BY step
+""")
+def q_step_mean(spark, sf_dir):
+    """Mean per step without hold."""
+    return rn.step_mean(_ewm(spark, sf_dir), "step", "ewm").select(
+        F.col("step").cast("bigint"), r6(F.col("mean")).alias("mean"))
+
+
+_LI_LONG_SQL = """
+li AS (SELECT l_orderkey, l_linenumber, l_returnflag AS dataset, l_linestatus AS grp, l_quantity, l_extendedprice,
+              l_discount, l_tax FROM lineitem),
+lg AS (SELECT dataset, grp, 'quantity' AS metric, l_quantity AS value FROM li
+       UNION ALL SELECT dataset, grp, 'extendedprice', l_extendedprice FROM li
+       UNION ALL SELECT dataset, grp, 'discount', l_discount FROM li
+       UNION ALL SELECT dataset, grp, 'tax', l_tax FROM li),
+ms AS (SELECT dataset, grp, metric, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std
+       FROM lg GROUP BY dataset, grp, metric)
+"""
+
+
+def _lineitem_long(spark, sf_dir):
+    li = read_driver_table(spark, sf_dir, "lineitem", ["l_returnflag", "l_linestatus", "l_quantity",
+                                                       "l_extendedprice", "l_discount", "l_tax"])
+    return li.select(F.col("l_returnflag").alias("dataset"), F.col("l_linestatus").alias("grp"),
+                     F.stack(F.lit(4), F.lit("quantity"), F.col("l_quantity"), F.lit("extendedprice"),
+                             F.col("l_extendedprice"), F.lit("discount"), F.col("l_discount"),
+                             F.lit("tax"), F.col("l_tax")).alias("metric", "value"))
+
+
+@register("metric_summary", "WITH " + _LI_LONG_SQL + "SELECT dataset, grp, metric, mean, std FROM ms")
+def q_metric_summary(spark, sf_dir):
+    """Mean / std of every metric per (dataset, group), 4 places."""
+    return rn.metric_summary(_lineitem_long(spark, sf_dir), ["dataset", "grp"])
+
+
+@register("best_metric", "WITH " + _LI_LONG_SQL + """,
+b AS (SELECT *, CASE WHEN metric IN ('discount', 'tax') THEN min(mean) OVER (PARTITION BY dataset, metric)
+                     ELSE max(mean) OVER (PARTITION BY dataset, metric) END AS best FROM ms)
+SELECT dataset, grp, metric, abs(mean - best) < 1e-6 AS is_best,
+       CAST(round(CAST(mean AS DECIMAL(38, 10)), 3) AS DECIMAL(38, 3))::VARCHAR || ' ± ' ||
+       CAST(round(CAST(coalesce(std, 0.0) AS DECIMAL(38, 10)), 3) AS DECIMAL(38, 3))::VARCHAR AS cell FROM b
+""")
+def q_best_metric(spark, sf_dir):
+    """Best group per (dataset, metric); discount and tax are lower-is-better."""
+    s = rn.metric_summary(_lineitem_long(spark, sf_dir), ["dataset", "grp"])
+    b = rn.best_per_metric(s, "dataset", lower_is_better=["discount", "tax"])
+    return b.select("dataset", "grp", "metric", "is_best", "cell")
+
+
+@register("config_corr", """
+WITH li AS (SELECT l_quantity, l_discount, l_tax, l_extendedprice AS loss FROM lineitem)
+SELECT 'l_quantity' AS field, round(corr(l_quantity, loss), 6) AS corr FROM li
+UNION ALL SELECT 'l_discount', round(corr(l_discount, loss), 6) FROM li
+UNION ALL SELECT 'l_tax', round(corr(l_tax, loss), 6) FROM li
+""")
+def q_config_corr(spark, sf_dir):
+    """A29 (+ P19, P20): Pearson correlation of config fields with the loss."""
+    li = read_driver_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_discount",
+                                                       "l_tax", "l_extendedprice"])
+    runs = li.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+                     .alias("run_name"),
+                     F.create_map(F.lit("l_quantity"), F.col("l_quantity").cast("string"),
+                                  F.lit("l_discount"), F.col("l_discount").cast("string"),
+                                  F.lit("l_tax"), F.col("l_tax").cast("string")).alias("config"),
+                     F.col("l_extendedprice").alias("loss"))
+    long = rn.flatten_config(runs, "config", "run_name", keep=["loss"])
+    c = rn.config_correlation(long)
+    return c.select("field", r6(F.col("corr")).alias("corr"))
+
+
+@register("topk_runs", """
+WITH r AS (SELECT l_returnflag AS dataset, l_discount, row_number() OVER (PARTITION BY l_returnflag
+             ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS rn FROM lineitem)
+SELECT dataset, round(avg(l_discount), 6) AS mean, round(stddev_samp(l_discount), 6) AS std FROM r
+WHERE rn <= 5 GROUP BY dataset
+""")
+def q_topk_runs(spark, sf_dir):
+    """F2 + A35: the 5 cheapest line items per return flag, mean +- std of their discount."""
+    li = read_driver_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag",
+                                                       "l_extendedprice", "l_discount"])
+    top = top_k_per_group_runs(li)
+    return top.groupBy(F.col("l_returnflag").alias("dataset")).agg(
+        r6(F.avg("l_discount")).alias("mean"), r6(F.stddev_samp("l_discount")).alias("std"))
+
+
+def top_k_per_group_runs(li):
+    from colloquy.plans.topk import top_k_per_group
+    return top_k_per_group(li, ["l_returnflag"], ["l_extendedprice", "l_orderkey", "l_linenumber"], 5)
+
+
+_FOLD_SQL = """
+fb AS (SELECT l_orderkey, list_reduce(list({'e': l_linenumber - 1, 'l': l_discount} ORDER BY l_linenumber, l_discount),
+                                     lambda acc, x: CASE WHEN x.l < acc.l - 0.005 THEN x ELSE acc END) AS b
+       FROM lineitem GROUP BY l_orderkey)
+"""
+
+
+def _fold_best(spark, sf_dir):
+    li = read_driver_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_discount"])
+    hist = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("epoch"), F.col("l_discount").alias("val_loss"))
+    return rn.fold_best(hist, ["l_orderkey"], min_delta=0.005)
+
+
+@register("fold_best", "WITH " + _FOLD_SQL + """
+SELECT l_orderkey, round(b.l, 6) AS best_val_loss, CAST(b.e AS BIGINT) AS best_epoch FROM fb
+""")
+def q_fold_best(spark, sf_dir):
+    """Best loss / epoch with min-delta 0.005 (order = fold, line number = epoch)."""
+    return _fold_best(spark, sf_dir).select("l_orderkey", r6(F.col("best_val_loss")).alias("best_val_loss"),
+                                            "best_epoch")
+
+
+@register("cv_summary", "WITH " + _FOLD_SQL + """,
+j AS (SELECT o.o_orderpriority AS run, fb.b.l AS loss, fb.b.e AS epoch FROM fb JOIN orders o ON o.o_orderkey = fb.l_orderkey)
+SELECT run, round(avg(loss), 6) AS mean_val_loss, round(stddev_pop(loss), 6) AS std_val_loss,
+       round(avg(epoch), 6) AS mean_best_epoch, round(stddev_pop(epoch), 6) AS std_best_epoch,
+       CAST(round_even(avg(epoch), 0) AS BIGINT) AS rounded_best_epoch FROM j GROUP BY run
+""")
+def q_cv_summary(spark, sf_dir):
+    """Fold summary per run (order priority)."""
+    orders = read_driver_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority"])
+    fb = _fold_best(spark, sf_dir).join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    s = rn.cv_summary(fb.withColumnRenamed("o_orderpriority", "run"), ["run"])
+    return s.select("run", *[r6(F.col(c)).alias(c) for c in ["mean_val_loss", "std_val_loss", "mean_best_epoch",
+                                                              "std_best_epoch"]], "rounded_best_epoch")
+
+
+@register("props_tidy", """
+SELECT event_type AS run_name, k AS metric, round(avg(CAST(json_extract(props, '$.' || k) AS DOUBLE)), 6) AS value
+FROM events, unnest(json_keys(props)) t(k) GROUP BY event_type, k
+""")
+def q_props_tidy(spark, sf_dir):
+    """S14 (+ P22): JSON property maps exploded to tidy (run, metric, value) rows."""
+    ev = read_driver_table(spark, sf_dir, "events", ["event_type", "props"])
+    runs = ev.select(F.col("event_type").alias("run_name"),
+                     F.from_json("props", "map<string,double>").alias("summary"))
+    t = rn.tidy_summary(runs)
+    return t.groupBy("run_name", "metric").agg(r6(F.avg("value")).alias("value"))
