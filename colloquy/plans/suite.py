@@ -60,10 +60,11 @@ fr AS (
     first_value(prev_filename IS NULL OR linked) OVER f AS head_ok,
     max(CASE WHEN audio_idx = -1 THEN 1 ELSE 0 END) OVER f AS any_bad,
     list(speakerid) OVER f AS speakers,
+    list(transcription) OVER f AS texts,
     sum(length(transcription)) OVER f AS chain_chars
   FROM lk WINDOW f AS (PARTITION BY part_id ORDER BY turn_index ROWS BETWEEN {n1} PRECEDING AND CURRENT ROW)),
 chains AS (
-  SELECT part_id AS conv_id, turn_index AS anchor_turn, speakerid AS anchor_role, speakers, chain_chars,
+  SELECT part_id AS conv_id, turn_index AS anchor_turn, speakerid AS anchor_role, speakers, texts, chain_chars,
          length(text_description) AS target_chars
   FROM fr
   WHERE audio_idx >= 0 AND turn_index >= {n1} AND n_in = {n} AND links_ok = 1 AND head_ok AND any_bad = 0
@@ -1113,3 +1114,90 @@ def q_props_tidy(spark, sf_dir):
                      F.from_json("props", "map<string,double>").alias("summary"))
     t = rn.tidy_summary(runs)
     return t.groupBy("run_name", "metric").agg(r6(F.avg("value")).alias("value"))
+
+
+# ---------------------------------------------------------------------------
+# H9-H12 prompts, X6 / J14 few-shot pairs
+
+from colloquy.functions import text as tx  # noqa: E402
+
+_STRIP_SQL = r"regexp_replace({x}, '^[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]+|[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]+$', '', 'g')"
+
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _turn_sql(t: str, i: str, style: str | None) -> str:
+    head = ("'[Turn ' || CAST({i} AS VARCHAR) || ']' || chr(10) || '  Transcription: \"' || "
+            + _STRIP_SQL.replace("{x}", "coalesce({t}, '')") + " || '\"' || chr(10) || '  Speaking style:'")
+    head = head.replace("{i}", i).replace("{t}", t)
+    return head if style is None else head + " || ' ' || " + style
+
+
+def _style_sql(t: str) -> str:
+    return _STRIP_SQL.replace("{x}", f"coalesce(nullif({t}, ''), 'unknown')")
+
+
+_USER_PROMPT_SQL = (_sql_lit(tx.USER_QUESTION) + " || array_to_string(list_transform(texts, lambda t, i: CASE WHEN i = len(texts) THEN "
+                    + _turn_sql("t", "i", None) + " ELSE " + _turn_sql("t", "i", _style_sql("t"))
+                    + " END), chr(10)) || chr(10)")
+_EXAMPLE_SQL = ("array_to_string(list_transform(texts, lambda t, i: " + _turn_sql("t", "i", _style_sql("t"))
+                + "), chr(10))")
+_DIALOGUE_SQL = ("array_to_string(list_filter(list_transform(texts, lambda t: " + _STRIP_SQL.replace("{x}", "t")
+                 + "), lambda t: t IS NOT NULL AND t <> ''), ' | ')")
+
+
+@register("prompt_rows", "WITH " + _UTT_SQL + "," + chains_sql(3) + """
+SELECT conv_id, anchor_turn, """ + _USER_PROMPT_SQL + """ AS user_prompt, """ + _DIALOGUE_SQL + """ AS dialogue
+FROM chains
+""")
+def q_prompt_rows(spark, sf_dir):
+    """H9 + H11 (user prompt) + H12 for every 3-turn chain."""
+    c = conversation_chains(spark, sf_dir, 3)
+    return c.select(F.col("part_id").alias("conv_id"), "anchor_turn", tx.user_prompt("chain").alias("user_prompt"),
+                    tx.joined_dialogue("chain").alias("dialogue"))
+
+
+_FEWSHOT_SQL = "WITH " + _UTT_SQL + "," + chains_sql(3) + "," + _IDS_SQL.format(seed=7) + """,
+ho AS (SELECT conv_id, CASE WHEN pos < greatest(1, CAST(floor(n * 0.1) AS BIGINT)) THEN 'test' ELSE 'pool' END AS split
+       FROM sh, n),
+ck AS (SELECT CAST(c.conv_id AS VARCHAR) || ':' || CAST(c.anchor_turn AS VARCHAR) AS key, c.texts, ho.split
+       FROM chains c JOIN ho ON c.conv_id = ho.conv_id),
+pr AS (SELECT key AS pkey, texts, row_number() OVER (ORDER BY md5('7:' || key), key) - 1 AS ppos FROM ck WHERE split = 'pool'),
+np AS (SELECT count(*) AS P FROM pr),
+qs AS (SELECT key AS qkey, shot, (('0x' || substr(md5('7:q:' || key), 1, 12))::BIGINT + shot) % P AS ppos
+       FROM ck, np, range(0, 2) t(shot) WHERE split = 'test' AND shot < P),
+ex AS (SELECT qs.qkey, qs.shot, pr.pkey, pr.texts FROM qs JOIN pr ON qs.ppos = pr.ppos)
+"""
+
+
+def _fewshot(spark, sf_dir):
+    c = conversation_chains(spark, sf_dir, 3).withColumnRenamed("part_id", "conv_id")
+    ho = sp.holdout(_conv_ids(spark, sf_dir), "conv_id", 0.1, 7)
+    ck = c.join(ho.select("conv_id", "split"), "conv_id").withColumn(
+        "key", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("anchor_turn").cast("string")))
+    queries = ck.where(F.col("split") == "test").select(F.col("key").alias("qkey"))
+    pool = ck.where(F.col("split") == "pool").select(F.col("key").alias("pkey"), "chain")
+    return sp.few_shot_pairs(queries, pool, query_key="qkey", pool_key="pkey", k=2, seed=7)
+
+
+@register("fewshot_pairs", _FEWSHOT_SQL + "SELECT qkey, CAST(shot AS INT) AS shot, pkey FROM ex")
+def q_fewshot_pairs(spark, sf_dir):
+    """Two seeded few-shot chains from the pool for every held-out chain."""
+    return _fewshot(spark, sf_dir).select("qkey", F.col("shot").cast("int"), "pkey")
+
+
+@register("system_prompts", _FEWSHOT_SQL + """
+SELECT qkey, """ + _sql_lit(tx.TASK_DESCRIPTION) + """ || chr(10) || 'Here are ' || CAST(count(*) AS VARCHAR) ||
+       ' examples:' || chr(10) || chr(10) ||
+       string_agg('Example ' || CAST(shot + 1 AS VARCHAR) || ':' || chr(10) || """ + _EXAMPLE_SQL + """,
+                  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY shot) AS system_prompt
+FROM ex GROUP BY qkey
+""")
+def q_system_prompts(spark, sf_dir):
+    """H10 + H11: system prompt with the numbered few-shot examples of each query."""
+    fs = _fewshot(spark, sf_dir)
+    ex = fs.groupBy("qkey").agg(F.collect_list(F.struct(F.col("shot").alias("rank"),
+                                                        tx.few_shot_example("chain").alias("text"))).alias("ex"))
+    return ex.select("qkey", tx.system_prompt(F.col("ex")).alias("system_prompt"))
