@@ -1201,3 +1201,57 @@ def q_system_prompts(spark, sf_dir):
     ex = fs.groupBy("qkey").agg(F.collect_list(F.struct(F.col("shot").alias("rank"),
                                                         tx.few_shot_example("chain").alias("text"))).alias("ex"))
     return ex.select("qkey", tx.system_prompt(F.col("ex")).alias("system_prompt"))
+
+
+# ---------------------------------------------------------------------------
+# Signal steps on the embedding vectors (64 samples each)
+
+from colloquy.functions import signal as sg  # noqa: E402
+
+
+@register("pad_trim", """
+SELECT vec_id, 48 AS n, round(list_sum(list_transform(embedding[1:48], lambda x: x::DOUBLE)), 6) AS total
+FROM embeddings
+UNION ALL
+SELECT vec_id, 80, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) FROM embeddings
+""")
+def q_pad_trim(spark, sf_dir):
+    """Cut to 48 and zero-pad to 80 samples; checks size and sum."""
+    emb = read_driver_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    outs = []
+    for n in (48, 80):
+        v = sg.pad_or_trim("embedding", n)
+        outs.append(emb.select("vec_id", F.size(v).alias("n"),
+                               r6(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("total")))
+    return outs[0].unionByName(outs[1])
+
+
+@register("peak_norm", """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS s FROM embeddings),
+p AS (SELECT vec_id, s, list_max(list_transform(s, lambda x: abs(x))) AS peak FROM e),
+o AS (SELECT vec_id, CASE WHEN peak > 0 THEN list_transform(s, lambda x: x * pow(10, -0.1 / 20.0) / peak) ELSE s END AS y
+      FROM p)
+SELECT vec_id, round(list_sum(y), 6) AS total, round(list_max(list_transform(y, lambda x: abs(x))), 6) AS peak FROM o
+""")
+def q_peak_norm(spark, sf_dir):
+    """Peak-normalise every vector to -0.1 dBFS."""
+    emb = read_driver_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    y = emb.select("vec_id", sg.peak_normalize("embedding").alias("y"))
+    return y.select("vec_id", r6(F.aggregate("y", F.lit(0.0), lambda a, x: a + x)).alias("total"),
+                    r6(F.array_max(F.transform("y", lambda x: F.abs(x)))).alias("peak"))
+
+
+@register("frame_snr", """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS s FROM embeddings),
+f AS (SELECT vec_id, sqrt(list_sum(list_transform(s[i + 1:i + 16], lambda x: x * x)) / 16) AS rms
+      FROM e, LATERAL (SELECT unnest(generate_series(0, len(s) - 16 - 1, 8)) AS i) WHERE len(s) > 16),
+t AS (SELECT vec_id, quantile_cont(rms, 0.3) AS thr FROM f GROUP BY vec_id),
+a AS (SELECT f.vec_id, avg(CASE WHEN rms <= thr THEN rms * rms END) AS noise,
+             avg(CASE WHEN rms > thr THEN rms * rms END) AS sig FROM f JOIN t ON f.vec_id = t.vec_id GROUP BY f.vec_id)
+SELECT e.vec_id, round(CASE WHEN noise > 0 AND sig IS NOT NULL THEN 10 * log10(sig / noise) END, 6) AS snr
+FROM e LEFT JOIN a ON e.vec_id = a.vec_id
+""")
+def q_frame_snr(spark, sf_dir):
+    """H17 with frame 16 / hop 8 on the 64-sample vectors."""
+    emb = read_driver_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return sg.frame_snr(emb, "vec_id", "embedding", frame=16, hop=8).select("vec_id", r6(F.col("snr")).alias("snr"))
