@@ -166,56 +166,47 @@ def chrf_word_tokens(col: Column | str) -> Column:
     return F.flatten(F.transform(toks, cut))
 
 
-def _char_grams(col: str, order: int) -> Column:
-    """Character ``order``-grams of an already whitespace-free string column."""
-    n = F.length(col)
-    return F.when(n >= order, F.transform(F.sequence(F.lit(1), F.greatest(n - order + 1, F.lit(1))),
-                                          lambda i: F.substring(F.col(col), i, order))) \
-        .otherwise(F.array().cast("array<string>"))
-
-
-def _word_grams(col: str, order: int) -> Column:
-    """Word ``order``-grams of a token-array column."""
-    n = F.size(col)
-    return F.when(n >= order, F.transform(F.sequence(F.lit(1), F.greatest(n - order + 1, F.lit(1))),
-                                          lambda i: F.array_join(F.slice(F.col(col), i, order), " "))) \
-        .otherwise(F.array().cast("array<string>"))
-
-
-def _tagged(order: int):
-    # one-argument lambda: a two-argument one would receive the element index
-    return lambda g: F.struct(F.lit(order).alias("o"), g.alias("g"))
-
-
 def chrf(df: DataFrame, id_col: str = "id", pred_col: str = "pred", ref_col: str = "ref",
          out: str = "chrf") -> DataFrame:
     """Sentence chrF++ / 100 (char order 6, word order 2, beta 2).
 
     Per order ``match = sum(min(count_pred, count_ref))``; precision and recall
     are averaged over the orders with n-grams on both sides; ``score =
-    5PR / (4P + R)``.  One aggregation keyed by ``(id, order, gram)``; the
-    stripped text and the word tokens are computed once per row before the
-    n-gram lambdas read them.
+    5PR / (4P + R)``.  Counting is an aggregation keyed by ``(id, order,
+    gram)``; n-gram positions are exploded as integers and the grams cut in a
+    code-generated projection.
     """
-    def grams(col, side):
-        prep = df.select(id_col, F.regexp_replace(F.col(col), WS_SPLIT, "").alias("__s"),
-                         chrf_word_tokens(F.col(col)).alias("__w"))
-        # positions are generated as integers and the n-grams cut in a plain
-        # (code-generated) projection; ``sequence`` is only built where non-empty
-        ch = prep.select(id_col, "__s", F.explode(F.array(*[F.lit(k) for k in range(1, CHAR_ORDER + 1)])).alias("o")) \
-            .where(F.length("__s") >= F.col("o")) \
-            .select(id_col, "__s", "o", F.explode(F.sequence(F.lit(1), F.length("__s") - F.col("o") + 1)).alias("i")) \
-            .select(id_col, "o", F.substring(F.col("__s"), F.col("i"), F.col("o")).alias("g"))
-        wd = prep.select(id_col, "__w", F.explode(F.array(*[F.lit(k) for k in range(1, WORD_ORDER + 1)])).alias("k")) \
-            .where(F.size("__w") >= F.col("k")) \
-            .select(id_col, "__w", "k", F.explode(F.sequence(F.lit(1), F.size("__w") - F.col("k") + 1)).alias("i")) \
-            .select(id_col, (F.col("k") + 100).alias("o"), F.array_join(F.slice("__w", F.col("i"), F.col("k")), " ").alias("g"))
-        return ch.unionByName(wd).withColumn("side", F.lit(side))
-    both = grams(pred_col, 1).unionByName(grams(ref_col, 2))
-    cnt = both.groupBy(id_col, "o", "g").agg(F.sum((F.col("side") == 1).cast("int")).alias("cp"),
-                                             F.sum((F.col("side") == 2).cast("int")).alias("cr"))
-    per_order = cnt.groupBy(id_col, "o").agg(F.sum("cp").alias("np"), F.sum("cr").alias("nr"),
-                                             F.sum(F.least("cp", "cr")).alias("m"))
+    # Co-locate every pair once by id (a shuffle of the pair rows only); the
+    # n-grams exploded below stay in their task and all three aggregations
+    # keyed by (id, ...) reuse that partitioning, so the exploded rows are
+    # never shuffled.
+    nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    prep = df.select(id_col,
+                     F.regexp_replace(F.col(pred_col), WS_SPLIT, "").alias("__s1"), chrf_word_tokens(pred_col).alias("__w1"),
+                     F.regexp_replace(F.col(ref_col), WS_SPLIT, "").alias("__s2"), chrf_word_tokens(ref_col).alias("__w2")) \
+        .repartition(nparts, id_col)
+
+    def per_order(orders, unit_len, cut):
+        combos = [F.struct(F.lit(side).alias("side"), F.lit(o).alias("o")) for side in (1, 2) for o in orders]
+        x = prep.select(id_col, "__s1", "__s2", "__w1", "__w2", F.explode(F.array(*combos)).alias("so")) \
+            .select(id_col, "so.side", "so.o",
+                    F.when(F.col("so.side") == 1, F.col("__s1")).otherwise(F.col("__s2")).alias("__s"),
+                    F.when(F.col("so.side") == 1, F.col("__w1")).otherwise(F.col("__w2")).alias("__w"))
+        k = F.col("o") % 100
+        pos = x.where(unit_len >= k).select(id_col, "side", "o", "__s", "__w",
+                                            F.explode(F.sequence(F.lit(1), unit_len - k + 1)).alias("i"))
+        grams = pos.select(id_col, "side", "o", cut(k).alias("g"))
+        cnt = grams.groupBy(id_col, "o", "g").agg(F.sum((F.col("side") == 1).cast("int")).alias("cp"),
+                                                  F.sum((F.col("side") == 2).cast("int")).alias("cr"))
+        return cnt.groupBy(id_col, "o").agg(F.sum("cp").alias("np"), F.sum("cr").alias("nr"),
+                                            F.sum(F.least("cp", "cr")).alias("m"))
+    # character and word n-grams never share a key (different orders), so each
+    # is counted on its own; both reuse the id partitioning of ``prep``
+    chars = per_order(list(range(1, CHAR_ORDER + 1)), F.length("__s"),
+                      lambda k: F.substring(F.col("__s"), F.col("i"), k))
+    words = per_order([100 + k for k in range(1, WORD_ORDER + 1)], F.size("__w"),
+                      lambda k: F.array_join(F.slice("__w", F.col("i"), k), " "))
+    per_order = chars.unionByName(words)
     eff = per_order.where((F.col("np") > 0) & (F.col("nr") > 0))
     avg = eff.groupBy(id_col).agg(F.avg(F.col("m") / F.col("np")).alias("P"), F.avg(F.col("m") / F.col("nr")).alias("R"))
     f = F.col("P") + F.col("R")
