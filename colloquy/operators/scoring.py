@@ -89,13 +89,13 @@ def dist_n(df: DataFrame, group_col: str, pred_col: str = "pred") -> DataFrame:
     """T5: Dist-1 / Dist-2 per group: distinct / total uni- and bigrams of the
     lowercased whitespace tokens; bigrams do not cross rows; 0 when none."""
     toks = df.select(group_col, ws_tokens(pred_col).alias("__t"))
-    uni = toks.select(group_col, F.explode("__t").alias("g"))
+    uni = toks.select(group_col, F.explode("__t").alias("__g"))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__t") - 1, F.lit(1))),
                         lambda i: F.when(i < F.size("__t"), F.concat_ws("\u0001", F.element_at("__t", i),
                                                                          F.element_at("__t", i + 1))))
-    bi = toks.select(group_col, F.explode(pairs).alias("g")).where(F.col("g").isNotNull())
-    u = uni.groupBy(group_col).agg(F.countDistinct("g").alias("__du"), F.count("g").alias("__nu"))
-    b = bi.groupBy(group_col).agg(F.countDistinct("g").alias("__db"), F.count("g").alias("__nb"))
+    bi = toks.select(group_col, F.explode(pairs).alias("__g")).where(F.col("__g").isNotNull())
+    u = uni.groupBy(group_col).agg(F.countDistinct("__g").alias("__du"), F.count("__g").alias("__nu"))
+    b = bi.groupBy(group_col).agg(F.countDistinct("__g").alias("__db"), F.count("__g").alias("__nb"))
     groups = df.select(group_col).distinct()
     out = groups.join(u, group_col, "left").join(b, group_col, "left")
     return out.select(group_col,
