@@ -232,7 +232,9 @@ def vocabulary_json(vocab: DataFrame) -> DataFrame:
     (the vocabulary is small: bounded by its distinct tags)."""
     per_source = vocab.groupBy("source").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "tags")))).alias("m"))
-    return per_source.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "m")))))
+    key = F.regexp_replace(F.to_json(F.array(F.col("source"))), r"^\[|\]$", "")   # JSON-quoted key
+    item = F.concat(key, F.lit(":"), F.to_json("m"))
+    return per_source.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(item)), ","), F.lit("}"))
                           .alias("value"))
 
 
