@@ -157,6 +157,26 @@ def add_conversation_index(ann: DataFrame, files: DataFrame, *, file_path: str =
     return out.drop("speakers", "high_lvl_style", "conv_num", "start_time", "end_time")
 
 
+def initialize_first_corpus(splits: list[DataFrame], *, source: str = "expresso",
+                            path_col: str = "relative_audio_path",
+                            path_must_contain: str = "conversational_vad_segmented",
+                            desc_col: str = "text_description", ordinal_col: str = "ord") -> DataFrame:
+    """S4 + P4 + W5 + P5 (``initialize_expresso_df``): stack the splits, keep
+    one source and the segmented-conversation paths, keep per path the row
+    with the longest description list (first ordinal wins ties), then reduce
+    the list to its first element (an empty list becomes NULL).
+
+    ``ordinal_col`` must give the stacked row order (e.g. split index and row
+    number written at ingest)."""
+    from colloquy.sources.tables import stack_splits
+    df = stack_splits(splits)
+    df = df.where((F.col("source") == source) & F.col(path_col).contains(path_must_contain))
+    best = dedup_longest(df, path_col, F.size(desc_col), ordinal_col, digest_key=False)
+    dt = best.schema[desc_col].dataType.simpleString()
+    first = F.try_element_at(F.col(desc_col), F.lit(1)) if dt.startswith("array") else F.col(desc_col)
+    return best.withColumn(desc_col, first)
+
+
 def dedup_longest(df: DataFrame, key_col: str, size: Column, ordinal_col: str,
                   digest_key: bool = True) -> DataFrame:
     """One row per key, the largest ``size`` wins, the smallest ordinal breaks ties.

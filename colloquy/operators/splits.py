@@ -122,8 +122,10 @@ def few_shot_pairs(queries: DataFrame, pool: DataFrame, *, query_key: str, pool_
     p = _count(ranked)
     kk = min(int(k), p)
     if kk == 0:
-        return queries.limit(0).select(query_key).withColumn("shot", F.lit(0)).join(
-            ranked.drop("__ppos").limit(0), how="left")
+        from pyspark.sql import types as T
+        fields = queries.select(query_key).schema.fields + [T.StructField("shot", T.IntegerType())] + \
+            [f for f in ranked.schema.fields if f.name != "__ppos"]
+        return queries.sparkSession.createDataFrame([], T.StructType(fields))
     start = F.pmod(F.conv(F.substring(seeded_key(seed, F.lit("q"), query_key), 1, 12), 16, 10)
                    .cast("bigint"), F.lit(p))
     q = queries.select(query_key, F.posexplode(F.array_repeat(F.lit(0), kk)).alias("shot", "__z")) \
@@ -160,31 +162,48 @@ def proportional_few_shot(pool: DataFrame, k: int, *, source_col: str, key_cols:
     return picked.drop("__h", "alloc", "__src")
 
 
-def sample_conversations(rows: DataFrame, *, n: int, source_col: str = "source", part_col: str = "part_id",
-                         turn_col: str = "turn_index", max_turns: int | None = None,
-                         shares: Mapping[str, float] | None = None, seed: int = 42) -> DataFrame:
-    """Sample whole conversations.  Per source, ``round(n * share)``
-    anchors (the remainder to the last source) are drawn in the seeded order
-    among each part's last turn (``turn_index <= max_turns - 1`` when capped,
-    Q10), then every row of the part up to the anchor is kept."""
-    r = rows if max_turns is None else rows.where(F.col(turn_col) <= int(max_turns) - 1)
-    last = r.groupBy(source_col, part_col).agg(F.max(turn_col).alias("__anchor_turn"))
-    if shares:
-        names = sorted(shares)
-        alloc, used = {}, 0
-        for i, s in enumerate(names):
-            alloc[s] = (n - used) if i == len(names) - 1 else int(round(n * shares[s]))
-            used += alloc[s]
-        expr = reduce(lambda acc, s: acc.when(F.col(source_col) == s, F.lit(alloc[s])),
-                      names[1:], F.when(F.col(source_col) == names[0], F.lit(alloc[names[0]])))
-        kcol = F.coalesce(expr.otherwise(F.lit(0)), F.lit(0))
-    else:
-        kcol = F.lit(int(n))
-    keyed = last.withColumn("__h", seeded_key(seed, source_col, part_col)).withColumn("__k", kcol)
-    picked = top_k_per_group(keyed, [source_col], ["__h", part_col], F.col("__k"), out="__r") \
-        .select(part_col, "__anchor_turn")
-    return r.join(picked, part_col, "inner").where(F.col(turn_col) <= F.col("__anchor_turn")) \
-        .drop("__anchor_turn")
+def capped_rows(max_rows: int, max_turns: int) -> int:
+    """a row cap rounded down to a multiple of the turns per conversation."""
+    if max_rows >= 0 and max_turns > 0 and max_rows % max_turns:
+        return (max_rows // max_turns) * max_turns
+    return max_rows
+
+
+def sample_conversations(rows: DataFrame, *, max_rows: int, max_turns: int, shares: Mapping[str, float],
+                         source_col: str = "source", turn_col: str = "turn_index",
+                         path_col: str = "relative_audio_path", prev_col: str = "prev_filename",
+                         seed: int = 42) -> DataFrame:
+    """X8 (+ F5, Q10, J3, J5): sample whole conversations for a small build.
+
+    Rows beyond ``turn_index <= max_turns - 1`` are dropped; the row cap is
+    rounded down to whole conversations (``n = max_rows // max_turns``); per
+    source (in the given order) ``round_half_even(n * share)`` anchors, the last
+    source taking the remainder, are drawn in the seeded order among rows at
+    ``turn_index = max_turns - 1``; every anchor is walked back through
+    ``prev_filename`` (a missing link ends the walk) and the reached rows kept.
+    """
+    from colloquy.operators.chains import walk_links
+    r = rows.where(F.col(turn_col) <= int(max_turns) - 1)
+    if max_rows < 0:
+        return r
+    n = capped_rows(int(max_rows), int(max_turns)) // int(max_turns)
+    names = list(shares)
+    alloc, used = {}, 0
+    for i, s in enumerate(names):
+        alloc[s] = (n - used) if i == len(names) - 1 else int(round(n * shares[s]))
+        used += alloc[s]
+    kcol = reduce(lambda acc, s: acc.when(F.col(source_col) == s, F.lit(alloc[s])), names[1:],
+                  F.when(F.col(source_col) == names[0], F.lit(alloc[names[0]]))).otherwise(F.lit(0))
+    anchors = r.where(F.col(turn_col) == int(max_turns) - 1) \
+        .withColumn("__h", seeded_key(seed, path_col)).withColumn("__k", kcol)
+    picked = top_k_per_group(anchors, [source_col], ["__h", path_col], F.col("__k"), out="__r").select(path_col)
+    reached = walk_links(r, picked, int(max_turns), path_col=path_col, prev_col=prev_col, strict=False)
+    return r.join(reached.select(path_col).distinct(), path_col, "left_semi")
+
+
+def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """the first ``n`` rows in an explicit order (a row cap is the feature)."""
+    return df.orderBy(*order).limit(int(n))
 
 
 def matches_all(criteria: Mapping[str, object]) -> Column:

@@ -441,17 +441,18 @@ def q_balance_majority(spark, sf_dir):
 
 
 @register("sample_conversations", """
-WITH last AS (SELECT conv_id, max(turn) AS anchor_turn FROM conversations GROUP BY conv_id),
-pick AS (SELECT conv_id, anchor_turn FROM (SELECT *, row_number() OVER (ORDER BY
-          md5(concat_ws(':', '42', 'dialogue', conv_id)), conv_id) AS rn FROM last) WHERE rn <= 20)
-SELECT c.conv_id, c.turn FROM conversations c JOIN pick p ON c.conv_id = p.conv_id WHERE c.turn <= p.anchor_turn
+WITH p AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS path FROM conversations
+           WHERE turn <= 3),
+a AS (SELECT conv_id FROM (SELECT conv_id, row_number() OVER (ORDER BY md5('42:' || path), path) AS rn
+                           FROM p WHERE turn = 3) WHERE rn <= 7)
+SELECT conv_id, turn FROM p WHERE conv_id IN (SELECT conv_id FROM a)
 """)
 def q_sample_conversations(spark, sf_dir):
-    """X8 + F5: 20 whole conversations anchored at their last turn."""
-    conv = read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn"]) \
-        .withColumn("source", F.lit("dialogue"))
-    return sp.sample_conversations(conv, n=20, source_col="source", part_col="conv_id", turn_col="turn") \
-        .select("conv_id", "turn")
+    """X8 + F5: at most 30 rows of 4-turn conversations (rounded down to 28 = 7
+    conversations), anchored at turn 3 and walked back through the links."""
+    utt = _utterances(spark, sf_dir).where(F.col("turn_index") <= 3)
+    s = sp.sample_conversations(utt, max_rows=30, max_turns=4, shares={"dialogue": 1.0})
+    return s.select("conv_id", F.col("turn_index").alias("turn"))
 
 
 # ---------------------------------------------------------------------------

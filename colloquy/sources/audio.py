@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,6 +130,15 @@ def write_waveform_store(rows: DataFrame, path: str, partition_by: str = "source
                       F.sum(F.size("waveform") / F.col("sample_rate")).alias("seconds"))
 
 
+def route_source_root(source_col: str, roots: dict[str, str]) -> Column:
+    """Audio root for a row's source; NULL for an unknown source (the
+    caller turns it into the ``unknown_source`` failure reason, H19)."""
+    pairs = []
+    for k, v in roots.items():
+        pairs += [F.lit(k), F.lit(v)]
+    return F.try_element_at(F.create_map(*pairs), F.col(source_col))
+
+
 def attach_features(pairs: DataFrame, features: DataFrame, key: str = "audio_id",
                     roles: tuple[str, ...] = ("curr", "res")) -> DataFrame:
     """Join per-file features to the wide pair rows once per role, columns

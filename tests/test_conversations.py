@@ -114,3 +114,24 @@ def test_dedup_longest_first_wins(spark):
     assert got == [("p", 1), ("q", 3)]
     rep = cv.duplicate_report(df, "path").first()
     assert (rep.dup_rows, rep.dup_keys) == (3, 1)
+
+
+def test_initialize_first_corpus(spark):
+    schema = "source string, relative_audio_path string, text_description array<string>, ord long"
+    a = spark.createDataFrame([("expresso", _p("happy", 1.0, 1.5), ["x"], 0),
+                               ("expresso", _p("happy", 1.0, 1.5), ["y", "z", "w"], 1),
+                               ("voxceleb", _p("happy", 2.0, 2.5), ["q"], 2)], schema)
+    b = spark.createDataFrame([("expresso", "audio/other/file.wav", ["k"], 3),
+                               ("expresso", _p("sad", 1.0, 1.5), [], 4),
+                               ("expresso", _p("sad", 2.0, 2.5), ["a", "b"], 5),
+                               ("expresso", _p("sad", 2.0, 2.5), ["c", "d"], 6)], schema)
+    got = {r.relative_audio_path: r.text_description for r in cv.initialize_first_corpus([a, b]).collect()}
+    assert got == {_p("happy", 1.0, 1.5): "y", _p("sad", 1.0, 1.5): None, _p("sad", 2.0, 2.5): "a"}
+
+
+def test_merge_corpora_column_order(spark):
+    first = spark.createDataFrame([("p", 1.0)], "relative_audio_path string, snr double")
+    second = spark.createDataFrame([("q", "text_only", "sad")], "relative_audio_path string, record_type string, emotion string")
+    m = cv.merge_corpora(first, second)
+    assert m.columns == ["relative_audio_path", "snr", "record_type", "emotion"]
+    assert {r.relative_audio_path: r.record_type for r in m.collect()} == {"p": "audio", "q": "text_only"}

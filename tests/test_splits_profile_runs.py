@@ -68,11 +68,14 @@ def test_balance_and_sample(spark):
     df = spark.createDataFrame([(i, "en" if i % 4 else "de") for i in range(40)], "doc_id long, lang string")
     out = sp.balance_majority(df, {"lang": "en"}, 5, "doc_id", 1)
     assert out.count() == 35 and out.where("lang = 'de'").count() == 10
-    rows = spark.createDataFrame([(c, t, "s") for c in range(6) for t in range(c + 1)],
-                                 "part_id long, turn_index long, source string")
-    s = sp.sample_conversations(rows, n=2, max_turns=3).collect()
+    rows = spark.createDataFrame([(c, t, "s", f"{c}/{t}", f"{c}/{t - 1}" if t else None)
+                                  for c in range(6) for t in range(c + 1)],
+                                 "part_id long, turn_index long, source string, relative_audio_path string,"
+                                 " prev_filename string")
+    assert sp.capped_rows(7, 3) == 6 and sp.capped_rows(-1, 3) == -1
+    s = sp.sample_conversations(rows, max_rows=7, max_turns=3, shares={"s": 1.0}).collect()
     parts = {r.part_id for r in s}
-    assert len(parts) == 2 and all(r.turn_index <= 2 for r in s)
+    assert len(parts) == 2 and len(s) == 6 and all(r.turn_index <= 2 for r in s)
 
 
 def test_exact_percentiles_match_numpy(spark):
