@@ -83,14 +83,25 @@ def side_by_side(df: DataFrame, curr: str, res: str, label: str = "label") -> Da
     return counts.fillna(0)
 
 
-def exact_percentiles(df: DataFrame, col: str, pcts: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def exact_percentiles(df: DataFrame, col: str, pcts: Sequence[float], by: Sequence[str] = (),
+                      few_distinct: bool = False) -> DataFrame:
     """Exact linear-interpolated percentiles (numpy default) per group.
 
     Positions come from a range-partitioned rank, then only the two neighbours
     of each requested rank are joined; no group's values are buffered in one
     task.  Output ``(by..., pct, value)`` with ``pct`` in percent.
+
+    ``few_distinct=True`` is for columns whose distinct values per group are
+    bounded (lengths, counts, labels): Spark's exact ``percentile`` keeps a
+    value -> count map that is combined map-side, so one pass suffices.
     """
     by = list(by)
+    if few_distinct:
+        ps = [float(p) / 100.0 for p in pcts]
+        agg = F.percentile(F.col(col).cast("double"), ps).alias("__v")
+        g = df.groupBy(*by).agg(agg) if by else df.agg(agg)
+        rows = F.arrays_zip(F.array(*[F.lit(float(p)) for p in pcts]).alias("pct"), F.col("__v").alias("value"))
+        return g.select(*by, F.explode(rows).alias("__r")).select(*by, "__r.pct", "__r.value")
     vals = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__v"))
     ranked = rank_within(vals.withColumn("__tb", F.monotonically_increasing_id()), by, ["__v", "__tb"], out="__pos")
     counts = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")) if by else \
@@ -183,9 +194,12 @@ def histogram_edges(df: DataFrame, col: str, edges: Sequence[float]) -> DataFram
 
 def percent_within(df: DataFrame, group: Sequence[str], count_col: str = "count", out: str = "pct") -> DataFrame:
     """``count / sum(count) over (partition by group) * 100`` on an
-    aggregated table (one row per bin)."""
-    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    return df.withColumn(out, F.col(count_col) * 100.0 / F.sum(count_col).over(w))
+    aggregated table (one row per bin).  Without groups the total is one
+    scalar aggregate (no single-partition window over all bins)."""
+    if not group:
+        total = df.agg(F.sum(count_col)).first()[0]
+        return df.withColumn(out, F.col(count_col) * 100.0 / F.lit(total))
+    return df.withColumn(out, F.col(count_col) * 100.0 / F.sum(count_col).over(Window.partitionBy(*group)))
 
 
 def cumulative_share(df: DataFrame, order: Sequence[str], value: str, out_prefix: str = "cum") -> DataFrame:

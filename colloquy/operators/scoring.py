@@ -85,6 +85,17 @@ def ws_tokens(col: Column | str, lower: bool = True) -> Column:
     return F.filter(F.split(c, WS_SPLIT), lambda t: t != "")
 
 
+def ws_token_count(col: Column | str) -> Column:
+    """Number of whitespace-separated tokens (Python ``len(s.split())``) without
+    building a filtered token list: ``split`` keeps one empty piece for a
+    leading and one for a trailing separator run, which are subtracted."""
+    c = F.col(col) if isinstance(col, str) else col
+    pieces = F.size(F.split(c, WS_SPLIT))
+    lead = F.substring(c, 1, 1).rlike("^" + WS_SPLIT).cast("int")
+    trail = F.substring(c, -1, 1).rlike("^" + WS_SPLIT).cast("int")
+    return F.when(F.length(c) == 0, F.lit(0)).otherwise(pieces - lead - trail)
+
+
 def dist_n(df: DataFrame, group_col: str, pred_col: str = "pred") -> DataFrame:
     """T5: Dist-1 / Dist-2 per group: distinct / total uni- and bigrams of the
     lowercased whitespace tokens; bigrams do not cross rows; 0 when none."""

@@ -577,9 +577,9 @@ tk AS (SELECT doc_id, lang, len(list_filter(regexp_split_to_array(text, '[\s\p{Z
 
 
 def _doc_tokens(spark, sf_dir):
-    from colloquy.operators.scoring import ws_tokens
+    from colloquy.operators.scoring import ws_token_count
     d = _docs(spark, sf_dir, ["doc_id", "lang", "text"])
-    return d.select("doc_id", "lang", F.size(ws_tokens("text", lower=False)).cast("bigint").alias("n_tokens"))
+    return d.select("doc_id", "lang", ws_token_count("text").cast("bigint").alias("n_tokens"))
 
 
 @register("length_percentiles", "WITH " + _TOK_SQL + """,
@@ -589,7 +589,7 @@ FROM q, (VALUES (1, 50), (2, 75), (3, 90), (4, 95), (5, 99), (6, 100)) t(i, p)
 """)
 def q_length_percentiles(spark, sf_dir):
     """A9 + A34: exact percentiles of whitespace token counts (whole texts)."""
-    p = pf.exact_percentiles(_doc_tokens(spark, sf_dir), "n_tokens", [50, 75, 90, 95, 99, 100])
+    p = pf.exact_percentiles(_doc_tokens(spark, sf_dir), "n_tokens", [50, 75, 90, 95, 99, 100], few_distinct=True)
     return p.select("pct", r6(F.col("value")).alias("value"))
 
 
@@ -1256,3 +1256,79 @@ def q_frame_snr(spark, sf_dir):
     """H17 with frame 16 / hop 8 on the 64-sample vectors."""
     emb = read_driver_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     return sg.frame_snr(emb, "vec_id", "embedding", frame=16, hop=8).select("vec_id", r6(F.col("snr")).alias("snr"))
+
+
+# ---------------------------------------------------------------------------
+# more run / profile / sampling / join queries
+
+
+@register("baseline_mean", """
+WITH li AS (SELECT * FROM lineitem WHERE l_linestatus = 'F')
+SELECT 'quantity' AS metric, round(avg(l_quantity), 6) AS baseline_mean FROM li
+UNION ALL SELECT 'discount', round(avg(l_discount), 6) FROM li
+UNION ALL SELECT 'tax', round(avg(l_tax), 6) FROM li
+""")
+def q_baseline_mean(spark, sf_dir):
+    """Metric means over the finished runs (line status F)."""
+    li = read_driver_table(spark, sf_dir, "lineitem", ["l_linestatus", "l_quantity", "l_discount", "l_tax"]) \
+        .where(F.col("l_linestatus") == "F")
+    long = li.select(F.stack(F.lit(3), F.lit("quantity"), F.col("l_quantity"), F.lit("discount"), F.col("l_discount"),
+                             F.lit("tax"), F.col("l_tax")).alias("metric", "value"))
+    return rn.baseline_mean(long).select("metric", r6(F.col("baseline_mean")).alias("baseline_mean"))
+
+
+@register("flagged_groups", _PAIR_F1_SQL + """,
+g2 AS (SELECT conv_id, role FROM cr GROUP BY conv_id, role HAVING count(*) >= 2),
+lc AS (SELECT conv_id, role, label, count(*) AS c FROM cr WHERE label IS NOT NULL GROUP BY conv_id, role, label),
+m AS (SELECT conv_id, role, max(c) AS top, sum(c) AS tot FROM lc GROUP BY conv_id, role),
+j AS (SELECT res.conv_id, res.role, m.top / m.tot AS consistency, m.top = m.tot AS unanimous, res.mean_f1
+      FROM res JOIN m ON res.conv_id = m.conv_id AND res.role = m.role)
+SELECT conv_id, role, round(consistency, 6) AS consistency, round(mean_f1, 6) AS mean_f1 FROM j
+WHERE unanimous = false OR mean_f1 < 0.5
+""")
+def q_flagged_groups(spark, sf_dir):
+    """(conversation, role) groups that are not unanimous or have mean F1 below 0.5."""
+    rows = _cons_rows(spark, sf_dir)
+    lc = pf.label_consistency(rows, ["conv_id", "role"], "label")
+    f1 = pf.pairwise_set_f1(rows, ["conv_id", "role"], "toks").drop("n_rows")
+    fl = pf.flagged_groups(lc.join(f1, ["conv_id", "role"]))
+    return fl.select("conv_id", "role", r6(F.col("consistency")).alias("consistency"),
+                     r6(F.col("mean_f1")).alias("mean_f1"))
+
+
+@register("seeded_sample", """
+SELECT doc_id, CAST(rn - 1 AS BIGINT) AS sample_rank FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents)
+WHERE rn <= 25
+""")
+def q_seeded_sample(spark, sf_dir):
+    """25 documents in the seeded order (the sample size is the feature)."""
+    return sp.seeded_sample(_docs(spark, sf_dir, ["doc_id"]), 25, "doc_id", 42).select("doc_id", "sample_rank")
+
+
+@register("turn_features", r"""
+WITH f AS (SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS audio_id, length(text) AS n_chars,
+                  len(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda t: t <> '')) AS n_tokens
+           FROM conversations),
+p AS (SELECT a.conv_id, a.turn, CAST(a.conv_id AS VARCHAR) || '/' || CAST(a.turn AS VARCHAR) AS curr_audio_id,
+             CAST(b.conv_id AS VARCHAR) || '/' || CAST(b.turn AS VARCHAR) AS res_audio_id
+      FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT p.conv_id, p.turn, c.n_chars AS curr_n_chars, c.n_tokens AS curr_n_tokens, r.n_chars AS res_n_chars,
+       r.n_tokens AS res_n_tokens
+FROM p LEFT JOIN f c ON c.audio_id = p.curr_audio_id LEFT JOIN f r ON r.audio_id = p.res_audio_id
+""")
+def q_turn_features(spark, sf_dir):
+    """Per-utterance features attached to (current, response) pairs once per role."""
+    from colloquy.operators.scoring import ws_token_count
+    from colloquy.sources.audio import attach_features
+    conv = read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    path = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    feats = conv.select(path.alias("audio_id"), F.length("text").alias("n_chars"),
+                        ws_token_count("text").alias("n_tokens"))
+    pairs = _turn_pairs(spark, sf_dir).select(
+        "conv_id", "turn", F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+        .alias("curr_audio_id"),
+        F.concat(F.col("conv_id").cast("string"), F.lit("/"), (F.col("turn") + 1).cast("string")).alias("res_audio_id"))
+    out = attach_features(pairs, feats)
+    return out.select("conv_id", "turn", F.col("curr_n_chars").cast("bigint"), F.col("curr_n_tokens").cast("bigint"),
+                      F.col("res_n_chars").cast("bigint"), F.col("res_n_tokens").cast("bigint"))

@@ -150,3 +150,11 @@ def test_set_f1_forms(spark):
     df = spark.createDataFrame([([], None), (["a"], []), (["a", "a", "b"], ["b", "c"])], "a array<string>, b array<string>")
     got = [r.f for r in df.select(set_f1_eda("a", "b").alias("f")).collect()]
     assert got[0] is None and got[1] == 0.0 and math.isclose(got[2], 2 * 1 / 4)
+
+
+def test_ws_token_count(spark):
+    texts = ["", " ", "a", " a ", "a  b\\n c", "\\t\\nx y\\n", "  many   spaced words  "]
+    texts = [t.replace("\\\\n", "\\n").replace("\\\\t", "\\t") for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.n for r in df.select(sc.ws_token_count("t").alias("n")).collect()]
+    assert got == [len(t.split()) for t in texts]

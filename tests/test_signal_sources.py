@@ -144,3 +144,21 @@ def test_driver_contract(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"rouge_l"}
+
+
+def test_failure_reasons_and_routing(spark):
+    roots = {"expresso": "/data/psc", "styletalk": "/data/st"}
+    df = spark.createDataFrame([("expresso", True, True, 2, 10, 48000), ("vox", True, True, 2, 10, 48000),
+                                ("styletalk", False, True, 2, 10, 48000), ("styletalk", True, True, 1, 10, 48000),
+                                ("expresso", True, True, 2, 10, 8000), ("expresso", True, False, 2, 0, 48000)],
+                               "source string, present boolean, readable boolean, ch int, n int, sr int")
+    root = audio.route_source_root("source", roots)
+    reason = sg.failure_reason(present=F.col("present"), readable=F.col("readable"), channels=F.col("ch"),
+                               n_samples=F.col("n"), sample_rate=F.col("sr"), target_rate=16000,
+                               known_source=root.isNotNull())
+    got = [(r.root, r.reason) for r in df.select(root.alias("root"), reason.alias("reason")).collect()]
+    assert got == [("/data/psc", None), (None, "unknown_source"), ("/data/st", "missing"), ("/data/st", "mono"),
+                   ("/data/psc", "rate_below_target"), ("/data/psc", "unreadable")]
+    w = spark.createDataFrame([([1.0, -3.0],)], "w array<double>")
+    assert w.select(sg.apply_transform("w", lambda c: F.transform(c, lambda x: x * 2)).alias("y")).first().y == [2.0, -6.0]
+    assert w.select(sg.apply_transform("w", None).alias("y")).first().y == [1.0, -3.0]

@@ -85,6 +85,8 @@ def test_exact_percentiles_match_numpy(spark):
     got = {r.pct: r.value for r in pf.exact_percentiles(df, "x", [50, 75, 90, 99, 100]).collect()}
     for p, v in zip([50, 75, 90, 99, 100], np.percentile(vals, [50, 75, 90, 99, 100])):
         assert math.isclose(got[p], v, abs_tol=1e-12)
+    few = {r.pct: r.value for r in pf.exact_percentiles(df, "x", [50, 99], few_distinct=True).collect()}
+    assert math.isclose(few[50], np.percentile(vals, 50)) and math.isclose(few[99], np.percentile(vals, 99))
     grp = pf.exact_percentiles(df, "x", [30], by=["g"]).collect()
     for r in grp:
         assert math.isclose(r.value, np.percentile(vals[r.g::3], 30), abs_tol=1e-12)
