@@ -39,8 +39,9 @@ def set_f1_metric(pred_n: Column, ref_n: Column, tp: Column) -> Column:
             .otherwise(2 * p * r / (p + r)))
 
 
-def tag_mentions(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, max_words: int) -> DataFrame:
-    """H8: distinct ``(id, category, tag)`` for every vocabulary tag that
+def tag_mentions(df: DataFrame, id_col: str | list[str], text_col: str, vocab: DataFrame,
+                 max_words: int) -> DataFrame:
+    """H8: distinct ``(id..., category, tag)`` for every vocabulary tag that
     occurs in the text as whole words, case-insensitively.
 
     Same matches as ``\\b(tag1|tag2|...)\\b`` with IGNORECASE, without a regex
@@ -51,14 +52,15 @@ def tag_mentions(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, ma
     broadcast the vocabulary after measuring it.  Differences: overlapping
     tags of one category are all reported (the regex reports the longest).
     """
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     pieces = F.regexp_extract_all(_c(text_col), F.lit(PIECE), 0)
-    base = df.select(F.col(id_col), pieces.alias("__pcs"))
-    exploded = base.select(id_col, "__pcs", F.posexplode("__pcs").alias("__p", "__w")) \
+    base = df.select(*ids, pieces.alias("__pcs"))
+    exploded = base.select(*ids, "__pcs", F.posexplode("__pcs").alias("__p", "__w")) \
         .where(F.col("__w").rlike("^" + WORD))
     grams = F.array(*[F.when(F.col("__p") + 2 * k - 1 <= F.size("__pcs"),
                              F.array_join(F.slice("__pcs", F.col("__p") + 1, 2 * k - 1), ""))
                       for k in range(1, int(max_words) + 1)])
-    cands = exploded.select(id_col, F.explode(grams).alias("__g")).where(F.col("__g").isNotNull()) \
-        .select(id_col, F.lower("__g").alias("tag"))
+    cands = exploded.select(*ids, F.explode(grams).alias("__g")).where(F.col("__g").isNotNull()) \
+        .select(*ids, F.lower("__g").alias("tag"))
     return cands.join(vocab.select("category", F.lower("tag").alias("tag")), "tag", "inner") \
-        .select(id_col, "category", "tag").distinct()
+        .select(*ids, "category", "tag").distinct()

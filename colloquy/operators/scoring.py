@@ -48,14 +48,17 @@ def tag_f1(pairs: DataFrame, vocab: DataFrame, *, id_col: str = "id", group_col:
     if max_words is None:
         max_words = int(vocab.select(F.max(F.size(F.split(F.trim("tag"), " ")))).first()[0] or 1)
     base = pairs.select(id_col, group_col, pred_col, ref_col)
-    pm = tag_mentions(base, id_col, pred_col, vocab, max_words).withColumn("__side", F.lit(1))
-    rm = tag_mentions(base, id_col, ref_col, vocab, max_words).withColumn("__side", F.lit(2))
-    m = pm.unionByName(rm)
+    # one pass over both sides: (id, side, text) rows
+    sides = base.select(id_col, F.explode(F.array(
+        F.struct(F.lit(1).alias("__side"), F.col(pred_col).alias("__text")),
+        F.struct(F.lit(2).alias("__side"), F.col(ref_col).alias("__text")))).alias("__x")) \
+        .select(id_col, "__x.__side", "__x.__text")
+    m = tag_mentions(sides, [id_col, "__side"], "__text", vocab, max_words)
+    # every mention counts for its category and for 'overall' (union of categories)
+    m = m.select(id_col, "__side", "tag", F.explode(F.array(F.col("category"), F.lit("overall"))).alias("category"))
     per_tag = m.groupBy(id_col, "category", "tag").agg(
         F.max((F.col("__side") == 1).cast("int")).alias("__p"), F.max((F.col("__side") == 2).cast("int")).alias("__r"))
-    overall_tag = per_tag.groupBy(id_col, "tag").agg(F.max("__p").alias("__p"), F.max("__r").alias("__r")) \
-        .withColumn("category", F.lit("overall"))
-    sets = per_tag.unionByName(overall_tag).groupBy(id_col, "category").agg(
+    sets = per_tag.groupBy(id_col, "category").agg(
         F.sum("__p").alias("__np"), F.sum("__r").alias("__nr"), F.sum(F.col("__p") * F.col("__r")).alias("__tp"))
     scored = sets.withColumn("__f1", set_f1_metric(F.col("__np"), F.col("__nr"), F.col("__tp"))) \
         .join(base.select(id_col, group_col), id_col, "inner")
@@ -98,13 +101,16 @@ def ws_token_count(col: Column | str) -> Column:
 
 def dist_n(df: DataFrame, group_col: str, pred_col: str = "pred") -> DataFrame:
     """T5: Dist-1 / Dist-2 per group: distinct / total uni- and bigrams of the
-    lowercased whitespace tokens; bigrams do not cross rows; 0 when none."""
+    lowercased whitespace tokens; bigrams do not cross rows; 0 when none.
+
+    Bigram positions are exploded as integers and joined in a generated
+    projection; distinct counting is Spark's two-phase distinct aggregate."""
     toks = df.select(group_col, ws_tokens(pred_col).alias("__t"))
     uni = toks.select(group_col, F.explode("__t").alias("__g"))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__t") - 1, F.lit(1))),
-                        lambda i: F.when(i < F.size("__t"), F.concat_ws("\u0001", F.element_at("__t", i),
-                                                                         F.element_at("__t", i + 1))))
-    bi = toks.select(group_col, F.explode(pairs).alias("__g")).where(F.col("__g").isNotNull())
+    bi = toks.where(F.size("__t") >= 2) \
+        .select(group_col, "__t", F.explode(F.sequence(F.lit(1), F.size("__t") - 1)).alias("__i")) \
+        .select(group_col, F.concat_ws("\u0001", F.element_at("__t", F.col("__i")),
+                                       F.element_at("__t", F.col("__i") + 1)).alias("__g"))
     u = uni.groupBy(group_col).agg(F.countDistinct("__g").alias("__du"), F.count("__g").alias("__nu"))
     b = bi.groupBy(group_col).agg(F.countDistinct("__g").alias("__db"), F.count("__g").alias("__nb"))
     groups = df.select(group_col).distinct()
