@@ -1332,3 +1332,32 @@ def q_turn_features(spark, sf_dir):
     out = attach_features(pairs, feats)
     return out.select("conv_id", "turn", F.col("curr_n_chars").cast("bigint"), F.col("curr_n_tokens").cast("bigint"),
                       F.col("res_n_chars").cast("bigint"), F.col("res_n_tokens").cast("bigint"))
+
+
+@register("label_crosstab", """
+SELECT d.lang, CAST(l.quality AS VARCHAR) AS quality, count(*) AS count
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+WHERE d.lang IS NOT NULL AND l.quality IS NOT NULL GROUP BY d.lang, l.quality
+""")
+def q_label_crosstab(spark, sf_dir):
+    """Quality label given the language (documents x labels)."""
+    docs = _docs(spark, sf_dir, ["doc_id", "lang"])
+    labels = read_driver_table(spark, sf_dir, "labels", ["doc_id", "quality"])
+    j = docs.join(labels, "doc_id").withColumn("quality", F.col("quality").cast("string"))
+    return pf.crosstab(j, "lang", "quality")
+
+
+@register("dense_dist", """
+WITH j AS (SELECT l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+s AS (SELECT CAST(quality AS VARCHAR) AS label, 'curr' AS side FROM j WHERE quality IS NOT NULL
+      UNION ALL SELECT CAST(toxic AS VARCHAR), 'res' FROM j WHERE toxic IS NOT NULL)
+SELECT label, count_if(side = 'curr') AS curr, count_if(side = 'res') AS res FROM s GROUP BY label
+""")
+def q_dense_dist(spark, sf_dir):
+    """A8 + J12: quality and toxicity label distributions on their label union (missing = 0)."""
+    docs = _docs(spark, sf_dir, ["doc_id"])
+    labels = read_driver_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    j = docs.join(labels, "doc_id").select(F.col("quality").cast("string").alias("quality"),
+                                           F.col("toxic").cast("string").alias("toxic"))
+    x = pf.side_by_side(j, "quality", "toxic")
+    return x.select("label", F.col("curr").cast("bigint").alias("curr"), F.col("res").cast("bigint").alias("res"))

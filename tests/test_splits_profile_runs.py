@@ -186,3 +186,37 @@ def test_run_tables(spark):
     b = rn.best_per_metric(spark.createDataFrame([("d", "m", 0.12345, None), ("d", "m", 0.1234504, 0.2)],
                                                  "ds string, metric string, mean double, std double"), "ds").collect()
     assert all(r.is_best for r in b) and b[0].cell == "0.123 ± 0.000"
+
+
+def test_fold_pairs_and_cross_source(spark):
+    folds = sp.k_folds(_ids(spark, 10), "conv_id", 3, 2)
+    fp = sp.fold_pairs(folds).collect()
+    assert len(fp) == 30
+    for f in range(3):
+        val = {r.conv_id for r in fp if r.fold_idx == f and r.role == "val"}
+        train = {r.conv_id for r in fp if r.fold_idx == f and r.role == "train"}
+        assert not (val & train) and len(val | train) == 10
+    df = spark.createDataFrame([("Expresso",), ("styletalk",)], "source string")
+    assert [r.split for r in sp.cross_source_holdout(df, "source", "expresso").collect()] == ["pool", "test"]
+
+
+def test_first_rows_sample_and_semi_anti(spark):
+    df = spark.createDataFrame([(i, 10 - i) for i in range(10)], "id long, v long")
+    assert [r.id for r in sp.first_rows(df, 3, ["v"]).collect()] == [9, 8, 7]
+    s1 = {r.id for r in sp.seeded_sample(df, 4, "id", 5).collect()}
+    s2 = {r.id for r in sp.seeded_sample(df, 4, "id", 5).collect()}
+    assert s1 == s2 and len(s1) == 4
+    keep = spark.createDataFrame([(1,), (2,)], "id long")
+    assert {r.id for r in sp.keep_allowed(df, keep, "id").collect()} == {1, 2}
+    assert sp.remove_ids(df, keep, "id").count() == 8
+
+
+def test_sinks_roundtrip(spark):
+    import tempfile
+    from colloquy.sources import tables
+    d = tempfile.mkdtemp(prefix="colloquy-sink-")
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, s string, part string")
+    tables.write_parquet(df, d + "/p", partition_by=["part"])
+    assert tables.read_parquet(spark, d + "/p", ["id"]).count() == 2
+    tables.write_json_records(df, d + "/j")
+    assert sorted(r.id for r in spark.read.json(d + "/j").collect()) == [1, 2]
