@@ -27,11 +27,6 @@ WORD_ORDER = 2
 BETA = 2
 
 
-def _stats(df: DataFrame, group_cols: Sequence[str], value: str, prefix: str) -> DataFrame:
-    return df.groupBy(*group_cols).agg(F.avg(value).alias(f"{prefix}_mean"),
-                                       F.stddev_pop(value).alias(f"{prefix}_std"))
-
-
 # ---------------------------------------------------------------------------
 # T1 tag F1
 
