@@ -61,7 +61,7 @@ fr AS (
     max(CASE WHEN audio_idx = -1 THEN 1 ELSE 0 END) OVER f AS any_bad,
     list(speakerid) OVER f AS speakers,
     list(transcription) OVER f AS texts,
-    sum(length(transcription)) OVER f AS chain_chars
+    CAST(sum(length(transcription)) OVER f AS BIGINT) AS chain_chars
   FROM lk WINDOW f AS (PARTITION BY part_id ORDER BY turn_index ROWS BETWEEN {n1} PRECEDING AND CURRENT ROW)),
 chains AS (
   SELECT part_id AS conv_id, turn_index AS anchor_turn, speakerid AS anchor_role, speakers, texts, chain_chars,
@@ -242,7 +242,7 @@ def q_dense_index(spark, sf_dir):
 
 
 @register("state_breakdown", "WITH " + _FAIL_SQL + """
-SELECT count_if(state >= 0) AS n_audio, count_if(state = -1) AS n_text_only, count_if(state = -2) AS n_failed,
+SELECT CAST(count_if(state >= 0) AS BIGINT) AS n_audio, CAST(count_if(state = -1) AS BIGINT) AS n_text_only, CAST(count_if(state = -2) AS BIGINT) AS n_failed,
        count(*) AS n_rows FROM st
 """)
 def q_state_breakdown(spark, sf_dir):
@@ -492,8 +492,8 @@ j AS (SELECT d.source, CASE WHEN l.quality = 1 AND l.toxic = 1 THEN 'both' WHEN
 
 
 @register("label_pivot", "WITH " + _LABEL_CAT_SQL + """
-SELECT source, count_if(cat = 'both') AS both, count_if(cat = 'quality_only') AS quality_only,
-       count_if(cat = 'toxic_only') AS toxic_only, count_if(cat = 'neither') AS neither
+SELECT source, CAST(count_if(cat = 'both') AS BIGINT) AS both, CAST(count_if(cat = 'quality_only') AS BIGINT) AS quality_only,
+       CAST(count_if(cat = 'toxic_only') AS BIGINT) AS toxic_only, CAST(count_if(cat = 'neither') AS BIGINT) AS neither
 FROM j GROUP BY source
 """)
 def q_label_pivot(spark, sf_dir):
@@ -524,7 +524,7 @@ def q_hours_pivot(spark, sf_dir):
 @register("length_lang_crosstab", """
 WITH b AS (SELECT CAST(floor(log10(greatest(n_chars, 1))) AS INT) AS len_bin, lang FROM documents),
 dom AS (SELECT CAST(range AS INT) AS len_bin FROM range(0, 6)),
-c AS (SELECT len_bin, count_if(lang = 'en') AS en, count_if(lang = 'de') AS de FROM b
+c AS (SELECT len_bin, CAST(count_if(lang = 'en') AS BIGINT) AS en, CAST(count_if(lang = 'de') AS BIGINT) AS de FROM b
       WHERE lang IN ('en', 'de') GROUP BY len_bin)
 SELECT dom.len_bin, coalesce(c.en, 0) AS en, coalesce(c.de, 0) AS de FROM dom LEFT JOIN c ON dom.len_bin = c.len_bin
 """)
@@ -562,7 +562,7 @@ def q_role_transitions(spark, sf_dir):
 
 @register("role_dist", "WITH " + _PAIRS_SQL + """,
 s AS (SELECT curr_role AS label, 'curr' AS side FROM pr UNION ALL SELECT res_role, 'res' FROM pr)
-SELECT label, count_if(side = 'curr') AS curr, count_if(side = 'res') AS res FROM s GROUP BY label
+SELECT label, CAST(count_if(side = 'curr') AS BIGINT) AS curr, CAST(count_if(side = 'res') AS BIGINT) AS res FROM s GROUP BY label
 """)
 def q_role_dist(spark, sf_dir):
     """Current and response role distributions on the label union."""
@@ -594,8 +594,8 @@ def q_length_percentiles(spark, sf_dir):
 
 
 @register("cutoff_share", "WITH " + _TOK_SQL + """
-SELECT CAST(c AS DOUBLE) AS cutoff, count_if(n_tokens > c) AS n_above,
-       round(count_if(n_tokens > c) * 100.0 / count(*), 6) AS pct_above
+SELECT CAST(c AS DOUBLE) AS cutoff, CAST(count_if(n_tokens > c) AS BIGINT) AS n_above,
+       round(CAST(count_if(n_tokens > c) AS BIGINT) * 100.0 / count(*), 6) AS pct_above
 FROM tk, (VALUES (100), (500), (1000), (5000)) v(c) GROUP BY c
 """)
 def q_cutoff_share(spark, sf_dir):
@@ -766,7 +766,7 @@ def q_pairwise_f1(spark, sf_dir):
 
 @register("consistency_summary", _PAIR_F1_SQL + """
 SELECT round(avg(mean_f1), 6) AS mean, round(median(mean_f1), 6) AS median, round(stddev_samp(mean_f1), 6) AS std,
-       count_if(mean_f1 = 1.0) AS n_perfect, count(mean_f1) AS n_valid FROM res
+       CAST(count_if(mean_f1 = 1.0) AS BIGINT) AS n_perfect, count(mean_f1) AS n_valid FROM res
 """)
 def q_consistency_summary(spark, sf_dir):
     """A26."""
@@ -871,7 +871,7 @@ wg AS (SELECT conv_id, turn, sd, 100 + k AS o, array_to_string(toks[i:i + k - 1]
        FROM wt2, range(1, 3) kk(k), LATERAL (SELECT unnest(generate_series(1, len(toks) - k + 1)) AS i)
        WHERE len(toks) >= k),
 allg AS (SELECT * FROM cg UNION ALL SELECT * FROM wg),
-cnt AS (SELECT conv_id, turn, o, g, count_if(sd = 1) AS cp, count_if(sd = 2) AS cr FROM allg GROUP BY ALL),
+cnt AS (SELECT conv_id, turn, o, g, CAST(count_if(sd = 1) AS BIGINT) AS cp, CAST(count_if(sd = 2) AS BIGINT) AS cr FROM allg GROUP BY ALL),
 po AS (SELECT conv_id, turn, o, sum(cp) AS np, sum(cr) AS nr, sum(least(cp, cr)) AS m FROM cnt GROUP BY ALL),
 av AS (SELECT conv_id, turn, avg(m / np) AS P, avg(m / nr) AS R FROM po WHERE np > 0 AND nr > 0 GROUP BY ALL),
 ch AS (SELECT pr.conv_id, pr.turn, pr.curr_role, CASE WHEN coalesce(P + R, 0) > 0 THEN 5 * P * R / (4 * P + R) ELSE 0.0 END AS chrf
@@ -1351,7 +1351,7 @@ def q_label_crosstab(spark, sf_dir):
 WITH j AS (SELECT l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 s AS (SELECT CAST(quality AS VARCHAR) AS label, 'curr' AS side FROM j WHERE quality IS NOT NULL
       UNION ALL SELECT CAST(toxic AS VARCHAR), 'res' FROM j WHERE toxic IS NOT NULL)
-SELECT label, count_if(side = 'curr') AS curr, count_if(side = 'res') AS res FROM s GROUP BY label
+SELECT label, CAST(count_if(side = 'curr') AS BIGINT) AS curr, CAST(count_if(side = 'res') AS BIGINT) AS res FROM s GROUP BY label
 """)
 def q_dense_dist(spark, sf_dir):
     """A8 + J12: quality and toxicity label distributions on their label union (missing = 0)."""
