@@ -272,7 +272,12 @@ def second_corpus_rows(pairs: DataFrame, seed: int = 0) -> DataFrame:
     (NULL when it is missing, even with context).  Context paths fall back to
     the dialogue id when the current audio id is NULL (Q12).
     """
-    base = pairs.withColumn("__ctx_n", F.lit(0))
+    # feature columns come from the audio step (J8) and may be absent
+    for role in ("curr", "res"):
+        for feat in ("duration", "utterance_pitch_mean", "snr"):
+            if f"{role}_{feat}" not in pairs.columns:
+                pairs = pairs.withColumn(f"{role}_{feat}", F.lit(None).cast("double"))
+    base = pairs
     ctx = parse_context(pairs.select("diag_id", "context", "curr_audio_id"), "context", "diag_id")
     ctx = ctx.join(pairs.select("diag_id", "curr_audio_id"), "diag_id", "left")
     ctx_rows = ctx.select(
@@ -286,7 +291,7 @@ def second_corpus_rows(pairs: DataFrame, seed: int = 0) -> DataFrame:
             (F.col("turn_index") - 1).cast("string"))).alias("prev_filename"),
         F.lit("text_only").alias("record_type"))
     n_ctx = ctx.groupBy("diag_id").agg(F.count(F.lit(1)).alias("__n"))
-    wide = base.drop("__ctx_n").join(n_ctx, "diag_id", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    wide = base.join(n_ctx, "diag_id", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
     last_ctx = F.when(F.col("__n") > 0, F.concat(F.coalesce(F.col("curr_audio_id"), F.col("diag_id").cast("string")),
                                                   F.lit("_turn_"), (F.col("__n") - 1).cast("string")))
     curr_label = extract(F.col("curr_text"), CURR_PREFIX_RE)
