@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,40 +185,50 @@ def chrf(df: DataFrame, id_col: str = "id", pred_col: str = "pred", ref_col: str
     Per order ``match = sum(min(count_pred, count_ref))``; precision and recall
     are averaged over the orders with n-grams on both sides; ``score =
     5PR / (4P + R)``.  Counting is an aggregation keyed by ``(id, order,
-    gram)``; n-gram positions are exploded as integers and the grams cut in a
-    code-generated projection.
+    gram)``; units (code points / words) are pos-exploded and the following
+    units taken with ``lead`` over a window that reuses the id partitioning.
     """
     # Co-locate every pair once by id (a shuffle of the pair rows only); the
     # n-grams exploded below stay in their task and all three aggregations
     # keyed by (id, ...) reuse that partitioning, so the exploded rows are
     # never shuffled.
     nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    prep = df.select(id_col,
-                     F.regexp_replace(F.col(pred_col), WS_SPLIT, "").alias("__s1"), chrf_word_tokens(pred_col).alias("__w1"),
-                     F.regexp_replace(F.col(ref_col), WS_SPLIT, "").alias("__s2"), chrf_word_tokens(ref_col).alias("__w2")) \
+    # characters as an array of code points: cutting n-grams by array index is
+    # O(1) per position, while ``substring`` on UTF-8 walks from the string start
+    def chars(c):
+        return F.regexp_extract_all(F.regexp_replace(F.col(c), WS_SPLIT, ""), F.lit("(?s)."), 0)
+    prep = df.select(id_col, chars(pred_col).alias("__s1"), chrf_word_tokens(pred_col).alias("__w1"),
+                     chars(ref_col).alias("__s2"), chrf_word_tokens(ref_col).alias("__w2")) \
         .repartition(nparts, id_col)
 
-    def per_order(orders, unit_len, cut):
-        combos = [F.struct(F.lit(side).alias("side"), F.lit(o).alias("o")) for side in (1, 2) for o in orders]
-        x = prep.select(id_col, "__s1", "__s2", "__w1", "__w2", F.explode(F.array(*combos)).alias("so")) \
-            .select(id_col, "so.side", "so.o",
-                    F.when(F.col("so.side") == 1, F.col("__s1")).otherwise(F.col("__s2")).alias("__s"),
-                    F.when(F.col("so.side") == 1, F.col("__w1")).otherwise(F.col("__w2")).alias("__w"))
-        k = F.col("o") % 100
-        pos = x.where(unit_len >= k).select(id_col, "side", "o", "__s", "__w",
-                                            F.explode(F.sequence(F.lit(1), unit_len - k + 1)).alias("i"))
-        grams = pos.select(id_col, "side", "o", cut(k).alias("g"))
+    sides = prep.select(id_col, F.explode(F.array(
+        F.struct(F.lit(1).alias("side"), F.col("__s1").alias("__s"), F.col("__w1").alias("__w")),
+        F.struct(F.lit(2).alias("side"), F.col("__s2").alias("__s"), F.col("__w2").alias("__w")))).alias("__x")) \
+        .select(id_col, "__x.side", "__x.__s", "__x.__w")
+
+    def count(arr_col, orders, sep):
+        # one row per unit (code point or word) via posexplode, the next units
+        # via ``lead`` over (id, side) ordered by position; the window reuses
+        # the id partitioning (no shuffle) and nothing large is copied per row
+        units = sides.select(id_col, "side", F.posexplode(arr_col).alias("__i", "__u"))
+        w = Window.partitionBy(id_col, "side").orderBy("__i")
+        kmax = max(o % 100 for o in orders)
+        units = units.select(id_col, "side", "__u", *[F.lead("__u", j).over(w).alias(f"__n{j}")
+                                                      for j in range(1, kmax)])
+        nxt = [F.col(f"__n{j}") for j in range(1, kmax)]
+        grams = units.select(id_col, "side", F.explode(F.array(*[
+            F.struct(F.lit(o).alias("o"), F.concat_ws(sep, F.col("__u"), *nxt[:(o % 100) - 1]).alias("g"),
+                     (nxt[(o % 100) - 2].isNotNull() if o % 100 > 1 else F.lit(True)).alias("ok"))
+            for o in orders])).alias("__y")).where(F.col("__y.ok")).select(id_col, "side", "__y.o", "__y.g")
         cnt = grams.groupBy(id_col, "o", "g").agg(F.sum((F.col("side") == 1).cast("int")).alias("cp"),
                                                   F.sum((F.col("side") == 2).cast("int")).alias("cr"))
         return cnt.groupBy(id_col, "o").agg(F.sum("cp").alias("np"), F.sum("cr").alias("nr"),
                                             F.sum(F.least("cp", "cr")).alias("m"))
     # character and word n-grams never share a key (different orders), so each
     # is counted on its own; both reuse the id partitioning of ``prep``
-    chars = per_order(list(range(1, CHAR_ORDER + 1)), F.length("__s"),
-                      lambda k: F.substring(F.col("__s"), F.col("i"), k))
-    words = per_order([100 + k for k in range(1, WORD_ORDER + 1)], F.size("__w"),
-                      lambda k: F.array_join(F.slice("__w", F.col("i"), k), " "))
-    per_order = chars.unionByName(words)
+    char_po = count("__s", list(range(1, CHAR_ORDER + 1)), "")
+    words = count("__w", [100 + k for k in range(1, WORD_ORDER + 1)], " ")
+    per_order = char_po.unionByName(words)
     eff = per_order.where((F.col("np") > 0) & (F.col("nr") > 0))
     avg = eff.groupBy(id_col).agg(F.avg(F.col("m") / F.col("np")).alias("P"), F.avg(F.col("m") / F.col("nr")).alias("R"))
     f = F.col("P") + F.col("R")
