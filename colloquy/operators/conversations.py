@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import build_style_desc, build_tags, strip_ws
-from colloquy.plans.blocks import running_agg
+from colloquy.plans.blocks import running_agg, running_aggs
 from colloquy.plans.rank import lag_within, rank_within
 
 # Path patterns of the first corpus (Python ``re`` forms, made
@@ -130,6 +130,49 @@ def split_parts(rows: DataFrame, *, conv_col: str = "conv_id", start_col: str =
     return out.withColumnRenamed("__prev_" + path_col, "prev_filename")
 
 
+def split_at_gaps(rows: DataFrame, missing: DataFrame, *, conv_col: str = "conv_id",
+                  start_col: str = "start_time", path_col: str = "relative_audio_path",
+                  missing_conv: str = "conv_id", missing_start: str = "start_time") -> DataFrame:
+    """J2 + W3 + W4 in one ranking: split points, ``conv_id_split``, and the
+    turn index / previous path inside each part.
+
+    Rows and missing files are stacked and ranked once per conversation
+    (``rank_within``, hot conversations spread over many tasks).  A row is a
+    split point when the item before it is a missing file (equi-join on the
+    previous position).  One two-level running pass gives the part number
+    (running count of split points) and the number of annotated rows before
+    each row; the part's first row comes from a ``min`` aggregate, the previous
+    path from an equi-join on the previous annotated position.  Same results as
+    ``mark_split_points`` + ``split_parts``.
+    """
+    r = rows.withColumn("__kind", F.lit(1)).withColumn("__pk", F.col(path_col))
+    m = missing.where(F.col(missing_conv).isNotNull()).select(
+        F.col(missing_conv).alias(conv_col), F.col(missing_start).alias(start_col),
+        F.lit(0).alias("__kind"), F.lit("").alias("__pk"))
+    u = r.unionByName(m, allowMissingColumns=True)
+    ranked = rank_within(u, [conv_col], [start_col, "__kind", "__pk"], out="__upos")
+    prev = ranked.select(F.col(conv_col).alias("__pc"), (F.col("__upos") + 1).alias("__nextpos"),
+                         F.col("__kind").alias("__prevkind"))
+    j = ranked.join(prev, (F.col(conv_col) == F.col("__pc")) & (F.col("__upos") == F.col("__nextpos")), "left") \
+        .drop("__pc", "__nextpos")
+    flag = (F.col("__kind") == 1) & F.coalesce(F.col("__prevkind") == 0, F.lit(False))
+    j = j.withColumn("_is_split_point", flag)
+    run = running_aggs(j, [conv_col], F.floor(F.col("__upos") / BLOCK), ["__upos"], [
+        (F.col("_is_split_point").cast("int"), "__k", "sum", False),
+        ((F.col("__kind") == 1).cast("int"), "__apos", "sum", True)])
+    ann = run.where(F.col("__kind") == 1).withColumn("__apos", F.coalesce("__apos", F.lit(0)))
+    starts = ann.groupBy(conv_col, "__k").agg(F.min("__apos").alias("__a0"))
+    ann = ann.join(starts, [conv_col, "__k"], "inner")
+    prevs = ann.select(F.col(conv_col).alias("__pc"), (F.col("__apos") + 1).alias("__an"),
+                       F.col(path_col).alias("__prev"), F.col("__k").alias("__pk2"))
+    out = ann.join(prevs, (F.col(conv_col) == F.col("__pc")) & (F.col("__apos") == F.col("__an")), "left")
+    return (out.withColumn("conv_id_split", F.concat(F.col(conv_col), F.lit("_part"), F.col("__k").cast("string")))
+            .withColumn("turn_index", (F.col("__apos") - F.col("__a0")).cast("bigint"))
+            .withColumn("prev_filename", F.when(F.col("__pk2") == F.col("__k"), F.col("__prev")))
+            .drop("__kind", "__pk", "__upos", "__prevkind", "__k", "__apos", "__a0", "__pc", "__an", "__prev",
+                  "__pk2"))
+
+
 def add_conversation_index(ann: DataFrame, files: DataFrame, *, file_path: str = "path",
                            path_col: str = "relative_audio_path") -> DataFrame:
     """J1 + J2 + W1-W4 for the first corpus (``add_conversation_index``).
@@ -146,8 +189,7 @@ def add_conversation_index(ann: DataFrame, files: DataFrame, *, file_path: str =
         extract(F.col(file_path), FILE_CONV_RE, 1).alias("__ok"),
         parse_seconds(F.col(file_path), START_RE).alias("start_time"),
     ).where(F.col("__ok").isNotNull()).drop("__ok")
-    flagged = mark_split_points(parsed.where(F.col("conv_id").isNotNull()), mparts)
-    split = split_parts(flagged)
+    split = split_at_gaps(parsed.where(F.col("conv_id").isNotNull()), mparts)
     rejects = parsed.where(F.col("conv_id").isNull()) \
         .withColumn("_is_split_point", F.lit(False)) \
         .withColumn("conv_id_split", F.lit(None).cast("string")) \

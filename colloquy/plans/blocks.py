@@ -51,32 +51,49 @@ def drop_halo(df: DataFrame) -> DataFrame:
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def running_agg(df: DataFrame, keys: Sequence[str], block_of: Column,
-                order: Sequence[Column | str], value: Column | str, out: str,
-                how: str = "sum", exclusive: bool = False) -> DataFrame:
-    """``how(value)`` over rows before (and, unless ``exclusive``, including) each row.
+def running_aggs(df: DataFrame, keys: Sequence[str], block_of: Column, order: Sequence[Column | str],
+                 specs: Sequence[tuple[Column | str, str, str, bool]]) -> DataFrame:
+    """Several running aggregates in one pass.  ``specs`` holds
+    ``(value, out, how, exclusive)`` with ``how`` in sum / max / min: ``how(value)``
+    over rows before (and, unless ``exclusive``, including) each row.
 
     ``block_of`` maps a row to an integer block that is monotone in ``order``
     (e.g. ``floor(pos / 4096)``).  Level 1: totals per ``(keys, block)``.
-    Level 2: prefix of those totals over earlier blocks.  Level 3: prefix inside
-    the block, plus the carried value.  No group is windowed as a whole.
+    Level 2: prefix of those totals over earlier blocks (``#rows / block`` rows
+    per group).  Level 3: prefix inside the block, plus the carried value.  No
+    group is windowed as a whole.
     """
-    agg = _AGG[how]
-    val = F.col(value) if isinstance(value, str) else value
-    data = df.withColumn(BLOCK, block_of).withColumn("__v", val)
-    totals = data.groupBy(*keys, BLOCK).agg(agg("__v").alias("__bt"))
+    data = df.withColumn(BLOCK, block_of)
+    for i, (value, _, _, _) in enumerate(specs):
+        data = data.withColumn(f"__v{i}", F.col(value) if isinstance(value, str) else value)
+    totals = data.groupBy(*keys, BLOCK).agg(*[_AGG[how](f"__v{i}").alias(f"__bt{i}")
+                                             for i, (_, _, how, _) in enumerate(specs)])
     wb = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.withColumn("__carry", agg("__bt").over(wb)).drop("__bt")
-    end = -1 if exclusive else 0
-    wi = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    inner = data.withColumn("__in", agg("__v").over(wi))
-    joined = inner.join(carry, [*keys, BLOCK], "left")
-    if how == "sum":
-        combined = F.coalesce(F.col("__carry"), F.lit(0)) + F.coalesce(F.col("__in"), F.lit(0))
-        if exclusive:
-            combined = F.when(F.col("__carry").isNull() & F.col("__in").isNull(), None).otherwise(combined)
-    elif how == "max":
-        combined = F.greatest("__carry", "__in")
-    else:
-        combined = F.least("__carry", "__in")
-    return joined.withColumn(out, combined).drop(BLOCK, "__v", "__carry", "__in")
+    carry = totals.select(*keys, BLOCK, *[_AGG[how](f"__bt{i}").over(wb).alias(f"__carry{i}")
+                                          for i, (_, _, how, _) in enumerate(specs)])
+    inner_cols = []
+    for i, (_, _, how, exclusive) in enumerate(specs):
+        wi = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding,
+                                                                         -1 if exclusive else 0)
+        inner_cols.append(_AGG[how](f"__v{i}").over(wi).alias(f"__in{i}"))
+    joined = data.select("*", *inner_cols).join(carry, [*keys, BLOCK], "left")
+    for i, (_, out, how, exclusive) in enumerate(specs):
+        c, n = F.col(f"__carry{i}"), F.col(f"__in{i}")
+        if how == "sum":
+            combined = F.coalesce(c, F.lit(0)) + F.coalesce(n, F.lit(0))
+            if exclusive:
+                combined = F.when(c.isNull() & n.isNull(), None).otherwise(combined)
+        elif how == "max":
+            combined = F.greatest(c, n)
+        else:
+            combined = F.least(c, n)
+        joined = joined.withColumn(out, combined)
+    drop = [BLOCK] + [f"__{x}{i}" for i in range(len(specs)) for x in ("v", "carry", "in")]
+    return joined.drop(*drop)
+
+
+def running_agg(df: DataFrame, keys: Sequence[str], block_of: Column,
+                order: Sequence[Column | str], value: Column | str, out: str,
+                how: str = "sum", exclusive: bool = False) -> DataFrame:
+    """One running aggregate (see ``running_aggs``)."""
+    return running_aggs(df, keys, block_of, order, [(value, out, how, exclusive)])

@@ -196,8 +196,7 @@ def q_conv_gap_split(spark, sf_dir):
         F.col("conv_id").alias("high_lvl_style"))
     missing = cv.find_missing(files.drop("__gone"), ann, file_path="path", file_style=F.col("conv_id"))
     mparts = missing.select("conv_id", F.col("turn").cast("double").alias("start_time"))
-    flagged = cv.mark_split_points(ann, mparts)
-    split = cv.split_parts(flagged)
+    split = cv.split_at_gaps(ann, mparts)
     return split.select("conv_id", F.col("start_time").cast("bigint").alias("turn"),
                         F.col("_is_split_point").alias("is_split"), "conv_id_split",
                         F.col("turn_index").cast("bigint"), "prev_filename")

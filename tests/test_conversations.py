@@ -135,3 +135,18 @@ def test_merge_corpora_column_order(spark):
     m = cv.merge_corpora(first, second)
     assert m.columns == ["relative_audio_path", "snr", "record_type", "emotion"]
     assert {r.relative_audio_path: r.record_type for r in m.collect()} == {"p": "audio", "q": "text_only"}
+
+
+def test_split_at_gaps_matches_two_step(spark):
+    import random
+    rnd = random.Random(9)
+    rows, miss = [], []
+    for c in range(12):
+        for t in range(rnd.randint(1, 15)):
+            (miss if rnd.random() < 0.25 else rows).append((f"c{c}", float(t), f"c{c}/{t}"))
+    r = spark.createDataFrame(rows, "conv_id string, start_time double, relative_audio_path string")
+    m = spark.createDataFrame([(c, s) for c, s, _ in miss], "conv_id string, start_time double")
+    cols = ["relative_audio_path", "_is_split_point", "conv_id_split", "turn_index", "prev_filename"]
+    one = sorted(tuple(x[c] for c in cols) for x in cv.split_at_gaps(r, m).collect())
+    two = sorted(tuple(x[c] for c in cols) for x in cv.split_parts(cv.mark_split_points(r, m)).collect())
+    assert one == two
