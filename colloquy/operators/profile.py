@@ -34,10 +34,12 @@ def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
     return d.groupBy(col).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
 
 
-def tag_category(intrinsic: Column | str, situational: Column | str) -> Column:
+def tag_category(intrinsic: Column | str, situational: Column | str,
+                 names: Sequence[str] = ("both", "intrinsic_only", "situational_only", "neither")) -> Column:
     """Both / intrinsic_only / situational_only / neither from two "populated" flags."""
     i, s = _c(intrinsic), _c(situational)
-    return (F.when(i & s, "both").when(i, "intrinsic_only").when(s, "situational_only").otherwise("neither"))
+    both, first, second, neither = names
+    return F.when(i & s, both).when(i, first).when(s, second).otherwise(neither)
 
 
 def pivot_counts(df: DataFrame, row: str, col: str, values: Sequence | None = None) -> DataFrame:

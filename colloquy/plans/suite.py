@@ -499,9 +499,9 @@ def q_label_pivot(spark, sf_dir):
     """A4 + P12: documents x labels, category counts pivoted by source."""
     docs = _docs(spark, sf_dir, ["doc_id", "source"])
     labels = read_driver_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    cats = ("both", "quality_only", "toxic_only", "neither")
     j = docs.join(labels, "doc_id").withColumn(
-        "cat", pf.tag_category(F.col("quality") == 1, F.col("toxic") == 1))
-    j = j.withColumn("cat", F.regexp_replace(F.regexp_replace("cat", "intrinsic", "quality"), "situational", "toxic"))
+        "cat", pf.tag_category(F.col("quality") == 1, F.col("toxic") == 1, cats))
     p = pf.pivot_counts(j, "source", "cat", ["both", "quality_only", "toxic_only", "neither"])
     return p.select("source", *[F.col(c).cast("bigint").alias(c) for c in ["both", "quality_only", "toxic_only", "neither"]])
 
