@@ -1361,3 +1361,28 @@ def q_dense_dist(spark, sf_dir):
                                            F.col("toxic").cast("string").alias("toxic"))
     x = pf.side_by_side(j, "quality", "toxic")
     return x.select("label", F.col("curr").cast("bigint").alias("curr"), F.col("res").cast("bigint").alias("res"))
+
+
+@register("chains_second_corpus", "WITH " + _UTT_SQL + """,
+lk AS (
+  SELECT *, coalesce(prev_filename = lag(relative_audio_path) OVER (PARTITION BY part_id ORDER BY turn_index), false)
+         AS linked FROM utt2 WHERE audio_idx >= -1),
+fr AS (
+  SELECT *, count(*) OVER f AS n_in,
+    min(CAST(linked AS INT)) OVER (PARTITION BY part_id ORDER BY turn_index ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)
+      AS links_ok,
+    first_value(prev_filename IS NULL OR linked) OVER f AS head_ok,
+    max(CASE WHEN audio_idx = -1 AND turn_index >= 3 THEN 1 ELSE 0 END) OVER f AS any_bad,
+    list(speakerid) OVER f AS speakers
+  FROM lk WINDOW f AS (PARTITION BY part_id ORDER BY turn_index ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT part_id AS conv_id, turn_index AS anchor_turn, array_to_string(speakers, '>') AS roles FROM fr
+WHERE audio_idx >= 0 AND turn_index = 4 AND n_in = 5 AND links_ok = 1 AND head_ok AND any_bad = 0
+""")
+def q_chains_second_corpus(spark, sf_dir):
+    """W8 with the second-corpus rules (Q3): every conversation read as that
+    corpus, anchors only at turn 4 with audio, text-only (system) turns allowed
+    only before turn 3."""
+    utt = _utterances(spark, sf_dir).withColumn("source", F.lit(ch.STYLETALK))
+    c = ch.build_chains(utt, 5)
+    return c.select(F.col("part_id").alias("conv_id"), "anchor_turn",
+                    F.array_join(F.transform("chain", lambda u: u["speakerid"]), ">").alias("roles"))
