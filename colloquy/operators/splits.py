@@ -233,9 +233,11 @@ def remove_ids(df: DataFrame, ids: DataFrame, id_col: str = "conv_id") -> DataFr
 def leak_check(a: DataFrame, b: DataFrame, id_col: str = "conv_id", examples: int = 5) -> DataFrame:
     """Ids on both sides; one row ``(n_overlap, examples)``."""
     both = a.select(id_col).distinct().intersect(b.select(id_col).distinct())
-    return both.agg(F.count(F.lit(1)).cast("bigint").alias("n_overlap"),
-                    F.slice(F.array_sort(F.collect_list(F.col(id_col).cast("string"))), 1, examples)
-                    .alias("examples"))
+    n = both.agg(F.count(F.lit(1)).cast("bigint").alias("n_overlap")).withColumn("__k", F.lit(1))
+    # the examples come from at most ``examples`` rows (never the whole overlap)
+    ex = both.orderBy(id_col).limit(examples).agg(
+        F.array_sort(F.collect_list(F.col(id_col).cast("string"))).alias("examples")).withColumn("__k", F.lit(1))
+    return n.join(ex, "__k").drop("__k")
 
 
 def assert_no_leak(a: DataFrame, b: DataFrame, id_col: str = "conv_id") -> None:

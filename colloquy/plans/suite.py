@@ -789,7 +789,9 @@ def q_page_dedup(spark, sf_dir):
     """Drop exact repeats of a key list (url)."""
     pages = read_driver_table(spark, sf_dir, "pages", ["page_id", "url"])
     uniq = pages.dropDuplicates(["url"])
-    return pages.agg(F.count(F.lit(1)).alias("n_pages")).join(uniq.agg(F.count(F.lit(1)).alias("n_unique")))
+    a = pages.agg(F.count(F.lit(1)).alias("n_pages")).withColumn("__k", F.lit(1))
+    b = uniq.agg(F.count(F.lit(1)).alias("n_unique")).withColumn("__k", F.lit(1))
+    return a.join(b, "__k").drop("__k")
 
 
 # ---------------------------------------------------------------------------

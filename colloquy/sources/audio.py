@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,12 +113,18 @@ def decode_audio(spark: SparkSession, root: str, max_bytes: int | None = None) -
 
 
 def sample_rate_report(manifest: DataFrame) -> DataFrame:
-    """A10: sample-rate histogram plus min / max rate and unreadable files."""
-    ok = manifest.where(F.col("error").isNull())
-    hist = ok.groupBy("sample_rate").agg(F.count(F.lit(1)).cast("bigint").alias("n_files"))
-    stats = manifest.agg(F.min("sample_rate").alias("min_rate"), F.max("sample_rate").alias("max_rate"),
-                         F.count_if(F.col("error").isNotNull()).cast("bigint").alias("n_unreadable"))
-    return hist.join(stats)
+    """A10: sample-rate histogram plus min / max rate and unreadable files.
+
+    One aggregation by rate (unreadable files form the NULL-rate group); the
+    totals are windows over that table, which has one row per distinct rate."""
+    g = manifest.groupBy("sample_rate").agg(
+        F.count_if(F.col("error").isNull()).cast("bigint").alias("n_files"),
+        F.count_if(F.col("error").isNotNull()).cast("bigint").alias("__bad"))
+    w = Window.partitionBy(F.lit(0))
+    out = g.select("sample_rate", "n_files", F.min("sample_rate").over(w).alias("min_rate"),
+                   F.max("sample_rate").over(w).alias("max_rate"),
+                   F.sum("__bad").over(w).cast("bigint").alias("n_unreadable"))
+    return out.where(F.col("sample_rate").isNotNull() & (F.col("n_files") > 0))
 
 
 def write_waveform_store(rows: DataFrame, path: str, partition_by: str = "source") -> DataFrame:
