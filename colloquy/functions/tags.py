@@ -64,3 +64,35 @@ def tag_mentions(df: DataFrame, id_col: str | list[str], text_col: str, vocab: D
         .select(*ids, F.lower("__g").alias("tag"))
     return cands.join(vocab.select("category", F.lower("tag").alias("tag")), "tag", "inner") \
         .select(*ids, "category", "tag").distinct()
+
+
+# The scoring vocabulary per source and category (tag-F1, T1).
+SCORING_VOCABULARY = {
+    "expresso": {
+        "accent": ["american"],
+        "gender": ["female", "male"],
+        "intrinsic_tags": ["authoritative", "booming", "crisp", "enunciated", "flowing", "loud", "nasal", "shrill",
+                           "silky", "singsong"],
+        "situational_tags": ["angry", "animated", "awed", "bored", "calm", "confused", "desirous", "disgusted",
+                             "enunciated", "happy", "laughing", "loud", "passive", "saddened", "sarcastic", "scared",
+                             "sleepy", "sympathetic", "whispered"],
+        "noise": ["clean environment", "noisy environment", "environment balanced"],
+        "pitch": ["high-pitched"],
+        "speaking_rate": ["fast speed", "measured speed", "slow speed"],
+    },
+    "styletalk": {
+        "emotion": ["cheerful tone", "excited tone", "friendly tone", "hopeful tone", "neutral tone", "sad tone",
+                    "unfriendly tone"],
+        "speaking_rate": ["fast speed", "normal speed", "slow speed"],
+        "volume": ["loud volume", "normal volume", "quiet volume"],
+    },
+}
+
+
+def vocabulary_frame(spark, source: str | None = None, vocab: dict | None = None) -> DataFrame:
+    """The scoring vocabulary as a ``(source, category, tag)`` table (one source
+    when ``source`` is given); a parameter table of a few dozen rows."""
+    v = vocab if vocab is not None else SCORING_VOCABULARY
+    rows = [(s, c, t) for s, cats in v.items() if source is None or s == source
+            for c, tags in cats.items() for t in tags]
+    return spark.createDataFrame(rows, "source string, category string, tag string")

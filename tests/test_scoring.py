@@ -158,3 +158,15 @@ def test_ws_token_count(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.n for r in df.select(sc.ws_token_count("t").alias("n")).collect()]
     assert got == [len(t.split()) for t in texts]
+
+
+def test_tag_f1_with_fixed_vocabulary(spark):
+    from colloquy.functions.tags import vocabulary_frame
+    voc = vocabulary_frame(spark, "styletalk")
+    pairs = spark.createDataFrame([
+        (1, "styletalk", "An Unfriendly tone at a fast speed.", "A friendly tone, fast speed"),
+        (2, "styletalk", "Quiet volume, sad tone", "quiet volume and a sad tone")],
+        "id long, source string, pred string, ref string")
+    got = {r.category: r.tag_f1_mean for r in sc.tag_f1(pairs, voc).collect()}
+    assert got["emotion"] == 0.5 and got["speaking_rate"] == 1.0 and got["volume"] == 1.0
+    assert math.isclose(got["overall"], (0.5 + 1.0) / 2)
