@@ -361,6 +361,15 @@ def consistency_summary(groups: DataFrame, f1_col: str = "mean_f1") -> DataFrame
                       F.count(f1_col).cast("bigint").alias("n_valid"))
 
 
+def per_speaker_summary(groups: DataFrame, speaker_col: str, conv_col: str,
+                        consistency_col: str = "consistency", f1_col: str = "mean_f1") -> DataFrame:
+    """Per speaker, the number of conversations and the mean label
+    consistency and mean pairwise F1 of its groups."""
+    return groups.groupBy(speaker_col).agg(F.count(conv_col).cast("bigint").alias("n_convs"),
+                                           F.avg(consistency_col).alias("mean_consistency"),
+                                           F.avg(f1_col).alias("mean_f1"))
+
+
 def flagged_groups(groups: DataFrame, f1_col: str = "mean_f1", unanimous_col: str = "unanimous",
                    threshold: float = 0.5) -> DataFrame:
     """Groups that are not unanimous or whose F1 is below ``threshold``, by F1."""

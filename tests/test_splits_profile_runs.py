@@ -220,3 +220,13 @@ def test_sinks_roundtrip(spark):
     assert tables.read_parquet(spark, d + "/p", ["id"]).count() == 2
     tables.write_json_records(df, d + "/j")
     assert sorted(r.id for r in spark.read.json(d + "/j").collect()) == [1, 2]
+
+
+def test_consistency_summaries(spark):
+    g = spark.createDataFrame([("s1", 1, 1.0, True, 1.0), ("s1", 2, 0.5, False, 0.2), ("s2", 3, None, None, None)],
+                              "spk string, conv int, consistency double, unanimous boolean, mean_f1 double")
+    per = {r.spk: (r.n_convs, r.mean_consistency, r.mean_f1) for r in pf.per_speaker_summary(g, "spk", "conv").collect()}
+    assert per == {"s1": (2, 0.75, 0.6), "s2": (1, None, None)}
+    s = pf.consistency_summary(g).first()
+    assert (s.n_perfect, s.n_valid) == (1, 2) and math.isclose(s.mean, 0.6)
+    assert [r.conv for r in pf.flagged_groups(g).collect()] == [2]
