@@ -1388,3 +1388,17 @@ def q_chains_second_corpus(spark, sf_dir):
     c = ch.build_chains(utt, 5)
     return c.select(F.col("part_id").alias("conv_id"), "anchor_turn",
                     F.array_join(F.transform("chain", lambda u: u["speakerid"]), ">").alias("roles"))
+
+
+@register("value_percentiles", """
+WITH q AS (SELECT event_type, quantile_cont(value, [0.5, 0.9, 0.99]) AS v FROM events WHERE value IS NOT NULL
+           GROUP BY event_type)
+SELECT event_type, CAST(p AS DOUBLE) AS pct, round(v[i], 6) AS value
+FROM q, (VALUES (1, 50), (2, 90), (3, 99)) t(i, p)
+""")
+def q_value_percentiles(spark, sf_dir):
+    """A9 (general path): exact percentiles of a continuous column per group from
+    global positions, no group's values gathered in one task."""
+    ev = read_driver_table(spark, sf_dir, "events", ["event_type", "value"])
+    p = pf.exact_percentiles(ev, "value", [50, 90, 99], by=["event_type"])
+    return p.select("event_type", "pct", r6(F.col("value")).alias("value"))
