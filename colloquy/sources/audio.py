@@ -170,9 +170,10 @@ def parse_segment_lines(lines: DataFrame, value_col: str = "value") -> DataFrame
     ``(file, channel)`` appears twice the first line wins (line order from
     ``monotonically_increasing_id`` of the text scan, which follows file order).
     """
-    v = F.col(value_col)
+    from colloquy.functions.text import strip_ws
+    v = strip_ws(F.col(value_col))
     kept = lines.select(v.alias("v"), F.monotonically_increasing_id().alias("__line")) \
-        .where(~F.trim("v").startswith("#") & (F.trim("v") != "") & ~F.lower("v").contains("longform"))
+        .where(~F.col("v").startswith("#") & (F.col("v") != "") & ~F.col("v").contains("longform"))
     parts = kept.select("__line", F.split("v", "\t", 2).alias("p")).where(F.size("p") == 2)
     key = F.split(F.trim(F.col("p")[0]), "/", 2)
     rows = parts.select("__line", key[0].alias("file"), key[1].alias("channel"),
