@@ -171,9 +171,8 @@ def histogram_fixed(df: DataFrame, col: str, bins: int, by: Sequence[str] = ())
     spark = df.sparkSession
     dom = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     if by:
-        # groups x bins; the bin list is the parameter ``bins``, so broadcasting it is bounded
-        dom = df.select(*by).distinct().withColumn("__one", F.lit(1)).join(
-            F.broadcast(dom.withColumn("__one", F.lit(1))), "__one").drop("__one")
+        # groups x bins: the bin numbers (the parameter ``bins``) exploded into every group row
+        dom = df.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = densify(dom, counts, [*by, "bin"], {"count": 0})
     return out.withColumn("lo", F.lit(lo) + F.col("bin") * F.lit(width)) \
         .withColumn("hi", F.lit(lo) + (F.col("bin") + 1) * F.lit(width))

@@ -60,12 +60,11 @@ def tag_f1(pairs: DataFrame, vocab: DataFrame, *, id_col: str = "id", group_col:
     sums = scored.groupBy(group_col, "category").agg(
         F.count(F.lit(1)).alias("__k"), F.sum("__f1").alias("__s"), F.sum(F.col("__f1") ** 2).alias("__s2"))
     totals = base.groupBy(group_col).agg(F.count(F.lit(1)).alias("__n"))
-    cats = vocab.select("category").distinct().unionByName(
-        vocab.sparkSession.range(1).select(F.lit("overall").alias("category")))
-    # groups x categories: the output grid.  Categories are the vocabulary's
-    # (a parameter table of a few categories), so broadcasting them is bounded.
-    grid = totals.withColumn("__one", F.lit(1)).join(
-        F.broadcast(cats.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    # groups x categories is the output grid; the category names of the
+    # vocabulary (a parameter table of a few categories) are read once and
+    # exploded into every group row, no join
+    names = sorted(r[0] for r in vocab.select("category").distinct().collect()) + ["overall"]
+    grid = totals.select(group_col, "__n", F.explode(F.array(*[F.lit(c) for c in names])).alias("category"))
     full = grid.join(sums, [group_col, "category"], "left").fillna(0, ["__k", "__s", "__s2"])
     mean = (F.col("__s") + (F.col("__n") - F.col("__k"))) / F.col("__n")
     ex2 = (F.col("__s2") + (F.col("__n") - F.col("__k"))) / F.col("__n")

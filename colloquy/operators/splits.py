@@ -233,11 +233,14 @@ def remove_ids(df: DataFrame, ids: DataFrame, id_col: str = "conv_id") -> DataFr
 def leak_check(a: DataFrame, b: DataFrame, id_col: str = "conv_id", examples: int = 5) -> DataFrame:
     """Ids on both sides; one row ``(n_overlap, examples)``."""
     both = a.select(id_col).distinct().intersect(b.select(id_col).distinct())
-    n = both.agg(F.count(F.lit(1)).cast("bigint").alias("n_overlap")).withColumn("__k", F.lit(1))
-    # the examples come from at most ``examples`` rows (never the whole overlap)
-    ex = both.orderBy(id_col).limit(examples).agg(
-        F.array_sort(F.collect_list(F.col(id_col).cast("string"))).alias("examples")).withColumn("__k", F.lit(1))
-    return n.join(ex, "__k").drop("__k")
+    # examples: at most ``examples`` ids (top-k), stacked under the full overlap and
+    # reduced in one aggregation, so the collected list never holds the whole overlap
+    ex = top_k_per_group(both.withColumn("__g", F.lit(0)), ["__g"], [id_col], int(examples), out="__r") \
+        .select(id_col, F.lit(True).alias("__ex"))
+    rows = both.select(id_col, F.lit(False).alias("__ex")).unionByName(ex)
+    return rows.agg(F.count_if(~F.col("__ex")).cast("bigint").alias("n_overlap"),
+                    F.array_sort(F.collect_list(F.when(F.col("__ex"), F.col(id_col).cast("string"))))
+                    .alias("examples"))
 
 
 def assert_no_leak(a: DataFrame, b: DataFrame, id_col: str = "conv_id") -> None:

@@ -789,9 +789,9 @@ def q_page_dedup(spark, sf_dir):
     """Drop exact repeats of a key list (url)."""
     pages = read_driver_table(spark, sf_dir, "pages", ["page_id", "url"])
     uniq = pages.dropDuplicates(["url"])
-    a = pages.agg(F.count(F.lit(1)).alias("n_pages")).withColumn("__k", F.lit(1))
-    b = uniq.agg(F.count(F.lit(1)).alias("n_unique")).withColumn("__k", F.lit(1))
-    return a.join(b, "__k").drop("__k")
+    rows = pages.select(F.lit(False).alias("__u")).unionByName(uniq.select(F.lit(True).alias("__u")))
+    return rows.agg(F.count_if(~F.col("__u")).cast("bigint").alias("n_pages"),
+                    F.count_if(F.col("__u")).cast("bigint").alias("n_unique"))
 
 
 # ---------------------------------------------------------------------------
