@@ -136,19 +136,33 @@ def cutoff_shares(df: DataFrame, col: str, cutoffs: Sequence[float], by: Sequenc
         (F.col("r.n_above") * 100.0 / F.col("__n")).alias("pct_above"))
 
 
+def _scalar_percentiles(df: DataFrame, col: str, pcts: Sequence[float]) -> dict[float, float | None]:
+    """Exact percentiles of a whole column as driver scalars (a few numbers)."""
+    return {r["pct"]: r["value"] for r in exact_percentiles(df, col, pcts).collect()}
+
+
 def summary(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean / median / min / max / count (median exact)."""
-    aggs = [F.avg(col).alias("mean"), F.median(col).alias("median"), F.min(col).alias("min"),
-            F.max(col).alias("max"), F.count(col).cast("bigint").alias("count")]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    """Mean / median / min / max / count; the median is exact and comes
+    from global positions (no group's values gathered in one task)."""
+    aggs = [F.avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"),
+            F.count(col).cast("bigint").alias("count")]
+    if by:
+        base = df.groupBy(*by).agg(*aggs)
+        med = exact_percentiles(df, col, [50], by=by).select(*by, F.col("value").alias("median"))
+        out = base.join(med, list(by), "left")
+    else:
+        m = _scalar_percentiles(df, col, [50]).get(50.0)
+        out = df.agg(*aggs).withColumn("median", F.lit(m).cast("double"))
+    return out.select(*by, "mean", "median", "min", "max", "count")
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, std (sample), min, exact quartiles, max."""
+    q = _scalar_percentiles(df, col, [25, 50, 75])
     return df.agg(F.count(col).cast("bigint").alias("count"), F.avg(col).alias("mean"),
                   F.stddev_samp(col).alias("std"), F.min(col).alias("min"),
-                  F.percentile(col, 0.25).alias("p25"), F.percentile(col, 0.5).alias("p50"),
-                  F.percentile(col, 0.75).alias("p75"), F.max(col).alias("max"))
+                  F.lit(q.get(25.0)).cast("double").alias("p25"), F.lit(q.get(50.0)).cast("double").alias("p50"),
+                  F.lit(q.get(75.0)).cast("double").alias("p75"), F.max(col).alias("max"))
 
 
 def conversation_lengths(df: DataFrame, conv_col: str, turn_col: str, audio: Column | None = None) -> DataFrame:
@@ -353,8 +367,9 @@ def pairwise_set_f1_bruteforce(df: DataFrame, group: Sequence[str], ord_col: str
 
 def consistency_summary(groups: DataFrame, f1_col: str = "mean_f1") -> DataFrame:
     """Mean, median, sample std, perfect count and non-null count of the
-    per-group F1."""
-    return groups.agg(F.avg(f1_col).alias("mean"), F.median(f1_col).alias("median"),
+    per-group F1 (median exact, from global positions)."""
+    m = _scalar_percentiles(groups, f1_col, [50]).get(50.0)
+    return groups.agg(F.avg(f1_col).alias("mean"), F.lit(m).cast("double").alias("median"),
                       F.stddev_samp(f1_col).alias("std"),
                       F.count_if(F.col(f1_col) == 1.0).cast("bigint").alias("n_perfect"),
                       F.count(f1_col).cast("bigint").alias("n_valid"))
