@@ -41,16 +41,17 @@ def set_f1_metric(pred_n: Column, ref_n: Column, tp: Column) -> Column:
 
 def tag_mentions(df: DataFrame, id_col: str | list[str], text_col: str, vocab: DataFrame,
                  max_words: int) -> DataFrame:
-    """H8: distinct ``(id..., category, tag)`` for every vocabulary tag that
-    occurs in the text as whole words, case-insensitively.
-
-    Same matches as ``\\b(tag1|tag2|...)\\b`` with IGNORECASE, without a regex
-    built on the driver: the text is cut into alternating word / non-word
-    pieces, every run of ``k <= max_words`` words (with the exact separators
-    between them) is a candidate, and candidates are equi-joined to the
-    vocabulary (``category, tag`` with lowercase ``tag``).  The join lets AQE
-    broadcast the vocabulary after measuring it.  Differences: overlapping
-    tags of one category are all reported (the regex reports the longest).
+    """H8: distinct ``(id..., category, tag)`` found by ``\\b(tag1|tag2|...)\\b``
+    (IGNORECASE, alternatives longest first) scanned per category, without a
+    regex built on the driver.
+
+    The text is cut into alternating word / non-word pieces; every run of
+    ``k <= max_words`` words (with the exact separators between them) is a
+    candidate and candidates are equi-joined to the vocabulary (``category,
+    tag`` with lowercase ``tag``; AQE broadcasts it after measuring it).  The
+    regex scan is then replayed per ``(id, category)``: matches ordered by start,
+    the longest at each start wins and a match starting inside an accepted one
+    is skipped.  The replay folds the matches of one text only.
     """
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
     pieces = F.regexp_extract_all(_c(text_col), F.lit(PIECE), 0)
@@ -58,12 +59,20 @@ def tag_mentions(df: DataFrame, id_col: str | list[str], text_col: str, vocab: D
     exploded = base.select(*ids, "__pcs", F.posexplode("__pcs").alias("__p", "__w")) \
         .where(F.col("__w").rlike("^" + WORD))
     grams = F.array(*[F.when(F.col("__p") + 2 * k - 1 <= F.size("__pcs"),
-                             F.array_join(F.slice("__pcs", F.col("__p") + 1, 2 * k - 1), ""))
+                             F.struct(F.lit(k).alias("k"),
+                                      F.array_join(F.slice("__pcs", F.col("__p") + 1, 2 * k - 1), "").alias("g")))
                       for k in range(1, int(max_words) + 1)])
-    cands = exploded.select(*ids, F.explode(grams).alias("__g")).where(F.col("__g").isNotNull()) \
-        .select(*ids, F.lower("__g").alias("tag"))
-    return cands.join(vocab.select("category", F.lower("tag").alias("tag")), "tag", "inner") \
-        .select(*ids, "category", "tag").distinct()
+    cands = exploded.select(*ids, "__p", F.explode(grams).alias("__x")).where(F.col("__x").isNotNull()) \
+        .select(*ids, "__p", F.col("__x.k").alias("__k"), F.lower("__x.g").alias("tag"))
+    hits = cands.join(vocab.select("category", F.lower("tag").alias("tag")).distinct(), "tag", "inner")
+    per = hits.groupBy(*ids, "category").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("__p").alias("p"), (-F.length("tag")).alias("nl"),
+        (F.col("__p") + 2 * F.col("__k") - 2).alias("e"), F.col("tag").alias("t")))).alias("__m"))
+    init = F.struct(F.lit(-1).cast("int").alias("end"), F.array().cast("array<string>").alias("tags"))
+    scan = F.aggregate("__m", init, lambda acc, x: F.when(
+        x["p"] > acc["end"], F.struct(x["e"].cast("int").alias("end"),
+                                      F.array_union(acc["tags"], F.array(x["t"])).alias("tags"))).otherwise(acc))
+    return per.select(*ids, "category", F.explode(scan["tags"]).alias("tag"))
 
 
 # The scoring vocabulary per source and category (tag-F1, T1).

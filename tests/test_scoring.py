@@ -170,3 +170,15 @@ def test_tag_f1_with_fixed_vocabulary(spark):
     got = {r.category: r.tag_f1_mean for r in sc.tag_f1(pairs, voc).collect()}
     assert got["emotion"] == 0.5 and got["speaking_rate"] == 1.0 and got["volume"] == 1.0
     assert math.isclose(got["overall"], (0.5 + 1.0) / 2)
+
+
+def test_tag_mentions_longest_first(spark):
+    vocab = spark.createDataFrame([("emotion", "friendly tone"), ("emotion", "tone"), ("emotion", "sad"),
+                                   ("other", "tone")], "category string, tag string")
+    df = spark.createDataFrame([(1, "A friendly tone, a sad tone."), (2, "tone")], "id long, text string")
+    got = {(r.id, r.category, r.tag) for r in tag_mentions(df, "id", "text", vocab, 2).collect()}
+    assert got == {(1, "emotion", "friendly tone"), (1, "emotion", "sad"), (1, "emotion", "tone"),
+                   (1, "other", "tone"), (2, "emotion", "tone"), (2, "other", "tone")}
+    df2 = spark.createDataFrame([(3, "a friendly tone only")], "id long, text string")
+    got2 = {(r.category, r.tag) for r in tag_mentions(df2, "id", "text", vocab, 2).collect()}
+    assert got2 == {("emotion", "friendly tone"), ("other", "tone")}
