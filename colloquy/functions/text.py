@@ -135,6 +135,19 @@ def user_prompt(chain: Column | str, style_field: str = "text_description") -> C
     return F.concat(F.lit(USER_QUESTION), chain_to_text(chain, style_field), F.lit("\n"))
 
 
+PROMPT_SEPARATOR = "\n\n---\n\n"
+
+
+def full_prompt(system: Column | str, user: Column | str) -> Column:
+    """The full prompt, system and user parts joined by ``---``."""
+    return F.concat(_c(system), F.lit(PROMPT_SEPARATOR), _c(user))
+
+
+def ground_truth(chain: Column | str, style_field: str = "text_description") -> Column:
+    """The target of a chain: the last turn's style, stripped."""
+    return strip_ws(F.coalesce(F.element_at(_c(chain), -1)[style_field], F.lit("")))
+
+
 def joined_dialogue(chain: Column | str, field: str = "transcription") -> Column:
     """Transcriptions joined with `` | ``, blanks skipped."""
     c = _c(chain)

@@ -1402,3 +1402,32 @@ def q_value_percentiles(spark, sf_dir):
     ev = read_driver_table(spark, sf_dir, "events", ["event_type", "value"])
     p = pf.exact_percentiles(ev, "value", [50, 90, 99], by=["event_type"])
     return p.select("event_type", "pct", r6(F.col("value")).alias("value"))
+
+
+_SYSTEM_SQL = (_sql_lit(tx.TASK_DESCRIPTION) + """ || chr(10) || 'Here are ' || CAST(count(*) AS VARCHAR) ||
+       ' examples:' || chr(10) || chr(10) ||
+       string_agg('Example ' || CAST(shot + 1 AS VARCHAR) || ':' || chr(10) || """ + _EXAMPLE_SQL + """,
+                  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY shot)""")
+
+
+@register("full_prompts", _FEWSHOT_SQL + """,
+sy AS (SELECT qkey, """ + _SYSTEM_SQL + """ AS system_prompt FROM ex GROUP BY qkey),
+q AS (SELECT key AS qkey, texts FROM ck WHERE split = 'test')
+SELECT q.qkey, sy.system_prompt || chr(10) || chr(10) || '---' || chr(10) || chr(10) || """ + _USER_PROMPT_SQL + """
+         AS full_prompt,
+       """ + _STRIP_SQL.replace("{x}", "coalesce(texts[len(texts)], '')") + """ AS ground_truth
+FROM q JOIN sy ON q.qkey = sy.qkey
+""")
+def q_full_prompts(spark, sf_dir):
+    """H11 (full prompt) + the inference record shape (S13): system prompt with two
+    seeded few-shot examples, user prompt of the held-out chain, and its target."""
+    fs = _fewshot(spark, sf_dir)
+    sysp = fs.groupBy("qkey").agg(F.collect_list(F.struct(F.col("shot").alias("rank"),
+                                                          tx.few_shot_example("chain").alias("text"))).alias("ex")) \
+        .select("qkey", tx.system_prompt(F.col("ex")).alias("system_prompt"))
+    c = conversation_chains(spark, sf_dir, 3).withColumnRenamed("part_id", "conv_id")
+    q = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("anchor_turn").cast("string")).alias("qkey"),
+                 "chain")
+    j = q.join(sysp, "qkey", "inner")
+    return j.select("qkey", tx.full_prompt("system_prompt", tx.user_prompt("chain")).alias("full_prompt"),
+                    tx.ground_truth("chain").alias("ground_truth"))
