@@ -74,7 +74,9 @@ def assign_turns(df: DataFrame, conv_col: str = "conv_id", order: Sequence[str]
     form their own conversation (Q13: no giant NULL group)."""
     key = F.coalesce(F.col(conv_col).cast("string"), F.concat(F.lit("\u0000"), F.col(path_col)))
     tmp = df.withColumn("__ck", key)
-    out = lag_within(tmp, ["__ck"], [*order, path_col], [path_col], pos=turn_col, prefix="__prev_")
+    # paths are unique: only (key, order, path) is range-shuffled and numbered
+    out = lag_within(tmp, ["__ck"], [*order, path_col], [path_col], pos=turn_col, prefix="__prev_",
+                     row_key=path_col)
     return out.withColumnRenamed("__prev_" + path_col, prev_col).drop("__ck")
 
 

@@ -34,12 +34,19 @@ def _num_partitions(df: DataFrame, requested: int | None) -> int:
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-                out: str = "pos", num_partitions: int | None = None) -> DataFrame:
+                out: str = "pos", num_partitions: int | None = None, row_key: str | None = None) -> DataFrame:
     """Add ``out`` = 0-based row number inside ``keys`` ordered by ``order``.
 
-    ``keys=[]`` gives a dense global index.  The order must be total.
+    ``keys=[]`` gives a dense global index.  The order must be total.  With a
+    unique ``row_key`` (and string ``order`` columns) only the narrow
+    ``keys + order + row_key`` projection is range-shuffled and checkpointed;
+    the wide rows get their position back through one hash join on the key.
     """
     keys = list(keys)
+    if row_key is not None and all(isinstance(c, str) for c in order):
+        narrow_cols = list(dict.fromkeys([*keys, *order, row_key]))
+        narrow = rank_within(df.select(*narrow_cols), keys, order, out, num_partitions)
+        return df.join(narrow.select(row_key, out), row_key, "inner")
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     n = _num_partitions(df, num_partitions)
     key_cols = [F.col(k) for k in keys]
@@ -66,13 +73,13 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
 
 def lag_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                cols: Sequence[str], pos: str = "pos", prefix: str = "prev_",
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, row_key: str | None = None) -> DataFrame:
     """Previous row's ``cols`` inside ``keys`` (NULL on the first row).
 
     Implemented as ``rank_within`` + an equi-join on ``(keys, pos - 1)``: the
     join key is unique per row, so no group lands on one task.
     """
-    ranked = rank_within(df, keys, order, out=pos, num_partitions=num_partitions)
+    ranked = rank_within(df, keys, order, out=pos, num_partitions=num_partitions, row_key=row_key)
     prev = ranked.select(
         *[F.col(k).alias("__k_" + k) for k in keys], (F.col(pos) + 1).alias("__next_pos"),
         *[F.col(c).alias(prefix + c) for c in cols])

@@ -67,3 +67,11 @@ def test_top_k_per_group(spark):
     w = Window.partitionBy("key").orderBy("v", "id")
     exp = df.withColumn("r", (F.row_number().over(w) - 1).cast("bigint")).where("r < 5")
     assert sorted(got.select("id", "r").collect()) == sorted(exp.select("id", "r").collect())
+
+
+def test_rank_within_narrow_row_key(spark):
+    df = _skewed(spark).withColumn("payload", F.repeat(F.lit("x"), 50))
+    wide = rank_within(df, ["key"], ["v", "id"], out="pos")
+    narrow = rank_within(df, ["key"], ["v", "id"], out="pos", row_key="id")
+    assert sorted(wide.select("id", "pos").collect()) == sorted(narrow.select("id", "pos").collect())
+    assert "payload" in narrow.columns
