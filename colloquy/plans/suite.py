@@ -11,8 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.functions import signal as sg
+from colloquy.functions import text as tx
+from colloquy.functions.tags import WORD
 from colloquy.operators import chains as ch
 from colloquy.operators import conversations as cv
+from colloquy.operators import profile as pf
+from colloquy.operators import runs as rn
+from colloquy.operators import scoring as sc
+from colloquy.operators import splits as sp
+from colloquy.plans.topk import top_k_per_group
+from colloquy.sources.audio import attach_features
 from colloquy.sources.tables import read_driver_table
 
 QUERIES: dict = {}
@@ -246,8 +255,7 @@ SELECT CAST(count_if(state >= 0) AS BIGINT) AS n_audio, CAST(count_if(state = -1
 """)
 def q_state_breakdown(spark, sf_dir):
     """A23."""
-    from colloquy.operators.profile import state_breakdown
-    return state_breakdown(_failure_states(spark, sf_dir), "state")
+    return pf.state_breakdown(_failure_states(spark, sf_dir), "state")
 
 
 # ---------------------------------------------------------------------------
@@ -261,9 +269,8 @@ l AS (SELECT conv_id, CAST(max(turn) + 1 AS BIGINT) AS conv_len,
 
 
 def _lengths(spark, sf_dir):
-    from colloquy.operators.profile import conversation_lengths
     conv = read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role"])
-    return conversation_lengths(conv, "conv_id", "turn", F.col("role") != "system")
+    return pf.conversation_lengths(conv, "conv_id", "turn", F.col("role") != "system")
 
 
 @register("conv_lengths", "WITH " + _LEN_SQL + "SELECT conv_id, conv_len, audio_len FROM l")
@@ -276,8 +283,7 @@ SELECT round(avg(conv_len), 6) AS mean, round(median(conv_len), 6) AS median, mi
        max(conv_len) AS max, count(conv_len) AS count FROM l
 """)
 def q_conv_length_summary(spark, sf_dir):
-    from colloquy.operators.profile import summary
-    s = summary(_lengths(spark, sf_dir), "conv_len")
+    s = pf.summary(_lengths(spark, sf_dir), "conv_len")
     return s.select(r6(F.col("mean")).alias("mean"), r6(F.col("median")).alias("median"),
                     F.col("min").cast("bigint").alias("min"), F.col("max").cast("bigint").alias("max"), "count")
 
@@ -296,9 +302,8 @@ SELECT d.bin, CAST(d.count AS BIGINT) AS count, round(w.lo + d.bin * w.width, 6)
 FROM d, w
 """)
 def q_conv_length_hist(spark, sf_dir):
-    from colloquy.operators.profile import cumulative_share, histogram_fixed
-    h = histogram_fixed(_lengths(spark, sf_dir), "conv_len", 10)
-    c = cumulative_share(h, ["bin"], "count", "cum")
+    h = pf.histogram_fixed(_lengths(spark, sf_dir), "conv_len", 10)
+    c = pf.cumulative_share(h, ["bin"], "count", "cum")
     return c.select(F.col("bin").cast("int"), F.col("count").cast("bigint"), r6(F.col("lo")).alias("lo"),
                     r6(F.col("hi")).alias("hi"), F.col("cum_sum").cast("bigint").alias("cum_count"),
                     r6(F.col("cum_pct")).alias("cum_pct"))
@@ -330,7 +335,6 @@ def q_dup_report(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Splits and sampling
 
-from colloquy.operators import splits as sp  # noqa: E402
 
 _IDS_SQL = """
 ids AS (SELECT DISTINCT conv_id FROM conversations),
@@ -457,7 +461,6 @@ def q_sample_conversations(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # profiling aggregates over documents / labels / conversations
 
-from colloquy.operators import profile as pf  # noqa: E402
 
 
 def _docs(spark, sf_dir, cols=("doc_id", "text", "lang", "source", "n_chars")):
@@ -576,9 +579,8 @@ tk AS (SELECT doc_id, lang, len(list_filter(regexp_split_to_array(text, '[\s\p{Z
 
 
 def _doc_tokens(spark, sf_dir):
-    from colloquy.operators.scoring import ws_token_count
     d = _docs(spark, sf_dir, ["doc_id", "lang", "text"])
-    return d.select("doc_id", "lang", ws_token_count("text").cast("bigint").alias("n_tokens"))
+    return d.select("doc_id", "lang", sc.ws_token_count("text").cast("bigint").alias("n_tokens"))
 
 
 @register("length_percentiles", "WITH " + _TOK_SQL + """,
@@ -668,7 +670,6 @@ tg AS (SELECT p_partkey, p_brand, w[1:len(w) - 1] AS attribute, w[len(w):len(w)]
 
 
 def _part_tags(spark, sf_dir):
-    from colloquy.functions.tags import WORD
     part = read_driver_table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_name"])
     w = F.regexp_extract_all(F.lower("p_name"), F.lit(WORD), 0)
     return part.select("p_partkey", "p_brand", w.alias("__w")).select(
@@ -720,7 +721,6 @@ cr AS (SELECT conv_id, role, turn, CASE WHEN length(text) < 200 THEN 'short' WHE
 
 
 def _cons_rows(spark, sf_dir):
-    from colloquy.functions.tags import WORD
     conv = read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     return conv.select("conv_id", "role", "turn",
                        F.when(F.length("text") < 200, "short").when(F.length("text") < 800, "medium")
@@ -797,7 +797,6 @@ def q_page_dedup(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # scoring
 
-from colloquy.operators import scoring as sc  # noqa: E402
 
 _SQL_PUNCT = sc.PUNCTUATION.replace("'", "''")
 
@@ -940,7 +939,6 @@ def q_vec_collapse(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # run analysis: events as metric series (user = run), lineitem as run records
 
-from colloquy.operators import runs as rn  # noqa: E402
 
 _W = 1.0 - 2.0 / (rn.SMOOTH_SPAN + 1.0)
 _EWM_SQL = """
@@ -1064,7 +1062,6 @@ def q_topk_runs(spark, sf_dir):
 
 
 def top_k_per_group_runs(li):
-    from colloquy.plans.topk import top_k_per_group
     # (orderkey, linenumber) repeats in the driver data: the discount breaks remaining ties
     return top_k_per_group(li, ["l_returnflag"], ["l_extendedprice", "l_orderkey", "l_linenumber", "l_discount"], 5)
 
@@ -1122,7 +1119,6 @@ def q_props_tidy(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # H9-H12 prompts, X6 / J14 few-shot pairs
 
-from colloquy.functions import text as tx  # noqa: E402
 
 _STRIP_SQL = r"regexp_replace({x}, '^[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]+|[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]+$', '', 'g')"
 
@@ -1209,7 +1205,6 @@ def q_system_prompts(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Signal steps on the embedding vectors (64 samples each)
 
-from colloquy.functions import signal as sg  # noqa: E402
 
 
 @register("pad_trim", """
@@ -1321,12 +1316,10 @@ FROM p LEFT JOIN f c ON c.audio_id = p.curr_audio_id LEFT JOIN f r ON r.audio_id
 """)
 def q_turn_features(spark, sf_dir):
     """Per-utterance features attached to (current, response) pairs once per role."""
-    from colloquy.operators.scoring import ws_token_count
-    from colloquy.sources.audio import attach_features
     conv = read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
     path = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
     feats = conv.select(path.alias("audio_id"), F.length("text").alias("n_chars"),
-                        ws_token_count("text").alias("n_tokens"))
+                        sc.ws_token_count("text").alias("n_tokens"))
     pairs = _turn_pairs(spark, sf_dir).select(
         "conv_id", "turn", F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
         .alias("curr_audio_id"),
