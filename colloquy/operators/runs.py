@@ -136,11 +136,17 @@ def series_positions(long: DataFrame, run_cols: Sequence[str], order: Sequence[s
 
 
 def _ewm_depth(span: float) -> tuple[float, int, int]:
+    """Weight ``w``, the look-back ``depth`` past which weights fall below 1e-18,
+    and a block size with ``depth < block`` and ``w^-(block + depth)`` finite."""
     w = 1.0 - 2.0 / (span + 1.0)
     if w <= 0:
         return w, 1, 4096
-    depth = int(math.ceil(math.log(1e-18) / math.log(w)))
-    block = max(64, min(4096, int(600 / -math.log(w)) - depth))
+    lnw = -math.log(w)
+    depth = int(math.ceil(math.log(1e18) / lnw))
+    upper = int(600 / lnw) - depth
+    block = max(2 * depth, min(4096, upper))
+    if block > upper:
+        raise ValueError(f"span {span} too large for the blocked EWM")
     return w, depth, block
 
 

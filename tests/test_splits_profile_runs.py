@@ -230,3 +230,11 @@ def test_consistency_summaries(spark):
     s = pf.consistency_summary(g).first()
     assert (s.n_perfect, s.n_valid) == (1, 2) and math.isclose(s.mean, 0.6)
     assert [r.conv for r in pf.flagged_groups(g).collect()] == [2]
+
+
+def test_ewm_long_span(spark):
+    x = np.cos(np.arange(3000) / 11.0)
+    df = spark.createDataFrame([("r", i, float(v)) for i, v in enumerate(x)], "run string, step long, value double")
+    exp = pd.Series(x).ewm(span=100).mean().to_numpy()
+    got = sorted((r.step, r.ewm) for r in rn.ewm_mean(df, ["run"], "step", "value", span=100).collect())
+    assert max(abs(e - g) for (_, g), e in zip(got, exp)) < 1e-9
