@@ -64,11 +64,14 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     w = Window.partitionBy(*key_cols).orderBy(_PID) if keys else Window.orderBy(_PID)
     stats = stats.withColumn(
         "__off", F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    stats = stats.select(_PID, *keys, F.coalesce("__off", F.lit(0)).alias("__off"), "__first")
-    joined = ordered.join(stats, [_PID, *keys], "inner") if keys else ordered.join(stats, [_PID])
+    stats = stats.select(F.col(_PID).alias("__s_pid"), *[F.col(k).alias("__s_" + k) for k in keys],
+                         F.coalesce("__off", F.lit(0)).alias("__off"), "__first")
+    # NULL is a key like any other: null-safe equality on the group columns
+    cond = [F.col(_PID) == F.col("__s_pid")] + [F.col(k).eqNullSafe(F.col("__s_" + k)) for k in keys]
+    joined = ordered.join(stats, cond, "inner")
     return joined.withColumn(
         out, (F.col("__off") + F.col(_MID) - F.col("__first")).cast("bigint")
-    ).drop(_PID, _MID, "__off", "__first")
+    ).drop(_PID, _MID, "__off", "__first", "__s_pid", *["__s_" + k for k in keys])
 
 
 def lag_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],

@@ -75,3 +75,9 @@ def test_rank_within_narrow_row_key(spark):
     narrow = rank_within(df, ["key"], ["v", "id"], out="pos", row_key="id")
     assert sorted(wide.select("id", "pos").collect()) == sorted(narrow.select("id", "pos").collect())
     assert "payload" in narrow.columns
+
+
+def test_rank_within_null_keys(spark):
+    df = spark.createDataFrame([(None, 1.0, 1), (None, 0.5, 2), ("a", 2.0, 3)], "key string, v double, id long")
+    got = sorted((r.id, r.pos) for r in rank_within(df, ["key"], ["v", "id"], out="pos").collect())
+    assert got == [(1, 1), (2, 0), (3, 0)]
