@@ -115,7 +115,9 @@ def exact_percentiles(df: DataFrame, col: str, pcts: Sequence[float], by: Sequen
         .withColumn("__hi", F.least(F.ceil("__h").cast("bigint"), F.col("__n") - 1))
     need = want.select(*by, "pct", "__h", "__lo", "__hi", F.explode(F.array_distinct(F.array("__lo", "__hi")))
                        .alias("__pos"))
-    j = need.join(ranked.select(*by, "__pos", "__v"), [*by, "__pos"], "left")
+    r = ranked.select(*[F.col(k).alias("__r_" + k) for k in by], F.col("__pos").alias("__r_pos"), "__v")
+    cond = [F.col("__pos") == F.col("__r_pos")] + [F.col(k).eqNullSafe(F.col("__r_" + k)) for k in by]
+    j = need.join(r, cond, "left")
     g = j.groupBy(*by, "pct", "__h", "__lo").agg(
         F.max(F.when(F.col("__pos") == F.col("__lo"), F.col("__v"))).alias("__vlo"),
         F.max(F.when(F.col("__pos") == F.col("__hi"), F.col("__v"))).alias("__vhi"))

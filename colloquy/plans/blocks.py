@@ -76,7 +76,11 @@ def running_aggs(df: DataFrame, keys: Sequence[str], block_of: Column, order: Se
         wi = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding,
                                                                          -1 if exclusive else 0)
         inner_cols.append(_AGG[how](f"__v{i}").over(wi).alias(f"__in{i}"))
-    joined = data.select("*", *inner_cols).join(carry, [*keys, BLOCK], "left")
+    carry = carry.select(*[F.col(k).alias("__c_" + k) for k in keys], F.col(BLOCK).alias("__c_blk"),
+                         *[f"__carry{i}" for i in range(len(specs))])
+    cond = [F.col(BLOCK) == F.col("__c_blk")] + [F.col(k).eqNullSafe(F.col("__c_" + k)) for k in keys]
+    joined = data.select("*", *inner_cols).join(carry, cond, "left") \
+        .drop("__c_blk", *["__c_" + k for k in keys])
     for i, (_, out, how, exclusive) in enumerate(specs):
         c, n = F.col(f"__carry{i}"), F.col(f"__in{i}")
         if how == "sum":

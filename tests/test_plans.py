@@ -81,3 +81,9 @@ def test_rank_within_null_keys(spark):
     df = spark.createDataFrame([(None, 1.0, 1), (None, 0.5, 2), ("a", 2.0, 3)], "key string, v double, id long")
     got = sorted((r.id, r.pos) for r in rank_within(df, ["key"], ["v", "id"], out="pos").collect())
     assert got == [(1, 1), (2, 0), (3, 0)]
+
+
+def test_running_agg_null_key_across_blocks(spark):
+    df = spark.createDataFrame([(None, i, 1) for i in range(40)], "k string, i long, v long")
+    got = running_agg(df, ["k"], F.floor(F.col("i") / 8), ["i"], "v", "r")
+    assert sorted(r.r for r in got.collect()) == list(range(1, 41))
