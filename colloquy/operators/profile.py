@@ -153,13 +153,15 @@ def summary(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
         med = exact_percentiles(df, col, [50], by=by).select(*by, F.col("value").alias("median"))
         out = base.join(med, list(by), "left")
     else:
-        m = _scalar_percentiles(df, col, [50]).get(50.0)
-        out = df.agg(*aggs).withColumn("median", F.lit(m).cast("double"))
+        one = df.select(col).checkpoint(eager=True)     # both passes read one frozen column
+        m = _scalar_percentiles(one, col, [50]).get(50.0)
+        out = one.agg(*aggs).withColumn("median", F.lit(m).cast("double"))
     return out.select(*by, "mean", "median", "min", "max", "count")
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, std (sample), min, exact quartiles, max."""
+    df = df.select(col).checkpoint(eager=True)            # both passes read one frozen column
     q = _scalar_percentiles(df, col, [25, 50, 75])
     return df.agg(F.count(col).cast("bigint").alias("count"), F.avg(col).alias("mean"),
                   F.stddev_samp(col).alias("std"), F.min(col).alias("min"),
@@ -370,6 +372,7 @@ def pairwise_set_f1_bruteforce(df: DataFrame, group: Sequence[str], ord_col: str
 def consistency_summary(groups: DataFrame, f1_col: str = "mean_f1") -> DataFrame:
     """Mean, median, sample std, perfect count and non-null count of the
     per-group F1 (median exact, from global positions)."""
+    groups = groups.select(f1_col).checkpoint(eager=True)  # the per-group table, computed once
     m = _scalar_percentiles(groups, f1_col, [50]).get(50.0)
     return groups.agg(F.avg(f1_col).alias("mean"), F.lit(m).cast("double").alias("median"),
                       F.stddev_samp(f1_col).alias("std"),
