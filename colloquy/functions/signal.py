@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the audio steps.
@@ -101,8 +101,9 @@ def frame_snr(df: DataFrame, id_col: str, signal_col: str, frame: int = SNR_FRAM
         id_col, "__s", F.explode(F.sequence(F.lit(0), F.size("__s") - frame - 1, F.lit(hop))).alias("__i"))
     rms = framed.select(id_col, F.sqrt(F.aggregate(F.slice("__s", F.col("__i") + 1, frame), F.lit(0.0),
                                                    lambda a, x: a + x * x) / frame).alias("__rms"))
-    thr = rms.groupBy(id_col).agg(F.percentile("__rms", noise_q).alias("__thr"))
-    j = rms.join(thr, id_col)
+    # threshold per signal as a window over its frames, so the conditional means
+    # below reuse the same partitioning (one shuffle by id)
+    j = rms.withColumn("__thr", F.percentile("__rms", noise_q).over(Window.partitionBy(id_col)))
     agg = j.groupBy(id_col).agg(
         F.avg(F.when(F.col("__rms") <= F.col("__thr"), F.col("__rms") ** 2)).alias("__noise"),
         F.avg(F.when(F.col("__rms") > F.col("__thr"), F.col("__rms") ** 2)).alias("__sig"))
