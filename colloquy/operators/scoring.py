@@ -260,6 +260,29 @@ def vector_collapse(df: DataFrame, group_col: str, vec_col: str) -> DataFrame:
     return out.select(group_col, F.col("n").cast("bigint"), "vec_std", "vec_norm_cv", cos.alias("mean_cosine_sim"))
 
 
+def evaluate(pairs: DataFrame, vocab: DataFrame, *, id_col: str = "id", group_col: str = "source",
+             pred_col: str = "pred", ref_col: str = "ref") -> DataFrame:
+    """T6 over all text metrics: per group, tag-F1 per category and overall,
+    ROUGE-L and chrF++ mean / population std, Dist-1 / Dist-2, as long rows
+    ``(source, metric, value)`` named ``source/metric`` (``_mean`` dropped)."""
+    tf = tag_f1(pairs, vocab, id_col=id_col, group_col=group_col, pred_col=pred_col, ref_col=ref_col)
+    tf_long = tf.select(group_col, F.explode(F.array(
+        F.struct(F.concat(F.lit("tag_f1_"), F.col("category"), F.lit("_mean")).alias("metric"),
+                 F.col("tag_f1_mean").alias("value")),
+        F.struct(F.concat(F.lit("tag_f1_"), F.col("category"), F.lit("_std")).alias("metric"),
+                 F.col("tag_f1_std").alias("value")))).alias("kv")).select(group_col, "kv.*")
+    base = pairs.select(id_col, group_col, pred_col, ref_col)
+    rl = rouge_l(base, pred_col, ref_col, "__rl").groupBy(group_col).agg(
+        F.avg("__rl").alias("rougeL_mean"), F.stddev_pop("__rl").alias("rougeL_std"))
+    cf = chrf(base, id_col, pred_col, ref_col, "__cf").groupBy(group_col).agg(
+        F.avg("__cf").alias("chrf_mean"), F.stddev_pop("__cf").alias("chrf_std"))
+    dn = dist_n(base, group_col, pred_col)
+    wide = score_report([rl, cf, dn], group_col)
+    tagged = tf_long.withColumn("metric", F.concat_ws("/", F.col(group_col).cast("string"),
+                                                      F.regexp_replace("metric", "_mean$", "")))
+    return wide.unionByName(tagged.select(group_col, "metric", F.col("value").cast("double")))
+
+
 def score_report(metric_frames: Sequence[DataFrame], group_col: str = "source") -> DataFrame:
     """Union of wide per-group metric frames into long rows
     ``(source, metric, value)`` with ``source/metric`` names and ``_mean``

@@ -1424,3 +1424,17 @@ def q_full_prompts(spark, sf_dir):
     j = q.join(sysp, "qkey", "inner")
     return j.select("qkey", tx.full_prompt("system_prompt", tx.user_prompt("chain")).alias("full_prompt"),
                     tx.ground_truth("chain").alias("ground_truth"))
+
+
+@register("eval_report")
+def q_eval_report(spark, sf_dir):
+    """T6 with every text metric (tag F1 with the fixed second-corpus vocabulary,
+    ROUGE-L, chrF++, Dist-n) for each turn scored against the next, per role.
+    ROUGE-L has no SQL form, so this composite has none either; its parts are
+    checked by ``tag_f1``, ``chrf``, ``dist_n`` and the ROUGE-L tests."""
+    from colloquy.functions.tags import vocabulary_frame
+    pairs = _turn_pairs(spark, sf_dir).select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.col("curr_role").alias("source"), "pred", "ref")
+    rep = sc.evaluate(pairs, vocabulary_frame(spark, "styletalk").select("category", "tag"))
+    return rep.select("source", "metric", r6(F.col("value")).alias("value"))

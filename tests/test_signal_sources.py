@@ -143,7 +143,7 @@ def test_driver_contract(spark):
     assert E.entry(spark).count() >= 0
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"rouge_l"}
+    assert set(q) - set(o) == {"rouge_l", "eval_report"}
 
 
 def test_failure_reasons_and_routing(spark):
