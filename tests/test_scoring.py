@@ -182,3 +182,15 @@ def test_tag_mentions_longest_first(spark):
     df2 = spark.createDataFrame([(3, "a friendly tone only")], "id long, text string")
     got2 = {(r.category, r.tag) for r in tag_mentions(df2, "id", "text", vocab, 2).collect()}
     assert got2 == {("emotion", "friendly tone"), ("other", "tone")}
+
+
+def test_evaluate_report(spark):
+    from colloquy.functions.tags import vocabulary_frame
+    pairs = spark.createDataFrame([(str(i), "g", p, r) for i, (p, r) in enumerate(PAIRS)],
+                                  "id string, source string, pred string, ref string")
+    rep = {r.metric: r.value for r in sc.evaluate(pairs, vocabulary_frame(spark, "styletalk").select("category", "tag")).collect()}
+    chrfs = [_chrf_py(p, r) for p, r in PAIRS]
+    assert math.isclose(rep["g/chrf"], float(np.mean(chrfs)), abs_tol=1e-12)
+    assert math.isclose(rep["g/chrf_std"], float(np.std(chrfs)), abs_tol=1e-12)
+    assert {"g/rougeL", "g/dist1", "g/dist2", "g/tag_f1_overall", "g/tag_f1_emotion_std"} <= set(rep)
+    assert rep["g/tag_f1_overall"] == 1.0      # no vocabulary tags on either side
