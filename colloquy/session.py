@@ -50,9 +50,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local mode (tests, bench); on a cluster the setting must name shared
     storage and is used as is.
     """
+    active = spark.sparkContext.getCheckpointDir()
+    if active:
+        return active
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
