@@ -109,14 +109,18 @@ def cross_source_holdout(df: DataFrame, source_col: str, pool_source: str) -> Da
 
 
 def few_shot_pairs(queries: DataFrame, pool: DataFrame, *, query_key: str, pool_key: str,
-                   k: int, seed: int = 42) -> DataFrame:
-    """Per query ``min(k, |pool|)`` distinct pool rows, seeded.
+                   k: int, seed: int = 42, max_queries: int | None = None) -> DataFrame:
+    """Per query ``min(k, |pool|)`` distinct pool rows, seeded; with
+    ``max_queries`` only that many query rows are first drawn in the seeded
+    order (the evaluation sample size is the feature).
 
     The pool gets one global seeded order (positions 0..P-1); query ``q`` takes
     positions ``(start(q) + j) mod P`` for ``j < k`` with ``start`` from the
     seeded hash of ``q``.  ``|queries| * k`` rows, an equi-join on position; no
     cross product of queries and pool.
     """
+    if max_queries is not None:
+        queries = seeded_sample(queries, int(max_queries), query_key, seed).drop("sample_rank")
     ranked = rank_within(pool.withColumn("__h", seeded_key(seed, pool_key)), [], ["__h", pool_key],
                          out="__ppos").drop("__h")
     p = _count(ranked)

@@ -238,3 +238,10 @@ def test_ewm_long_span(spark):
     exp = pd.Series(x).ewm(span=100).mean().to_numpy()
     got = sorted((r.step, r.ewm) for r in rn.ewm_mean(df, ["run"], "step", "value", span=100).collect())
     assert max(abs(e - g) for (_, g), e in zip(got, exp)) < 1e-9
+
+
+def test_few_shot_pairs_query_sample(spark):
+    q = spark.createDataFrame([(f"q{i}",) for i in range(20)], "qkey string")
+    p = spark.createDataFrame([(f"p{i}", i) for i in range(5)], "pkey string, x long")
+    got = sp.few_shot_pairs(q, p, query_key="qkey", pool_key="pkey", k=2, seed=3, max_queries=4).collect()
+    assert len({r.qkey for r in got}) == 4 and len(got) == 8
