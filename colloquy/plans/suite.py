@@ -1405,10 +1405,12 @@ _SYSTEM_SQL = (_sql_lit(tx.TASK_DESCRIPTION) + """ || chr(10) || 'Here are ' ||
 
 @register("full_prompts", _FEWSHOT_SQL + """,
 sy AS (SELECT qkey, """ + _SYSTEM_SQL + """ AS system_prompt FROM ex GROUP BY qkey),
-q AS (SELECT key AS qkey, texts FROM ck WHERE split = 'test')
-SELECT q.qkey, sy.system_prompt || chr(10) || chr(10) || '---' || chr(10) || chr(10) || """ + _USER_PROMPT_SQL + """
-         AS full_prompt,
-       """ + _STRIP_SQL.replace("{x}", "coalesce(texts[len(texts)], '')") + """ AS ground_truth
+q AS (SELECT key AS qkey, """ + _USER_PROMPT_SQL + """ AS user_prompt,
+             """ + _STRIP_SQL.replace("{x}", "coalesce(texts[len(texts)], '')") + """ AS ground_truth
+      FROM ck WHERE split = 'test')
+SELECT q.qkey, sy.system_prompt, q.user_prompt,
+       sy.system_prompt || chr(10) || chr(10) || '---' || chr(10) || chr(10) || q.user_prompt AS full_prompt,
+       q.ground_truth
 FROM q JOIN sy ON q.qkey = sy.qkey
 """)
 def q_full_prompts(spark, sf_dir):
@@ -1421,8 +1423,9 @@ def q_full_prompts(spark, sf_dir):
     c = conversation_chains(spark, sf_dir, 3).withColumnRenamed("part_id", "conv_id")
     q = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("anchor_turn").cast("string")).alias("qkey"),
                  "chain")
-    j = q.join(sysp, "qkey", "inner")
-    return j.select("qkey", tx.full_prompt("system_prompt", tx.user_prompt("chain")).alias("full_prompt"),
+    j = q.join(sysp, "qkey", "inner").withColumn("user_prompt", tx.user_prompt("chain"))
+    return j.select("qkey", "system_prompt", "user_prompt",
+                    tx.full_prompt("system_prompt", "user_prompt").alias("full_prompt"),
                     tx.ground_truth("chain").alias("ground_truth"))
 
 
