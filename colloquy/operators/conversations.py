@@ -275,10 +275,11 @@ def propagate_failures(df: DataFrame, *, conv_col: str = "conv_id", ord_col: str
 
 
 def dense_audio_index(df: DataFrame, order: Sequence[str], state_col: str = "state",
-                      out: str = "audio_idx") -> DataFrame:
+                      out: str = "audio_idx", row_key: str | None = None) -> DataFrame:
     """Dense 0-based index over successful rows in table order; other rows
-    keep their state code.  A global rank without a one-task window."""
-    ok = rank_within(df.where(F.col(state_col) == 0), [], list(order), out=out)
+    keep their state code.  A global rank without a one-task window; with a
+    unique ``row_key`` only the narrow projection is ranked."""
+    ok = rank_within(df.where(F.col(state_col) == 0), [], list(order), out=out, row_key=row_key)
     rest = df.where(F.col(state_col) != 0).withColumn(out, F.col(state_col).cast("bigint"))
     return ok.unionByName(rest)
 

@@ -150,3 +150,10 @@ def test_split_at_gaps_matches_two_step(spark):
     one = sorted(tuple(x[c] for c in cols) for x in cv.split_at_gaps(r, m).collect())
     two = sorted(tuple(x[c] for c in cols) for x in cv.split_parts(cv.mark_split_points(r, m)).collect())
     assert one == two
+
+
+def test_dense_index_narrow(spark):
+    df = spark.createDataFrame([(i, 0 if i % 3 else -1, "x" * 20) for i in range(30)], "ord long, state int, p string")
+    a = sorted((r.ord, r.audio_idx) for r in cv.dense_audio_index(df, ["ord"]).collect())
+    b = sorted((r.ord, r.audio_idx) for r in cv.dense_audio_index(df, ["ord"], row_key="ord").collect())
+    assert a == b and [x for _, x in a if x >= 0] == list(range(20))
