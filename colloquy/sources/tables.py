@@ -100,3 +100,22 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] | None =
 def write_json_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON-lines records (one object per row)."""
     df.write.mode(mode).json(path)
+
+
+def skip_existing(df: DataFrame, existing: DataFrame | None, key: str | Sequence[str]) -> DataFrame:
+    """Rows whose key is not yet in an existing output table (a re-run only
+    does the missing work); ``existing=None`` keeps every row."""
+    if existing is None:
+        return df
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.join(existing.select(*keys).distinct(), keys, "left_anti")
+
+
+def read_existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """An existing Parquet output table, or ``None`` when nothing was written yet."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001 - Spark raises AnalysisException for a missing path
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+            return None
+        raise

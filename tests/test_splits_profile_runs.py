@@ -245,3 +245,14 @@ def test_few_shot_pairs_query_sample(spark):
     p = spark.createDataFrame([(f"p{i}", i) for i in range(5)], "pkey string, x long")
     got = sp.few_shot_pairs(q, p, query_key="qkey", pool_key="pkey", k=2, seed=3, max_queries=4).collect()
     assert len({r.qkey for r in got}) == 4 and len(got) == 8
+
+
+def test_skip_existing(spark):
+    import tempfile
+    from colloquy.sources import tables
+    d = tempfile.mkdtemp(prefix="colloquy-skip-") + "/out"
+    df = spark.createDataFrame([(i,) for i in range(5)], "k long")
+    assert tables.read_existing(spark, d) is None
+    assert tables.skip_existing(df, tables.read_existing(spark, d), "k").count() == 5
+    tables.write_parquet(df.where("k < 3"), d)
+    assert sorted(r.k for r in tables.skip_existing(df, tables.read_existing(spark, d), "k").collect()) == [3, 4]
