@@ -177,7 +177,7 @@ def split_at_gaps(rows: DataFrame, missing: DataFrame, *, conv_col: str = "conv_
 
 def add_conversation_index(ann: DataFrame, files: DataFrame, *, file_path: str = "path",
                            path_col: str = "relative_audio_path") -> DataFrame:
-    """J1 + J2 + W1-W4 for the first corpus (``add_conversation_index``).
+    """J1 + J2 + W1-W4 for the first corpus.
 
     The final ``conv_id`` stays unsplit; ``turn_index``/``prev_filename`` are
     per part.  A missing file's conversation id comes from its *name*, a row's
@@ -205,7 +205,7 @@ def initialize_first_corpus(splits: list[DataFrame], *, source: str = "expresso"
                             path_col: str = "relative_audio_path",
                             path_must_contain: str = "conversational_vad_segmented",
                             desc_col: str = "text_description", ordinal_col: str = "ord") -> DataFrame:
-    """S4 + P4 + W5 + P5 (``initialize_expresso_df``): stack the splits, keep
+    """S4 + P4 + W5 + P5: stack the first corpus's splits, keep
     one source and the segmented-conversation paths, keep per path the row
     with the longest description list (first ordinal wins ties), then reduce
     the list to its first element (an empty list becomes NULL).
