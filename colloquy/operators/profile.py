@@ -266,9 +266,9 @@ def vocabulary_json(vocab: DataFrame) -> DataFrame:
     per_source = vocab.groupBy("source").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "tags")))).alias("m"))
     key = F.regexp_replace(F.to_json(F.array(F.col("source"))), r"^\[|\]$", "")   # JSON-quoted key
-    item = F.concat(key, F.lit(":"), F.to_json("m"))
-    return per_source.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(item)), ","), F.lit("}"))
-                          .alias("value"))
+    item = F.struct(F.col("source").alias("k"), F.concat(key, F.lit(":"), F.to_json("m")).alias("v"))
+    ordered = F.transform(F.array_sort(F.collect_list(item)), lambda e: e["v"])     # sorted by key, like sort_keys
+    return per_source.agg(F.concat(F.lit("{"), F.array_join(ordered, ","), F.lit("}")).alias("value"))
 
 
 def tag_frequency(df: DataFrame, tags_col: str, by: Sequence[str] = ()) -> DataFrame:

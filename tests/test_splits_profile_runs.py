@@ -256,3 +256,10 @@ def test_skip_existing(spark):
     assert tables.skip_existing(df, tables.read_existing(spark, d), "k").count() == 5
     tables.write_parquet(df.where("k < 3"), d)
     assert sorted(r.k for r in tables.skip_existing(df, tables.read_existing(spark, d), "k").collect()) == [3, 4]
+
+
+def test_vocabulary_json_key_order(spark):
+    import json
+    df = spark.createDataFrame([("a b", ["x"]), ("a", ["y"])], "source string, tags array<string>")
+    doc = pf.vocabulary_json(pf.vocabulary(df, "source", ["tags"])).first().value
+    assert list(json.loads(doc)) == ["a", "a b"] and json.loads(doc)["a"] == {"tags": ["y"]}
