@@ -100,6 +100,7 @@ SELECT conv_id, anchor_turn, anchor_role, array_to_string(speakers, '>') AS role
        chain_chars, target_chars FROM chains
 """)
 def q_chains_n3(spark, sf_dir):
+    """W8 + P14: every valid 3-turn chain of the conversations, with roles and text lengths."""
     c = conversation_chains(spark, sf_dir, 3)
     return c.select(
         F.col("part_id").alias("conv_id"), "anchor_turn", F.col("speakerid").alias("anchor_role"),
@@ -115,6 +116,7 @@ SELECT anchor_role, CAST(count(*) AS BIGINT) AS n_chains, round(avg(chain_chars)
 FROM chains GROUP BY anchor_role
 """)
 def q_chain_summary(spark, sf_dir):
+    """Flagship: 3-turn chains counted per anchor role with mean chain length."""
     return q_chains_n3(spark, sf_dir).groupBy("anchor_role").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_chains"),
         r6(F.avg("chain_chars")).alias("avg_chain_chars"),
@@ -159,6 +161,7 @@ SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn
 FROM conversations
 """)
 def q_conv_turn_links(spark, sf_dir):
+    """W1 + W2: turn index and previous path per conversation, from a range-partitioned rank."""
     conv = read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn"])
     rows = conv.withColumn("relative_audio_path",
                            F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")))
@@ -196,6 +199,7 @@ SELECT conv_id, CAST(s AS BIGINT) AS turn, is_split, conv_id_split,
 FROM p
 """)
 def q_conv_gap_split(spark, sf_dir):
+    """J1 + J2 + W3 + W4: hash-chosen turns act as unannotated files; conversations split at them."""
     conv = read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn"])
     files = conv.select("conv_id", "turn",
                         F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("path"),
@@ -236,6 +240,7 @@ def _failure_states(spark, sf_dir):
 
 @register("failure_propagation", "WITH " + _FAIL_SQL + "SELECT conv_id, turn, state, first_failure FROM st")
 def q_failure_propagation(spark, sf_dir):
+    """System turns are text-only, hash-chosen turns fail; later audio turns are abandoned."""
     return _failure_states(spark, sf_dir)
 
 
@@ -245,6 +250,7 @@ FROM st WHERE state = 0
 UNION ALL SELECT conv_id, turn, CAST(state AS BIGINT) FROM st WHERE state <> 0
 """)
 def q_dense_index(spark, sf_dir):
+    """Dense global index over the successful rows in table order."""
     st = _failure_states(spark, sf_dir)
     return cv.dense_audio_index(st, ["conv_id", "turn"]).select("conv_id", "turn", "audio_idx")
 
@@ -275,6 +281,7 @@ def _lengths(spark, sf_dir):
 
 @register("conv_lengths", "WITH " + _LEN_SQL + "SELECT conv_id, conv_len, audio_len FROM l")
 def q_conv_lengths(spark, sf_dir):
+    """Conversation length over all turns and over audio turns."""
     return _lengths(spark, sf_dir)
 
 
@@ -283,6 +290,7 @@ SELECT round(avg(conv_len), 6) AS mean, round(median(conv_len), 6) AS median, mi
        max(conv_len) AS max, count(conv_len) AS count FROM l
 """)
 def q_conv_length_summary(spark, sf_dir):
+    """Mean / exact median / min / max / count of conversation lengths."""
     s = pf.summary(_lengths(spark, sf_dir), "conv_len")
     return s.select(r6(F.col("mean")).alias("mean"), r6(F.col("median")).alias("median"),
                     F.col("min").cast("bigint").alias("min"), F.col("max").cast("bigint").alias("max"), "count")
@@ -302,6 +310,7 @@ SELECT d.bin, CAST(d.count AS BIGINT) AS count, round(w.lo + d.bin * w.width, 6)
 FROM d, w
 """)
 def q_conv_length_hist(spark, sf_dir):
+    """A16 + W9: 10-bin length histogram with cumulative counts and percent."""
     h = pf.histogram_fixed(_lengths(spark, sf_dir), "conv_len", 10)
     c = pf.cumulative_share(h, ["bin"], "count", "cum")
     return c.select(F.col("bin").cast("int"), F.col("count").cast("bigint"), r6(F.col("lo")).alias("lo"),
@@ -319,6 +328,7 @@ SELECT doc_id, source, n_chars FROM (
   FROM documents) WHERE rn = 1
 """)
 def q_dedup_longest(spark, sf_dir):
+    """One document per text, the longest wins, the smallest id breaks ties."""
     docs = read_driver_table(spark, sf_dir, "documents", ["doc_id", "text", "source", "n_chars"])
     return cv.dedup_longest(docs, "text", F.col("n_chars"), "doc_id").select("doc_id", "source", "n_chars")
 
@@ -328,6 +338,7 @@ SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS dup_rows, count(*) AS dup_keys
 FROM (SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)
 """)
 def q_dup_report(spark, sf_dir):
+    """Rows in duplicated texts and the number of such texts."""
     docs = read_driver_table(spark, sf_dir, "documents", ["text"])
     return cv.duplicate_report(docs, "text")
 
