@@ -40,8 +40,9 @@ def peak_normalize(signal: Column | str, peak_db: float = PEAK_DB) -> Column:
 
 
 def duration_seconds(signal: Column | str, sample_rate: Column | str) -> Column:
-    """Samples / rate."""
-    return F.size(_c(signal)) / _c(sample_rate).cast("double")
+    """Samples / rate (NULL for a missing or zero rate)."""
+    sr = _c(sample_rate).cast("double")
+    return F.when(sr > 0, F.size(_c(signal)) / sr)
 
 
 def slice_seconds(signal: Column | str, sample_rate: Column | str, start_s: Column | str,

@@ -228,7 +228,8 @@ def cumulative_share(df: DataFrame, order: Sequence[str], value: str, out_prefix
     total = df.agg(F.sum(value)).first()[0] or 0
     run = running_agg(ranked.withColumn("__g", F.lit(0)), ["__g"], F.floor(F.col("__pos") / 4096),
                       ["__pos"], value, f"{out_prefix}_sum", how="sum")
-    return run.withColumn(f"{out_prefix}_pct", F.col(f"{out_prefix}_sum") * 100.0 / F.lit(total)).drop("__g")
+    pct = F.col(f"{out_prefix}_sum") * 100.0 / F.lit(total) if total else F.lit(None).cast("double")
+    return run.withColumn(f"{out_prefix}_pct", pct).drop("__g")
 
 
 def first_crossing(cum: DataFrame, pct_col: str, order_col: str, thresholds: Sequence[float]) -> DataFrame:

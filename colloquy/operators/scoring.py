@@ -253,7 +253,7 @@ def vector_collapse(df: DataFrame, group_col: str, vec_col: str) -> DataFrame:
     g1 = per_dim.groupBy(group_col).agg(F.avg("__sd").alias("vec_std"), F.sum(F.col("__su") ** 2).alias("__s2"))
     g2 = base.groupBy(group_col).agg(
         F.count(F.lit(1)).alias("n"),
-        (F.stddev_samp("__norm") / F.avg("__norm")).alias("vec_norm_cv"),
+        F.when(F.avg("__norm") > 0, F.stddev_samp("__norm") / F.avg("__norm")).alias("vec_norm_cv"),
         F.sum(F.when(F.col("__norm") > 0, 1.0).otherwise(0.0)).alias("__self"))
     out = g2.join(g1, group_col, "inner")
     cos = F.when(F.col("n") >= 2, (F.col("__s2") - F.col("__self")) / (F.col("n") * (F.col("n") - 1)))

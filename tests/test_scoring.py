@@ -194,3 +194,9 @@ def test_evaluate_report(spark):
     assert math.isclose(rep["g/chrf_std"], float(np.std(chrfs)), abs_tol=1e-12)
     assert {"g/rougeL", "g/dist1", "g/dist2", "g/tag_f1_overall", "g/tag_f1_emotion_std"} <= set(rep)
     assert rep["g/tag_f1_overall"] == 1.0      # no vocabulary tags on either side
+
+
+def test_collapse_all_zero_vectors(spark):
+    df = spark.createDataFrame([(0, [0.0, 0.0]), (0, [0.0, 0.0])], "g int, v array<double>")
+    r = sc.vector_collapse(df, "g", "v").first()
+    assert r.vec_norm_cv is None and r.mean_cosine_sim == 0.0
