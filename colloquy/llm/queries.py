@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, langid, sharding
-from colloquy.llm.common import documents, held_out
+from colloquy.llm import bpe, decontaminate, forest, langid, licenses, pii, sharding, spans, topk, toxicity
+from colloquy.llm.common import documents, held_out, read
 from colloquy.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,85 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = documents(spark, sf_dir), held_out(F.col("doc_id"), 5, 0)
     model = langid.train(docs.where(~out), public_tokenizers.path("piece_bpe_32k.model"))
     return langid.classify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@register("op2_grammar_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned where crc32(doc_id) mod 4 is not 2."""
+    ensure_checkpoint_dir(spark)
+    docs, labels = documents(spark, sf_dir), read(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~held_out(F.col("doc_id"), 4, 2)))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL["op1_positional_index"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS p
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM i WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+at AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS p
+       FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, lens WHERE len(w) >= n)),
+hit AS (SELECT DISTINCT doc_id, item_id, s, n FROM at JOIN win USING (n, p)),
+pos AS (SELECT doc_id, CAST(count(DISTINCT k) AS BIGINT) AS n_hit
+        FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS k FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
+@register("op1_positional_index")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of 10-word benchmark windows in every document."""
+    found = decontaminate.contamination(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@register("op3_disclosure_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data, and the words that disclose it, in every document."""
+    found = pii.find(documents(spark, sf_dir))
+    count = [pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *count, F.sha2(pii.render(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.render(F.concat("base", "added")).alias("spans"))
+
+
+@register("op8_minhash_forest")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group and number of links of every document."""
+    return forest.near_duplicates(documents(spark, sf_dir))
+
+
+ORACLE_SQL["op4_norm_sorted_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, c.vec_id AS vec_id,
+       CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id)
+QUALIFY row_number() OVER w <= 20"""
+
+
+@register("op4_norm_sorted_topk")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every 20th vector."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@register("op6_sentence_spans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences of repeated runs."""
+    return spans.remove_repeats(documents(spark, sf_dir), report=True)
+
+
+@register("op9_patience_licenses")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan_licenses(documents(spark, sf_dir))
