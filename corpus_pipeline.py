@@ -1,17 +1,64 @@
-"""A training-data pipeline of the corpus operators (stages follow)."""
+"""A training-data pipeline of the corpus operators.
+
+``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns a
+DataFrame.  Each stage's rows are written and read again as the next one's ``docs``; all but the
+last return the columns of ``documents``.  ``run`` applies them one after another.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colloquy.llm import bpe, decontaminate, forest, pii, toxicity
+from colloquy.session import ensure_checkpoint_dir
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays under the threshold."""
+    ensure_checkpoint_dir(spark)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model, text_col="text", keep=tuple(docs.columns), score_col="__toxicity")
+    return scored.where(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every near-duplicate group."""
+    return forest.keep_one(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts sanitised."""
+    return pii.sanitise(docs)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json")) \
+        .select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
 
-STAGES: list = []
-#: SQL has no form for the learned stages; tests hold the result against brute force.
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("pii", without_personal_data),
+    ("bpe", tokenise),
+]
+#: SQL has no form for the learned and the signature stages; tests hold ``run`` against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
+    """The rows of the last stage over ``documents``; what a stage returns is frozen for the next one."""
+    ensure_checkpoint_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else docs.checkpoint(), sf_dir)
     return docs
