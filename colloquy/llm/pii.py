@@ -46,7 +46,7 @@ _PATTERNS = {
     "card": ("", r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])?"  # of a run of digits, so "" is zero
 _WORD = r"[^\p{L}]+"
 _SPAN = "array<struct<kind:string,start:int,stop:int,value:string>>"
 

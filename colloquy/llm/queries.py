@@ -65,9 +65,9 @@ i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS p
         FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM i WHERE len(w) > 0)),
 lens AS (SELECT DISTINCT n FROM win),
-at AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS p
+cut AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS p
        FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, lens WHERE len(w) >= n)),
-hit AS (SELECT DISTINCT doc_id, item_id, s, n FROM at JOIN win USING (n, p)),
+hit AS (SELECT DISTINCT doc_id, item_id, s, n FROM cut JOIN win USING (n, p)),
 pos AS (SELECT doc_id, CAST(count(DISTINCT k) AS BIGINT) AS n_hit
         FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS k FROM hit) GROUP BY doc_id),
 its AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hit GROUP BY doc_id)
@@ -102,8 +102,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op4_norm_sorted_topk"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, c.vec_id AS vec_id,
        CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
 FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0

@@ -17,7 +17,7 @@ Defined results: vectors that are null or hold a null or non-finite component, a
 id, take no part; shorter vectors are padded with zeros; equal rows (id and vector) are one row; a
 query's own row is no candidate, another row with its id is; ties go to the smaller id; fewer than
 k candidates give fewer rows; other columns are not read.  Products beyond 2^53 are computed in
-whole numbers.
+whole numbers; a score must fit 64 bits.
 """
 
 from __future__ import annotations
