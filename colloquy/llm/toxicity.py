@@ -54,7 +54,8 @@ SEEDS = {
 #: Kinds of match: aimed insult and threat, plain ones, reported ones, negated ones, a target named after an insult.
 KINDS = ("J", "K", "I", "H", "i", "h", "n", "y")
 #: Prior weights of the kinds and, last, of the constant.
-PRIOR = np.array([2.5, 2.5, 2.0, 0.5, 0.5, 0.2, 0.1, 0.5, -3.5])
+#: An aimed insult or threat counts as a plain one too, so that its own weight is what aiming adds.
+PRIOR = np.array([0.5, 2.0, 3.0, 0.5, 0.5, 0.2, 0.1, 0.5, -3.5])
 STEM_CHARS = (4, 5, 6, 7)
 #: Scores from here on count as toxic.
 THRESHOLD = 0.3
@@ -175,10 +176,13 @@ class Matcher:
         for _, _, found in self.clauses(text):
             for kind, strength in found.items():
                 sums[_KIND_AT[kind]] += strength
+                if kind in _PLAIN:
+                    sums[_KIND_AT[_PLAIN[kind]]] += strength
         sums[:-1] = np.log1p(sums[:-1])
         return sums
 
 
+_PLAIN = {"J": "I", "K": "H"}
 _KIND_AT = {k: i for i, k in enumerate(KINDS)}
 
 
