@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.functions.text import strip_ws
+
 
 def is_populated(df: DataFrame, col: str) -> Column:
     """P11: "populated" test by type.  Strings: not NULL, not ``'None'``, not
@@ -13,7 +15,7 @@ def is_populated(df: DataFrame, col: str) -> Column:
     dt = df.schema[col].dataType
     c = F.col(col)
     if isinstance(dt, T.StringType):
-        return F.coalesce(c.isNotNull() & (c != "None") & (F.trim(c) != ""), F.lit(False))
+        return F.coalesce(c.isNotNull() & (c != "None") & (strip_ws(c) != ""), F.lit(False))
     if isinstance(dt, T.ArrayType):
         return F.coalesce(F.size(c) > 0, F.lit(False))
     if isinstance(dt, (T.DoubleType, T.FloatType)):
@@ -29,7 +31,9 @@ def nan_to_null(col: Column | str) -> Column:
 def safe_attr(col: Column | str) -> Column:
     """Null-safe attribute value: NULL / NaN -> ``''``, else the string form."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c.cast("string"), F.lit("")).alias("attr")
+    text = c.cast("string")     # of a NaN double or float: 'NaN'
+    number = F.when(F.typeof(c).isin("double", "float"), text == "NaN").otherwise(F.lit(False))
+    return F.when(text.isNull() | number, F.lit("")).otherwise(text).alias("attr")
 
 
 def to_number(col: Column | str) -> Column:

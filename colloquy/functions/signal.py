@@ -1,15 +1,14 @@
 """Signal expressions on ``ARRAY<FLOAT|DOUBLE>`` columns: H13, H15-H20, U2.
 
-All native array expressions; framing (H17) is an explode of
-frame offsets and a grouped exact percentile per signal, whose frame count is
-bounded by the clip length.
+All native array expressions; framing (H17) keeps one number per frame inside
+the signal's row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the audio steps.
@@ -97,17 +96,24 @@ def frame_snr(df: DataFrame, id_col: str, signal_col: str, frame: int = SNR_FRAM
     ``10 log10(mean(rms^2 signal) / mean(rms^2 noise))``.  NULL when the clip
     has no frame (``n <= frame``), no signal frame, or no noise power."""
     s = F.col(signal_col).cast("array<double>")
-    base = df.select(id_col, s.alias("__s"))
-    framed = base.where(F.size("__s") > frame).select(
-        id_col, "__s", F.explode(F.sequence(F.lit(0), F.size("__s") - frame - 1, F.lit(hop))).alias("__i"))
-    rms = framed.select(id_col, F.sqrt(F.aggregate(F.slice("__s", F.col("__i") + 1, frame), F.lit(0.0),
-                                                   lambda a, x: a + x * x) / frame).alias("__rms"))
-    # threshold per signal as a window over its frames, so the conditional means
-    # below reuse the same partitioning (one shuffle by id)
-    j = rms.withColumn("__thr", F.percentile("__rms", noise_q).over(Window.partitionBy(id_col)))
-    agg = j.groupBy(id_col).agg(
-        F.avg(F.when(F.col("__rms") <= F.col("__thr"), F.col("__rms") ** 2)).alias("__noise"),
-        F.avg(F.when(F.col("__rms") > F.col("__thr"), F.col("__rms") ** 2)).alias("__sig"))
-    snr = F.when((F.col("__noise") > 0) & F.col("__sig").isNotNull(), 10 * F.log10(F.col("__sig") / F.col("__noise")))
-    out = agg.select(id_col, snr.alias("snr"))
-    return base.select(id_col).join(out, id_col, "left")
+    n_frames = F.ceil((F.size(s) - frame) / F.lit(float(hop))).cast("int")
+
+    def mean_square(i: Column) -> Column:
+        return F.aggregate(F.slice(s, i * hop + 1, frame), F.lit(0.0), lambda a, x: a + x * x) / frame
+
+    # everything stays in the signal's row: one number per frame, no copy of the signal
+    rms = df.select(id_col, F.when(F.size(s) > frame, F.transform(
+        F.sequence(F.lit(0), n_frames - 1), lambda i: F.sqrt(mean_square(i)))).alias("__rms"))
+    ordered = rms.withColumn("__sorted", F.array_sort("__rms")).withColumn("__at", (F.size("__rms") - 1) * F.lit(float(noise_q)))
+    low = F.element_at("__sorted", F.floor("__at").cast("int") + 1)
+    high = F.element_at("__sorted", F.ceil("__at").cast("int") + 1)
+    thr = F.when(low == high, low).otherwise((F.ceil("__at") - F.col("__at")) * low + (F.col("__at") - F.floor("__at")) * high)
+    cut = ordered.where("__rms is not null").withColumn("__thr", thr)
+
+    def power(rows: Column) -> Column:
+        return F.aggregate(rows, F.lit(0.0), lambda a, x: a + x * x) / F.nullif(F.size(rows), F.lit(0))
+
+    noise = power(F.filter("__rms", lambda x: x <= F.col("__thr")))
+    sig = power(F.filter("__rms", lambda x: x > F.col("__thr")))
+    none = ordered.where("__rms is null").select(id_col, F.lit(None).cast("double").alias("snr"))
+    return cut.select(id_col, F.when((noise > 0) & sig.isNotNull(), 10 * F.log10(sig / noise)).alias("snr")).unionByName(none)

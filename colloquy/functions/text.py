@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from colloquy.plans.hashing import seeded_key
 
 # Java's \s is ASCII-only; Python str.strip() removes any Unicode whitespace.
-_WS = r"[\s\p{Z}\u0085\u001c-\u001f]"
+WS = r"[\s\p{Z}\u0085\u001c-\u001f]"
 
 
 def _c(x: Column | str) -> Column:
@@ -18,7 +18,7 @@ def _c(x: Column | str) -> Column:
 
 def strip_ws(col: Column | str) -> Column:
     """H5: Python ``str.strip()`` (all leading / trailing whitespace)."""
-    return F.regexp_replace(F.regexp_replace(_c(col), "^" + _WS + "+", ""), _WS + "+$", "")
+    return F.regexp_replace(F.regexp_replace(_c(col), "^" + WS + "+", ""), WS + "+$", "")
 
 
 def strip_quotes(col: Column | str) -> Column:
@@ -29,7 +29,7 @@ def strip_quotes(col: Column | str) -> Column:
 def build_tags(*labels: Column | str) -> Column:
     """H1: labels -> list of trimmed non-blank values; empty list -> NULL.
     (``normal`` is kept, as the reference code does.)"""
-    arr = F.filter(F.array(*[F.trim(_c(x).cast("string")) for x in labels]),
+    arr = F.filter(F.array(*[strip_ws(_c(x).cast("string")) for x in labels]),
                    lambda x: x.isNotNull() & (x != ""))
     return F.when(F.size(arr) > 0, arr)
 

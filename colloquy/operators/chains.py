@@ -54,7 +54,8 @@ def build_chains(utt: DataFrame, num_turns: int = 5, *,
     n = int(num_turns)
     if n < 1:
         raise ValueError("num_turns must be >= 1")
-    rows = utt.where(F.col(state_col) >= TEXT_ONLY)  # P16: hard failures leave before linking
+    # Hard failures leave before linking; rejects without a part or a turn are in no chain
+    rows = utt.where((F.col(state_col) >= TEXT_ONLY) & F.col(part_col).isNotNull() & F.col(turn_col).isNotNull())
     blocked = with_halo(rows, turn_col, halo=n, block_size=max(block_size, 2 * n))
     w = halo_window([part_col], [turn_col])
     frame = w.rowsBetween(-(n - 1), 0)

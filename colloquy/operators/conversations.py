@@ -225,22 +225,24 @@ def dedup_longest(df: DataFrame, key_col: str, size: Column, ordinal_col: str,
                   digest_key: bool = True) -> DataFrame:
     """One row per key, the largest ``size`` wins, the smallest ordinal breaks ties.
 
-    Implemented as ``max(struct(size, -ordinal, row))`` per key: an aggregate
-    with map-side combine, so a key shared by a third of all rows is reduced
-    in every map task before the shuffle.  With ``digest_key`` long keys are
-    shuffled as their SHA-256 digest.
+    ``max(struct(size, -ordinal))`` per key is a narrow aggregate with map-side
+    combine, so a key shared by a third of all rows is reduced in every map
+    task before the shuffle; the rows come back by key and ordinal, which must
+    be unique.  With ``digest_key`` long keys are shuffled as their SHA-256
+    digest.
     """
-    cols = df.columns
     k = F.sha2(F.col(key_col).cast("string"), 256) if digest_key else F.col(key_col)
-    best = F.max(F.struct(F.coalesce(size, F.lit(-1)).alias("__size"),
-                          (-F.col(ordinal_col)).alias("__neg_ord"),
-                          F.struct(*[F.col(c) for c in cols]).alias("__row")))
-    return df.groupBy(k.alias("__key")).agg(best.alias("__best")).select("__best.__row.*")
+    rows = df.withColumn("__key", k)
+    best = rows.groupBy("__key").agg(F.max(F.struct(F.coalesce(size, F.lit(-1)).alias("__size"),
+                                                    (-F.col(ordinal_col)).alias("__neg_ord"))).alias("__best")) \
+        .select(F.col("__key").alias("__best_key"), (-F.col("__best.__neg_ord")).alias("__best_ord"))
+    return rows.join(best, F.col("__key").eqNullSafe(F.col("__best_key")) & (F.col(ordinal_col) == F.col("__best_ord"))) \
+        .select(*df.columns)
 
 
 def duplicate_report(df: DataFrame, key_col: str) -> DataFrame:
     """Rows whose key occurs more than once, and the number of such keys."""
-    counts = df.groupBy(key_col).agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.groupBy(F.sha2(F.col(key_col).cast("string"), 256).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
     return counts.where(F.col("__n") > 1).agg(
         F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("dup_rows"),
         F.count(F.lit(1)).cast("bigint").alias("dup_keys"))
@@ -389,11 +391,15 @@ def merge_corpora(first: DataFrame, second: DataFrame) -> DataFrame:
 def utterances_from_turns(conv: DataFrame, source: str = "dialogue") -> DataFrame:
     """Turn table -> utterance rows: ``path = conv_id/turn``, speaker = role,
     system turns are text-only (-1), every row is one conversation part.
-    ``prev_filename`` is W2 (previous turn's path)."""
+    ``turn_index`` is the row's place in its conversation (W1; turn numbers may
+    skip), ``prev_filename`` W2 (previous turn's path)."""
+    from colloquy.plans.blocks import DEFAULT_BLOCK, running_agg
+    conv = running_agg(conv.where(F.col("turn").isNotNull()), ["conv_id"], F.floor(F.col("turn") / F.lit(DEFAULT_BLOCK)).cast("bigint"),
+                       ["turn"], F.lit(1), "__place")
     path = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
     base = conv.select(
         F.lit(source).alias("source"), F.col("conv_id"), F.col("conv_id").alias("part_id"),
-        F.col("turn").cast("bigint").alias("turn_index"), path.alias("relative_audio_path"),
+        (F.col("__place") - 1).cast("bigint").alias("turn_index"), path.alias("relative_audio_path"),
         F.col("role").alias("speakerid"), F.col("text").alias("transcription"),
         F.col("text").alias("text_description"),
         F.when(F.col("role") == "system", F.lit(TEXT_ONLY)).otherwise(F.lit(0)).alias("audio_idx"))
@@ -401,7 +407,7 @@ def utterances_from_turns(conv: DataFrame, source: str = "dialogue") -> DataFram
 
 
 def previous_path(df: DataFrame, part_col: str, turn_col: str, path_col: str, out: str) -> DataFrame:
-    """W2 for a dense turn index: ``lag(path)`` over a halo-blocked window, so a
+    """W2 for a dense turn index (see ``assign_turns``): ``lag(path)`` over a halo-blocked window, so a
     huge conversation is cut into bounded tasks (one shuffle)."""
     from colloquy.plans.blocks import drop_halo, halo_window, with_halo
     blocked = with_halo(df, turn_col, halo=1)

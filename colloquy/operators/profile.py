@@ -181,7 +181,8 @@ def histogram_fixed(df: DataFrame, col: str, bins: int, by: Sequence[str] = ())
     """``bins`` equal-width bins over the global min..max, half-open, the
     last bin closed.  Output ``(by..., bin, lo, hi, count)``; empty bins kept."""
     stats = df.agg(F.min(col).alias("__lo"), F.max(col).alias("__hi")).first()
-    lo, hi = float(stats["__lo"]), float(stats["__hi"])
+    # no value: bins of width 1 from 0, all empty
+    lo, hi = float(stats["__lo"] or 0.0), float(stats["__hi"] or 0.0)
     width = (hi - lo) / bins if hi > lo else 1.0
     b = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, b.alias("bin")).agg(

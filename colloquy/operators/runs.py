@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.plans.blocks import drop_halo, halo_window, running_agg, with_halo
+from colloquy.plans.blocks import BLOCK, running_agg
 from colloquy.plans.rank import rank_within
 from colloquy.plans.topk import top_k_per_group
 
@@ -135,42 +135,42 @@ def series_positions(long: DataFrame, run_cols: Sequence[str], order: Sequence[s
     return rank_within(long.where(F.col(value_col).isNotNull()), list(run_cols), list(order), out=out)
 
 
-def _ewm_depth(span: float) -> tuple[float, int, int]:
-    """Weight ``w``, the look-back ``depth`` past which weights fall below 1e-18,
-    and a block size with ``depth < block`` and ``w^-(block + depth)`` finite."""
-    w = 1.0 - 2.0 / (span + 1.0)
-    if w <= 0:
-        return w, 1, 4096
-    lnw = -math.log(w)
-    depth = int(math.ceil(math.log(1e18) / lnw))
-    upper = int(600 / lnw) - depth
-    block = max(2 * depth, min(4096, upper))
-    if block > upper:
-        raise ValueError(f"span {span} too large for the blocked EWM")
-    return w, depth, block
-
-
 def ewm_mean(series: DataFrame, run_cols: Sequence[str], step_col: str, value_col: str,
              span: float = SMOOTH_SPAN, out: str = "ewm") -> DataFrame:
     """Exponentially weighted mean (``adjust=True``) per run over dense
     positions ``step`` (see ``series_positions``).
 
-    ``y_t = sum_i w^(t-i) x_i / sum_i w^i`` with ``w = 1 - 2/(span+1)``.  Terms
-    older than ``depth`` positions weigh less than 1e-18 of the newest, below
-    double precision, so the numerator is a bounded ``rows between depth
-    preceding`` window on halo-blocked positions (one shuffle; a long run is
-    split into blocks); the denominator is closed form.
+    ``y_t = sum_i w^(t-i) x_i / sum_i w^i`` with ``w = 1 - 2/(span+1)``, over all
+    earlier rows.  Positions are cut into blocks of about ``300 * span`` rows,
+    the most for which ``w^-block`` stays finite.  Each block has a decayed
+    total; a total reaches the next blocks as ``w^distance * total`` (explode
+    and sum, no window over a run) until ``w^distance`` times the largest
+    double is zero; a row adds the window sum inside its own block.
     """
-    w, depth, block = _ewm_depth(span)
+    w = 1.0 - 2.0 / (span + 1.0)
     if w <= 0:
         return series.withColumn(out, F.col(value_col).cast("double"))
-    h = with_halo(series, step_col, halo=depth, block_size=block)
-    local = F.col(step_col) - (F.col("__blk") * block - depth)      # 0 .. block + depth
-    h = h.withColumn("__sx", F.col(value_col).cast("double") * F.pow(F.lit(w), -local))
-    win = halo_window(list(run_cols), [step_col]).rowsBetween(-depth, 0)
-    num = F.sum("__sx").over(win) * F.pow(F.lit(w), local)
-    den = (1 - F.pow(F.lit(w), F.col(step_col) + 1)) / (1 - w)
-    return drop_halo(h.withColumn(out, num / den)).drop("__sx")
+    lnw = -math.log(w)
+    block = max(1, int(600 / lnw))
+    reach = int(math.ceil(1500 / (lnw * block))) + 1     # e^-1500 * 1e308 is zero
+    data = series.withColumn(BLOCK, F.floor(F.col(step_col) / F.lit(block)).cast("bigint")) \
+        .withColumn("__x", F.col(value_col).cast("double"))
+    local = F.col(step_col) - F.col(BLOCK) * F.lit(block)            # 0 .. block - 1
+    ends = data.groupBy(*run_cols, BLOCK).agg(F.sum(F.col("__x") * F.pow(F.lit(w), F.lit(block - 1) - local)).alias("__t"))
+    # the power is taken in three parts, so that a large total meets a small weight without underflow
+    far = (F.col("__k") - 1) * F.lit(block / 3.0)
+    step = F.pow(F.lit(w), far)
+    carry = ends.select(*run_cols, BLOCK, "__t", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("__k")) \
+        .select(*[F.col(c).alias("__c_" + c) for c in run_cols], (F.col(BLOCK) + F.col("__k")).alias("__c_blk"),
+                (F.col("__t") * step * step * step).alias("__t")) \
+        .groupBy(*["__c_" + c for c in run_cols], "__c_blk").agg(F.sum("__t").alias("__carry"))
+    win = Window.partitionBy(*run_cols, BLOCK).orderBy(step_col).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.sum(F.col("__x") * F.pow(F.lit(w), -local)).over(win) * F.pow(F.lit(w), local)
+    cond = [F.col(BLOCK) == F.col("__c_blk")] + [F.col(c).eqNullSafe(F.col("__c_" + c)) for c in run_cols]
+    joined = data.withColumn("__in", inside).join(carry, cond, "left")
+    num = F.col("__in") + F.coalesce(F.col("__carry") * F.pow(F.lit(w), local + 1), F.lit(0.0))
+    den = -F.expm1((F.col(step_col) + 1) * F.lit(-lnw)) / F.lit(1 - w)
+    return joined.withColumn(out, num / den).drop(BLOCK, "__x", "__in", "__carry", "__c_blk", *["__c_" + c for c in run_cols])
 
 
 def aligned_mean(series: DataFrame, run_cols: Sequence[str], step_col: str, value_col: str) -> DataFrame:
@@ -184,7 +184,7 @@ def aligned_mean(series: DataFrame, run_cols: Sequence[str], step_col: str, valu
     r = series.select(*run_cols, step_col, F.col(value_col).cast("double").alias("__v"))
     per_step = r.groupBy(step_col).agg(F.sum("__v").alias("__alive"))
     lasts = r.groupBy(*run_cols).agg(F.max(F.struct(step_col, "__v")).alias("__last"))
-    n_runs = lasts.count()
+    runs = lasts.agg(F.count(F.lit(1)).cast("double").alias("__runs"))   # one row
     ended = lasts.select((F.col("__last").getField(step_col) + 1).alias(step_col),
                          F.col("__last").getField("__v").alias("__held")) \
         .groupBy(step_col).agg(F.sum("__held").alias("__held"))
@@ -194,8 +194,8 @@ def aligned_mean(series: DataFrame, run_cols: Sequence[str], step_col: str, valu
     u = u.withColumn("__g", F.lit(0))
     run = running_agg(u, ["__g"], F.floor(F.col(step_col) / 4096), [step_col, "__kind"],
                       F.coalesce("__held", F.lit(0.0)), "__held_sum", how="sum")
-    return run.where(F.col("__kind") == 1).select(
-        step_col, ((F.col("__alive") + F.col("__held_sum")) / F.lit(float(n_runs))).alias("mean"))
+    return run.where(F.col("__kind") == 1).withColumn("__one", F.lit(1)).join(runs.withColumn("__one", F.lit(1)), "__one") \
+        .select(step_col, ((F.col("__alive") + F.col("__held_sum")) / F.col("__runs")).alias("mean"))
 
 
 def step_mean(series: DataFrame, step_col: str, value_col: str) -> DataFrame:

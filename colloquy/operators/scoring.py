@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.functions.tags import set_f1_metric, tag_mentions
+from colloquy.functions.tags import WORD, set_f1_metric, tag_mentions
+from colloquy.functions.text import WS
 
-WS_SPLIT = r"[\s\p{Z}]+"
+WS_SPLIT = WS + "+"
 # Python's string.punctuation (chrF++ word tokenisation).
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CHAR_ORDER = 6
@@ -32,23 +33,31 @@ BETA = 2
 
 
 def tag_f1(pairs: DataFrame, vocab: DataFrame, *, id_col: str = "id", group_col: str = "source",
-           pred_col: str = "pred", ref_col: str = "ref", max_words: int | None = None) -> DataFrame:
+           pred_col: str = "pred", ref_col: str = "ref") -> DataFrame:
     """Per group, mean / std of tag-F1 per vocabulary category and overall.
 
+    A vocabulary with a ``source`` column gives each group its own categories
+    and tags; without one all groups share them.
     Rows without tags on both sides score 1 (H7) and are counted without being
     materialised per category: ``mean = (sum over tagged rows + untagged) / N``.
     Output: ``(group, category, tag_f1_mean, tag_f1_std)``; ``category =
     'overall'`` is the union of categories.
     """
-    if max_words is None:
-        max_words = int(vocab.select(F.max(F.size(F.split(F.trim("tag"), " ")))).first()[0] or 1)
+    # a candidate is a run of word pieces: "high-pitched" has two
+    max_words = int(vocab.select(F.max(F.size(F.regexp_extract_all("tag", F.lit(WORD), 0)))).first()[0] or 1)
+    own = "source" in vocab.columns
+    # the category of a source travels as one name, so that each source's scan is its own
+    named = vocab.select(F.to_json(F.array(F.col("source").cast("string"), F.col("category"))).alias("category"), "tag") if own else vocab
     base = pairs.select(id_col, group_col, pred_col, ref_col)
     # one pass over both sides: (id, side, text) rows
-    sides = base.select(id_col, F.explode(F.array(
+    sides = base.select(id_col, group_col, F.explode(F.array(
         F.struct(F.lit(1).alias("__side"), F.col(pred_col).alias("__text")),
         F.struct(F.lit(2).alias("__side"), F.col(ref_col).alias("__text")))).alias("__x")) \
-        .select(id_col, "__x.__side", "__x.__text")
-    m = tag_mentions(sides, [id_col, "__side"], "__text", vocab, max_words)
+        .select(id_col, group_col, "__x.__side", "__x.__text")
+    m = tag_mentions(sides, [id_col, group_col, "__side"], "__text", named, max_words)
+    if own:
+        parts = F.from_json("category", "array<string>")
+        m = m.where(parts[0].eqNullSafe(F.col(group_col).cast("string"))).withColumn("category", parts[1])
     # every mention counts for its category and for 'overall' (union of categories)
     m = m.select(id_col, "__side", "tag", F.explode(F.array(F.col("category"), F.lit("overall"))).alias("category"))
     per_tag = m.groupBy(id_col, "category", "tag").agg(
@@ -60,11 +69,14 @@ def tag_f1(pairs: DataFrame, vocab: DataFrame, *, id_col: str = "id", group_col:
     sums = scored.groupBy(group_col, "category").agg(
         F.count(F.lit(1)).alias("__k"), F.sum("__f1").alias("__s"), F.sum(F.col("__f1") ** 2).alias("__s2"))
     totals = base.groupBy(group_col).agg(F.count(F.lit(1)).alias("__n"))
-    # groups x categories is the output grid; the category names of the
-    # vocabulary (a parameter table of a few categories) are read once and
-    # exploded into every group row, no join
-    names = sorted(r[0] for r in vocab.select("category").distinct().collect()) + ["overall"]
-    grid = totals.select(group_col, "__n", F.explode(F.array(*[F.lit(c) for c in names])).alias("category"))
+    # groups x their categories is the output grid; the category names of the
+    # vocabulary (a parameter table of a few categories) become one array
+    every = F.array_sort(F.collect_set("category")).alias("__names")
+    names = vocab.groupBy(F.col("source").cast("string").alias("__src")).agg(every) if own \
+        else vocab.agg(every).withColumn("__src", F.lit(1))
+    left = totals.withColumn("__src", F.col(group_col).cast("string") if own else F.lit(1))
+    grid = left.join(names, "__src", "left").select(group_col, "__n", F.explode(F.concat(
+        F.coalesce("__names", F.array().cast("array<string>")), F.array(F.lit("overall")))).alias("category"))
     full = grid.join(sums, [group_col, "category"], "left").fillna(0, ["__k", "__s", "__s2"])
     mean = (F.col("__s") + (F.col("__n") - F.col("__k"))) / F.col("__n")
     ex2 = (F.col("__s2") + (F.col("__n") - F.col("__k"))) / F.col("__n")

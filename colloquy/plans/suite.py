@@ -524,30 +524,35 @@ def q_label_pivot(spark, sf_dir):
 SELECT source, round(coalesce(sum(n_chars) FILTER (WHERE lang = 'de'), 0) / 3600.0, 6) AS de,
        round(coalesce(sum(n_chars) FILTER (WHERE lang = 'en'), 0) / 3600.0, 6) AS en,
        round(coalesce(sum(n_chars) FILTER (WHERE lang = 'es'), 0) / 3600.0, 6) AS es,
-       round(coalesce(sum(n_chars) FILTER (WHERE lang = 'fr'), 0) / 3600.0, 6) AS fr
+       round(coalesce(sum(n_chars) FILTER (WHERE lang = 'fr'), 0) / 3600.0, 6) AS fr,
+       round(coalesce(sum(n_chars) FILTER (WHERE coalesce(lang, '') NOT IN ('de', 'en', 'es', 'fr')), 0) / 3600.0, 6) AS other
 FROM documents GROUP BY source
 """)
 def q_hours_pivot(spark, sf_dir):
-    """A5: hours pivoted source x language."""
-    p = pf.pivot_hours(_docs(spark, sf_dir, ["source", "lang", "n_chars"]), "source", "lang", "n_chars",
-                       ["de", "en", "es", "fr"])
-    return p.select("source", *[r6(F.col(c)).alias(c) for c in ["de", "en", "es", "fr"]])
+    """A5: hours pivoted source x language; languages without a column, and NULL, are ``other``."""
+    langs = ["de", "en", "es", "fr"]
+    docs = _docs(spark, sf_dir, ["source", "lang", "n_chars"]) \
+        .withColumn("lang", F.when(F.col("lang").isin(langs), F.col("lang")).otherwise("other"))
+    p = pf.pivot_hours(docs, "source", "lang", "n_chars", [*langs, "other"])
+    return p.select("source", *[r6(F.col(c)).alias(c) for c in [*langs, "other"]])
 
 
 @register("length_lang_crosstab", """
 WITH b AS (SELECT CAST(floor(log10(greatest(n_chars, 1))) AS INT) AS len_bin, lang FROM documents),
-dom AS (SELECT CAST(range AS INT) AS len_bin FROM range(0, 6)),
-c AS (SELECT len_bin, CAST(count_if(lang = 'en') AS BIGINT) AS en, CAST(count_if(lang = 'de') AS BIGINT) AS de FROM b
-      WHERE lang IN ('en', 'de') GROUP BY len_bin)
-SELECT dom.len_bin, coalesce(c.en, 0) AS en, coalesce(c.de, 0) AS de FROM dom LEFT JOIN c ON dom.len_bin = c.len_bin
+dom AS (SELECT unnest(range(0, (SELECT max(len_bin) + 1 FROM b)))::INT AS len_bin),
+c AS (SELECT len_bin, CAST(count_if(lang = 'en') AS BIGINT) AS en, CAST(count_if(lang = 'de') AS BIGINT) AS de,
+             CAST(count_if(coalesce(lang, '') NOT IN ('en', 'de')) AS BIGINT) AS other FROM b GROUP BY len_bin)
+SELECT dom.len_bin, coalesce(c.en, 0) AS en, coalesce(c.de, 0) AS de, coalesce(c.other, 0) AS other FROM dom LEFT JOIN c ON dom.len_bin = c.len_bin
 """)
 def q_length_lang_crosstab(spark, sf_dir):
-    """A6 + J12: length bins (domain 0..5 forced) x two forced languages."""
+    """A6 + J12: every length bin up to the longest x two forced languages and the rest."""
     d = _docs(spark, sf_dir, ["n_chars", "lang"]).select(
-        F.floor(F.log10(F.greatest("n_chars", F.lit(1)))).cast("int").alias("len_bin"), "lang")
-    dom = spark.range(0, 6).select(F.col("id").cast("int").alias("len_bin"))
-    x = pf.crosstab_forced(d, "len_bin", "lang", dom, ["en", "de"])
-    return x.select("len_bin", F.col("en").cast("bigint").alias("en"), F.col("de").cast("bigint").alias("de"))
+        F.floor(F.log10(F.greatest("n_chars", F.lit(1)))).cast("int").alias("len_bin"),
+        F.when(F.col("lang").isin("en", "de"), F.col("lang")).otherwise("other").alias("lang"))
+    dom = d.agg(F.max("len_bin").alias("top")).where("top is not null") \
+        .select(F.explode(F.sequence(F.lit(0), F.col("top"))).alias("len_bin"))
+    x = pf.crosstab_forced(d, "len_bin", "lang", dom, ["en", "de", "other"])
+    return x.select("len_bin", *[F.col(c).cast("bigint").alias(c) for c in ["en", "de", "other"]])
 
 
 def _turn_pairs(spark, sf_dir):
@@ -650,7 +655,7 @@ def q_distinct_counts(spark, sf_dir):
     """A13."""
     d = _docs(spark, sf_dir, ["source", "lang", "text"])
     return d.agg(F.countDistinct("source").alias("n_sources"), F.countDistinct("lang").alias("n_langs"),
-                 F.countDistinct("text").alias("n_texts"))
+                 F.countDistinct(F.sha2("text", 256)).alias("n_texts"))     # digests, not texts, are shuffled
 
 
 @register("label_domain", "SELECT lang AS label FROM documents UNION SELECT role FROM conversations")
@@ -714,7 +719,7 @@ def q_tag_freq(spark, sf_dir):
 @register("tag_cooc", "WITH " + _PART_TAGS_SQL + """,
 r AS (SELECT attribute || object AS t FROM tg WHERE len(attribute || object) >= 2),
 pr AS (SELECT least(t[i], t[j]) AS tag_a, greatest(t[i], t[j]) AS tag_b
-       FROM r, range(1, 64) a(i), range(1, 64) b(j) WHERE i < j AND j <= len(t))
+       FROM (SELECT t, i, unnest(generate_series(1, len(t))) AS j FROM (SELECT t, unnest(generate_series(1, len(t))) AS i FROM r)) WHERE i < j)
 SELECT tag_a, tag_b, count(*) AS count, tag_a = tag_b AS self_pair FROM pr GROUP BY tag_a, tag_b
 """)
 def q_tag_cooc(spark, sf_dir):
@@ -839,7 +844,7 @@ def q_tag_f1(spark, sf_dir):
     """T1 (+ H7, H8): tag-F1 per category and overall, vocabulary built by A19."""
     voc = pf.vocabulary(_part_tags(spark, sf_dir), "p_brand", ["attribute", "object"]) \
         .select("category", F.explode("tags").alias("tag")).distinct()
-    out = sc.tag_f1(_part_pairs(spark, sf_dir), voc, id_col="id", group_col="source", max_words=1)
+    out = sc.tag_f1(_part_pairs(spark, sf_dir), voc, id_col="id", group_col="source")
     return out.select("source", "category", r6(F.col("tag_f1_mean")).alias("tag_f1_mean"),
                       r6(F.col("tag_f1_std")).alias("tag_f1_std"))
 

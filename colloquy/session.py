@@ -58,7 +58,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(current)
         return current
     master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="colloquy-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)

@@ -51,9 +51,9 @@ def _re_escape(s: str) -> str:
 def _read_files(spark: SparkSession, root: str, suffix: str = "*.wav", max_bytes: int | None = None) -> DataFrame:
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
           .option("pathGlobFilter", suffix).load(root))
-    if max_bytes is not None:
-        df = df.where(F.col("length") <= max_bytes)
-    return df.select("path", "length", "content")
+    # a file over the limit is not read into a task, but stays as a row with an error
+    content = F.col("content") if max_bytes is None else F.when(F.col("length") <= max_bytes, F.col("content"))
+    return df.select("path", "length", content.alias("content"))
 
 
 def _parse_header(content: bytes) -> tuple[int, int, int, int]:
@@ -65,6 +65,9 @@ def _manifest_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         rows = []
         for path, length, content in zip(pdf["path"], pdf["length"], pdf["content"]):
+            if content is None:
+                rows.append((path, int(length), None, None, None, None, None, "too_large"))
+                continue
             try:
                 sr, ch, sw, nf = _parse_header(bytes(content))
                 rows.append((path, int(length), sr, ch, sw, nf, nf / sr if sr else None, None))
@@ -97,14 +100,14 @@ def _decode(content: bytes) -> tuple[int, int, np.ndarray]:
 
 def _decode_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
-        rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
             try:
-                sr, ch, x = _decode(bytes(content))
-                rows.append((path, sr, ch, x.tolist(), None))
+                sr, ch, x = _decode(bytes(content)) if content is not None else (None, None, None)
+                row = (path, sr, ch, x, None if content is not None else "too_large")
             except (wave.Error, EOFError, struct.error, ValueError) as e:
-                rows.append((path, None, None, None, f"unreadable: {type(e).__name__}"))
-        yield pd.DataFrame(rows, columns=[f.name for f in DECODED_SCHEMA.fields])
+                row = (path, None, None, None, f"unreadable: {type(e).__name__}")
+            # a file at a time: one decoded clip in memory
+            yield pd.DataFrame([row], columns=[f.name for f in DECODED_SCHEMA.fields])
 
 
 def decode_audio(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
@@ -124,7 +127,8 @@ def sample_rate_report(manifest: DataFrame) -> DataFrame:
     out = g.select("sample_rate", "n_files", F.min("sample_rate").over(w).alias("min_rate"),
                    F.max("sample_rate").over(w).alias("max_rate"),
                    F.sum("__bad").over(w).cast("bigint").alias("n_unreadable"))
-    return out.where(F.col("sample_rate").isNotNull() & (F.col("n_files") > 0))
+    # files that are all unreadable leave one row without a rate
+    return out.where((F.col("sample_rate").isNotNull() & (F.col("n_files") > 0)) | F.col("min_rate").isNull())
 
 
 def write_waveform_store(rows: DataFrame, path: str, partition_by: str = "source") -> DataFrame:

@@ -1,7 +1,5 @@
 """Conversation rebuild on literal fixtures (FIXTURES.md A1-A4)."""
 
-import re
-
 from pyspark.sql import functions as F
 
 from colloquy.operators import conversations as cv
@@ -46,29 +44,35 @@ def test_find_missing_respects_styles(spark):
     assert got == {_p("happy", 2.0, 2.5), "loose.wav"}
 
 
-def _py_parse(context):
-    parts = re.compile(r"(?<!\w)([A-Z])\s*:").split(context.strip())
-    out, i, k = [], 1, 0
-    while i + 1 < len(parts):
-        sp, tx = parts[i].strip(), parts[i + 1].strip()
-        if sp and tx:
-            out.append((sp, tx, k))
-            k += 1
-        i += 2
-    return out
-
-
-def test_parse_context_matches_python(spark):
-    cases = ["A : hi B: yo A:  B: bye", "intro A: one B:two", "ZA: no B: yes", "A:x", "  A :  spaced  B : end "]
-    df = spark.createDataFrame([(str(i), c) for i, c in enumerate(cases)] + [("n", None)], "diag_id string, context string")
+def test_parse_context_literal_cases(spark):
+    want = {
+        # a speaker without text is skipped and takes no index
+        "A : hi B: yo A:  B: bye": [("A", "hi", 0), ("B", "yo", 1), ("B", "bye", 2)],
+        # what stands before the first speaker belongs to none
+        "intro A: one B:two": [("A", "one", 0), ("B", "two", 1)],
+        # a letter inside a word is no speaker
+        "ZA: no B: yes": [("B", "yes", 0)],
+        "A:x": [("A", "x", 0)],
+        "  A :  spaced  B : end ": [("A", "spaced", 0), ("B", "end", 1)],
+        "no speaker": [],
+    }
+    df = spark.createDataFrame([(c, c) for c in want] + [("n", None)], "diag_id string, context string")
     got = {}
     for r in cv.parse_context(df).collect():
         got.setdefault(r.diag_id, []).append((r.speaker_label, r.transcription, r.turn_index))
-    for i, c in enumerate(cases):
-        assert sorted(got.get(str(i), []), key=lambda x: x[2]) == _py_parse(c), c
+    assert {c: sorted(got.get(c, []), key=lambda x: x[2]) for c in want} == want
     assert "n" not in got
 
 
+def test_turns_that_skip_numbers_keep_their_links(spark):
+    turns = [0, 3, 4090, 4100, 9000, 9001]       # block edges at 4096 and 8192
+    conv = spark.createDataFrame([("c", t, "user", f"t{t}") for t in turns] + [("d", 5, "user", "x"), ("d", None, "user", "y")],
+                                 "conv_id string, turn long, role string, text string")
+    got = {r.relative_audio_path: (r.turn_index, r.prev_filename) for r in cv.utterances_from_turns(conv).collect()}
+    want = {f"c/{t}": (i, f"c/{turns[i - 1]}" if i else None) for i, t in enumerate(turns)}
+    assert got == want | {"d/5": (0, None)}
+
+
 def test_second_corpus_rows(spark):
     schema = ("diag_id string, context string, curr_audio_id string, curr_text string, curr_emotion string,"
               " curr_speed string, curr_volume string, res_audio_id string, res_text string, res_emotion string,"

@@ -102,7 +102,7 @@ def test_tag_f1_edges(spark):
     vocab = spark.createDataFrame([("emotion", "sad"), ("emotion", "happy"), ("speed", "fast")], "category string, tag string")
     pairs = spark.createDataFrame([(1, "s", "nothing", "nothing"), (2, "s", "sad fast", "sad"), (3, "s", "", "happy")],
                                   "id long, source string, pred string, ref string")
-    got = {r.category: (r.tag_f1_mean, r.tag_f1_std) for r in sc.tag_f1(pairs, vocab, max_words=1).collect()}
+    got = {r.category: (r.tag_f1_mean, r.tag_f1_std) for r in sc.tag_f1(pairs, vocab).collect()}
     # emotion: 1.0 (no tags), 1.0, 0.0 ; speed: 1.0, 0.0 (one side), 1.0 ; overall: 1.0, 2/3, 0.0
     assert math.isclose(got["emotion"][0], 2 / 3) and math.isclose(got["speed"][0], 2 / 3)
     assert math.isclose(got["overall"][0], (1 + 2 * 0.5 * 1 / 1.5 + 0) / 3)
@@ -200,3 +200,22 @@ def test_collapse_all_zero_vectors(spark):
     df = spark.createDataFrame([(0, [0.0, 0.0]), (0, [0.0, 0.0])], "g int, v array<double>")
     r = sc.vector_collapse(df, "g", "v").first()
     assert r.vec_norm_cv is None and r.mean_cosine_sim == 0.0
+
+
+def test_tag_f1_counts_word_pieces(spark):
+    vocab = spark.createDataFrame([("pitch", "high-pitched")], "category string, tag string")
+    pairs = spark.createDataFrame([(1, "x", "a high-pitched voice", "plain"), (2, "y", "high-pitched", "so high-pitched")],
+                                  "id int, source string, pred string, ref string")
+    got = {(r.source, r.category): r.tag_f1_mean for r in sc.tag_f1(pairs, vocab).collect()}
+    assert got == {("x", "pitch"): 0.0, ("x", "overall"): 0.0, ("y", "pitch"): 1.0, ("y", "overall"): 1.0}
+
+
+def test_tag_f1_uses_each_sources_own_categories(spark):
+    vocab = spark.createDataFrame([("s1", "tone", "calm tone"), ("s2", "speed", "fast"), ("s2", "tone", "sad")],
+                                  "source string, category string, tag string")
+    pairs = spark.createDataFrame([(1, "s1", "a calm tone, fast", "fast, calm  tone"), (2, "s2", "calm tone and fast", "fast sad"),
+                                   (3, "s3", "fast", "sad")], "id int, source string, pred string, ref string")
+    got = {(r.source, r.category): round(r.tag_f1_mean, 4) for r in sc.tag_f1(pairs, vocab).collect()}
+    # s1: "calm  tone" has two blanks and is no tag; s2: {fast} against {fast, sad}; s3 has no vocabulary
+    assert got == {("s1", "tone"): 0.0, ("s1", "overall"): 0.0, ("s2", "speed"): 1.0, ("s2", "tone"): 0.0,
+                   ("s2", "overall"): round(2 / 3, 4), ("s3", "overall"): 1.0}

@@ -15,30 +15,35 @@ from colloquy.functions import nulls, signal as sg, text as tx
 from colloquy.sources import audio, tables
 
 
-def _snr_ref(y, frame, hop):
-    frames = [y[i:i + frame] for i in range(0, len(y) - frame, hop)]
-    if not frames:
-        return None
-    rms = np.sqrt(np.mean(np.array(frames) ** 2, axis=1))
-    thr = np.percentile(rms, 30)
-    noise = rms[rms <= thr]
-    sig = rms[rms > thr]
-    if len(sig) == 0:
-        return None
-    npow, spow = np.mean(noise ** 2), np.mean(sig ** 2)
-    return None if npow <= 0 else 10 * np.log10(spow / npow)
-
-
-def test_frame_snr_matches_numpy(spark):
-    rnd = np.random.default_rng(4)
-    sigs = {0: np.zeros(0), 1: rnd.normal(size=400), 2: rnd.normal(size=512), 3: rnd.normal(size=513),
-            4: rnd.normal(size=2000) * np.linspace(0, 3, 2000), 5: np.zeros(2000), 6: np.ones(2000)}
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in sigs.items()], "id int, w array<double>")
-    got = {r.id: r.snr for r in sg.frame_snr(df, "id", "w").collect()}
-    for k, v in sigs.items():
-        exp = _snr_ref(v, 512, 256)
-        assert (exp is None and got[k] is None) or math.isclose(got[k], exp, rel_tol=1e-9), k
-    assert got[3] is None    # 513 samples: one frame, nothing above the threshold
+def _frames(*levels):
+    """A signal whose frames of four samples (hop 4) have these RMS values."""
+    return [float(x) * (-1) ** i for x in levels for i in range(4)] + [0.0]
+
+
+def test_frame_snr_closed_form(spark):
+    sigs = {
+        0: [], 1: [1.0] * 4, 2: _frames(1.0),                 # no frame, no frame, one frame
+        3: _frames(*[0.0] * 8), 4: _frames(*[1.0] * 8),       # silence; no frame above the noise
+        5: _frames(*[0.5] * 4, *[5.0] * 6),                   # two levels: a power ratio of 100
+        6: _frames(*range(1, 11)),                            # threshold 3.7: 1, 2, 3 are noise
+        7: _frames(0.5, *[1.0] * 9),                          # the threshold is the upper level
+        8: None,
+    }
+    df = spark.createDataFrame([(k, v) for k, v in sigs.items()], "id int, w array<double>")
+    got = {r.id: r.snr for r in sg.frame_snr(df, "id", "w", frame=4, hop=4).collect()}
+    assert set(got) == set(sigs) and all(got[k] is None for k in (0, 1, 2, 3, 4, 7, 8))
+    assert math.isclose(got[5], 20.0, rel_tol=1e-9)
+    assert math.isclose(got[6], 10 * math.log10((sum(x * x for x in range(4, 11)) / 7) / (14 / 3)), rel_tol=1e-9)
+
+
+def test_frame_snr_of_long_clips_stays_in_the_row(spark):
+    # eight clips of 480,000 samples; half quiet, half ten times as loud
+    quiet = F.array_repeat(F.lit(0.1), 240_000)
+    clips = spark.range(8).repartition(4).select("id", F.concat(quiet, F.transform(quiet, lambda x: x * 10)).alias("w"))
+    out = sg.frame_snr(clips, "id", "w")
+    assert "Exchange" not in sg.frame_snr(clips.select("id", "w"), "id", "w")._jdf.queryExecution().optimizedPlan().toString()
+    got = [r.snr for r in out.collect()]
+    assert len(got) == 8 and all(19 < x < 20.1 for x in got)
 
 
 def test_peak_pad_slice(spark):
@@ -77,6 +82,11 @@ def test_audio_files(spark):
     dec = {os.path.basename(r.path): r for r in audio.decode_audio(spark, root).collect()}
     assert dec["one.wav"].waveform == [0.0, 0.5, -0.5, 0.0]
     assert np.allclose(dec["two.wav"].waveform, [200 / 32768, -200 / 32768])      # channels averaged
+    small = {os.path.basename(r.path): r.error for r in audio.audio_manifest(spark, root, max_bytes=20).collect()}
+    assert set(small) == set(man) and small["one.wav"] == small["two.wav"] == "too_large"
+    assert {r.error for r in audio.decode_audio(spark, root, max_bytes=1).collect()} == {"too_large"}
+    none = audio.sample_rate_report(audio.audio_manifest(spark, root, max_bytes=1)).collect()
+    assert [(r.sample_rate, r.n_files, r.n_unreadable) for r in none] == [(None, 0, 3)]
     store = os.path.join(tempfile.mkdtemp(prefix="colloquy-store-"), "wave")
     rows = audio.decode_audio(spark, root).where("error IS NULL").withColumn("source", F.lit("x"))
     tot = audio.write_waveform_store(rows, store).first()
@@ -125,7 +135,7 @@ def test_null_and_text_helpers(spark):
     assert [x.ps for x in r] == [True, False, False] and [x.pa for x in r] == [True, False, False]
     assert [x.pd for x in r] == [False, True, False]
     assert [x.st for x in r] == [" x \t\n".strip(), " y ".strip(), None]
-    assert r[2].sa == "" and r[0].bad is None and r[0].q == "q"
+    assert r[0].sa == r[2].sa == "" and r[1].sa == "1.0" and r[0].bad is None and r[0].q == "q"
     assert r[0].fd == "1h 2m 3.46s" and r[0].fm == "1m 5.00s"
 
 
@@ -143,7 +153,6 @@ def test_driver_contract(spark):
     assert E.entry(spark).count() >= 0
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"rouge_l", "eval_report"}
 
 
 def test_failure_reasons_and_routing(spark):

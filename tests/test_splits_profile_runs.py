@@ -263,3 +263,26 @@ def test_vocabulary_json_key_order(spark):
     df = spark.createDataFrame([("a b", ["x"]), ("a", ["y"])], "source string, tags array<string>")
     doc = pf.vocabulary_json(pf.vocabulary(df, "source", ["tags"])).first().value
     assert list(json.loads(doc)) == ["a", "a b"] and json.loads(doc)["a"] == {"tags": ["y"]}
+
+
+def test_ewm_keeps_early_values(spark):
+    x = [1e30] + [1.0] * 4999
+    exp = pd.Series(x).ewm(span=10).mean().to_numpy()
+    df = spark.createDataFrame([("r", i, v) for i, v in enumerate(x)], "run string, step long, value double")
+    for r in rn.ewm_mean(df, ["run"], "step", "value").collect():
+        assert math.isclose(r.ewm, exp[r.step], rel_tol=1e-9), r.step
+
+
+def test_ewm_any_span(spark):
+    x = [float(i % 7) for i in range(3000)]
+    df = spark.createDataFrame([("r", i, v) for i, v in enumerate(x)], "run string, step long, value double")
+    for span in (1.5, 5000, 1e7):
+        exp = pd.Series(x).ewm(span=span).mean().to_numpy()
+        got = sorted((r.step, r.ewm) for r in rn.ewm_mean(df, ["run"], "step", "value", span=span).collect())
+        assert np.allclose([v for _, v in got], exp, rtol=1e-7)
+
+
+def test_histogram_of_no_values(spark):
+    df = spark.createDataFrame([(None, "a")], "v double, g string")
+    assert [(r["bin"], r["count"]) for r in pf.histogram_fixed(df, "v", 3).orderBy("bin").collect()] == [(0, 0), (1, 0), (2, 0)]
+    assert pf.histogram_fixed(df.where("false"), "v", 3, by=["g"]).count() == 0
