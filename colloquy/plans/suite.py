@@ -1457,3 +1457,6 @@ def q_eval_report(spark, sf_dir):
         F.col("curr_role").alias("source"), "pred", "ref")
     rep = sc.evaluate(pairs, vocabulary_frame(spark, "styletalk").select("category", "tag"))
     return rep.select("source", "metric", r6(F.col("value")).alias("value"))
+
+
+from colloquy.plans import suite_rows  # noqa: E402, F401  (registers more queries)
