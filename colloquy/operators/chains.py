@@ -171,25 +171,23 @@ def walk_links(utt: DataFrame, anchors: DataFrame, num_turns: int, *, path_col:
     ``hop`` (0 = anchor).  Each hop joins on the unique path key, so no group is
     skewed; the number of joins is the parameter ``num_turns``.
     """
-    lookup = utt.select(F.col(path_col).alias("__p"), F.col(prev_col).alias("__prev"))
-    frontier = anchors.select(F.col(path_col).alias("anchor_path"), F.col(path_col).alias("__p")) \
-        .join(lookup, "__p", "inner").withColumn("hop", F.lit(0))
-    reached = frontier
-    dropped = None
-    for h in range(1, int(num_turns) + 1):
-        step = frontier.where(F.col("__prev").isNotNull()).select(
-            "anchor_path", F.col("__prev").alias("__p"))
-        missing = step.join(lookup, "__p", "left_anti").select("anchor_path")
-        if strict:
-            dropped = missing if dropped is None else dropped.unionByName(missing)
-        if h == int(num_turns):
-            break  # only the oldest row's link is checked, it is not collected
-        frontier = step.join(lookup, "__p", "inner").withColumn("hop", F.lit(h))
-        reached = reached.unionByName(frontier)
-    out = reached.select("anchor_path", F.col("__p").alias(path_col), "hop")
+    n = int(num_turns)
+    lookup = utt.select(F.col(path_col).alias("__q"), F.col(prev_col).alias("__next"))
+
+    def follow(frame: DataFrame, link: Column, hop: int) -> DataFrame:
+        # ends of walks get keys of their own, so that they don't meet in one task
+        key = F.coalesce(link, F.concat(F.lit("\u0000"), F.col("anchor_path")))
+        return frame.withColumn("__key", key).join(lookup, F.col("__key") == F.col("__q"), "left").drop("__key") \
+            .withColumnsRenamed({"__q": f"__p{hop}", "__next": f"__prev{hop}"})
+
+    # one frame with a column per hop: the plan grows by one join a hop
+    frame = follow(anchors.select(F.col(path_col).alias("anchor_path")), F.col("anchor_path"), 0).where("__p0 is not null")
+    for h in range(1, n):
+        frame = follow(frame, F.col(f"__prev{h - 1}"), h)
     if strict:
-        out = out.join(dropped, "anchor_path", "left_anti")
-        full = out.groupBy("anchor_path").agg(F.count(F.lit(1)).alias("__n")) \
-            .where(F.col("__n") == int(num_turns)).select("anchor_path")
-        out = out.join(full, "anchor_path", "left_semi")
-    return out
+        # the oldest row's link must not dangle either
+        frame = follow(frame, F.col(f"__prev{n - 1}"), n) \
+            .where(F.col(f"__p{n - 1}").isNotNull() & (F.col(f"__prev{n - 1}").isNull() | F.col(f"__p{n}").isNotNull()))
+    hops = F.array(*[F.struct(F.col(f"__p{h}").alias(path_col), F.lit(h).alias("hop")) for h in range(n)])
+    return frame.select("anchor_path", F.explode(hops).alias("__x")).select("anchor_path", f"__x.{path_col}", "__x.hop") \
+        .where(F.col(path_col).isNotNull())

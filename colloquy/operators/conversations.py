@@ -147,7 +147,8 @@ def split_at_gaps(rows: DataFrame, missing: DataFrame, *, conv_col: str = "conv_
     path from an equi-join on the previous annotated position.  Same results as
     ``mark_split_points`` + ``split_parts``.
     """
-    r = rows.withColumn("__kind", F.lit(1)).withColumn("__pk", F.col(path_col))
+    # paths are unique: only (conversation, start, path) is ranked, the other columns come back at the end
+    r = rows.select(conv_col, start_col, path_col, F.lit(1).alias("__kind"), F.col(path_col).alias("__pk"))
     m = missing.where(F.col(missing_conv).isNotNull()).select(
         F.col(missing_conv).alias(conv_col), F.col(missing_start).alias(start_col),
         F.lit(0).alias("__kind"), F.lit("").alias("__pk"))
@@ -168,11 +169,12 @@ def split_at_gaps(rows: DataFrame, missing: DataFrame, *, conv_col: str = "conv_
     prevs = ann.select(F.col(conv_col).alias("__pc"), (F.col("__apos") + 1).alias("__an"),
                        F.col(path_col).alias("__prev"), F.col("__k").alias("__pk2"))
     out = ann.join(prevs, (F.col(conv_col) == F.col("__pc")) & (F.col("__apos") == F.col("__an")), "left")
-    return (out.withColumn("conv_id_split", F.concat(F.col(conv_col), F.lit("_part"), F.col("__k").cast("string")))
+    out = (out.withColumn("conv_id_split", F.concat(F.col(conv_col), F.lit("_part"), F.col("__k").cast("string")))
             .withColumn("turn_index", (F.col("__apos") - F.col("__a0")).cast("bigint"))
             .withColumn("prev_filename", F.when(F.col("__pk2") == F.col("__k"), F.col("__prev")))
             .drop("__kind", "__pk", "__upos", "__prevkind", "__k", "__apos", "__a0", "__pc", "__an", "__prev",
                   "__pk2"))
+    return rows.join(out.drop(conv_col, start_col), path_col)
 
 
 def add_conversation_index(ann: DataFrame, files: DataFrame, *, file_path: str = "path",

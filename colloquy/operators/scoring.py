@@ -2,18 +2,19 @@
 
 Input rows are ``(id, group, pred, ref)``; outputs are per-row scores and
 grouped ``mean`` / population ``std`` (ddof 0, as the reference uses).
-Everything except the LCS of ROUGE-L is native Spark: n-grams are exploded
-and counted with map-side combined aggregations keyed by row id, so no group
-is collected into one task.  The LCS uses a small bit-parallel helper in an
-Arrow-batched pandas UDF.
+Tag and Dist-n counts are map-side combined aggregations keyed by row id, so no
+group is collected into one task.  ROUGE-L and chrF++ score each pair in its
+row with small helpers in Arrow-batched pandas UDFs.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,20 +174,43 @@ def rouge_l(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", out: st
 # T3 chrF++
 
 
-def chrf_word_tokens(col: Column | str) -> Column:
-    """Whitespace tokens with one trailing (else leading) punctuation mark split off."""
-    c = F.col(col) if isinstance(col, str) else col
-    toks = F.filter(F.split(c, WS_SPLIT), lambda t: t != "")
-    punct = F.lit(PUNCTUATION)
+_SPACE = re.compile(r"\s+")
 
-    def cut(w):
-        last, first = F.substring(w, -1, 1), F.substring(w, 1, 1)
-        n = F.length(w)
-        return (F.when(n == 1, F.array(w))
-                .when(F.instr(punct, last) > 0, F.array(F.substring(w, 1, n - 1), last))
-                .when(F.instr(punct, first) > 0, F.array(first, F.substring(w, 2, n - 1)))
-                .otherwise(F.array(w)))
-    return F.flatten(F.transform(toks, cut))
+
+def chrf_words(text: str) -> list[str]:
+    """Whitespace tokens with one trailing (else leading) punctuation mark split off."""
+    out = []
+    for w in text.split():
+        if len(w) > 1 and w[-1] in PUNCTUATION:
+            out += [w[:-1], w[-1]]
+        elif len(w) > 1 and w[0] in PUNCTUATION:
+            out += [w[0], w[1:]]
+        else:
+            out.append(w)
+    return out
+
+
+def chrf_score(pred: str, ref: str) -> float:
+    """chrF++ of one pair, from n-gram counts that live as long as the pair."""
+    chars, words = [_SPACE.sub("", t) for t in (pred, ref)], [chrf_words(t) for t in (pred, ref)]
+    orders = [(chars, n) for n in range(1, CHAR_ORDER + 1)] + [(words, n) for n in range(1, WORD_ORDER + 1)]
+    shares = []
+    for (a, b), n in orders:
+        sizes = len(a) - n + 1, len(b) - n + 1
+        if min(sizes) < 1:
+            continue
+        grams = [Counter(s[i:i + n] if isinstance(s, str) else tuple(s[i:i + n]) for i in range(len(s) - n + 1)) for s in (a, b)]
+        hit = (grams[0] & grams[1]).total()
+        shares.append((hit / sizes[0], hit / sizes[1]))
+    if not shares:
+        return 0.0
+    p, r = (sum(x) / len(shares) for x in zip(*shares))
+    return (1 + BETA ** 2) * p * r / (BETA ** 2 * p + r) if p + r > 0 else 0.0
+
+
+@F.pandas_udf(T.DoubleType())
+def _chrf_udf(pred: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([chrf_score(a or "", b or "") for a, b in zip(pred, ref)], dtype="float64")
 
 
 def chrf(df: DataFrame, id_col: str = "id", pred_col: str = "pred", ref_col: str = "ref",
@@ -195,57 +219,10 @@ def chrf(df: DataFrame, id_col: str = "id", pred_col: str = "pred", ref_col: str
 
     Per order ``match = sum(min(count_pred, count_ref))``; precision and recall
     are averaged over the orders with n-grams on both sides; ``score =
-    5PR / (4P + R)``.  Counting is an aggregation keyed by ``(id, order,
-    gram)``; units (code points / words) are pos-exploded and the following
-    units taken with ``lead`` over a window that reuses the id partitioning.
+    5PR / (4P + R)``.  A pair is scored where it is: its n-grams are never rows,
+    so nothing is exploded, shuffled or sorted.  NULL texts count as empty.
     """
-    # Co-locate every pair once by id (a shuffle of the pair rows only); the
-    # n-grams exploded below stay in their task and all three aggregations
-    # keyed by (id, ...) reuse that partitioning, so the exploded rows are
-    # never shuffled.
-    nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    # characters as an array of code points: cutting n-grams by array index is
-    # O(1) per position, while ``substring`` on UTF-8 walks from the string start
-    def chars(c):
-        return F.regexp_extract_all(F.regexp_replace(F.col(c), WS_SPLIT, ""), F.lit("(?s)."), 0)
-    prep = df.select(id_col, chars(pred_col).alias("__s1"), chrf_word_tokens(pred_col).alias("__w1"),
-                     chars(ref_col).alias("__s2"), chrf_word_tokens(ref_col).alias("__w2")) \
-        .repartition(nparts, id_col)
-
-    sides = prep.select(id_col, F.explode(F.array(
-        F.struct(F.lit(1).alias("side"), F.col("__s1").alias("__s"), F.col("__w1").alias("__w")),
-        F.struct(F.lit(2).alias("side"), F.col("__s2").alias("__s"), F.col("__w2").alias("__w")))).alias("__x")) \
-        .select(id_col, "__x.side", "__x.__s", "__x.__w")
-
-    def count(arr_col, orders, sep):
-        # one row per unit (code point or word) via posexplode, the next units
-        # via ``lead`` over (id, side) ordered by position; the window reuses
-        # the id partitioning (no shuffle) and nothing large is copied per row
-        units = sides.select(id_col, "side", F.posexplode(arr_col).alias("__i", "__u"))
-        w = Window.partitionBy(id_col, "side").orderBy("__i")
-        kmax = max(o % 100 for o in orders)
-        units = units.select(id_col, "side", "__u", *[F.lead("__u", j).over(w).alias(f"__n{j}")
-                                                      for j in range(1, kmax)])
-        nxt = [F.col(f"__n{j}") for j in range(1, kmax)]
-        grams = units.select(id_col, "side", F.explode(F.array(*[
-            F.struct(F.lit(o).alias("o"), F.concat_ws(sep, F.col("__u"), *nxt[:(o % 100) - 1]).alias("g"),
-                     (nxt[(o % 100) - 2].isNotNull() if o % 100 > 1 else F.lit(True)).alias("ok"))
-            for o in orders])).alias("__y")).where(F.col("__y.ok")).select(id_col, "side", "__y.o", "__y.g")
-        cnt = grams.groupBy(id_col, "o", "g").agg(F.sum((F.col("side") == 1).cast("int")).alias("cp"),
-                                                  F.sum((F.col("side") == 2).cast("int")).alias("cr"))
-        return cnt.groupBy(id_col, "o").agg(F.sum("cp").alias("np"), F.sum("cr").alias("nr"),
-                                            F.sum(F.least("cp", "cr")).alias("m"))
-    # character and word n-grams never share a key (different orders), so each
-    # is counted on its own; both reuse the id partitioning of ``prep``
-    char_po = count("__s", list(range(1, CHAR_ORDER + 1)), "")
-    words = count("__w", [100 + k for k in range(1, WORD_ORDER + 1)], " ")
-    per_order = char_po.unionByName(words)
-    eff = per_order.where((F.col("np") > 0) & (F.col("nr") > 0))
-    avg = eff.groupBy(id_col).agg(F.avg(F.col("m") / F.col("np")).alias("P"), F.avg(F.col("m") / F.col("nr")).alias("R"))
-    f = F.col("P") + F.col("R")
-    score = F.when(F.coalesce(f, F.lit(0.0)) > 0,
-                   (1 + BETA ** 2) * F.col("P") * F.col("R") / (BETA ** 2 * F.col("P") + F.col("R"))).otherwise(0.0)
-    return df.join(avg, id_col, "left").withColumn(out, score).drop("P", "R")
+    return df.withColumn(out, _chrf_udf(F.col(pred_col), F.col(ref_col)))
 
 
 # ---------------------------------------------------------------------------
@@ -273,10 +250,11 @@ def vector_collapse(df: DataFrame, group_col: str, vec_col: str) -> DataFrame:
 
 
 def evaluate(pairs: DataFrame, vocab: DataFrame, *, id_col: str = "id", group_col: str = "source",
-             pred_col: str = "pred", ref_col: str = "ref") -> DataFrame:
-    """T6 over all text metrics: per group, tag-F1 per category and overall,
-    ROUGE-L and chrF++ mean / population std, Dist-1 / Dist-2, as long rows
-    ``(source, metric, value)`` named ``source/metric`` (``_mean`` dropped)."""
+             pred_col: str = "pred", ref_col: str = "ref", vec_col: str | None = None) -> DataFrame:
+    """T6 over all metrics: per group, tag-F1 per category and overall, ROUGE-L
+    and chrF++ mean / population std, Dist-1 / Dist-2 and, with ``vec_col``, the
+    collapse diagnostics of predicted vectors (T4), as long rows ``(source,
+    metric, value)`` named ``source/metric`` (``_mean`` dropped)."""
     tf = tag_f1(pairs, vocab, id_col=id_col, group_col=group_col, pred_col=pred_col, ref_col=ref_col)
     tf_long = tf.select(group_col, F.explode(F.array(
         F.struct(F.concat(F.lit("tag_f1_"), F.col("category"), F.lit("_mean")).alias("metric"),
@@ -284,12 +262,14 @@ def evaluate(pairs: DataFrame, vocab: DataFrame, *, id_col: str = "id", group_co
         F.struct(F.concat(F.lit("tag_f1_"), F.col("category"), F.lit("_std")).alias("metric"),
                  F.col("tag_f1_std").alias("value")))).alias("kv")).select(group_col, "kv.*")
     base = pairs.select(id_col, group_col, pred_col, ref_col)
-    rl = rouge_l(base, pred_col, ref_col, "__rl").groupBy(group_col).agg(
-        F.avg("__rl").alias("rougeL_mean"), F.stddev_pop("__rl").alias("rougeL_std"))
-    cf = chrf(base, id_col, pred_col, ref_col, "__cf").groupBy(group_col).agg(
+    # both row scores in one pass over the pairs
+    scored = chrf(rouge_l(base, pred_col, ref_col, "__rl"), id_col, pred_col, ref_col, "__cf").groupBy(group_col).agg(
+        F.avg("__rl").alias("rougeL_mean"), F.stddev_pop("__rl").alias("rougeL_std"),
         F.avg("__cf").alias("chrf_mean"), F.stddev_pop("__cf").alias("chrf_std"))
-    dn = dist_n(base, group_col, pred_col)
-    wide = score_report([rl, cf, dn], group_col)
+    frames = [scored, dist_n(base, group_col, pred_col)]
+    if vec_col is not None:
+        frames.append(vector_collapse(pairs, group_col, vec_col).withColumnRenamed("vec_std", "pred_vec_std").drop("n"))
+    wide = score_report(frames, group_col)
     tagged = tf_long.withColumn("metric", F.concat_ws("/", F.col(group_col).cast("string"),
                                                       F.regexp_replace("metric", "_mean$", "")))
     return wide.unionByName(tagged.select(group_col, "metric", F.col("value").cast("double")))

@@ -121,8 +121,9 @@ def few_shot_pairs(queries: DataFrame, pool: DataFrame, *, query_key: str, pool_
     """
     if max_queries is not None:
         queries = seeded_sample(queries, int(max_queries), query_key, seed).drop("sample_rank")
+    # only (hash, key) is ranked and checkpointed; the pool rows join by their unique key
     ranked = rank_within(pool.withColumn("__h", seeded_key(seed, pool_key)), [], ["__h", pool_key],
-                         out="__ppos").drop("__h")
+                         out="__ppos", row_key=pool_key).drop("__h")
     p = _count(ranked)
     kk = min(int(k), p)
     if kk == 0:
@@ -218,10 +219,18 @@ def matches_all(criteria: Mapping[str, object]) -> Column:
 def balance_majority(df: DataFrame, criteria: Mapping[str, object], n_remove: int, key_col: str,
                      seed: int = 42) -> DataFrame:
     """Remove up to ``n_remove`` seeded rows matching ``criteria``; the rest stay."""
-    cand = df.where(matches_all(criteria)).withColumn("__h", seeded_key(seed, key_col))
-    drop = top_k_per_group(cand.withColumn("__g", F.lit(0)), ["__g"], ["__h", key_col], int(n_remove),
-                           out="__r").select(key_col)
-    return df.join(drop, key_col, "left_anti")
+    cand = df.where(matches_all(criteria)).select(key_col, seeded_key(seed, key_col).alias("__h")) \
+        .withColumn("__b", F.substring("__h", 1, 4))
+    # counts of the 65,536 hash prefixes say which prefixes go whole and which one holds the cut
+    upto = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prefixes = cand.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__upto", F.sum("__n").over(upto))
+    went = cand.join(prefixes.where(F.col("__upto") - F.col("__n") < int(n_remove)), "__b")
+    whole = went.where(F.col("__upto") <= int(n_remove)).select(key_col)
+    # one prefix at most: a 65,536th of the rows
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key_col))
+    cut = went.where(F.col("__upto") > int(n_remove)).withColumn("__r", place) \
+        .where(F.col("__r") <= int(n_remove) - (F.col("__upto") - F.col("__n"))).select(key_col)
+    return df.join(whole.unionByName(cut), key_col, "left_anti")
 
 
 def keep_allowed(df: DataFrame, ids: DataFrame, id_col: str = "conv_id") -> DataFrame:

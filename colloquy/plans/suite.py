@@ -1445,17 +1445,58 @@ def q_full_prompts(spark, sf_dir):
                     tx.ground_truth("chain").alias("ground_truth"))
 
 
-@register("eval_report")
-def q_eval_report(spark, sf_dir):
-    """T6 with every text metric (tag F1 with the fixed second-corpus vocabulary,
-    ROUGE-L, chrF++, Dist-n) for each turn scored against the next, per role.
-    ROUGE-L has no SQL form, so this composite has none either; its parts are
-    checked by ``tag_f1``, ``chrf``, ``dist_n`` and the ROUGE-L tests."""
+# Tags of one to three words that occur in the turns, per role and category.
+TURN_TAGS = {
+    "user": {"article": ["the", "la", "le", "el", "die", "der"], "phrase": ["of the", "de la", "in die", "de la que", "the"]},
+    "assistant": {"article": ["the", "les", "los", "das"], "link": ["and", "et", "und", "y", "in the", "and the of"]},
+    "system": {"article": ["the", "un", "une"]},
+}
+
+
+def _tag_regex(tags):
+    """SQL: every match of a category's tags, longest first, in a text whose separators are doubled."""
+    alts = "|".join(t.replace(" ", "  ") for t in sorted(tags, key=lambda t: (-len(t), t)))
+    return f"(?i)(?:^|[^\\pL\\pN_])({alts})(?:[^\\pL\\pN_]|$)"
+
+
+_TAG_ROWS = ",\n".join(f"('{s}', '{c}', '{_tag_regex(tags)}')" for s, cats in TURN_TAGS.items() for c, tags in cats.items())
+
+
+@register("tag_f1_phrases", "WITH " + _PAIRS_SQL + r""",
+pz AS (SELECT curr_role AS source, conv_id, turn, regexp_replace(lower(pred), '([^\pL\pN_])', '\1\1', 'g') AS p,
+              regexp_replace(lower(ref), '([^\pL\pN_])', '\1\1', 'g') AS r FROM pr),
+voc(source, category, re) AS (VALUES """ + _TAG_ROWS + r"""),
+f AS (SELECT pz.source, conv_id, turn, category, list_distinct(regexp_extract_all(p, re, 1)) AS P, list_distinct(regexp_extract_all(r, re, 1)) AS R
+      FROM pz JOIN voc ON voc.source = pz.source),
+a AS (SELECT source, category, P, R FROM f
+      UNION ALL SELECT source, 'overall', list_distinct(flatten(list(P))), list_distinct(flatten(list(R))) FROM f GROUP BY source, conv_id, turn),
+t AS (SELECT source, category, len(P) AS np, len(R) AS nr, len(list_intersect(P, R)) AS tp FROM a),
+g AS (SELECT source, category, CASE WHEN np = 0 AND nr = 0 THEN 1.0 WHEN np = 0 OR nr = 0 OR tp = 0 THEN 0.0
+             ELSE 2.0 * (tp / np) * (tp / nr) / ((tp / np) + (tp / nr)) END AS f1 FROM t)
+SELECT source, category, round(avg(f1), 6) AS tag_f1_mean, round(stddev_pop(f1), 6) AS tag_f1_std FROM g GROUP BY source, category
+""")
+def q_tag_f1_phrases(spark, sf_dir):
+    """T1 (+ H8): tag-F1 of turns with each role's own categories and tags of up to three words."""
     from colloquy.functions.tags import vocabulary_frame
-    pairs = _turn_pairs(spark, sf_dir).select(
+    out = sc.tag_f1(_scored_turns(spark, sf_dir), vocabulary_frame(spark, vocab=TURN_TAGS))
+    return out.select("source", "category", r6(F.col("tag_f1_mean")).alias("tag_f1_mean"), r6(F.col("tag_f1_std")).alias("tag_f1_std"))
+
+
+def _scored_turns(spark, sf_dir):
+    return _turn_pairs(spark, sf_dir).select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         F.col("curr_role").alias("source"), "pred", "ref")
-    rep = sc.evaluate(pairs, vocabulary_frame(spark, "styletalk").select("category", "tag"))
+
+
+@register("eval_report")
+def q_eval_report(spark, sf_dir):
+    """T6 with every metric (each role's own tags, ROUGE-L, chrF++, Dist-n, and the collapse of a vector
+    per turn: its shares of four letters) for each turn scored against the next, per role.
+    ROUGE-L has no SQL form, so this composite has none either; its parts are checked by
+    ``tag_f1_phrases``, ``chrf``, ``dist_n``, ``vec_collapse`` and the ROUGE-L tests."""
+    from colloquy.functions.tags import vocabulary_frame
+    letters = F.array(*[(F.length("pred") - F.length(F.replace("pred", F.lit(x)))) / F.greatest(F.length("pred"), F.lit(1)) for x in "aeio"])
+    rep = sc.evaluate(_scored_turns(spark, sf_dir).withColumn("vec", letters), vocabulary_frame(spark, vocab=TURN_TAGS), vec_col="vec")
     return rep.select("source", "metric", r6(F.col("value")).alias("value"))
 
 
