@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.tags import set_f1_eda
 from colloquy.plans.blocks import running_agg
 from colloquy.plans.rank import rank_within
 
@@ -93,17 +92,28 @@ def exact_percentiles(df: DataFrame, col: str, pcts: Sequence[float], by: Sequen
     of each requested rank are joined; no group's values are buffered in one
     task.  Output ``(by..., pct, value)`` with ``pct`` in percent.
 
-    ``few_distinct=True`` is for columns whose distinct values per group are
-    bounded (lengths, counts, labels): Spark's exact ``percentile`` keeps a
-    value -> count map that is combined map-side, so one pass suffices.
+    ``few_distinct=True`` suits columns with few distinct values per group
+    (lengths, counts, labels): values are counted first and positions read off
+    the table of counts.  Any number of distinct values gives the same result
+    (the window over them sorts and spills; no map is held).
     """
     by = list(by)
     if few_distinct:
-        ps = [float(p) / 100.0 for p in pcts]
-        agg = F.percentile(F.col(col).cast("double"), ps).alias("__v")
-        g = df.groupBy(*by).agg(agg) if by else df.agg(agg)
-        rows = F.arrays_zip(F.array(*[F.lit(float(p)) for p in pcts]).alias("pct"), F.col("__v").alias("value"))
-        return g.select(*by, F.explode(rows).alias("__r")).select(*by, "__r.pct", "__r.value")
+        counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        upto = group.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        at = F.col("pct") / 100.0 * (F.col("__all") - 1)
+        placed = counts.select(*by, "__v", "__n", F.sum("__n").over(upto).alias("__upto"), F.sum("__n").over(group).alias("__all")) \
+            .select("*", F.explode(F.array(*[F.lit(float(p)) for p in pcts])).alias("pct")).withColumn("__at", at)
+
+        def value_at(place: Column) -> Column:
+            return F.max(F.when((F.col("__upto") - F.col("__n") <= place) & (place < F.col("__upto")), F.col("__v")))
+
+        ends = placed.groupBy(*by, "pct").agg(F.max("__at").alias("__at"), value_at(F.floor("__at")).alias("__lo"),
+                                              value_at(F.ceil("__at")).alias("__hi"))
+        value = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise(
+            (F.ceil("__at") - F.col("__at")) * F.col("__lo") + (F.col("__at") - F.floor("__at")) * F.col("__hi"))
+        return ends.select(*by, "pct", value.alias("value"))
     vals = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__v"))
     ranked = rank_within(vals.withColumn("__tb", F.monotonically_increasing_id()), by, ["__v", "__tb"], out="__pos")
     counts = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")) if by else \
@@ -360,17 +370,6 @@ def pairwise_set_f1(df: DataFrame, group: Sequence[str], tags_col: str, min_rows
     return out.select(*g, F.col("__n").cast("bigint").alias("n_rows"), mean.alias("mean_f1"))
 
 
-def pairwise_set_f1_bruteforce(df: DataFrame, group: Sequence[str], ord_col: str, tags_col: str) -> DataFrame:
-    """J10 + H6 literally (all pairs ``a.ord < b.ord`` inside a group).  Only
-    for checking ``pairwise_set_f1`` on small fixtures."""
-    g = list(group)
-    a = df.select(*g, F.col(ord_col).alias("__oa"), F.col(tags_col).alias("__ta"))
-    b = df.select(*[F.col(x).alias("__b_" + x) for x in g], F.col(ord_col).alias("__ob"), F.col(tags_col).alias("__tb"))
-    cond = [F.col(x).eqNullSafe(F.col("__b_" + x)) for x in g] + [F.col("__oa") < F.col("__ob")]
-    pairs = a.join(b, cond).select(*g, set_f1_eda("__ta", "__tb").alias("__f"))
-    return pairs.groupBy(*g).agg(F.avg("__f").alias("mean_f1"))
-
-
 def consistency_summary(groups: DataFrame, f1_col: str = "mean_f1") -> DataFrame:
     """Mean, median, sample std, perfect count and non-null count of the
     per-group F1 (median exact, from global positions)."""
