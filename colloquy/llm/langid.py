@@ -48,7 +48,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    found = _WORD.findall((text or "").lower())
+    lower = (text or "").lower()
+    found = _WORD.findall(lower)
+    if not lower.isascii():  # the pattern also takes numerals such as fractions, which are no letters
+        found = [w for w in (x if x.isalpha() else "".join(filter(str.isalpha, x)) for x in found) if w]
     if found and max(map(len, found)) > WORD_CHARS:
         found = [w[i:i + WORD_CHARS] for w in found for i in range(0, len(w), WORD_CHARS)]
     return found

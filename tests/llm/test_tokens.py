@@ -127,10 +127,11 @@ def test_languages_are_told_apart(spark):
     model = langid.train(frame, PIECES)
     assert model["langs"] == ["de", "en"]
     ask = spark.createDataFrame([(1, "green water and the letter"), (2, "der brief und das wasser"), (3, None), (4, ""), (5, "12 !!"),
-                                 (6, "the" * 40), (7, "日本")], "doc_id long, text string")
+                                 (6, "the" * 40), (7, "日本"), (8, "½ ² Ⅷ 3")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in langid.classify(ask, model).collect()}
     assert [got[i]["lang_pred"] for i in range(1, 6)] == ["en", "de", "und", "und", "und"]
     assert got[3]["score"] == 0 and all(0 <= r["score"] <= 1 for r in got.values())
+    assert got[8]["lang_pred"] == "und" and langid.words_of("a½b the²") == ["ab", "the"]
     assert got[6]["lang_pred"] == "en" and got[7]["lang_pred"] in ("de", "en")
 
 
