@@ -214,7 +214,7 @@ def choose(strength: dict[str, float], holders: list[list[str]], min_new: int) -
             by.setdefault(g, set()).add(i)
     chosen: list[str] = []
     while by:
-        best = max(by, key=lambda g: (len(by[g]), strength[g], -len(g), g))
+        best = max(by, key=lambda g: (len(by[g]), strength[g], len(g), g))  # of equals the most specific
         covered = by.pop(best)
         if len(covered) < min_new:
             break
