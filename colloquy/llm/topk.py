@@ -33,7 +33,9 @@ from colloquy.llm.common import shuffle_partitions
 from colloquy.session import ensure_checkpoint_dir
 
 HEAD = 16
-VECTORS, QUERIES = 2_048, 512
+#: Vectors and queries of a block, and the blocks there are at most (besides one for each partition):
+#: with more rows than fill them, blocks grow.
+VECTORS, QUERIES, BLOCKS = 2_048, 512, 65_536
 
 
 def whole(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
@@ -108,13 +110,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     spark = vectors.sparkSession
     ensure_checkpoint_dir(spark)
     rows = whole(vectors, scale, id_col, vec_col).checkpoint()
-    shape = rows.agg(F.max(F.size("v")).alias("dims"), F.max("norm").alias("norm")).first()
+    shape = rows.agg(F.max(F.size("v")).alias("dims"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n")).first()
     dims, exact = shape["dims"] or 1, (shape["norm"] or 0.0) ** 2 < 2.0 ** 53
     turn = _rotation(rows, dims)
     head = min(HEAD, dims)
     parts, ordered = shuffle_partitions(spark), [F.col("norm").desc(), F.col("id")]
     blocks = rows.repartitionByRange(parts, *ordered).sortWithinPartitions(*ordered) \
-        .mapInPandas(_pack(VECTORS, dims), "longest double, ids binary, v binary") \
+        .mapInPandas(_pack(max(VECTORS, -(-shape["n"] // BLOCKS)), dims), "longest double, ids binary, v binary") \
         .withColumn("block", F.monotonically_increasing_id()).checkpoint()
     # the longest vectors: one block
     seeds = rows.orderBy(*ordered).limit(VECTORS).toPandas()
@@ -140,7 +142,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
         .withColumn("qblock", F.monotonically_increasing_id()).checkpoint()
 
     # which blocks can reach a query block: both sides without their vectors
-    sizes = blocks.agg(F.collect_list(F.struct("block", "longest")).alias("blocks"))  # one small pair per 2048 vectors
+    sizes = blocks.agg(F.collect_list(F.struct("block", "longest")).alias("blocks"))  # BLOCKS + partitions pairs
     able = queries.select("qblock", F.col("longest").alias("qlongest"), "reach", F.lit(0).alias("one")) \
         .join(F.broadcast(sizes.withColumn("one", F.lit(0))), "one") \
         .select("qblock", F.explode(F.filter("blocks", lambda b: b["longest"] * F.col("qlongest") * (1 + 1e-9) >= F.col("reach"))).alias("b")) \
