@@ -120,13 +120,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
         .withColumn("block", F.monotonically_increasing_id()).checkpoint()
     # the longest vectors: one block
     seeds = rows.orderBy(*ordered).limit(VECTORS).toPandas()
-    first = spark.sparkContext.broadcast((seeds["id"].to_numpy(np.int64), _matrix(seeds["v"], dims)))
+    # and the longest vector of every block: BLOCKS + partitions pairs at most
+    longest = blocks.select("block", "longest").toPandas()
+    first = spark.sparkContext.broadcast((seeds["id"].to_numpy(np.int64), _matrix(seeds["v"], dims),
+                                          longest["block"].to_numpy(np.int64), longest["longest"].to_numpy(float)))
 
     def seed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, c = first.value
+        ids, c, numbers, lengths = first.value
         for b in batches:
-            out = []
-            for raw_ids, raw in zip(b["ids"], b["v"]):
+            out, able = [], []
+            for raw_ids, raw, q_longest in zip(b["ids"], b["v"], b["longest"]):
                 q_ids, q = np.frombuffer(raw_ids, np.int64), np.frombuffer(raw, np.int64).reshape(-1, dims)
                 score = _products(q, c, exact)
                 own = (q_ids[:, None] == ids[None, :])
@@ -134,19 +137,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
                     if (q[i] == c[j]).all():
                         score[i, j] = np.iinfo(np.int64).min
                 out.append(_best(score, k))
-            yield b.assign(least=[x.tobytes() for x in out], reach=[float(x.min()) for x in out])
+                able.append(numbers[lengths * q_longest * (1 + 1e-9) >= float(out[-1].min())])
+            yield b.assign(least=[x.tobytes() for x in out], able=able)
 
     asked = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id")
     queries = asked.repartition(parts, "id").mapInPandas(_pack(QUERIES, dims), "longest double, ids binary, v binary") \
-        .mapInPandas(seed, "longest double, ids binary, v binary, least binary, reach double") \
+        .mapInPandas(seed, "longest double, ids binary, v binary, least binary, able array<long>") \
         .withColumn("qblock", F.monotonically_increasing_id()).checkpoint()
 
-    # which blocks can reach a query block: both sides without their vectors
-    sizes = blocks.agg(F.collect_list(F.struct("block", "longest")).alias("blocks"))  # BLOCKS + partitions pairs
-    able = queries.select("qblock", F.col("longest").alias("qlongest"), "reach", F.lit(0).alias("one")) \
-        .join(F.broadcast(sizes.withColumn("one", F.lit(0))), "one") \
-        .select("qblock", F.explode(F.filter("blocks", lambda b: b["longest"] * F.col("qlongest") * (1 + 1e-9) >= F.col("reach"))).alias("b")) \
-        .select("qblock", F.col("b.block").alias("block"))
+    able = queries.select("qblock", F.explode("able").alias("block"))
     met = able.join(queries.select("qblock", F.col("ids").alias("qids"), F.col("v").alias("qv"), "least"), "qblock") \
         .join(blocks.select("block", "ids", "v"), "block")
 
