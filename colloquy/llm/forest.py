@@ -41,7 +41,9 @@ TREES, DEPTH, RECALL = 16, 6, 0.995
 SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5
 BLOCK = 512
 #: Words whose hashes a Python worker keeps before it starts anew, and shingles hashed at a time.
-CACHE_WORDS, CHUNK = 500_000, 4_096
+CACHE_WORDS, CHUNK = 100_000, 4_096
+#: Hashes that the exact check of a block pair takes together.
+PART = 1_000_000
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,36 +133,48 @@ def _estimates(members: list[bytes], left: np.ndarray, right: np.ndarray) -> np.
     return hit / sig.shape[1] >= THRESHOLD - SLACK
 
 
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many hashes every left and right set share, by products of 0/1 columns of those that two have."""
+    both = np.zeros((len(left), len(right)))
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(at, minlength=len(values)) > 1
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    keep = shared[at]
+    column, owner = (np.cumsum(shared) - 1)[at[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):
+        i, j = np.searchsorted(column, [start, start + CHUNK])
+        m = np.zeros((len(sets), CHUNK), np.float32)
+        m[owner[i:j], column[i:j] - start] = 1
+        both += m[left] @ m[right].T
+    return both
+
+
 def _exact(members: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     sets = [np.frombuffer(m, np.uint64) for m in members]
     size = np.array([len(s) for s in sets])
     if len(members) <= 12:
         both = np.array([[len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for b in right] for a in left], float)
     else:
-        values, at = np.unique(np.concatenate(sets), return_inverse=True)
-        shared = np.bincount(at, minlength=len(values)) > 1
-        column, owner = np.cumsum(shared) - 1, np.repeat(np.arange(len(sets)), size)
-        keep = shared[at]
-        column, owner = column[at[keep]], owner[keep]
-        order = np.argsort(column, kind="stable")
-        column, owner = column[order], owner[order]
         both = np.zeros((len(left), len(right)))
-        for start in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):
-            i, j = np.searchsorted(column, [start, start + CHUNK])
-            m = np.zeros((len(sets), CHUNK), np.float32)
-            m[owner[i:j], column[i:j] - start] = 1
-            both += m[left] @ m[right].T
+        # ranges of hashes, so that about PART hashes are compared at a time
+        parts = -(-int(size.sum()) // PART)
+        edges = np.array([i * ((1 << 64) // parts) for i in range(parts)], np.uint64)
+        cuts = [[*np.searchsorted(s, edges), len(s)] for s in sets]
+        for k in range(parts):
+            both += _shared([s[c[k]:c[k + 1]] for s, c in zip(sets, cuts)], left, right)
     # whole numbers: no rounding at the threshold
     return 5 * both >= 4 * (size[left][:, None] + size[right] - both)
 
 
 def _in_blocks(members: DataFrame, similar: Callable) -> DataFrame:
-    """``members (grp, key, data)``: ``(key, label, links)`` for each block pair a member is in; label is the
-    smallest key of its component among the pair's similar members, links how many are similar to it."""
-    count = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """``members (grp, n, key, data)``, n the size of the group: ``(key, label, links)`` for each block pair a
+    member is in; label is the smallest key of its component among the pair's similar members, links how
+    many are similar to it."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    dealt = members.join(count, "grp").withColumn("blocks", blocks).withColumn("own", own) \
+    dealt = members.withColumn("blocks", blocks).withColumn("own", own) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
                 "grp", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "key", "data")
@@ -227,20 +241,24 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prefix = lambda t: F.xxhash64(t, F.expr(f"substring(sig, cast(t * {4 * DEPTH} + 1 as int), {d})"))
     places = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")) \
         .select("rep", prefix(F.col("t")).alias("grp"))
-    full = places.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
-    met = places.join(full, "grp", "left_semi").join(classes.select("rep", F.col("sig").alias("data")), "rep")
-    near = _joined(_in_blocks(met.select("grp", F.col("rep").alias("key"), "data"), _estimates))
-    candidates = near.select(F.col("label").alias("grp"), F.col("node").alias("key")).checkpoint()
+    # a table of its own, so that the join with it can split a hot bucket
+    full = places.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
+    met = places.join(if_small(full, full.count()), "grp").join(classes.select("rep", F.col("sig").alias("data")), "rep")
+    near = _joined(_in_blocks(met.select("grp", "n", F.col("rep").alias("key"), "data"), _estimates)) \
+        .select(F.col("label").alias("grp"), F.col("node").alias("key")).checkpoint()
+    sizes = near.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    candidates = near.join(if_small(sizes, sizes.count()), "grp").checkpoint()
     n = candidates.count()
     texts = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("key"), F.col(text_col).alias("text")) \
         .join(if_small(candidates, n), "key")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(
-                [shingles(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["grp", "key", "data"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(
+                [shingles(t.as_py()).tobytes() for t in b.column(3)], pa.binary())], names=["grp", "n", "key", "data"])
 
-    exact = texts.select("grp", "key", "text").mapInArrow(sets, "grp long, key long, data binary").dropDuplicates(["key"])
+    exact = texts.select("grp", "n", "key", "text").mapInArrow(sets, "grp long, n long, key long, data binary") \
+        .dropDuplicates(["key"])
     checked = _in_blocks(exact, _exact).checkpoint()
     linked = _joined(checked).join(checked.groupBy(F.col("key").alias("node")).agg(F.sum("links").alias("links")), "node") \
         .select(F.col("node").alias("rep"), F.col("label").alias("top"), "links")
