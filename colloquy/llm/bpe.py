@@ -26,6 +26,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -37,9 +38,9 @@ _RARE = re.compile("[^\\x00-\\x1b -\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f]")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+(?:_+[^\s\w]*)*|(?:_+[^\s\w]*)+")
 #: Word encodings kept by a Python worker before the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Characters of text that are taken together into one trie.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def load(path: str) -> dict:
@@ -73,6 +74,10 @@ class TrieEncoder:
         self.bytes = _byte_chars()
         self.stays: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache of words; what is known of token pairs stays."""
         self.ids = {" " + t: str(i) for t, i in self.special.items()}
         self.tokens = {" " + t: t for t in self.special}
 
@@ -171,8 +176,7 @@ class TrieEncoder:
         """``(ids joined by a space, decoded text)`` of every text."""
         split = [self._pieces(t or "") for t in texts]
         if len(self.ids) > CACHE_WORDS:
-            self.ids = {" " + t: str(i) for t, i in self.special.items()}
-            self.tokens = {" " + t: t for t in self.special}
+            self.forget()
         self._learn({x for pieces in split for x in pieces if x not in self.ids})
         for pieces in split:
             yield " ".join(map(self.ids.__getitem__, pieces)), " ".join(map(self.tokens.__getitem__, pieces))
@@ -182,16 +186,16 @@ _ENCODERS: dict[object, TrieEncoder] = {}
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
-                 keep_text: bool = True) -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)`` and, with ``keep_text``, ``ids`` and ``decoded``.
+                 keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``(id, n_tokens, ids_sha256, decoded_sha256)`` and what ``keep`` names of ``ids`` and ``decoded``.
 
     ``vocabulary`` is the path of a tokenizer file on the driver (a few MB, sent to the tasks)."""
     sent = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
     rows = docs.select(id_col, text_col)
-    extra = ", ids array<int>, decoded string" if keep_text else ""
+    extra = ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
     schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, " \
              f"decoded_sha256 string{extra}"
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_text else [])]
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(c for c in ("ids", "decoded") if c in keep)]
 
     def blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str | None]]]:
         block: list[str | None] = []
@@ -216,13 +220,18 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                     out[0].append(ids.count(" ") + 1 if ids else 0)
                     out[1].append(hashlib.sha256(ids.encode()).hexdigest())
                     out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if keep_text:
-                        out[3].append([int(i) for i in ids.split()])
+                    if "ids" in keep:
+                        out[3].append(np.fromstring(ids, np.int32, sep=" "))
+                    if "decoded" in keep:
                         out[4].append(decoded)
                 columns = [batch.column(0).slice(start, len(texts)), pa.array(out[0], pa.int64()),
                            pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
-                if keep_text:
-                    columns += [pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.string())]
+                if "ids" in keep:
+                    columns.append(pa.array(out[3], pa.list_(pa.int32())))
+                if "decoded" in keep:
+                    columns.append(pa.array(out[4], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        encoder.forget()  # the worker lives on
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)

@@ -35,7 +35,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_trie_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token digests of every document."""
-    return bpe.encode_texts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_text=False)
+    return bpe.encode_texts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep=())
 
 
 @register("op10_segmentation_langid")

@@ -63,7 +63,7 @@ THRESHOLD = 0.3
 #: the lexicon, and the entries that are candidates for it.
 TRAIN_ROWS, MIN_DOCUMENTS, MAX_CANDIDATES = 20_000, 3, 2_000
 #: Words whose class a Python worker keeps before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 _TOKEN = re.compile(r"[^\W_]+|[.!?;:\n]")
 _ENDS = frozenset(".!?;:\n")
 

@@ -51,6 +51,8 @@ def test_encode_texts_digests_and_nulls(spark, docs, library):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
     assert bpe.encode_texts(docs([]), WORDS).count() == 0
+    assert bpe.encode_texts(docs(rows), WORDS, keep=("ids",)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert bpe.encode_texts(docs(rows), WORDS, keep=()).count() == 5
 
 
 def test_the_cache_may_start_anew(monkeypatch):
