@@ -40,8 +40,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json")) \
-        .select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("ids",))
 
 
 STAGES = [
