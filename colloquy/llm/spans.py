@@ -4,9 +4,12 @@ Every run of ``RUN`` consecutive sentences of every document is hashed.  All run
 their hash; of each repeated one, the first occurrence (smallest id, then place) stays, and the
 sentences that any other occurrence covers are removed.
 
-A sentence ends at ``.``, ``!``, ``?`` or a line break; one of over ``SENTENCE_WORDS`` words is cut
-into parts of that length, so that a long passage always has several.  Sentences are compared by
-their lower-cased words; runs of fewer than ``RUN_WORDS`` words say too little and are not hashed.
+A sentence ends at ``.``, ``!``, ``?``, their like in other scripts, or a line break; one of over
+``SENTENCE_WORDS`` words is cut where its words say so (after those whose hash, with the two before,
+is the least of ``CUT_WINDOW`` neighbours), so that a long passage has several parts and the same ones
+at any offset; up to a part at either end of it belongs to what stands beside it.  Sentences are
+compared by their lower-cased words (of scripts without spaces: characters); runs of fewer than
+``RUN_WORDS`` words say too little and are not hashed.
 
 A run travels as (hash, document, place).  Occurrences are combined per hash before the shuffle, so
 a run that a third of all documents share is a few rows; the join back is split by AQE where one
@@ -31,8 +34,28 @@ from colloquy.llm.common import if_small
 from colloquy.session import ensure_checkpoint_dir
 
 RUN, RUN_WORDS, SENTENCE_WORDS = 3, 8, 16
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|$)")
-_WORD = re.compile(r"\w+")
+#: A cut at least every CUT_WINDOW + CUT_LEAST words; parts before a cut have CUT_LEAST words or more.
+CUT_WINDOW, CUT_LEAST = 9, 4
+_END = ".!?\n。！？｡．।॥؟۔։።፧။…‼⁇⁈⁉"
+_SENTENCE = re.compile(rf"[^{_END}]*(?:[{_END}]+|$)")
+#: Kana, ideographs, Thai, Lao, Burmese and Khmer: a character is a word.
+_ALONE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\U00020000-\U0003ffff"
+_ASCII_WORD, _WORD = re.compile(r"\w+"), re.compile(rf"(?=\w)[{_ALONE}]|[^\W{_ALONE}]+")
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Where the parts of a long sentence start: robust winnowing, so the choice depends on near words only."""
+    h = [xxhash.xxh3_64_intdigest(f"{a} {b} {c}") for a, b, c in zip(["", "", *words], ["", *words], words)]
+    out, least = [0], -1
+    for stop in range(CUT_WINDOW, len(words)):
+        if least < stop - CUT_WINDOW:
+            near = h[stop - CUT_WINDOW:stop][::-1]
+            least = stop - 1 - near.index(min(near))  # of equal ones the last
+        elif h[stop - 1] < h[least]:
+            least = stop - 1
+        if least + 1 - out[-1] >= CUT_LEAST:
+            out.append(least + 1)
+    return out
 
 
 def sentences(text: str | None) -> list[tuple[int, int, tuple[str, ...]]]:
@@ -43,26 +66,27 @@ def sentences(text: str | None) -> list[tuple[int, int, tuple[str, ...]]]:
             continue
         lower = m[0].lower()
         same = len(lower) == len(m[0])  # else places of words differ: the sentence stays whole
-        found = [w for w in _WORD.finditer(lower if same else m[0])]
-        words = [w[0].lower() for w in found]
+        ascii_ = m[0].isascii()
+        found = [w for w in (_ASCII_WORD if ascii_ else _WORD).finditer(lower if same else m[0])]
+        words = [w[0] for w in found] if ascii_ else [w[0].lower() for w in found]
         if not words:
             if out:
                 out[-1] = out[-1][0], m.end(), out[-1][2]
             continue
-        cuts = [*range(0, len(words), SENTENCE_WORDS)]
+        cuts = _cuts(words) if len(words) > SENTENCE_WORDS else [0]
         starts = [m.start() + (found[c].start() if c else 0) for c in cuts] + [m.end()]
         for i, c in enumerate(cuts):
-            out.append((starts[i], starts[i + 1], tuple(words[c:c + SENTENCE_WORDS])))
+            out.append((starts[i], starts[i + 1], tuple(words[c:cuts[i + 1] if i + 1 < len(cuts) else None])))
     return out
 
 
 def runs(text: str | None) -> Iterator[tuple[int, int]]:
     """``(hash, number of the first sentence)`` of every run."""
     found = [s[2] for s in sentences(text)]
+    joined = [" ".join(words) for words in found]
     for i in range(len(found) - RUN + 1):
-        part = found[i:i + RUN]
-        if sum(map(len, part)) >= RUN_WORDS:
-            yield xxhash.xxh3_64_intdigest(" . ".join(map(" ".join, part))) - (1 << 63), i
+        if sum(map(len, found[i:i + RUN])) >= RUN_WORDS:
+            yield xxhash.xxh3_64_intdigest(" . ".join(joined[i:i + RUN])) - (1 << 63), i
 
 
 def _hashed(docs: DataFrame) -> DataFrame:

@@ -145,6 +145,25 @@ def test_a_long_passage_goes_whole_and_the_first_stays(docs):
     assert passage in got[0] and all("word7" not in got[i] and f"Own end {i}." in got[i] for i in (1, 2, 3))
 
 
+def test_a_passage_without_marks_goes_at_any_offset(docs):
+    rng = random.Random(12)
+    own = lambda n: " ".join(f"own{rng.randrange(10**9)}" for _ in range(n))
+    passage = [f"list{i}" for i in range(60)]
+    rows = [(i, f"{own(20 + i)} {' '.join(passage)} {own(33 - i)}") for i in range(17)]
+    rows += [(100 + i, f"{own(30 + i)} {'ha ' * 80}{own(25)}") for i in range(5)]
+    got = {r["doc_id"]: r["text"] for r in spans.remove_repeats(docs(rows)).collect()}
+    assert got[0] == rows[0][1]
+    for i in range(1, 17):
+        assert not set(passage[14:46]) & set(got[i].split()) and got[i].count("own") == 53
+    assert all(got[100 + i].split().count("ha") < 40 for i in range(5))  # the first keeps one run and the ends
+
+
+def test_sentence_marks_of_other_scripts():
+    assert len(spans.sentences("यह एक है। यह दो है। यह तीन॥")) == 3
+    assert len(spans.sentences("これは一つ。二つ！三つ？終")) == 4 and len(spans.sentences("هل هذا؟ نعم۔")) == 2
+    assert [len(s[2]) for s in spans.sentences("汉字abc字。")] == [4]
+
+
 def test_sentences_cover_the_words():
     rng = random.Random(1)
     for _ in range(200):
