@@ -105,9 +105,11 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _contexts(found: DataFrame) -> DataFrame:
     """``(key, of, kind, value, term)``: the whole words near an entity, once per document."""
     s = F.col("s")
-    before = F.regexp_replace(F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1,
-                                          F.least(F.lit(CONTEXT), s["start"])), r"^\S*", "")
-    after = F.regexp_replace(F.substring(F.col("text"), s["stop"] + 1, F.lit(CONTEXT)), r"\S*$", "")
+    # with one character more: a word that the window cuts goes, one that starts or ends with it stays
+    before = F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT - 1, F.lit(0)) + 1, F.least(F.lit(CONTEXT + 1), s["start"]))
+    before = F.when(s["start"] > CONTEXT, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
+    after = F.substring(F.col("text"), s["stop"] + 1, F.lit(CONTEXT + 1))
+    after = F.when(s["stop"] + CONTEXT < F.length("text"), F.regexp_replace(after, r"\S*$", "")).otherwise(after)
     # pieces with digits or @ belong to other entities
     near = F.lower(F.regexp_replace(F.concat(before, F.lit(" "), after), r"\S*[@0-9]\S*", " "))
     return found.where(F.size("base") > 0).select("key", "of", "text", F.explode("base").alias("s")) \

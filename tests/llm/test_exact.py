@@ -120,6 +120,16 @@ def test_words_that_give_an_entity_away_are_added(docs):
     assert all(not r["added"] for i, r in got.items() if i < 100 or i >= 200)
 
 
+def test_context_keeps_whole_words_at_the_edges(docs):
+    rows = [(1, "Zanzibar: me@x.org"), (2, "Jane me@x.org"), (3, "me@x.org Bob"), (4, "far " + "b" * 79 + " me@x.org " + "d" * 79 + " away"),
+            (5, "b" * 90 + " c me@x.org e " + "d" * 90), (6, "me@x.org"), (7, "me@x.org" + " f" * 60)]
+    found = pii.detect(docs(rows))
+    got = {}
+    for r in pii._contexts(found).join(found.select("key", "id"), "key").collect():
+        got.setdefault(r["id"], set()).add(r["term"])
+    assert got == {1: {"zanzibar"}, 2: {"jane"}, 3: {"bob"}, 4: {"b" * 79, "d" * 79}, 5: {"c", "e"}, 7: {"f"}}
+
+
 def test_sanitise_keeps_rows_and_columns(docs):
     rows = _pii_rows() + [(202, "call +1 (386) 555-3733 now common words")]
     frame = docs(rows)
