@@ -7,12 +7,14 @@ still give it away, so the corpus is asked how strongly they do: a word ``t`` ca
 
 of the information of entity ``e`` (0: none, 1: whoever reads ``t`` knows ``e``), where ``p`` counts
 documents: those that hold ``e``, those that hold ``t`` (over the whole corpus), and those that hold
-``t`` within ``CONTEXT`` characters of ``e``.  In documents that hold ``e`` near ``t``, every
-occurrence of a word over ``REMOVE`` is removed and one over ``GENERALISE`` is replaced by its kind.
-A pair seen in one text only is no evidence and is left alone.
+``t`` within ``CONTEXT`` characters of ``e``.  A word counts by the most it discloses of any entity.
+In every document, also where no entity is, every occurrence of a word from ``REMOVE`` on is removed
+and one from ``GENERALISE`` on is replaced by its kind.  A pair seen in one text only is no evidence
+and is left alone.
 
-The corpus is read once for entities (text is kept for documents that have any) and once to count
-the documents of the context words; counts are combined before they are shuffled.
+The corpus is read once for entities (text is kept for documents that have any), once to count the
+documents of the context words and once for the places of the disclosing ones; counts are combined
+before they are shuffled, and texts move only if the disclosing words are too many to broadcast.
 
 Patterns are possessive or start where a run starts, so long runs cost linear time; they match what
 the plain patterns match, leftmost and without overlap.
@@ -141,25 +143,36 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", least
         .where(F.col("disclosure") >= least)
 
 
-def _term_spans(found: DataFrame, strong: DataFrame) -> DataFrame:
-    """``(key, added)``: places of the disclosing words in the documents that hold them near their entity."""
-    word = lambda terms: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
-    per = _contexts(found).join(strong, ["kind", "value", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("d")) \
-        .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "d"))).alias("terms"))
-    pick = lambda low, high: F.transform(F.filter("terms", lambda x: (x["d"] >= low) & (x["d"] < high)), lambda x: x["term"])
-    none = F.array().cast(_SPAN)
-    by = per.select("key", pick(GENERALISE, REMOVE).alias("g"), pick(REMOVE, 1e9).alias("r"))
-    return found.where("text is not null").dropDuplicates(["key"]).join(by, "key").select(
-        "key", F.concat(F.when(F.size("g") > 0, _spans(GENERALISED, F.col("text"), word(F.col("g")))).otherwise(none),
-                        F.when(F.size("r") > 0, _spans(REMOVED, F.col("text"), word(F.col("r")))).otherwise(none)).alias("added"))
+def _term_spans(docs: DataFrame, found: DataFrame, strong: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(key, added, elsewhere)``: places of the disclosing words in all documents that hold any;
+    ``added``: of those that stand near their entity there, ``elsewhere``: of all others."""
+    n = strong.count()
+    strongest = strong.groupBy("term").agg(F.max("disclosure").alias("d"))
+    text = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    words = text.select("key", "text", F.explode(F.array_distinct(F.split(F.lower("text"), _WORD))).alias("term"))
+    if n <= BROADCAST_ROWS:  # texts don't move
+        hits = words.join(F.broadcast(strongest), "term")
+    else:
+        held = words.select("key", "term").distinct().join(strongest, "term").groupBy("key").agg(F.collect_list(F.struct("term", "d")).alias("terms"))
+        hits = text.join(held, "key").select("key", "text", F.inline("terms"))
+    word = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), F.col("term"), F.lit(r")(?![\p{L}\p{N}_])"))
+    kind = F.when(F.col("d") >= REMOVE, REMOVED).otherwise(GENERALISED)
+    hits = hits.select("key", "term", _spans(kind, F.col("text"), word).alias("places"), F.lit(False).alias("near"))
+    near = _contexts(found).join(if_small(strong, n), ["kind", "value", "term"]) \
+        .select("key", "term", F.lit(None).cast(_SPAN).alias("places"), F.lit(True).alias("near"))
+    per = hits.union(near).groupBy("key", "term").agg(F.first("places", ignorenulls=True).alias("places"), F.max("near").alias("near"))
+    pick = lambda which: F.array_sort(F.flatten(F.collect_list(F.when(which, F.col("places")))))
+    return per.groupBy("key").agg(pick(F.col("near")).alias("added"), pick(~F.col("near")).alias("elsewhere"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, key, base, added)`` of every document: base spans, and spans of words that disclose them."""
+    """``(id, key, base, added, elsewhere)`` of every document: base spans, spans of words that disclose an entity
+    they stand near, and spans of disclosing words away from their entity."""
     found = detect(docs, id_col, text_col)
-    added = _term_spans(found, disclosures(docs, found, text_col).checkpoint()).checkpoint()
-    return found.select("id", "key", "base").join(if_small(added, added.count() * 10), "key", "left") \
-        .select(F.col("id").alias(id_col), "key", "base", F.coalesce("added", F.array().cast(_SPAN)).alias("added"))
+    more = _term_spans(docs, found, disclosures(docs, found, text_col).checkpoint(), id_col, text_col).checkpoint()
+    none = F.array().cast(_SPAN)
+    return found.select("id", "key", "base").join(if_small(more, more.count() * 10), "key", "left") \
+        .select(F.col("id").alias(id_col), "key", "base", F.coalesce("added", none).alias("added"), F.coalesce("elsewhere", none).alias("elsewhere"))
 
 
 def count_kind(spans: Column, kind: str) -> Column:
@@ -189,8 +202,8 @@ def redact(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, with sanitised text (null stays null)."""
-    marks = find(docs, id_col, text_col).where((F.size("base") > 0)) \
-        .select(F.col("key").alias("__key"), F.concat("base", "added").alias("__spans")).dropDuplicates(["__key"]).checkpoint()
+    marks = find(docs, id_col, text_col).select(F.col("key").alias("__key"), F.concat("base", "added", "elsewhere").alias("__spans")) \
+        .where(F.size("__spans") > 0).dropDuplicates(["__key"]).checkpoint()
     keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
     joined = keyed.join(if_small(marks, marks.count() * 10), "__key", "left")
     clean = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("__spans")))

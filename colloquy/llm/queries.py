@@ -92,7 +92,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
     count = [pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *count, F.sha2(pii.render(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-                        pii.render(F.concat("base", "added")).alias("spans"))
+                        pii.render(F.concat("base", "added", "elsewhere")).alias("spans"))
 
 
 @register("op8_minhash_forest")

@@ -120,6 +120,19 @@ def test_words_that_give_an_entity_away_are_added(docs):
     assert all(not r["added"] for i, r in got.items() if i < 100 or i >= 200)
 
 
+def test_words_that_give_an_entity_away_go_from_every_document(docs):
+    rows = _pii_rows() + [(203, "ZANZIBAR, then zanzibar; zanzibari stays"), (204, "ask you@other.net about Zanzibar")]
+    rows += [(300 + i, f"common filler {i}") for i in range(400)]
+    frame, text = docs(rows), dict(rows)
+    got = {r["doc_id"]: r for r in pii.find(frame).collect()}
+    assert [text[203][s["start"]:s["stop"]] for s in got[203]["elsewhere"]] == ["ZANZIBAR", "zanzibar"]
+    assert [text[200][s["start"]:s["stop"]] for s in got[200]["elsewhere"]] == ["zanzibar"]
+    assert all(not r["elsewhere"] for i, r in got.items() if i not in (200, 203, 204))  # 100 to 102 have them in 'added'
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(frame).collect()}
+    assert clean[200] == "[WORD]" and clean[203] == "[WORD], then [WORD]; zanzibari stays" and clean[204] == "ask [EMAIL] about [WORD]"
+    assert clean[201] is None and clean[5] == text[5] and clean[305] == text[305]
+
+
 def test_context_keeps_whole_words_at_the_edges(docs):
     rows = [(1, "Zanzibar: me@x.org"), (2, "Jane me@x.org"), (3, "me@x.org Bob"), (4, "far " + "b" * 79 + " me@x.org " + "d" * 79 + " away"),
             (5, "b" * 90 + " c me@x.org e " + "d" * 90), (6, "me@x.org"), (7, "me@x.org" + " f" * 60)]
