@@ -1,10 +1,11 @@
-"""N-gram Jaccard self-join of documents with a MinHash LSH forest.
+"""N-gram Jaccard self-join of documents with MinHash banding of a fixed depth.
 
 1. ``signatures``: every document's set of five-word shingles becomes a signature of ``TREES`` x
    ``DEPTH`` minima.  Documents with equal shingle sets form a class and go on as one.
-2. Each tree sorts the signatures by its own ``DEPTH`` minima (a prefix trie).  Matched prefixes
-   are shortened from ``DEPTH`` until a pair at the threshold meets in some tree with probability
-   ``RECALL``; classes that share such a prefix in a tree are a bucket.
+2. Each tree is a band: classes that share the first ``prefix_length()`` of its minima are a bucket.
+   That length follows from the constants alone: the longest, up to ``DEPTH``, at which a pair at the
+   threshold meets in some tree with probability ``RECALL``.  No trie is built, nothing is sorted and
+   nothing shortened on data; the minima beyond it only serve the estimate.
 3. Inside a bucket all signatures are compared; those whose estimate is within ``SLACK`` of the
    threshold are joined, and connected components over all buckets give the candidate groups, so
    that each class is in one group, whatever number of trees it met others in.
