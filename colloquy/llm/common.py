@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +48,45 @@ def bounded_sample(rows: DataFrame, key: Sequence[Column | str], max_rows: int,
 def is_held_out(doc_id: object, modulus: int, remainder: int) -> bool:
     """The same choice for one id, outside Spark."""
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % modulus == remainder
+
+
+def text_blocks(texts: Iterable[str | None], chars: int) -> Iterator[tuple[int, list[str]]]:
+    """``(place of the first, texts)`` of blocks of about ``chars`` characters; a null is empty."""
+    block: list[str] = []
+    start = size = 0
+    for i, t in enumerate(texts):
+        block.append(t or "")
+        size += len(block[-1])
+        if size > chars:
+            yield start, block
+            block, start, size = [], i + 1, 0
+    if block:
+        yield start, block
+
+
+class WordCache:
+    """What is known of words, in a worker that lives through many tasks.
+
+    Words are kept as they come, which is the frequent ones first, until ``limit`` bytes are used;
+    what comes later is known until ``end_block`` only.  So memory has a bound, and a new task finds
+    the frequent words known."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.size = limit, 0
+        self.known: dict[str, str] = {}
+        self.passing: list[str] = []
+
+    def put(self, word: str, value: str) -> None:
+        """Both strings are taken to be of one byte a character, or wide ones of two."""
+        self.known[word] = value
+        # the heads of two strings, their characters, and a table entry of a table half full
+        size = 270 + len(word) * (1 if word.isascii() else 2) + len(value) * (1 if value.isascii() else 2)
+        if self.size + size > self.limit:
+            self.passing.append(word)
+        else:
+            self.size += size
+
+    def end_block(self) -> None:
+        for word in self.passing:
+            del self.known[word]
+        self.passing.clear()

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, decontaminate, forest, langid, licenses, pii, sharding, spans, topk, toxicity
+from colloquy.llm import (
+    bpe, decontaminate, forest, langid, licenses, negatives, pieces, pii, sharding, spans, spelling, topk, toxicity)
 from colloquy.llm.common import documents, held_out, read
 from colloquy.session import ensure_checkpoint_dir
 
@@ -127,3 +128,66 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every document."""
     return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+# crc32 of '<doc_id>:<run>' as a fold over the bits of its UTF-8 bytes (code points up to U+00FF), lowest first
+ORACLE_SQL["op11_reduced_spelling"] = """
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{00C0}-\\x{00FF}]{5,}')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents WHERE text IS NOT NULL),
+counted AS (SELECT id, w, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT id, w, n, flatten(list_transform(string_split(id || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)]
+         ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS b FROM counted),
+hashed AS (SELECT w, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(b, lambda x:
+         [CAST(x & 1 AS BIGINT), (x >> 1) & 1, (x >> 2) & 1, (x >> 3) & 1, (x >> 4) & 1, (x >> 5) & 1, (x >> 6) & 1, (x >> 7) & 1]))),
+         lambda c, x: xor(c >> 1, (xor(c, x) & 1) * 3988292384)), CAST(4294967295 AS BIGINT)) AS h FROM bytes),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0
+         THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed)
+      WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+masked AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS m FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+less AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS m FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM masked a JOIN masked b ON a.m = b.m AND a.word <> b.word
+         UNION ALL SELECT l.word, v.word, v.n FROM less l JOIN v ON l.m = v.word
+         UNION ALL SELECT v.word, l.word, l.n FROM less l JOIN v ON l.m = v.word),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+         row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM near),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form,
+      CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON v.word = b.word),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN walk ON f.word = walk.word JOIN f g ON g.word = walk.at AND g.form IS NULL"""
+
+
+@register("op11_reduced_spelling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the documents."""
+    return spelling.group_variants(spelling.words_of(documents(spark, sf_dir)))
+
+
+ORACLE_SQL["op12_angular_negatives"] = """
+WITH v AS (SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score,
+       s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 3"""
+
+
+@register("op12_angular_negatives")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the first positives of every 50th vector; every 7th label is the next one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@register("op13_piece_prefixes")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece digests of every document."""
+    return pieces.encode_texts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), keep=())
