@@ -7,11 +7,12 @@ it is walked depth first (the sorted order of the words is that walk), each node
 token of its prefix, and words that share a prefix share the states of its nodes.
 
 ``encode_texts`` is a narrow map over the documents: nothing is shuffled, every task holds one
-block of texts and a bounded cache of word encodings.
+block of texts and a cache of word encodings within a byte bound, which the next task finds filled.
 
 Text handling is that of the vocabulary file: NFC, runs of white space, lower case by character,
 then contractions, letter runs, single digits and runs of other signs; special tokens found in the
-raw text are kept as their ids.  The decoded text is that of a file without a decoder: the tokens
+raw text are kept as their ids.  (Texts with code points that Python's Unicode version does not know
+are normalised and split by the tokenizers library itself, whose version is newer.)  The decoded text is that of a file without a decoder: the tokens
 joined by one space.
 
 Defined results: null text is empty; an empty text has no tokens, and both digests are those of
@@ -30,6 +31,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
+
+from colloquy.llm.common import WordCache, text_blocks, worker_state
 
 END = "</w>"
 #: Characters for which the standard patterns and those of the vocabulary files may differ.
@@ -37,8 +41,8 @@ _RARE = re.compile("[^\\x00-\\x1b -\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f]")
 #: Fixed: the word pattern of the vocabulary file, and its like for texts without such characters.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+(?:_+[^\s\w]*)*|(?:_+[^\s\w]*)+")
-#: Word encodings kept by a Python worker before the cache starts anew.
-CACHE_WORDS = 100_000
+#: Bytes of word encodings, twice (ids and tokens), and known token pairs that a Python worker keeps.
+CACHE_BYTES, CACHE_PAIRS = 140_000_000, 600_000
 #: Characters of text that are taken together into one trie.
 BLOCK_CHARS = 1_000_000
 
@@ -49,7 +53,9 @@ def load(path: str) -> dict:
         spec = json.load(f)
     pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     return {"vocab": spec["model"]["vocab"], "merges": [tuple(m) for m in spec["model"]["merges"]],
-            "pattern": pattern, "special": {t["content"]: t["id"] for t in spec["added_tokens"]}}
+            "pattern": pattern, "special": {t["content"]: t["id"] for t in spec["added_tokens"]},
+            "rules": json.dumps({k: spec[k] for k in ("version", "normalizer", "pre_tokenizer")}
+                                | {"model": {"type": "BPE", "vocab": {}, "merges": []}})}
 
 
 def _byte_chars() -> list[str]:
@@ -62,7 +68,7 @@ def _byte_chars() -> list[str]:
 class TrieEncoder:
     """Encodes words by their prefixes; texts by their words."""
 
-    def __init__(self, spec: dict) -> None:
+    def __init__(self, spec: dict, cache_bytes: int | None = None) -> None:
         self.vocab: dict[str, int] = spec["vocab"]
         self.rank = {pair: i for i, pair in enumerate(spec["merges"])}
         self.special: dict[str, int] = spec["special"]
@@ -72,14 +78,17 @@ class TrieEncoder:
         self.quick = spec["pattern"] == WORD_PATTERN
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.bytes = _byte_chars()
+        self.byte_of = {c: b for b, c in enumerate(self.bytes)}
+        self.rules = Tokenizer.from_str(spec["rules"])
         self.stays: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        """Empties the cache of words; what is known of token pairs stays."""
-        self.ids = {" " + t: str(i) for t, i in self.special.items()}
-        self.tokens = {" " + t: t for t in self.special}
+        self.left: dict[int, list | None] = {}
+        self.right: dict[int, list | None] = {}
+        half = CACHE_BYTES if cache_bytes is None else cache_bytes // 2
+        self.ids, self.tokens = WordCache(half), WordCache(half)
+        for t, i in self.special.items():
+            self.ids.put(" " + t, str(i))
+            self.tokens.put(" " + t, t)
 
     # -- single tokens and pairs ------------------------------------------------------------
 
@@ -87,8 +96,9 @@ class TrieEncoder:
         t = self.name[token]
         return [*t[: -len(END) - 1], t[-len(END) - 1:]] if t.endswith(END) and t != END else [*t]
 
-    def _merge(self, parts: list[str]) -> list[str]:
-        while len(parts) > 1:
+    def _merge(self, parts: list[str], least: int = 1) -> list[str]:
+        """Merges until nothing is left to merge, or ``least`` parts are left."""
+        while len(parts) > least:
             best = min((self.rank.get(p, len(self.rank)), i) for i, p in enumerate(zip(parts, parts[1:])))
             if best[0] == len(self.rank):
                 break
@@ -101,10 +111,58 @@ class TrieEncoder:
             known = self.whole[token] = len(self._merge(self._symbols(token))) == 1
         return known
 
+    def _edge(self, token: int, side: int) -> list[tuple[str, int]] | None:
+        """What stands at the right (1) or left (0) edge of a token while it is merged, latest first, each with
+        when it comes to be (0: a symbol of the text); None where a part is not older than the whole."""
+        symbols, out = self._symbols(token), []
+        while len(symbols) > 1:
+            last = self._merge(symbols, 2)
+            order = self.rank.get((last[0], last[1])) if len(last) == 2 else None
+            if order is None or (out and order + 1 >= out[-1][1]):
+                return None
+            out.append((last[0] + last[1], order + 1))
+            # the symbols of the part at the edge
+            size = n = 0
+            inner = symbols if not side else symbols[::-1]
+            while size < len(last[side]):
+                size += len(inner[n])
+                n += 1
+            symbols = symbols[:n] if not side else symbols[-n:]
+        return [*out, (symbols[0], 0)]
+
     def _stay_apart(self, a: int, b: int) -> bool:
+        """Whether two tokens, encoded together, stay these two.
+
+        What stands left and right of the border is followed back in time: a pair that stood there
+        together would have merged if its merge ranks before the merges that either went into; of equal
+        ones the left comes first."""
         key = a << 20 | b
-        if (known := self.stays.get(key)) is None:
-            known = self.stays[key] = self._merge(self._symbols(a) + self._symbols(b)) == [self.name[a], self.name[b]]
+        if (known := self.stays.get(key)) is not None:
+            return known
+        if len(self.stays) >= CACHE_PAIRS:
+            self.stays.clear()
+        for edges, token, side in ((self.right, a, 1), (self.left, b, 0)):
+            if token not in edges:
+                edges[token] = self._edge(token, side)
+        left, right = self.right[a], self.left[b]
+        if left is None or right is None:
+            known = self._merge(self._symbols(a) + self._symbols(b)) == [self.name[a], self.name[b]]
+        else:
+            known, i, j, rank = True, 0, 0, self.rank
+            left_next = right_next = len(rank) + 1
+            while True:
+                (x, x_age), (y, y_age) = left[i], right[j]
+                order = rank.get((x, y))
+                if order is not None and order + 1 < left_next and order + 1 <= right_next:
+                    known = False
+                    break
+                if x_age > y_age:
+                    left_next, i = x_age, i + 1
+                elif y_age:
+                    right_next, j = y_age, j + 1
+                else:
+                    break
+        self.stays[key] = known
         return known
 
     # -- the trie ---------------------------------------------------------------------------
@@ -158,6 +216,9 @@ class TrieEncoder:
                 out.append(" " + p)
             elif self.quick and not _RARE.search(p):
                 out += _WORDS.findall(p.lower() if p.isascii() else unicodedata.normalize("NFC", p).lower())
+            elif any(unicodedata.category(c) == "Cn" for c in set(p)):
+                normal = self.rules.normalizer.normalize_str(p)
+                out += [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(normal)]
             else:
                 # lower case by character: no special rule for the sigma that ends a word
                 out += self.pattern.findall(unicodedata.normalize("NFC", p).replace("\u03a3", "\u03c3").lower())
@@ -169,27 +230,26 @@ class TrieEncoder:
         name = self.name
         for s, ids in self.encode_words(spelt):
             w = spelt[s]
-            self.ids[w] = " ".join(map(str, ids))
-            self.tokens[w] = " ".join([name[i] for i in ids])
+            self.ids.put(w, " ".join(map(str, ids)))
+            self.tokens.put(w, " ".join([name[i] for i in ids]))
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
         """``(ids joined by a space, decoded text)`` of every text."""
         split = [self._pieces(t or "") for t in texts]
-        if len(self.ids) > CACHE_WORDS:
-            self.forget()
-        self._learn({x for pieces in split for x in pieces if x not in self.ids})
+        ids, tokens = self.ids.known, self.tokens.known
+        self._learn({x for pieces in split for x in pieces if x not in ids or x not in tokens})
         for pieces in split:
-            yield " ".join(map(self.ids.__getitem__, pieces)), " ".join(map(self.tokens.__getitem__, pieces))
-
-
-_ENCODERS: dict[object, TrieEncoder] = {}
+            yield " ".join(map(ids.__getitem__, pieces)), " ".join(map(tokens.__getitem__, pieces))
+        self.ids.end_block()
+        self.tokens.end_block()
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
-                 keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+                 keep: tuple[str, ...] = ("ids", "decoded"), cache_bytes: int = 2 * CACHE_BYTES) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` and what ``keep`` names of ``ids`` and ``decoded``.
 
-    ``vocabulary`` is the path of a tokenizer file on the driver (a few MB, sent to the tasks)."""
+    ``vocabulary`` is the path of a tokenizer file on the driver (a few MB, sent to the tasks);
+    ``cache_bytes`` is what a worker may keep of known words (fewer cost time only)."""
     sent = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
     rows = docs.select(id_col, text_col)
     extra = ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
@@ -197,24 +257,10 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
              f"decoded_sha256 string{extra}"
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(c for c in ("ids", "decoded") if c in keep)]
 
-    def blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str | None]]]:
-        block: list[str | None] = []
-        start = size = 0
-        for i, t in enumerate(batch.column(1)):
-            block.append(t.as_py())
-            size += len(block[-1] or "")
-            if size > BLOCK_CHARS:
-                yield start, block
-                block, start, size = [], i + 1, 0
-        if block:
-            yield start, block
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(vocabulary)
-        if encoder is None:
-            encoder = _ENCODERS[vocabulary] = TrieEncoder(sent.value)
+        encoder = worker_state(("bpe", vocabulary, cache_bytes), lambda: TrieEncoder(sent.value, cache_bytes))
         for batch in batches:
-            for start, texts in blocks(batch):
+            for start, texts in text_blocks((t.as_py() for t in batch.column(1)), BLOCK_CHARS):
                 out: list[list] = [[], [], [], [], []]
                 for ids, decoded in encoder.encode(texts):
                     out[0].append(ids.count(" ") + 1 if ids else 0)
@@ -231,7 +277,6 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 if "decoded" in keep:
                     columns.append(pa.array(out[4], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        encoder.forget()  # the worker lives on
-        pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return rows.mapInArrow(run, schema)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +81,8 @@ class WordCache:
 
     def put(self, word: str, value: str) -> None:
         """Both strings are taken to be of one byte a character, or wide ones of two."""
+        if word in self.known:
+            return
         self.known[word] = value
         # the heads of two strings, their characters, and a table entry of a table half full
         size = 270 + len(word) * (1 if word.isascii() else 2) + len(value) * (1 if value.isascii() else 2)
@@ -90,3 +95,25 @@ class WordCache:
         for word in self.passing:
             del self.known[word]
         self.passing.clear()
+
+
+_STATE: dict[Hashable, Any] = {}
+
+
+def worker_state(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: that of one ``key`` at a time, made when first asked for."""
+    if key not in _STATE:
+        drop_worker_state()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def drop_worker_state() -> None:
+    """Gives back what another operator left in this worker."""
+    if _STATE:
+        _STATE.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)  # glibc keeps freed memory otherwise
+        except (OSError, AttributeError):
+            pass

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import if_small, shuffle_partitions
+from colloquy.llm.common import drop_worker_state, if_small, shuffle_partitions
 from colloquy.llm.components import connected
 from colloquy.session import ensure_checkpoint_dir
 
@@ -96,6 +96,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_state()
         for b in batches:
             sets, sigs = [], []
             for t in b.column(2):
@@ -283,10 +284,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     grouped = similar_groups(docs, id_col, text_col).checkpoint()
     first = grouped.groupBy("grp").agg(F.min(F.struct("id", "key")).alias("first"))
     per_key = grouped.groupBy("grp", "id", "key").agg(F.count(F.lit(1)).alias("rows")).join(first, "grp") \
-        .select("key", (F.col("first.key") == F.col("key")).alias("stays"), "rows")
-    marked = per_key.where(~F.col("stays") | (F.col("rows") > 1)).select(F.col("key").alias("__key"), "stays").distinct().checkpoint()
+        .select("key", (F.col("first.key") == F.col("key")).alias("__stays"), "rows")
+    marked = per_key.where(~F.col("__stays") | (F.col("rows") > 1)).select(F.col("key").alias("__key"), "__stays").distinct().checkpoint()
     keyed: Column = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     rows = docs.withColumn("__key", keyed).join(if_small(marked, marked.count()), "__key", "left")
-    once = rows.where("stays is null")
-    repeated = rows.where("stays").dropDuplicates(["__key"])  # equal rows
+    once = rows.where("__stays is null")
+    repeated = rows.where("__stays").dropDuplicates(["__key"])  # equal rows
     return once.unionByName(repeated).select(*docs.columns)

@@ -35,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from colloquy.llm.common import WordCache, text_blocks
+from colloquy.llm.common import WordCache, text_blocks, worker_state
 
 SPACE = "▁"
 #: Characters of text encoded together, bytes of cached units and number of cached pairs of a worker.
-BLOCK_CHARS, CACHE_BYTES, CACHE_PAIRS = 1_000_000, 96_000_000, 500_000
+BLOCK_CHARS, CACHE_BYTES, CACHE_PAIRS = 1_000_000, 240_000_000, 800_000
 #: Fixed: the types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -261,9 +261,6 @@ class PrefixEncoder:
         self.units.end_block()
 
 
-_ENCODERS: dict[str, PrefixEncoder] = {}
-
-
 def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text",
                  keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` and what ``keep`` names of ``ids`` and ``decoded``.
@@ -277,10 +274,7 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(c for c in ("ids", "decoded") if c in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(model)
-        if encoder is None:
-            _ENCODERS.clear()
-            encoder = _ENCODERS[model] = PrefixEncoder(sent.value)
+        encoder = worker_state(("pieces", model), lambda: PrefixEncoder(sent.value))
         for batch in batches:
             for start, texts in text_blocks((t.as_py() for t in batch.column(1)), BLOCK_CHARS):
                 out: list[list] = [[], [], [], [], []]
@@ -299,5 +293,6 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 if "decoded" in keep:
                     columns.append(pa.array(out[4], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return rows.mapInArrow(run, schema)

@@ -123,11 +123,11 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
     """The documents, all columns kept, without the covered sentences.  With ``report`` instead
     ``(id, n_sentences, n_removed, removed, text)``; removed: ``start:stop`` of each span, joined by commas."""
-    gone = covered(docs, id_col, text_col).withColumnRenamed("key", "__key").checkpoint()
+    gone = covered(docs, id_col, text_col).select(F.col("key").alias("__key"), F.col("gone").alias("__gone")).checkpoint()
     marked = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))) \
         .join(if_small(gone, gone.count()), "__key", "left").drop("__key")
     kept = docs.columns if not report else [id_col]
-    rows = marked.select(*[F.col(c) for c in kept], F.col(text_col).alias("__text"), "gone")
+    rows = marked.select(*[F.col(c) for c in kept], F.col(text_col).alias("__text"), "__gone")
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     if report:
         schema += ", n_sentences int, n_removed int, removed string, text string"

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bounded_sample
+from colloquy.llm.common import bounded_sample, drop_worker_state
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "w", "I", "H", "Y", "N", "R"
 SYMBOLS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT)
@@ -240,6 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def count(wanted: frozenset[str] | None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            drop_worker_state()
             for b in batches:
                 got: Counter[str] = Counter()
                 for text in b["text"]:
@@ -292,6 +293,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in cols) + f", `{score_col}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_state()
         m = sent.value
         matcher = Matcher(Lexicon(m["stems"], m["whole"]))
         for b in batches:

@@ -39,8 +39,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("ids",))
+    """Token ids of every document; workers that ran the other stages get a smaller word cache."""
+    return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("ids",), cache_bytes=60_000_000)
 
 
 STAGES = [

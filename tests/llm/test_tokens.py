@@ -56,7 +56,8 @@ def test_encode_texts_digests_and_nulls(spark, docs, library):
 
 
 def test_the_cache_may_start_anew(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1500)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 20)
     small, large = bpe.TrieEncoder(bpe.load(WORDS)), bpe.TrieEncoder(bpe.load(WORDS))
     texts = [t for t in _texts() if t][:60]
     assert [x for t in texts for x in small.encode([t])] == list(large.encode(texts))
@@ -141,3 +142,15 @@ def test_language_model_without_rows(spark, docs):
     empty = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     model = langid.train(empty, PIECES)
     assert [tuple(r) for r in langid.classify(docs([(1, "text")]), model).collect()] == [(1, "und", 0.0)]
+
+
+def test_code_points_of_any_age(library):
+    rng = random.Random(8)
+    texts = ["".join(chr(rng.choice([rng.randint(0x250, 0x2fff), rng.randint(0xa000, 0xd7ff), rng.randint(0xe000, 0x1ffff),
+                                     rng.randint(0x20000, 0x33fff), rng.randint(97, 122)])) for _ in range(12)) for _ in range(1500)]
+    texts += ["a" + chr(c) + "B" for c in (0x1c89, 0x10d50, 0x16ea0, 0x1d6a6, 0x558, 0x3fc3f)]
+    encoder = bpe.TrieEncoder(bpe.load(WORDS))
+    for text, (ids, decoded) in zip(texts, encoder.encode(texts)):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, want)), text
+        assert decoded == library.decode(want, skip_special_tokens=False)
