@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.plans.hashing import seeded_key
+from colloquy.plans.permute import permuted
 from colloquy.plans.rank import rank_within
 from colloquy.plans.topk import top_k_per_group
 
@@ -110,14 +111,14 @@ def cross_source_holdout(df: DataFrame, source_col: str, pool_source: str) -> Da
 
 def few_shot_pairs(queries: DataFrame, pool: DataFrame, *, query_key: str, pool_key: str,
                    k: int, seed: int = 42, max_queries: int | None = None) -> DataFrame:
-    """Per query ``min(k, |pool|)`` distinct pool rows, seeded; with
-    ``max_queries`` only that many query rows are first drawn in the seeded
+    """Per query ``min(k, |pool|)`` distinct pool rows, drawn for each query by itself;
+    with ``max_queries`` only that many query rows are first drawn in the seeded
     order (the evaluation sample size is the feature).
 
-    The pool gets one global seeded order (positions 0..P-1); query ``q`` takes
-    positions ``(start(q) + j) mod P`` for ``j < k`` with ``start`` from the
-    seeded hash of ``q``.  ``|queries| * k`` rows, an equi-join on position; no
-    cross product of queries and pool.
+    The pool gets one global seeded order (positions 0..P-1).  Every query has its own
+    permutation of the positions (``plans.permute``, keyed by seed and query key); shot ``j``
+    is its place ``j``, computed in the query's row.  ``|queries| * k`` rows, an equi-join on
+    position; no cross product of queries and pool, no order of the pool per query.
     """
     if max_queries is not None:
         queries = seeded_sample(queries, int(max_queries), query_key, seed).drop("sample_rank")
@@ -131,10 +132,8 @@ def few_shot_pairs(queries: DataFrame, pool: DataFrame, *, query_key: str, pool_
         fields = queries.select(query_key).schema.fields + [T.StructField("shot", T.IntegerType())] + \
             [f for f in ranked.schema.fields if f.name != "__ppos"]
         return queries.sparkSession.createDataFrame([], T.StructType(fields))
-    start = F.pmod(F.conv(F.substring(seeded_key(seed, F.lit("q"), query_key), 1, 12), 16, 10)
-                   .cast("bigint"), F.lit(p))
-    q = queries.select(query_key, F.posexplode(F.array_repeat(F.lit(0), kk)).alias("shot", "__z")) \
-        .withColumn("__ppos", F.pmod(start + F.col("shot"), F.lit(p))).drop("__z")
+    q = queries.select(query_key, F.explode(F.sequence(F.lit(0), F.lit(kk - 1))).alias("shot")) \
+        .withColumn("__ppos", permuted(F.col("shot"), p, seeded_key(seed, F.lit("q"), query_key)))
     return q.join(ranked, "__ppos", "inner").drop("__ppos")
 
 

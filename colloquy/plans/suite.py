@@ -1174,15 +1174,32 @@ def q_prompt_rows(spark, sf_dir):
                     tx.joined_dialogue("chain").alias("dialogue"))
 
 
-_FEWSHOT_SQL = "WITH " + _UTT_SQL + "," + chains_sql(3) + "," + _IDS_SQL.format(seed=7) + """,
+def _feistel_sql(rounds: int = 10) -> str:
+    """The rounds of ``plans.permute`` over ``wk (x, k, a, b)``, one subquery each."""
+    sql = "(SELECT *, x // b AS l, x % b AS r FROM wk WHERE NOT done)"
+    for i in range(1, rounds + 1):
+        to, of, side = ("l", "r", "a") if i % 2 else ("r", "l", "b")
+        sql = f"""(SELECT * REPLACE (({to} + ('0x' || substr(md5(k || ':{i}:' || {of}), 1, 12))::BIGINT % {side}) % {side} AS {to}) FROM {sql})"""
+    return sql
+
+
+_FEISTEL_SQL = _feistel_sql()
+_FEWSHOT_SQL = "WITH RECURSIVE " + _UTT_SQL + "," + chains_sql(3) + "," + _IDS_SQL.format(seed=7) + """,
 ho AS (SELECT conv_id, CASE WHEN pos < greatest(1, CAST(floor(n * 0.1) AS BIGINT)) THEN 'test' ELSE 'pool' END AS split
        FROM sh, n),
 ck AS (SELECT CAST(c.conv_id AS VARCHAR) || ':' || CAST(c.anchor_turn AS VARCHAR) AS key, c.texts, ho.split
        FROM chains c JOIN ho ON c.conv_id = ho.conv_id),
 pr AS (SELECT key AS pkey, texts, row_number() OVER (ORDER BY md5('7:' || key), key) - 1 AS ppos FROM ck WHERE split = 'pool'),
 np AS (SELECT count(*) AS P FROM pr),
-qs AS (SELECT key AS qkey, shot, (('0x' || substr(md5('7:q:' || key), 1, 12))::BIGINT + shot) % P AS ppos
-       FROM ck, np, range(0, 2) t(shot) WHERE split = 'test' AND shot < P),
+-- every query's own permutation of the pool: a Feistel network over a x b cells, walked until under P
+rt AS (SELECT P, CAST(ceil(sqrt(P)) AS BIGINT) AS root FROM np WHERE P > 0),
+sd AS (SELECT P, a, CAST(ceil(P / a) AS BIGINT) AS b FROM (SELECT P, unnest(range(root - least(1000, root // 8 + 1) + 1, root + 1)) AS a FROM rt)
+       ORDER BY a * CAST(ceil(P / a) AS BIGINT) - P, a DESC LIMIT 1),
+wk AS (SELECT key AS qkey, md5('7:q:' || key) AS k, shot, CAST(shot AS BIGINT) AS x, false AS done, P, a, b
+       FROM ck, sd, range(0, 2) t(shot) WHERE split = 'test' AND shot < P
+       UNION ALL
+       SELECT qkey, k, shot, l * b + r, l * b + r < P, P, a, b FROM """ + _FEISTEL_SQL + """ z),
+qs AS (SELECT qkey, shot, x AS ppos FROM wk WHERE done),
 ex AS (SELECT qs.qkey, qs.shot, pr.pkey, pr.texts FROM qs JOIN pr ON qs.ppos = pr.ppos)
 """
 

@@ -1,6 +1,7 @@
 """Splits, profiling and run analysis on small fixtures (FIXTURES.md A8-A10)."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -240,6 +241,32 @@ def test_ewm_long_span(spark):
     assert max(abs(e - g) for (_, g), e in zip(got, exp)) < 1e-9
 
 
+def test_few_shot_pairs_are_drawn_for_each_query_by_itself(spark):
+    q = spark.createDataFrame([(f"q{i}",) for i in range(4500)], "qkey string")
+    p = spark.createDataFrame([(i,) for i in range(10)], "pkey long")
+    got = {}
+    for r in sp.few_shot_pairs(q, p, query_key="qkey", pool_key="pkey", k=2, seed=5).collect():
+        got.setdefault(r.qkey, {})[r.shot] = r.pkey
+    pairs = Counter((v[0], v[1]) for v in got.values())
+    # all 90 ordered pairs come up, each about 50 times (of neighbours only, there would be 10)
+    assert len(got) == 4500 and len(pairs) == 90 and 20 < min(pairs.values()) and max(pairs.values()) < 90
+
+
+def test_permuted_is_a_permutation(spark):
+    from colloquy.plans.permute import permuted, sides
+    seen = set()
+    for n in (1, 2, 3, 5, 7, 12, 97, 1009):
+        a, b = sides(n)
+        assert n <= a * b < n + a and abs(a - math.sqrt(n)) <= 1 + math.sqrt(n) / 8
+        df = spark.range(n).select("id", F.explode(F.array(*[F.lit(f"k{i}") for i in range(6)])).alias("key"))
+        rows = df.select("key", "id", permuted(F.col("id"), n, F.col("key")).alias("x")).collect()
+        for k in {r.key for r in rows}:
+            order = tuple(r.x for r in sorted((r for r in rows if r.key == k), key=lambda r: r.id))
+            assert sorted(order) == list(range(n))
+            seen.add((n, order))
+    assert sum(n == 1009 for n, _ in seen) == 6 and sum(n == 97 for n, _ in seen) == 6
+
+
 def test_few_shot_pairs_query_sample(spark):
     q = spark.createDataFrame([(f"q{i}",) for i in range(20)], "qkey string")
     p = spark.createDataFrame([(f"p{i}", i) for i in range(5)], "pkey string, x long")
