@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.plans.blocks import DEFAULT_BLOCK, drop_halo, halo_window, with_halo
@@ -129,13 +129,13 @@ def pad_batch(items: DataFrame, batch_col: str, signal_col: str, max_len: int |
 
     Text-only items (NULL signal) become zeros of the batch length.
     """
-    length = F.coalesce(F.size(signal_col), F.lit(0))
-    w = Window.partitionBy(batch_col)
-    target = F.max(length).over(w)
+    length = F.greatest(F.coalesce(F.size(signal_col), F.lit(0)), F.lit(0))
+    # only lengths are grouped; the signals meet one number a batch
+    tops = items.groupBy(F.col(batch_col).alias("__batch")).agg(F.max(length).alias("__t"))
     if max_len is not None:
-        target = F.least(target, F.lit(int(max_len)))
-    out = items.withColumn("length", F.least(length, target) if max_len is not None else length) \
-        .withColumn("__t", target)
+        tops = tops.withColumn("__t", F.least(F.col("__t"), F.lit(int(max_len))))
+    joined = items.join(tops, F.col(batch_col).eqNullSafe(F.col("__batch"))).drop("__batch")
+    out = joined.withColumn("length", F.least(length, F.col("__t")))
     sig = F.coalesce(F.col(signal_col), F.array().cast("array<float>"))
     padded = F.when(F.size(sig) >= F.col("__t"), F.slice(sig, 1, F.col("__t"))).otherwise(
         F.concat(sig, F.array_repeat(F.lit(0.0).cast("float"), F.col("__t") - F.size(sig))))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.plans.select import order_statistics
 from colloquy.plans.blocks import running_agg
 from colloquy.plans.rank import rank_within
 
@@ -84,55 +85,18 @@ def side_by_side(df: DataFrame, curr: str, res: str, label: str = "label") -> Da
     return counts.fillna(0)
 
 
-def exact_percentiles(df: DataFrame, col: str, pcts: Sequence[float], by: Sequence[str] = (),
-                      few_distinct: bool = False) -> DataFrame:
+def exact_percentiles(df: DataFrame, col: str, pcts: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated percentiles (numpy default) per group.
 
-    Positions come from a range-partitioned rank, then only the two neighbours
-    of each requested rank are joined; no group's values are buffered in one
-    task.  Output ``(by..., pct, value)`` with ``pct`` in percent.
-
-    ``few_distinct=True`` suits columns with few distinct values per group
-    (lengths, counts, labels): values are counted first and positions read off
-    the table of counts.  Any number of distinct values gives the same result
-    (the window over them sorts and spills; no map is held).
+    The two ranks beside each percentile are found by radix selection (``plans.select``): histograms
+    of an order-preserving key, narrowed round by round; no sort and no group's values in one task.
+    Output ``(by..., pct, value)`` with ``pct`` in percent.
     """
-    by = list(by)
-    if few_distinct:
-        counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        upto = group.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        at = F.col("pct") / 100.0 * (F.col("__all") - 1)
-        placed = counts.select(*by, "__v", "__n", F.sum("__n").over(upto).alias("__upto"), F.sum("__n").over(group).alias("__all")) \
-            .select("*", F.explode(F.array(*[F.lit(float(p)) for p in pcts])).alias("pct")).withColumn("__at", at)
-
-        def value_at(place: Column) -> Column:
-            return F.max(F.when((F.col("__upto") - F.col("__n") <= place) & (place < F.col("__upto")), F.col("__v")))
-
-        ends = placed.groupBy(*by, "pct").agg(F.max("__at").alias("__at"), value_at(F.floor("__at")).alias("__lo"),
-                                              value_at(F.ceil("__at")).alias("__hi"))
-        value = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise(
-            (F.ceil("__at") - F.col("__at")) * F.col("__lo") + (F.col("__at") - F.floor("__at")) * F.col("__hi"))
-        return ends.select(*by, "pct", value.alias("value"))
-    vals = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__v"))
-    ranked = rank_within(vals.withColumn("__tb", F.monotonically_increasing_id()), by, ["__v", "__tb"], out="__pos")
-    counts = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")) if by else \
-        vals.agg(F.count(F.lit(1)).alias("__n"))
-    ps = F.array(*[F.lit(float(p)) for p in pcts])
-    want = counts.select(*by, "__n", F.explode(ps).alias("pct")) \
-        .withColumn("__h", (F.col("__n") - 1) * F.col("pct") / 100.0) \
-        .withColumn("__lo", F.floor("__h").cast("bigint")) \
-        .withColumn("__hi", F.least(F.ceil("__h").cast("bigint"), F.col("__n") - 1))
-    need = want.select(*by, "pct", "__h", "__lo", "__hi", F.explode(F.array_distinct(F.array("__lo", "__hi")))
-                       .alias("__pos"))
-    r = ranked.select(*[F.col(k).alias("__r_" + k) for k in by], F.col("__pos").alias("__r_pos"), "__v")
-    cond = [F.col("__pos") == F.col("__r_pos")] + [F.col(k).eqNullSafe(F.col("__r_" + k)) for k in by]
-    j = need.join(r, cond, "left")
-    g = j.groupBy(*by, "pct", "__h", "__lo").agg(
-        F.max(F.when(F.col("__pos") == F.col("__lo"), F.col("__v"))).alias("__vlo"),
-        F.max(F.when(F.col("__pos") == F.col("__hi"), F.col("__v"))).alias("__vhi"))
-    value = F.col("__vlo") + (F.col("__h") - F.col("__lo")) * (F.col("__vhi") - F.col("__vlo"))
-    return g.select(*by, "pct", value.alias("value"))
+    found = order_statistics(df, col, pcts, by)
+    share = F.col("at") - F.floor("at")
+    value = F.when(F.col("below") == F.col("above"), F.col("below")).otherwise(
+        F.col("below") + share * (F.col("above") - F.col("below")))
+    return found.select(*by, "pct", value.alias("value"))
 
 
 def cutoff_shares(df: DataFrame, col: str, cutoffs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -148,35 +112,33 @@ def cutoff_shares(df: DataFrame, col: str, cutoffs: Sequence[float], by: Sequenc
         (F.col("r.n_above") * 100.0 / F.col("__n")).alias("pct_above"))
 
 
-def _scalar_percentiles(df: DataFrame, col: str, pcts: Sequence[float]) -> dict[float, float | None]:
-    """Exact percentiles of a whole column as driver scalars (a few numbers)."""
-    return {r["pct"]: r["value"] for r in exact_percentiles(df, col, pcts).collect()}
+def _percentile(found: DataFrame, pct: float) -> Column:
+    """One percentile of a whole column as a scalar subquery (null of no values)."""
+    return found.where(F.col("pct") == float(pct)).select("value").scalar()
 
 
 def summary(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean / median / min / max / count; the median is exact and comes
-    from global positions (no group's values gathered in one task)."""
+    """Mean / median / min / max / count; the median is exact, by radix
+    selection (no group's values gathered in one task)."""
     aggs = [F.avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"),
             F.count(col).cast("bigint").alias("count")]
     if by:
         base = df.groupBy(*by).agg(*aggs)
-        med = exact_percentiles(df, col, [50], by=by).select(*by, F.col("value").alias("median"))
-        out = base.join(med, list(by), "left")
+        med = exact_percentiles(df, col, [50], by=by).select(*[F.col(c).alias("__m_" + c) for c in by], F.col("value").alias("median"))
+        out = base.join(med, [F.col(c).eqNullSafe(F.col("__m_" + c)) for c in by], "left")
     else:
         one = df.select(col).checkpoint(eager=True)     # both passes read one frozen column
-        m = _scalar_percentiles(one, col, [50]).get(50.0)
-        out = one.agg(*aggs).withColumn("median", F.lit(m).cast("double"))
+        out = one.agg(*aggs).withColumn("median", _percentile(exact_percentiles(one, col, [50]), 50))
     return out.select(*by, "mean", "median", "min", "max", "count")
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, std (sample), min, exact quartiles, max."""
     df = df.select(col).checkpoint(eager=True)            # both passes read one frozen column
-    q = _scalar_percentiles(df, col, [25, 50, 75])
-    return df.agg(F.count(col).cast("bigint").alias("count"), F.avg(col).alias("mean"),
-                  F.stddev_samp(col).alias("std"), F.min(col).alias("min"),
-                  F.lit(q.get(25.0)).cast("double").alias("p25"), F.lit(q.get(50.0)).cast("double").alias("p50"),
-                  F.lit(q.get(75.0)).cast("double").alias("p75"), F.max(col).alias("max"))
+    found = exact_percentiles(df, col, [25, 50, 75]).checkpoint()
+    base = df.agg(F.count(col).cast("bigint").alias("count"), F.avg(col).alias("mean"),
+                  F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
+    return base.select("count", "mean", "std", "min", *[_percentile(found, p).alias(f"p{p}") for p in (25, 50, 75)], "max")
 
 
 def conversation_lengths(df: DataFrame, conv_col: str, turn_col: str, audio: Column | None = None) -> DataFrame:
@@ -372,13 +334,13 @@ def pairwise_set_f1(df: DataFrame, group: Sequence[str], tags_col: str, min_rows
 
 def consistency_summary(groups: DataFrame, f1_col: str = "mean_f1") -> DataFrame:
     """Mean, median, sample std, perfect count and non-null count of the
-    per-group F1 (median exact, from global positions)."""
+    per-group F1 (median exact, by radix selection)."""
     groups = groups.select(f1_col).checkpoint(eager=True)  # the per-group table, computed once
-    m = _scalar_percentiles(groups, f1_col, [50]).get(50.0)
-    return groups.agg(F.avg(f1_col).alias("mean"), F.lit(m).cast("double").alias("median"),
-                      F.stddev_samp(f1_col).alias("std"),
+    found = exact_percentiles(groups, f1_col, [50])
+    base = groups.agg(F.avg(f1_col).alias("mean"), F.stddev_samp(f1_col).alias("std"),
                       F.count_if(F.col(f1_col) == 1.0).cast("bigint").alias("n_perfect"),
                       F.count(f1_col).cast("bigint").alias("n_valid"))
+    return base.select("mean", _percentile(found, 50).alias("median"), "std", "n_perfect", "n_valid")
 
 
 def per_speaker_summary(groups: DataFrame, speaker_col: str, conv_col: str,

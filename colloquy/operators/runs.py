@@ -184,7 +184,7 @@ def aligned_mean(series: DataFrame, run_cols: Sequence[str], step_col: str, valu
     r = series.select(*run_cols, step_col, F.col(value_col).cast("double").alias("__v"))
     per_step = r.groupBy(step_col).agg(F.sum("__v").alias("__alive"))
     lasts = r.groupBy(*run_cols).agg(F.max(F.struct(step_col, "__v")).alias("__last"))
-    runs = lasts.agg(F.count(F.lit(1)).cast("double").alias("__runs"))   # one row
+    runs = lasts.agg(F.count(F.lit(1)).cast("double")).scalar()
     ended = lasts.select((F.col("__last").getField(step_col) + 1).alias(step_col),
                          F.col("__last").getField("__v").alias("__held")) \
         .groupBy(step_col).agg(F.sum("__held").alias("__held"))
@@ -194,8 +194,7 @@ def aligned_mean(series: DataFrame, run_cols: Sequence[str], step_col: str, valu
     u = u.withColumn("__g", F.lit(0))
     run = running_agg(u, ["__g"], F.floor(F.col(step_col) / 4096), [step_col, "__kind"],
                       F.coalesce("__held", F.lit(0.0)), "__held_sum", how="sum")
-    return run.where(F.col("__kind") == 1).withColumn("__one", F.lit(1)).join(runs.withColumn("__one", F.lit(1)), "__one") \
-        .select(step_col, ((F.col("__alive") + F.col("__held_sum")) / F.col("__runs")).alias("mean"))
+    return run.where(F.col("__kind") == 1).select(step_col, ((F.col("__alive") + F.col("__held_sum")) / runs).alias("mean"))
 
 
 def step_mean(series: DataFrame, step_col: str, value_col: str) -> DataFrame:

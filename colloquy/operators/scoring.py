@@ -72,11 +72,13 @@ def tag_f1(pairs: DataFrame, vocab: DataFrame, *, id_col: str = "id", group_col:
     totals = base.groupBy(group_col).agg(F.count(F.lit(1)).alias("__n"))
     # groups x their categories is the output grid; the category names of the
     # vocabulary (a parameter table of a few categories) become one array
-    every = F.array_sort(F.collect_set("category")).alias("__names")
-    names = vocab.groupBy(F.col("source").cast("string").alias("__src")).agg(every) if own \
-        else vocab.agg(every).withColumn("__src", F.lit(1))
-    left = totals.withColumn("__src", F.col(group_col).cast("string") if own else F.lit(1))
-    grid = left.join(names, "__src", "left").select(group_col, "__n", F.explode(F.concat(
+    every = F.array_sort(F.collect_set("category"))
+    if own:
+        names = vocab.groupBy(F.col("source").cast("string").alias("__src")).agg(every.alias("__names"))
+        left = totals.join(names, F.col(group_col).cast("string") == F.col("__src"), "left")
+    else:
+        left = totals.withColumn("__names", vocab.agg(every).scalar())
+    grid = left.select(group_col, "__n", F.explode(F.concat(
         F.coalesce("__names", F.array().cast("array<string>")), F.array(F.lit("overall")))).alias("category"))
     full = grid.join(sums, [group_col, "category"], "left").fillna(0, ["__k", "__s", "__s2"])
     mean = (F.col("__s") + (F.col("__n") - F.col("__k"))) / F.col("__n")

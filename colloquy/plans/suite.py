@@ -606,7 +606,7 @@ FROM q, (VALUES (1, 50), (2, 75), (3, 90), (4, 95), (5, 99), (6, 100)) t(i, p)
 """)
 def q_length_percentiles(spark, sf_dir):
     """A9 + A34: exact percentiles of whitespace token counts (whole texts)."""
-    p = pf.exact_percentiles(_doc_tokens(spark, sf_dir), "n_tokens", [50, 75, 90, 95, 99, 100], few_distinct=True)
+    p = pf.exact_percentiles(_doc_tokens(spark, sf_dir), "n_tokens", [50, 75, 90, 95, 99, 100])
     return p.select("pct", r6(F.col("value")).alias("value"))
 
 
@@ -1423,8 +1423,8 @@ SELECT event_type, CAST(p AS DOUBLE) AS pct, round(v[i], 6) AS value
 FROM q, (VALUES (1, 50), (2, 90), (3, 99)) t(i, p)
 """)
 def q_value_percentiles(spark, sf_dir):
-    """A9 (general path): exact percentiles of a continuous column per group from
-    global positions, no group's values gathered in one task."""
+    """Exact percentiles of a continuous column per group by radix selection, no
+    group's values gathered in one task."""
     ev = read_driver_table(spark, sf_dir, "events", ["event_type", "value"])
     p = pf.exact_percentiles(ev, "value", [50, 90, 99], by=["event_type"])
     return p.select("event_type", "pct", r6(F.col("value")).alias("value"))

@@ -210,19 +210,20 @@ def q_finished_runs(spark, sf_dir):
 
 
 @register("padded_batches", """
-WITH e AS (SELECT vec_id, label, embedding[1:vec_id % 64 + 1] AS w FROM embeddings),
-m AS (SELECT label, max(len(w)) AS top FROM e GROUP BY label)
-SELECT vec_id, CAST(len(w) AS INT) AS length, CAST(top AS INT) AS padded, CAST(len(w) AS INT) AS kept,
-       round(CAST(list_sum(list_transform(w, lambda x: CAST(x AS DOUBLE))) AS DOUBLE), 6) AS total
-FROM e JOIN m ON e.label = m.label
+WITH e AS (SELECT conv_id, turn, list_transform(list_filter(string_split_regex(text, '[ \\n\\t]+'), lambda w: w <> ''), lambda w: length(w)) AS w
+           FROM conversations),
+m AS (SELECT conv_id, max(coalesce(len(w), 0)) AS top FROM e GROUP BY conv_id)
+SELECT e.conv_id, turn, CAST(coalesce(len(w), 0) AS INT) AS length, CAST(top AS INT) AS padded, CAST(coalesce(len(w), 0) AS INT) AS kept,
+       round(CAST(coalesce(list_sum(w), 0) AS DOUBLE), 6) AS total
+FROM e JOIN m ON e.conv_id IS NOT DISTINCT FROM m.conv_id
 """)
 def q_padded_batches(spark, sf_dir):
-    """Every signal padded to its batch's longest, with its mask."""
-    e = read_driver_table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", F.slice("embedding", F.lit(1), (F.col("vec_id") % 64 + 1).cast("int")).alias("w"))
-    p = ch.pad_batch(e, "label", "w")
+    """The word lengths of every turn as a signal, padded to the longest of its conversation, with its mask."""
+    e = read_driver_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.transform(F.filter(F.split("text", r"[ \n\t]+"), lambda w: w != ""), lambda w: F.length(w).cast("float")).alias("w"))
+    p = ch.pad_batch(e, "conv_id", "w")
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return p.select("vec_id", F.col("length").cast("int").alias("length"), F.size("w").alias("padded"),
+    return p.select("conv_id", "turn", F.col("length").cast("int").alias("length"), F.size("w").alias("padded"),
                     F.size(F.filter("mask", lambda x: x)).alias("kept"), r6(total).alias("total"))
 
 

@@ -86,13 +86,48 @@ def test_exact_percentiles_match_numpy(spark):
     got = {r.pct: r.value for r in pf.exact_percentiles(df, "x", [50, 75, 90, 99, 100]).collect()}
     for p, v in zip([50, 75, 90, 99, 100], np.percentile(vals, [50, 75, 90, 99, 100])):
         assert math.isclose(got[p], v, abs_tol=1e-12)
-    few = {r.pct: r.value for r in pf.exact_percentiles(df, "x", [50, 99], few_distinct=True).collect()}
+    few = {r.pct: r.value for r in pf.exact_percentiles(df, "x", [50, 99]).collect()}
     assert math.isclose(few[50], np.percentile(vals, 50)) and math.isclose(few[99], np.percentile(vals, 99))
     grp = pf.exact_percentiles(df, "x", [30], by=["g"]).collect()
     for r in grp:
         assert math.isclose(r.value, np.percentile(vals[r.g::3], 30), abs_tol=1e-12)
 
 
+def test_order_statistics_of_any_values(spark, monkeypatch):
+    from colloquy.plans import select
+    rng = np.random.default_rng(4)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, math.inf, -math.inf,
+           1.0, np.nextafter(1, 0), np.nextafter(1, 2), 8.0, np.nextafter(8, 0), 1e-310, 2.0 ** -1030]
+    vals = [*map(float, odd), *(float(x) for x in rng.normal(size=300) * 10.0 ** rng.integers(-30, 30, 300))]
+    df = spark.createDataFrame([(v, None if i % 5 == 0 else "g%d" % (i % 3)) for i, v in enumerate(vals)] + [(None, "g1"), (None, "alone")],
+                               "x double, g string")
+    back = df.where("x is not null").select("x", select.double_of(select.double_key(F.col("x"))).alias("y")).collect()
+    assert all(r.x == r.y for r in back)
+    ranks = [100.0 * k / (len(vals) - 1) for k in (0, 1, 7, 150, len(vals) - 2, len(vals) - 1)]
+    ordered = sorted(vals)
+    for bins in (4096, 3):
+        monkeypatch.setattr(select, "BINS", bins)
+        for r in select.order_statistics(df, "x", ranks if bins > 3 else ranks[:2]).collect():
+            assert (r.below, r.above) == (ordered[math.floor(r["at"])], ordered[math.ceil(r["at"])])
+        got = {(r.g, r.pct): r.below for r in select.order_statistics(df, "x", [0, 100], ["g"]).collect()}
+        for g in (None, "g0", "g1", "g2"):
+            own = [v for i, v in enumerate(vals) if (None if i % 5 == 0 else "g%d" % (i % 3)) == g]
+            assert got[g, 0.0] == min(own) and got[g, 100.0] == max(own)
+        assert len(got) == 8
+    big = spark.createDataFrame([(2 ** 63 - 1,), (-2 ** 63,), (5,), (None,)], "x long")
+    assert [r.below for r in select.order_statistics(big, "x", [0, 50, 100]).orderBy("pct").collect()] == [-2.0 ** 63, 5.0, 2.0 ** 63]
+    assert select.order_statistics(big.where("x > 6").where("x < 7"), "x", [50]).count() == 0
+
+
+def test_percentiles_plan_has_no_range_exchange_and_no_values_on_the_driver(spark):
+    df = spark.range(5000).select((F.col("id") % 977).alias("x"))
+    plan = pf.describe(df, "x")._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    r = pf.describe(df, "x").first()
+    assert (r["count"], r.p25, r.p50, r.p75) == (5000, *np.percentile(np.arange(5000) % 977, [25, 50, 75]))
+    assert pf.describe(df.where("x < 0"), "x").first().p50 is None
+
+
 def test_histograms_and_cumulative(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 1, 1, 2, 9, 10]], "x double")
     h = {r.bin: r["count"] for r in pf.histogram_fixed(df, "x", 5).collect()}
