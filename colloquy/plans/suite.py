@@ -561,7 +561,9 @@ def _turn_pairs(spark, sf_dir):
     a = conv.select("conv_id", "turn", F.col("role").alias("curr_role"), F.col("text").alias("pred"))
     b = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("res_role"),
                     F.col("text").alias("ref"))
-    return a.join(b, ["conv_id", "turn"], "inner")
+    # as many tasks as shuffle partitions: scoring a pair costs far more than moving it
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return a.join(b, ["conv_id", "turn"], "inner").repartition(n, "conv_id", "turn")
 
 
 _PAIRS_SQL = """
@@ -907,10 +909,23 @@ def q_chrf(spark, sf_dir):
     return _chrf_rows(spark, sf_dir).select("conv_id", "turn", r6(F.col("chrf")).alias("chrf"))
 
 
-@register("rouge_l")
+# the longest common subsequence row by row: a word's matches raise the row behind them, and a running maximum carries it on
+_ROUGE_SQL = """
+rt AS (SELECT *, list_filter(string_split(regexp_replace(lower(pred), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS a,
+              list_filter(string_split(regexp_replace(lower(ref), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS b FROM pr),
+lc AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE list_max(list_reduce(
+              list_prepend(list_transform(b, lambda y: 0), list_transform(a, lambda x: list_transform(b, lambda y: CASE WHEN x = y THEN 1 ELSE 0 END))),
+              lambda row, hit: list_transform(range(1, len(row) + 1), lambda j: greatest(list_max(row[1:j]), coalesce(list_max(list_transform(
+                  range(1, j + 1), lambda i: CASE WHEN hit[i] = 1 THEN 1 + CASE WHEN i > 1 THEN list_max(row[1:i - 1]) ELSE 0 END ELSE 0 END)), 0))))) END AS l
+       FROM rt),
+rl AS (SELECT conv_id, turn, curr_role, CASE WHEN l = 0 THEN 0.0 ELSE 2.0 * (l / len(a)) * (l / len(b)) / (l / len(a) + l / len(b)) END AS rouge_l
+       FROM lc)
+"""
+
+
+@register("rouge_l", "WITH " + _PAIRS_SQL + "," + _ROUGE_SQL + "SELECT conv_id, turn, round(rouge_l, 6) AS rouge_l FROM rl")
 def q_rouge_l(spark, sf_dir):
-    """ROUGE-L F of each turn against the next one (LCS in an Arrow UDF;
-    checked against a dynamic-programming brute force in tests)."""
+    """ROUGE-L F of each turn against the next one."""
     out = sc.rouge_l(_turn_pairs(spark, sf_dir))
     return out.select("conv_id", "turn", r6(F.col("rouge_l")).alias("rouge_l"))
 
@@ -1479,7 +1494,7 @@ def _tag_regex(tags):
 _TAG_ROWS = ",\n".join(f"('{s}', '{c}', '{_tag_regex(tags)}')" for s, cats in TURN_TAGS.items() for c, tags in cats.items())
 
 
-@register("tag_f1_phrases", "WITH " + _PAIRS_SQL + r""",
+_TURN_TAG_SQL = r"""
 pz AS (SELECT curr_role AS source, conv_id, turn, regexp_replace(lower(pred), '([^\pL\pN_])', '\1\1', 'g') AS p,
               regexp_replace(lower(ref), '([^\pL\pN_])', '\1\1', 'g') AS r FROM pr),
 voc(source, category, re) AS (VALUES """ + _TAG_ROWS + r"""),
@@ -1490,6 +1505,10 @@ a AS (SELECT source, category, P, R FROM f
 t AS (SELECT source, category, len(P) AS np, len(R) AS nr, len(list_intersect(P, R)) AS tp FROM a),
 g AS (SELECT source, category, CASE WHEN np = 0 AND nr = 0 THEN 1.0 WHEN np = 0 OR nr = 0 OR tp = 0 THEN 0.0
              ELSE 2.0 * (tp / np) * (tp / nr) / ((tp / np) + (tp / nr)) END AS f1 FROM t)
+"""
+
+
+@register("tag_f1_phrases", "WITH " + _PAIRS_SQL + "," + _TURN_TAG_SQL + """
 SELECT source, category, round(avg(f1), 6) AS tag_f1_mean, round(stddev_pop(f1), 6) AS tag_f1_std FROM g GROUP BY source, category
 """)
 def q_tag_f1_phrases(spark, sf_dir):
@@ -1505,12 +1524,38 @@ def _scored_turns(spark, sf_dir):
         F.col("curr_role").alias("source"), "pred", "ref")
 
 
-@register("eval_report")
+_EVAL_SQL = _CHRF_SQL + "," + _ROUGE_SQL + "," + _TURN_TAG_SQL + r""",
+ut AS (SELECT curr_role AS source, list_filter(regexp_split_to_array(lower(pred), '[\s\p{Z}]+'), lambda x: x <> '') AS t FROM pr),
+un AS (SELECT source, unnest(t) AS w FROM ut),
+bg AS (SELECT source, unnest(list_transform(range(1, len(t)), lambda i: t[i] || chr(1) || t[i + 1])) AS w FROM ut),
+lv AS (SELECT curr_role AS source, list_transform(['a', 'e', 'i', 'o'], lambda x: (length(pred) - length(replace(pred, x, ''))) / greatest(length(pred), 1)) AS v
+       FROM pr),
+ln AS (SELECT source, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM lv),
+ld AS (SELECT source, d, stddev_samp(v[d]) AS sd, sum(CASE WHEN nrm > 0 THEN v[d] / nrm ELSE 0.0 END) AS su FROM ln, range(1, 5) r(d) GROUP BY source, d),
+l1 AS (SELECT source, avg(sd) AS vec_std, sum(su * su) AS s2 FROM ld GROUP BY source),
+l2 AS (SELECT source, count(*) AS n, CASE WHEN avg(nrm) > 0 THEN stddev_samp(nrm) / avg(nrm) END AS cv,
+              CAST(count_if(nrm > 0) AS BIGINT) AS self FROM ln GROUP BY source),
+ev AS (SELECT curr_role AS source, 'chrf' AS metric, avg(chrf) AS value FROM ch GROUP BY curr_role
+       UNION ALL SELECT curr_role, 'chrf_std', stddev_pop(chrf) FROM ch GROUP BY curr_role
+       UNION ALL SELECT curr_role, 'rougeL', avg(rouge_l) FROM rl GROUP BY curr_role
+       UNION ALL SELECT curr_role, 'rougeL_std', stddev_pop(rouge_l) FROM rl GROUP BY curr_role
+       UNION ALL SELECT source, 'dist1', coalesce((SELECT count(DISTINCT w) * 1.0 / nullif(count(w), 0) FROM un WHERE un.source = s.source), 0.0)
+                 FROM (SELECT DISTINCT source FROM ut) s
+       UNION ALL SELECT source, 'dist2', coalesce((SELECT count(DISTINCT w) * 1.0 / nullif(count(w), 0) FROM bg WHERE bg.source = s.source), 0.0)
+                 FROM (SELECT DISTINCT source FROM ut) s
+       UNION ALL SELECT source, 'pred_vec_std', vec_std FROM l1
+       UNION ALL SELECT source, 'vec_norm_cv', cv FROM l2
+       UNION ALL SELECT l2.source, 'mean_cosine_sim', CASE WHEN n >= 2 THEN (s2 - self) / (n * (n - 1)) END FROM l1 JOIN l2 ON l1.source = l2.source
+       UNION ALL SELECT source, 'tag_f1_' || category, avg(f1) FROM g GROUP BY source, category
+       UNION ALL SELECT source, 'tag_f1_' || category || '_std', stddev_pop(f1) FROM g GROUP BY source, category)
+SELECT source, source || '/' || metric AS metric, round(value, 6) AS value FROM ev
+"""
+
+
+@register("eval_report", _EVAL_SQL)
 def q_eval_report(spark, sf_dir):
     """T6 with every metric (each role's own tags, ROUGE-L, chrF++, Dist-n, and the collapse of a vector
-    per turn: its shares of four letters) for each turn scored against the next, per role.
-    ROUGE-L has no SQL form, so this composite has none either; its parts are checked by
-    ``tag_f1_phrases``, ``chrf``, ``dist_n``, ``vec_collapse`` and the ROUGE-L tests."""
+    per turn: its shares of four letters) for each turn scored against the next, per role."""
     from colloquy.functions.tags import vocabulary_frame
     letters = F.array(*[(F.length("pred") - F.length(F.replace("pred", F.lit(x)))) / F.greatest(F.length("pred"), F.lit(1)) for x in "aeio"])
     rep = sc.evaluate(_scored_turns(spark, sf_dir).withColumn("vec", letters), vocabulary_frame(spark, vocab=TURN_TAGS), vec_col="vec")

@@ -1,6 +1,7 @@
 """Scoring operators against brute-force Python (FIXTURES.md A7)."""
 
 import math
+import pandas as pd
 import random
 import re
 import string
@@ -98,6 +99,18 @@ def test_chrf_matches_python(spark):
         assert math.isclose(got[str(i)], _chrf_py(p, r), abs_tol=1e-12), (p, r)
 
 
+def test_chrf_of_many_pairs_counted_together(spark, monkeypatch):
+    rnd = random.Random(12)
+    texts = ["", " ", "a", "aa aa", "\u00e9!", "x" * 50] + ["".join(rnd.choice("abc \u00e9.!\U0001f600") for _ in range(rnd.randint(0, 40))) for _ in range(60)]
+    pairs = [(rnd.choice(texts), rnd.choice(texts)) for _ in range(300)]
+    want = [_chrf_py(p, r) for p, r in pairs]
+    assert np.allclose(sc.chrf_scores(*zip(*pairs)), want, atol=1e-12)
+    monkeypatch.setattr(sc, "CHRF_CHARS", 30)     # cuts between pairs
+    got = sc._chrf_udf.func(pd.Series([p for p, _ in pairs] + [None]), pd.Series([r for _, r in pairs] + ["b"]))
+    assert np.allclose(got, [*want, 0.0], atol=1e-12)
+    assert len(sc._chrf_udf.func(pd.Series([], dtype=object), pd.Series([], dtype=object))) == 0
+
+
 def test_tag_mentions_whole_words(spark):
     vocab = spark.createDataFrame([("emotion", "sad"), ("emotion", "friendly tone"), ("noise", "high-pitched")],
                                   "category string, tag string")
