@@ -180,8 +180,11 @@ def count_kind(spans: Column, kind: str) -> Column:
 
 
 def render(spans: Column) -> Column:
-    """``kind:start:stop`` of spans, comma-joined."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    """``kind:start:stop`` of spans, comma-joined: by kind (``KINDS`` as listed, then the others), then start."""
+    kinds = F.array(*[F.lit(k) for k in (*KINDS, GENERALISED, REMOVED)])
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
+        F.array_position(kinds, s["kind"]).alias("rank"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -225,3 +225,10 @@ def test_license_scan(docs):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_spans_of_all_kinds_are_one_sorted_list(spark):
+    kinds = [("removed", 3, 5), ("generalised", 9, 12), ("phone", 1, 9), ("email", 30, 40), ("removed", 0, 2), ("email", 4, 8), ("ip", 2, 9)]
+    frame = spark.createDataFrame([([(k, a, b, "x") for k, a, b in kinds],), ([],)], "s array<struct<kind:string,start:int,stop:int,value:string>>")
+    got = [r[0] for r in frame.select(pii.render(F.col("s"))).collect()]
+    assert got == ["email:4:8,email:30:40,ip:2:9,phone:1:9,generalised:9:12,removed:0:2,removed:3:5", ""]
