@@ -35,6 +35,48 @@ def tidy_summary(runs: DataFrame, run_col: str = "run_name", summary_col: str =
     return out.where(F.col("kind") == prefix) if prefix else out
 
 
+def wide_results(runs: DataFrame, run_col: str = "run_name", summary_col: str = "summary", kind: str = "test",
+                 trial: str | None = "trial", keep: Sequence[str] = (), datasource_col: str = "test_datasource") -> DataFrame:
+    """S14 wide form: one row per run and datasource, a column per metric.
+
+    ``kind/datasource/metric`` keys give the rows; ``trial/metric`` keys of the run stand beside them (a
+    metric of the datasource before one of the same name); ``keep`` columns of the run are carried.
+    Other keys, keys without three parts and keys starting with ``_`` are skipped; what a row has not
+    is null; a run without ``kind`` keys gives no row.
+
+    The columns are the metric names that occur, found in a first pass (names only: as many as
+    ``spark.sql.pivotMaxValues`` allows); with them given, the pivot is one partial aggregation."""
+    parts = F.split("key", "/")
+    kv = runs.select(run_col, F.explode(summary_col).alias("key", "__value")).where(~F.col("key").startswith("_")) \
+        .select(run_col, parts.alias("__p"), F.col("__value").cast("double").alias("__value"))
+    own = kv.where((F.col("__p")[0] == kind) & (F.size("__p") >= 3)).select(
+        run_col, F.col("__p")[1].alias("__source"), F.col("__p")[2].alias("__metric"), "__value")
+    whole = kv.where((F.col("__p")[0] == (trial or "")) & (F.size("__p") >= 2)).select(run_col, F.col("__p")[1].alias("__metric"), "__value")
+    most = int(runs.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+
+    def names(frame: DataFrame) -> list[str]:
+        found = sorted(r[0] for r in frame.select("__metric").distinct().limit(most + 1).collect())
+        if len(found) > most:
+            raise ValueError(f"more than {most} metrics (spark.sql.pivotMaxValues)")
+        return found
+
+    own_names, trial_names = names(own), names(whole) if trial else []
+    rows = own.groupBy(run_col, "__source").agg(*[
+        F.max(F.when(F.col("__metric") == m, F.col("__value"))).alias(f"__o{i}") for i, m in enumerate(own_names)] or [F.lit(0).alias("__o")])
+    if trial_names:
+        beside = whole.groupBy(F.col(run_col).alias("__run")).agg(*[
+            F.max(F.when(F.col("__metric") == m, F.col("__value"))).alias(f"__t{i}") for i, m in enumerate(trial_names)])
+        rows = rows.join(beside, F.col(run_col).eqNullSafe(F.col("__run")), "left")
+    for c in keep:
+        one = runs.select(F.col(run_col).alias(f"__r_{c}"), F.col(c).alias(f"__k_{c}")).dropDuplicates([f"__r_{c}"])
+        rows = rows.join(one, F.col(run_col).eqNullSafe(F.col(f"__r_{c}")), "left")
+    place = {m: [f"__o{i}"] for i, m in enumerate(own_names)}
+    for i, m in enumerate(trial_names):
+        place.setdefault(m, []).append(f"__t{i}")
+    return rows.select(run_col, F.col("__source").alias(datasource_col), *[F.col(f"__k_{c}").alias(c) for c in keep],
+                       *[F.coalesce(*cols).alias(m) for m, cols in sorted(place.items())])
+
+
 def finished_runs(runs: DataFrame, pattern: str, run_col: str = "run_name", state_col: str = "state") -> DataFrame:
     """Finished runs whose name matches ``pattern`` (e.g. ``^test_trial\\d+$``)."""
     return runs.where((F.col(state_col) == "finished") & F.col(run_col).rlike(pattern))

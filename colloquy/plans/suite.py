@@ -1147,6 +1147,32 @@ def q_props_tidy(spark, sf_dir):
     return t.groupBy("run_name", "metric").agg(r6(F.avg("value")).alias("value"))
 
 
+@register("wide_results", """
+WITH a AS (SELECT l_orderkey, l_returnflag, avg(l_quantity) AS quantity, avg(l_discount) AS discount,
+           avg(CASE WHEN l_linestatus = 'O' THEN l_tax END) AS tax FROM lineitem GROUP BY ALL),
+t AS (SELECT l_orderkey, avg(l_extendedprice) AS price, max(l_discount) AS discount FROM lineitem GROUP BY l_orderkey)
+SELECT a.l_orderkey AS run_name, l_returnflag AS test_datasource, round(coalesce(a.discount, t.discount), 6) AS discount,
+       round(price, 6) AS price, round(quantity, 6) AS quantity, round(tax, 6) AS tax
+FROM a JOIN t ON a.l_orderkey = t.l_orderkey
+""")
+def q_wide_results(spark, sf_dir):
+    """Run summaries (``test/datasource/metric``, ``trial/metric`` keys) as one row per run and datasource."""
+    li = read_driver_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount",
+                                                       "l_tax", "l_extendedprice"])
+    own = li.groupBy("l_orderkey", "l_returnflag").agg(
+        F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"),
+        F.avg(F.when(F.col("l_linestatus") == "O", F.col("l_tax"))).alias("tax"))
+    whole = li.groupBy("l_orderkey").agg(F.avg("l_extendedprice").alias("price"), F.max("l_discount").alias("discount"))
+    entries = own.select("l_orderkey", F.explode(F.array(*[F.struct(
+        F.concat(F.lit("test/"), "l_returnflag", F.lit(f"/{m}")).alias("k"), F.col(m).cast("double").alias("v")) for m in ("quantity", "discount", "tax")])).alias("e")) \
+        .where("e.v IS NOT NULL").unionByName(whole.select("l_orderkey", F.explode(F.array(*[F.struct(
+            F.lit(k).alias("k"), v.cast("double").alias("v")) for k, v in (("trial/price", F.col("price")), ("trial/discount", F.col("discount")),
+                                                                         ("_step", F.lit(1.0)), ("loss", F.lit(0.5)))])).alias("e")))
+    runs = entries.groupBy(F.col("l_orderkey").alias("run_name")).agg(F.map_from_entries(F.collect_list("e")).alias("summary"))
+    w = rn.wide_results(runs)
+    return w.select("run_name", "test_datasource", *[r6(F.col(c)).alias(c) for c in ("discount", "price", "quantity", "tax")])
+
+
 # ---------------------------------------------------------------------------
 # H9-H12 prompts, X6 / J14 few-shot pairs
 

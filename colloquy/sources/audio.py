@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,12 +132,22 @@ def sample_rate_report(manifest: DataFrame) -> DataFrame:
 
 
 def write_waveform_store(rows: DataFrame, path: str, partition_by: str = "source") -> DataFrame:
-    """The waveform store as Parquet partitioned by ``source``; returns the
-    one-row totals table (rows written, failures, seconds of audio)."""
-    rows.write.mode("overwrite").partitionBy(partition_by).parquet(path)
-    stored = rows.sparkSession.read.parquet(path)
-    return stored.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
-                      F.sum(F.size("waveform") / F.col("sample_rate")).alias("seconds"))
+    """The rows with a waveform as Parquet partitioned by ``source``; returns the one-row totals
+    table ``(n_rows, seconds, n_failed, n_text_only)``.
+
+    A row whose ``error`` (if there is such a column) is set has failed; one without error and
+    waveform is text only.  Neither is stored.  The totals are observed by the write itself: the
+    store is not read again and the rows are computed once."""
+    failed = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
+    stored = ~failed & F.col("waveform").isNotNull()
+    seen = Observation()
+    rows.observe(seen, F.count_if(stored).alias("n_rows"),
+                 F.sum(F.when(stored, F.size("waveform") / F.col("sample_rate"))).alias("seconds"),
+                 F.count_if(failed).alias("n_failed"), F.count_if(~failed & F.col("waveform").isNull()).alias("n_text_only")) \
+        .where(stored).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+    got = seen.get
+    return rows.sparkSession.createDataFrame([tuple(got[c] for c in ("n_rows", "seconds", "n_failed", "n_text_only"))],
+                                             "n_rows long, seconds double, n_failed long, n_text_only long")
 
 
 def route_source_root(source_col: str, roots: dict[str, str]) -> Column:
@@ -167,16 +177,27 @@ def attach_features(pairs: DataFrame, features: DataFrame, key: str = "audio_id"
 SEGMENT_RE = r"\(([^,]+), ([^)]+)\)"
 
 
-def parse_segment_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
+def read_segment_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of segment files with their order: ``(value, line)``.
+
+    Spark packs files into tasks by size and may cut a large file, so a running id does not follow the
+    files; ``line`` is (file, start of the block in it, place in the task), which does."""
+    return spark.read.text(path).select("value", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place")).alias("line"))
+
+
+def parse_segment_lines(lines: DataFrame, value_col: str = "value", line_col: str | None = None) -> DataFrame:
     """``name/channel<TAB>(a, b) (c, d)`` lines -> ``(file, channel, seg, start, end)``.
 
     ``#`` comments, blank lines and ``longform`` lines are skipped; when a
-    ``(file, channel)`` appears twice the first line wins (line order from
-    ``monotonically_increasing_id`` of the text scan, which follows file order).
+    ``(file, channel)`` appears twice the first line wins.  ``line_col`` gives the
+    order of lines (``read_segment_lines`` makes one for files); without it lines
+    are taken in the order of the frame's partitions.
     """
     from colloquy.functions.text import strip_ws
     v = strip_ws(F.col(value_col))
-    kept = lines.select(v.alias("v"), F.monotonically_increasing_id().alias("__line")) \
+    kept = lines.select(v.alias("v"), (F.col(line_col) if line_col else F.monotonically_increasing_id()).alias("__line")) \
         .where(~F.col("v").startswith("#") & (F.col("v") != "") & ~F.col("v").contains("longform"))
     parts = kept.select("__line", F.split("v", "\t", 2).alias("p")).where(F.size("p") == 2)
     key = F.split(F.trim(F.col("p")[0]), "/", 2)

@@ -91,6 +91,14 @@ def test_audio_files(spark):
     rows = audio.decode_audio(spark, root).where("error IS NULL").withColumn("source", F.lit("x"))
     tot = audio.write_waveform_store(rows, store).first()
     assert tot.n_rows == 2 and math.isclose(tot.seconds, 4 / 16000 + 2 / 8000)
+    # failures and text-only rows are counted by the same write, and not stored
+    every = audio.decode_audio(spark, root).withColumn("source", F.lit("y"))
+    text_only = every.limit(1).withColumn("waveform", F.lit(None).cast("array<float>")).withColumn("error", F.lit(None).cast("string"))
+    tot = audio.write_waveform_store(every.unionByName(text_only), store).first()
+    assert (tot.n_rows, tot.n_failed, tot.n_text_only) == (2, 1, 1) and math.isclose(tot.seconds, 4 / 16000 + 2 / 8000)
+    assert spark.read.parquet(store).count() == 2
+    none = audio.write_waveform_store(every.where("1 = 0").drop("error"), store).first()
+    assert (none.n_rows, none.seconds, none.n_failed, none.n_text_only) == (0, None, 0, 0)
 
 
 def test_segment_lines_and_matching(spark):
@@ -107,6 +115,20 @@ def test_segment_lines_and_matching(spark):
     assert name.first().n == "f1_channel1_segment_0.5_1.25.wav"
 
 
+def test_first_segment_line_follows_the_files(spark):
+    root = tempfile.mkdtemp(prefix="colloquy-seg-")
+    with open(os.path.join(root, "a.txt"), "w") as f:      # the small file comes first, Spark packs the large one first
+        f.write("f1/channel1\t(0.0, 1.0)\nf2/channel1\t(4.0, 5.0)\n")
+    with open(os.path.join(root, "b.txt"), "w") as f:
+        f.write("f1/channel1\t(7.0, 8.0)\n" + "# filler\n" * 20000 + "f3/channel1\t(1.0, 2.0)\nf3/channel1\t(3.0, 4.0)\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        got = audio.parse_segment_lines(audio.read_segment_lines(spark, root), line_col="line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {(r.file, r.start) for r in got} == {("f1", 0.0), ("f2", 4.0), ("f3", 1.0)}
+
+
 def test_csv_json_sources(spark):
     d = tempfile.mkdtemp(prefix="colloquy-src-")
     with open(os.path.join(d, "pairs.csv"), "w", encoding="utf-8") as f:

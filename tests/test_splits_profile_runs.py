@@ -348,3 +348,16 @@ def test_histogram_of_no_values(spark):
     df = spark.createDataFrame([(None, "a")], "v double, g string")
     assert [(r["bin"], r["count"]) for r in pf.histogram_fixed(df, "v", 3).orderBy("bin").collect()] == [(0, 0), (1, 0), (2, 0)]
     assert pf.histogram_fixed(df.where("false"), "v", 3, by=["g"]).count() == 0
+
+
+def test_wide_results_one_row_per_run_and_datasource(spark):
+    runs = spark.createDataFrame([
+        ("r1", "lr", {"test/x/f1": 1.0, "test/y/f1": 2.0, "test/y/loss": 3.0, "trial/loss": 9.0, "trial/n": 4.0, "_step": 7.0, "epoch": 1.0}),
+        ("r2", "wd", {"baseline/x/f1": 5.0, "trial/n": 6.0, "test/short": 1.0}), ("r3", None, None), (None, "k", {"test/x/f1": 8.0})],
+        "run_name string, experiment_param string, summary map<string,double>")
+    w = rn.wide_results(runs, keep=["experiment_param"])
+    assert w.columns == ["run_name", "test_datasource", "experiment_param", "f1", "loss", "n"]
+    assert {tuple(r) for r in w.collect()} == {("r1", "x", "lr", 1.0, 9.0, 4.0), ("r1", "y", "lr", 2.0, 3.0, 4.0), (None, "x", "k", 8.0, None, None)}
+    b = rn.wide_results(runs, kind="baseline", trial=None)
+    assert b.columns == ["run_name", "test_datasource", "f1"] and [tuple(r) for r in b.collect()] == [("r2", "x", 5.0)]
+    assert rn.wide_results(runs.limit(0)).count() == 0
