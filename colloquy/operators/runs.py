@@ -9,8 +9,10 @@ very long run is not processed by one task.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from colloquy.plans.topk import top_k_per_group
 
 TIE_TOLERANCE = 1e-6
 SMOOTH_SPAN = 10
+#: Rows of a history that become one step function, and the stand-in for a missing epoch.
+PIECE_ROWS, NO_EPOCH = 65_536, -(1 << 63)
 
 
 def tidy_summary(runs: DataFrame, run_col: str = "run_name", summary_col: str = "summary",
@@ -139,21 +143,94 @@ def baseline_mean(long: DataFrame, metric_col: str = "metric", value_col: str =
     return long.groupBy(metric_col).agg(F.avg(value_col).alias("baseline_mean"))
 
 
+def _steps_of(losses: list[float], epochs: list[int], min_delta: float) -> tuple[list[float], list[float], list[int]]:
+    """What a piece of history makes of the best that comes in: a step function ``(below, loss, epoch)``.
+
+    The first loss under ``incoming - min_delta`` is taken, and from there the rule runs on; all that it
+    can take are losses below every earlier one.  So the outcome is followed back from the last of
+    these.  Entry ``i`` holds for the first ``below[i] < incoming - min_delta``; of entries with one outcome the
+    last stays."""
+    low: list[float] = []
+    at: list[int] = []
+    for x, e in zip(losses, epochs):
+        if x == x and (not low or x < low[-1]):
+            low.append(x)
+            at.append(e)
+    end = [0] * len(low)  # which of them the rule ends with
+    j = len(low)
+    for i in range(len(low) - 1, -1, -1):
+        # the first one under low[i] - min_delta moves left as low[i] grows
+        while j > i + 1 and low[j - 1] < low[i] - min_delta:
+            j -= 1
+        while j < len(low) and not low[j] < low[i] - min_delta:
+            j += 1
+        end[i] = end[j] if j < len(low) else i
+    keep = [i for i in range(len(low)) if i + 1 == len(low) or end[i + 1] != end[i]]
+    return [low[i] for i in keep], [low[end[i]] for i in keep], [at[end[i]] for i in keep]
+
+
 def fold_best(history: DataFrame, fold_cols: Sequence[str], epoch_col: str = "epoch",
               loss_col: str = "val_loss", min_delta: float = 1e-4) -> DataFrame:
     """Per fold, the best loss and epoch under the min-delta rule: a value
     is taken only if it is below the current best minus ``min_delta``.
 
-    The rule is sequential, so it folds the fold's sorted history with
-    ``aggregate``.  A fold's history has at most ``num_epochs`` rows (a
-    training config parameter), so this per-fold array is bounded.
+    The rule is sequential, but a piece of a history acts on the best so far as a step function
+    (``_steps_of``).  The sorted history is cut into pieces of ``PIECE_ROWS`` (a range shuffle: a long fold
+    spans many tasks), each piece becomes its few steps, and only those meet per fold, applied one
+    after another.  Null and NaN losses are never taken; a fold without any has an infinite loss and no epoch.
     """
-    hist = history.groupBy(*fold_cols).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(epoch_col).alias("e"), F.col(loss_col).alias("l")))).alias("__h"))
-    init = F.struct(F.lit(None).cast("long").alias("e"), F.lit(float("inf")).alias("l"))
-    best = F.aggregate(F.transform("__h", lambda x: F.struct(x["e"].cast("long").alias("e"), x["l"].cast("double").alias("l"))),
-                       init, lambda acc, x: F.when(x["l"] < acc["l"] - F.lit(min_delta), x).otherwise(acc))
-    return hist.select(*fold_cols, best["l"].alias("best_val_loss"), best["e"].alias("best_epoch"))
+    if min_delta < 0:
+        raise ValueError("min_delta must not be negative")
+    # the fold as one text, and a null epoch as the least number (both sort and compare in Python as here)
+    fold = F.struct(*fold_cols)
+    rows = history.select(F.to_json(fold).alias("__fold"), F.coalesce(F.col(epoch_col).cast("long"), F.lit(NO_EPOCH)).alias("__e"),
+                          F.col(loss_col).cast("double").alias("__l"))
+    parts = max(1, int(history.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    order = ["__fold", "__e", "__l"]
+    names = ["__fold", "part", "piece", "below", "loss", "epoch"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, piece, now = TaskContext.get().partitionId(), 0, None
+        losses: list[float] = []
+        epochs: list[int] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            nonlocal piece
+            if losses:
+                out.append((now, part, piece, *_steps_of(losses, epochs, min_delta)))
+                piece += 1
+                losses.clear()
+                epochs.clear()
+
+        for b in batches:
+            of, loss, epoch = b["__fold"].tolist(), b["__l"].to_numpy(float).tolist(), b["__e"].tolist()
+            for f, x, e in zip(of, loss, epoch):
+                if f != now or len(losses) >= PIECE_ROWS:
+                    close()
+                    now = f
+                losses.append(x)
+                epochs.append(e)
+            yield pd.DataFrame(out, columns=names)
+            out.clear()
+        close()
+        yield pd.DataFrame(out, columns=names)
+
+    schema = "__fold string, part long, piece long, below array<double>, loss array<double>, epoch array<long>"
+    steps = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(run, schema)
+    # a fold's pieces: its rows / PIECE_ROWS (and one more per task), each with its steps
+    per = steps.groupBy("__fold").agg(F.array_sort(F.collect_list(F.struct("part", "piece", "below", "loss", "epoch"))).alias("__s"))
+    start = F.struct(F.lit(float("inf")).alias("loss"), F.lit(None).cast("long").alias("epoch"))
+
+    def apply(best: Column, s: Column) -> Column:
+        # entries fall, so this many are not under it
+        i = F.size(F.filter(s["below"], lambda x: x >= best["loss"] - F.lit(float(min_delta))))
+        return F.when(i < F.size(s["below"]), F.struct(F.get(s["loss"], i).alias("loss"), F.get(s["epoch"], i).alias("epoch"))).otherwise(best)
+
+    best = F.aggregate("__s", start, apply)
+    kinds = history.select(fold.alias("f")).schema["f"].dataType
+    return per.select(F.from_json("__fold", kinds).alias("f"), best.alias("b")).select(
+        "f.*", F.col("b.loss").alias("best_val_loss"), F.nullif(F.col("b.epoch"), F.lit(NO_EPOCH)).alias("best_epoch"))
 
 
 def cv_summary(folds: DataFrame, by: Sequence[str], loss_col: str = "best_val_loss",

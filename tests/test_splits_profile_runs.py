@@ -204,6 +204,48 @@ def test_fold_best_min_delta_and_cv(spark):
     assert cv.rounded_best_epoch == 2 and math.isclose(cv.std_val_loss, np.std([0.5, 0.99]))
 
 
+def _min_delta(rows, delta):
+    best, epoch = math.inf, None
+    for e, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0)):
+        if x is not None and not math.isnan(x) and x < best - delta:
+            best, epoch = x, e
+    return best, epoch
+
+
+def test_steps_compose_to_the_sequential_rule():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        losses = [float(x) for x in np.round(rng.normal(size=rng.integers(1, 60)).cumsum() * 0.1, 2)]
+        delta = float(rng.choice([0.0, 0.05, 0.3, 5.0]))
+        best, epoch, lo = math.inf, None, 0
+        while lo < len(losses):
+            hi = lo + int(rng.integers(1, 20))
+            below, loss, at = rn._steps_of(losses[lo:hi], list(range(lo, min(hi, len(losses)))), delta)
+            i = sum(x >= best - delta for x in below)
+            if i < len(below):
+                best, epoch = loss[i], at[i]
+            lo = hi
+        assert (best, epoch) == _min_delta(list(enumerate(losses)), delta)
+
+
+def test_fold_best_long_and_odd_histories(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = {("a", 1): [(i, float(x)) for i, x in enumerate(np.round(5 - np.linspace(0, 4, 3000) + rng.normal(size=3000), 3))],
+            ("b", None): [(5, None), (1, math.nan), (None, 3.0), (2, 3.0), (2, 2.5)], (None, 2): [(1, None)],
+            ("c", 3): [(i, 1.0 - i * 1e-5) for i in range(2000)]}
+    df = spark.createDataFrame([(*f, e, x) for f, h in rows.items() for e, x in h], "g string, k long, epoch int, val_loss double")
+    want = {f: _min_delta(h, 1e-4) for f, h in rows.items()}
+    for piece in (65536, 7):
+        monkeypatch.setattr(rn, "PIECE_ROWS", piece)
+        got = rn.fold_best(df, ["g", "k"])
+        assert got.columns == ["g", "k", "best_val_loss", "best_epoch"]
+        assert {(r.g, r.k): (r.best_val_loss, r.best_epoch) for r in got.collect()} == want
+    long = spark.range(1_000_000).select(F.lit("f").alias("g"), F.col("id").alias("epoch"), (F.lit(10.0) - F.col("id") * 1e-6).alias("val_loss"))
+    monkeypatch.undo()
+    r = rn.fold_best(long, ["g"], min_delta=0.5).first()
+    assert (round(r.best_val_loss, 9), r.best_epoch) == (9.499999, 500001) and rn.fold_best(long.limit(0), ["g"]).count() == 0
+
+
 def test_run_tables(spark):
     runs = spark.createDataFrame([
         ("test_trial1", "finished", {"test/a/f1": 0.5, "test/a/f1_std": 0.1, "_internal": 1.0}, {"lr": "0.1"}),
