@@ -283,8 +283,8 @@ def test_pipeline_equals_the_stages_by_brute_force(spark, tmp_path):
     assert decontaminate.WINDOW == 10 and pii.KINDS == ("email", "ip", "card", "phone") and texts[5002] is None
 
 
-@pytest.mark.parametrize("name", ["op1_positional_index", "op4_norm_sorted_topk"])
+@pytest.mark.parametrize("name", ["op1_positional_index", "op4_norm_sorted_topk", "op11_reduced_spelling", "op12_angular_negatives"])
 def test_queries_with_sql_are_registered(name):
     from colloquy.llm import queries
     assert name in queries.QUERIES and name in queries.ORACLE_SQL
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
