@@ -264,7 +264,9 @@ def propagate_failures(df: DataFrame, *, conv_col: str = "conv_id", ord_col: str
     tagged = df.withColumn("__to", text_only).withColumn("__fails", fails & ~F.col("__to"))
     first = tagged.where(F.col("__fails") & F.col(conv_col).isNotNull()) \
         .groupBy(conv_col).agg(F.min(ord_col).alias("__first_fail"))
-    joined = tagged.join(first, conv_col, "left")
+    # rows without a conversation match nothing: they go round the join, not all into one of its tasks
+    alone = tagged.where(F.col(conv_col).isNull()).withColumn("__first_fail", F.lit(None).cast(first.schema["__first_fail"].dataType))
+    joined = tagged.where(F.col(conv_col).isNotNull()).join(first, conv_col, "left").unionByName(alone)
     if scope == "later":
         conv_failed = F.col("__first_fail").isNotNull() & (F.col(ord_col) >= F.col("__first_fail"))
     elif scope == "all":
