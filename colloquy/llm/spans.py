@@ -8,12 +8,13 @@ A sentence ends at ``.``, ``!``, ``?``, their like in other scripts, or a line b
 ``SENTENCE_WORDS`` words is cut where its words say so (after those whose hash, with the two before,
 is the least of ``CUT_WINDOW`` neighbours), so that a long passage has several parts and the same ones
 at any offset; up to a part at either end of it belongs to what stands beside it.  Sentences are
-compared by their lower-cased words (of scripts without spaces: characters); runs of fewer than
-``RUN_WORDS`` words say too little and are not hashed.
+compared by their lower-cased words (of scripts without spaces: characters).
 
-A run travels as (hash, document, place).  Occurrences are combined per hash before the shuffle, so
-a run that a third of all documents share is a few rows; the join back is split by AQE where one
-hash is hot.  Texts move only if the documents that lose sentences are too many to broadcast.
+Every text is split once; what is found, the places of its sentences and the hashes of its runs (128
+bits, so that no two of 10^13 runs are taken for one by chance), is checkpointed.  A run travels as
+(hash, document, place).  Occurrences are combined per hash before the shuffle, so a run that a third
+of all documents share is a few rows; the join back is split by AQE where one hash is hot.  Texts move
+only if the places of what goes are too many bytes to broadcast, or for the report.
 
 Defined results: null texts stay null and empty ones empty, with no sentences; documents of fewer
 than ``RUN`` sentences have no runs and stay; null ids sort first; rows equal in id and text are one
@@ -25,15 +26,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import if_small
 from colloquy.session import ensure_checkpoint_dir
 
-RUN, RUN_WORDS, SENTENCE_WORDS = 3, 8, 16
+RUN, SENTENCE_WORDS = 3, 16
 #: A cut at least every CUT_WINDOW + CUT_LEAST words; parts before a cut have CUT_LEAST words or more.
 CUT_WINDOW, CUT_LEAST = 9, 4
 _END = ".!?\n。！？｡．।॥؟۔։።፧။…‼⁇⁈⁉"
@@ -58,104 +60,126 @@ def _cuts(words: list[str]) -> list[int]:
     return out
 
 
-def sentences(text: str | None) -> list[tuple[int, int, tuple[str, ...]]]:
+def sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
     """``(start, stop, words)`` of every sentence that has a word; what has none belongs to the one before."""
-    out: list[tuple[int, int, tuple[str, ...]]] = []
+    out: list[tuple[int, int, list[str]]] = []
     for m in _SENTENCE.finditer(text or ""):
-        if m.start() == m.end():
+        start, stop = m.span()
+        if start == stop:
             continue
         lower = m[0].lower()
-        same = len(lower) == len(m[0])  # else places of words differ: the sentence stays whole
-        ascii_ = m[0].isascii()
-        found = [w for w in (_ASCII_WORD if ascii_ else _WORD).finditer(lower if same else m[0])]
-        words = [w[0] for w in found] if ascii_ else [w[0].lower() for w in found]
+        if lower.isascii():
+            pattern, source = _ASCII_WORD, lower
+        else:  # a longer lower case moves the places of words: those of the text are taken, lower-cased after
+            pattern, source = _WORD, lower if len(lower) == stop - start else m[0]
+        words = pattern.findall(source)
         if not words:
             if out:
-                out[-1] = out[-1][0], m.end(), out[-1][2]
+                out[-1] = out[-1][0], stop, out[-1][2]
             continue
-        cuts = _cuts(words) if len(words) > SENTENCE_WORDS else [0]
-        starts = [m.start() + (found[c].start() if c else 0) for c in cuts] + [m.end()]
+        if source is not lower:
+            words = [w.lower() for w in words]
+        if len(words) <= SENTENCE_WORDS:
+            out.append((start, stop, words))
+            continue
+        cuts = _cuts(words)
+        places = [w.start() for w in pattern.finditer(source)]
+        starts = [start + (places[c] if c else 0) for c in cuts] + [stop]
         for i, c in enumerate(cuts):
-            out.append((starts[i], starts[i + 1], tuple(words[c:cuts[i + 1] if i + 1 < len(cuts) else None])))
+            out.append((starts[i], starts[i + 1], words[c:cuts[i + 1] if i + 1 < len(cuts) else None]))
     return out
 
 
-def runs(text: str | None) -> Iterator[tuple[int, int]]:
-    """``(hash, number of the first sentence)`` of every run."""
-    found = [s[2] for s in sentences(text)]
-    joined = [" ".join(words) for words in found]
-    for i in range(len(found) - RUN + 1):
-        if sum(map(len, found[i:i + RUN])) >= RUN_WORDS:
-            yield xxhash.xxh3_64_intdigest(" . ".join(joined[i:i + RUN])) - (1 << 63), i
+def runs(found: list[tuple[int, int, list[str]]]) -> list[bytes]:
+    """The hash of every run, by the number of its first sentence."""
+    joined = [" ".join(s[2]) for s in found]
+    return [xxhash.xxh3_128_digest(" . ".join(joined[i:i + RUN])) for i in range(len(found) - RUN + 1)]
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
+def _cut(docs: DataFrame) -> DataFrame:
+    """``(id, key, bounds, h1, h2)``: where the sentences start and the last one stops, and the two halves of the hash of
+    every run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, hashes, places = [], [], []
-            for r, t in enumerate(b.column(2)):
-                for h, i in runs(t.as_py()):
-                    rows.append(r)
-                    hashes.append(h)
-                    places.append(i)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(hashes, pa.int64()),
-                                              pa.array(places, pa.int32())], names=["id", "key", "h", "at"])
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, h long, at int")
-
-
-def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(key, gone array<int>)``: numbers of the sentences to remove, for documents that have any."""
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                bounds, h1, h2 = [], [], []
+                for t in part.column(2):
+                    found = sentences(t.as_py())
+                    bounds.append([s[0] for s in found] + [s[1] for s in found[-1:]])
+                    halves = np.frombuffer(b"".join(runs(found)), np.int64).reshape(-1, 2)
+                    h1.append(halves[:, 0])
+                    h2.append(halves[:, 1])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(bounds, pa.list_(pa.int32())), pa.array(h1, pa.list_(pa.int64())),
+                     pa.array(h2, pa.list_(pa.int64()))], names=["id", "key", "bounds", "h1", "h2"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, bounds array<int>, "
+                                "h1 array<long>, h2 array<long>")
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+
+
+def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
+    """``(id, key, bounds array<int>, gone array<int>)``: places of the sentences and the numbers of those to remove, for
+    documents that have any, or with ``every`` for all (``gone`` null)."""
     ensure_checkpoint_dir(docs.sparkSession)
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("key"),
-                        F.col(text_col).alias("text"))
-    found = _hashed(keyed)
-    place = F.struct("id", "key", "at")
-    repeated = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")) \
-        .where(F.col("first") != F.col("last")).select("h", "first")
-    later = found.join(repeated, "h").where((F.col("key") != F.col("first.key")) | (F.col("at") != F.col("first.at")))
-    return later.select("key", "at").distinct().groupBy("key").agg(F.collect_list("at").alias("starts")) \
-        .select("key", F.array_sort(F.array_distinct(F.flatten(F.transform(
+    cut = _cut(docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))).checkpoint()
+    found = cut.select("id", "key", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("id", "key", "at", "h.*")
+    first = F.min(F.struct("id", "key", "at"))
+    repeated = found.groupBy("h1", "h2").agg(first.alias("first"), F.count("*").alias("n")) \
+        .where("n > 1").select("h1", "h2", "first")
+    later = found.join(repeated, ["h1", "h2"]).where(
+        ~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("key") != F.col("first.key")) | (F.col("at") != F.col("first.at")))
+    gone = later.select("id", "key", "at").distinct().groupBy("id", "key").agg(F.collect_list("at").alias("starts")) \
+        .select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), F.array_sort(F.array_distinct(F.flatten(F.transform(
             "starts", lambda i: F.sequence(i, i + (RUN - 1)))))).alias("gone"))
+    places = cut.select("id", "key", "bounds").dropDuplicates(["id", "key"])
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key"))
+    return places.join(gone, same, "left" if every else "inner").select("id", "key", "bounds", "gone")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
     """The documents, all columns kept, without the covered sentences.  With ``report`` instead
     ``(id, n_sentences, n_removed, removed, text)``; removed: ``start:stop`` of each span, joined by commas."""
-    gone = covered(docs, id_col, text_col).select(F.col("key").alias("__key"), F.col("gone").alias("__gone")).checkpoint()
-    marked = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))) \
-        .join(if_small(gone, gone.count()), "__key", "left").drop("__key")
+    places = covered(docs, id_col, text_col, every=report).select(*[F.col(c).alias(f"__{c}") for c in ("id", "key", "bounds", "gone")])
+    if not report:
+        places = places.checkpoint()
+        size = places.agg(F.count("*"), F.sum(F.size("__bounds") + F.size("__gone"))).first()
+        places = if_small(places, size[0], 4 * (size[1] or 0))
     kept = docs.columns if not report else [id_col]
-    rows = marked.select(*[F.col(c) for c in kept], F.col(text_col).alias("__text"), "__gone")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (_key(id_col, "__text") == F.col("__key"))
+    rows = docs.select(*kept, F.col(text_col).alias("__text")).join(places, same, "left") \
+        .select(*kept, "__text", "__bounds", "__gone")
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     if report:
         schema += ", n_sentences int, n_removed int, removed string, text string"
 
-    def clean(text: str | None, gone: list[int] | None) -> tuple[int, str, str | None]:
-        found = sentences(text) if report or gone else []
-        if not gone:
-            return len(found), "", text
-        drop, spans, out, at = set(gone), [], [], 0
-        for i, (start, stop, _) in enumerate(found):
-            if i in drop:
-                out.append(text[at:start])
-                at = stop
-                if spans and spans[-1][1] == start:
-                    spans[-1][1] = stop
-                else:
-                    spans.append([start, stop])
-        return len(found), ",".join(f"{a}:{b}" for a, b in spans), "".join(out) + text[at:]
+    def clean(text: str | None, bounds: list[int] | None, gone: list[int] | None) -> tuple[str, str | None]:
+        spans: list[list[int]] = []
+        out, at = [], 0
+        for i in gone or ():
+            start, stop = bounds[i], bounds[i + 1]
+            out.append(text[at:start])
+            at = stop
+            if spans and spans[-1][1] == start:
+                spans[-1][1] = stop
+            else:
+                spans.append([start, stop])
+        return ",".join(f"{a}:{b}" for a, b in spans), "".join(out) + text[at:] if spans else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = len(kept)
-            gone = b.column(n + 1).to_pylist()
-            done = [clean(t.as_py(), g) for t, g in zip(b.column(n), gone)]
-            text = pa.array([d[2] for d in done], pa.string())
+            gone = b.column(n + 2).to_pylist()
+            done = [clean(t.as_py(), c.as_py(), g) if g else ("", t.as_py()) for t, c, g in zip(b.column(n), b.column(n + 1), gone)]
+            text = pa.array([d[1] for d in done], pa.string())
             if report:
-                columns = [b.column(0), pa.array([d[0] for d in done], pa.int32()), pa.array([len(g or ()) for g in gone], pa.int32()),
-                           pa.array([d[1] for d in done], pa.string()), text]
+                sentence_counts = [max(0, len(c) - 1) for c in b.column(n + 1)]
+                columns = [b.column(0), pa.array(sentence_counts, pa.int32()), pa.array([len(g or ()) for g in gone], pa.int32()),
+                           pa.array([d[0] for d in done], pa.string()), text]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_sentences", "n_removed", "removed", "text"])
             else:
                 columns = [text if c == text_col else b.column(i) for i, c in enumerate(kept)]

@@ -107,9 +107,7 @@ def _repeats(rows):
     for i, t in rows:
         found = [s[2] for s in spans.sentences(t)]
         for s in range(len(found) - spans.RUN + 1):
-            part = tuple(found[s:s + spans.RUN])
-            if sum(map(len, part)) >= spans.RUN_WORDS:
-                at[part].append(((i is not None, i or 0), s, i))
+            at[tuple(map(tuple, found[s:s + spans.RUN]))].append(((i is not None, i or 0), s, i))
     gone = defaultdict(set)
     for places in at.values():
         for _, s, i in sorted(places, key=lambda p: p[:2])[1:]:
@@ -145,6 +143,13 @@ def test_a_long_passage_goes_whole_and_the_first_stays(docs):
     assert passage in got[0] and all("word7" not in got[i] and f"Own end {i}." in got[i] for i in (1, 2, 3))
 
 
+def test_short_runs_count_and_equal_ids_are_told_apart(docs):
+    rows = [(1, "Yes sir. No sir. Ok. Own one."), (2, "Own two. Yes sir. No sir. Ok."), (None, "Yes sir. No sir. Ok. Own none."), (2, "Other two.")]
+    got = {(r["text"], r["n_removed"]) for r in spans.remove_repeats(docs(rows), report=True).collect()}
+    assert got == {(rows[2][1], 0), ("Other two.", 0), (" Own one.", 3), ("Own two.", 3)}  # the null id sorts first
+    assert {r["text"] for r in spans.remove_repeats(docs(rows)).collect()} == {t for t, _ in got}
+
+
 def test_a_passage_without_marks_goes_at_any_offset(docs):
     rng = random.Random(12)
     own = lambda n: " ".join(f"own{rng.randrange(10**9)}" for _ in range(n))
