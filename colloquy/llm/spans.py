@@ -10,11 +10,12 @@ is the least of ``CUT_WINDOW`` neighbours), so that a long passage has several p
 at any offset; up to a part at either end of it belongs to what stands beside it.  Sentences are
 compared by their lower-cased words (of scripts without spaces: characters).
 
-Every text is split once; what is found, the places of its sentences and the hashes of its runs (128
-bits, so that no two of 10^13 runs are taken for one by chance), is checkpointed.  A run travels as
-(hash, document, place).  Occurrences are combined per hash before the shuffle, so a run that a third
-of all documents share is a few rows; the join back is split by AQE where one hash is hot.  Texts move
-only if the places of what goes are too many bytes to broadcast, or for the report.
+Every text is split once and the hashes of its runs (96 bits, so that no two of 10^13 runs are taken
+for one by chance) are checkpointed; only texts that lose sentences are split again.  First the hashes
+met more than once are found from their first 64 bits alone, combined before the shuffle, so that a run
+that a third of all documents share is a few rows; only runs with such a hash go on as (hash, document,
+place) to the search for first occurrences by the whole hash.  AQE splits the joins where one hash is
+hot.  Texts move for the report, else only if the numbers of what goes are too many bytes to broadcast.
 
 Defined results: null texts stay null and empty ones empty, with no sentences; documents of fewer
 than ``RUN`` sentences have no runs and stay; null ids sort first; rows equal in id and text are one
@@ -97,88 +98,88 @@ def runs(found: list[tuple[int, int, list[str]]]) -> list[bytes]:
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    """``(id, key, bounds, h1, h2)``: where the sentences start and the last one stops, and the two halves of the hash of
-    every run."""
+    """``(id, k1, k2, n, h1, h2)``: the number of sentences, 64 bits and 32 more of the hash of every run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                bounds, h1, h2 = [], [], []
-                for t in part.column(2):
+                n, h1, h2 = [], [], []
+                for t in part.column(3):
                     found = sentences(t.as_py())
-                    bounds.append([s[0] for s in found] + [s[1] for s in found[-1:]])
-                    halves = np.frombuffer(b"".join(runs(found)), np.int64).reshape(-1, 2)
-                    h1.append(halves[:, 0])
-                    h2.append(halves[:, 1])
+                    n.append(len(found))
+                    words = np.frombuffer(b"".join(runs(found)), np.int32).reshape(-1, 4)
+                    h1.append(np.ascontiguousarray(words[:, :2]).view(np.int64)[:, 0])
+                    h2.append(words[:, 2])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(bounds, pa.list_(pa.int32())), pa.array(h1, pa.list_(pa.int64())),
-                     pa.array(h2, pa.list_(pa.int64()))], names=["id", "key", "bounds", "h1", "h2"])
+                    [part.column(0), part.column(1), part.column(2), pa.array(n, pa.int32()), pa.array(h1, pa.list_(pa.int64())),
+                     pa.array(h2, pa.list_(pa.int32()))], names=["id", "k1", "k2", "n", "h1", "h2"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, bounds array<int>, "
-                                "h1 array<long>, h2 array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, n int, h1 array<long>, h2 array<int>")
 
 
-def _key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """128 bits for a document's id and text."""
+    both = F.col(id_col).cast("string"), F.col(text_col)
+    return [F.xxhash64(*both).alias("k1"), F.xxhash64(F.lit("second"), *both).alias("k2")]
 
 
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
-    """``(id, key, bounds array<int>, gone array<int>)``: places of the sentences and the numbers of those to remove, for
-    documents that have any, or with ``every`` for all (``gone`` null)."""
+    """``(k1, k2, n, gone array<int>)``: the number of sentences and the numbers of those to remove, for documents that
+    have any to remove, or with ``every`` for all (``gone`` null)."""
     ensure_checkpoint_dir(docs.sparkSession)
-    cut = _cut(docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))).checkpoint()
-    found = cut.select("id", "key", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("id", "key", "at", "h.*")
-    first = F.min(F.struct("id", "key", "at"))
-    repeated = found.groupBy("h1", "h2").agg(first.alias("first"), F.count("*").alias("n")) \
-        .where("n > 1").select("h1", "h2", "first")
-    later = found.join(repeated, ["h1", "h2"]).where(
-        ~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("key") != F.col("first.key")) | (F.col("at") != F.col("first.at")))
-    gone = later.select("id", "key", "at").distinct().groupBy("id", "key").agg(F.collect_list("at").alias("starts")) \
-        .select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), F.array_sort(F.array_distinct(F.flatten(F.transform(
+    cut = _cut(docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col), F.col(text_col).alias("text"))) \
+        .withColumn("doc", F.monotonically_increasing_id()).checkpoint()
+    again = cut.select(F.explode("h1").alias("h1")).groupBy("h1").agg(F.count("*").alias("times")).where("times > 1") \
+        .select("h1").checkpoint()
+    found = cut.select("doc", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("doc", "at", "h.*") \
+        .join(again, "h1", "left_semi").join(cut.select("doc", "id", "k1", "k2"), "doc").drop("doc").checkpoint()
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "k1", "k2", "at")).alias("first"))
+    here = F.struct("k1", "k2", "at")
+    later = found.join(first, ["h1", "h2"]).where(here != F.struct("first.k1", "first.k2", "first.at"))
+    gone = later.select("k1", "k2", "at").distinct().groupBy("k1", "k2").agg(F.collect_list("at").alias("starts")) \
+        .select("k1", "k2", F.array_sort(F.array_distinct(F.flatten(F.transform(
             "starts", lambda i: F.sequence(i, i + (RUN - 1)))))).alias("gone"))
-    places = cut.select("id", "key", "bounds").dropDuplicates(["id", "key"])
-    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key"))
-    return places.join(gone, same, "left" if every else "inner").select("id", "key", "bounds", "gone")
+    counts = cut.groupBy("k1", "k2").agg(F.max("n").alias("n"))
+    return counts.join(gone, ["k1", "k2"], "left" if every else "inner")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
     """The documents, all columns kept, without the covered sentences.  With ``report`` instead
     ``(id, n_sentences, n_removed, removed, text)``; removed: ``start:stop`` of each span, joined by commas."""
-    places = covered(docs, id_col, text_col, every=report).select(*[F.col(c).alias(f"__{c}") for c in ("id", "key", "bounds", "gone")])
+    gone = covered(docs, id_col, text_col, every=report).select(*[F.col(c).alias(f"__{c}") for c in ("k1", "k2", "n", "gone")])
     if not report:
-        places = places.checkpoint()
-        size = places.agg(F.count("*"), F.sum(F.size("__bounds") + F.size("__gone"))).first()
-        places = if_small(places, size[0], 4 * (size[1] or 0))
+        gone = gone.checkpoint()
+        size = gone.agg(F.count("*"), F.sum(F.size("__gone"))).first()
+        gone = if_small(gone, size[0], 4 * (size[1] or 0))
     kept = docs.columns if not report else [id_col]
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (_key(id_col, "__text") == F.col("__key"))
-    rows = docs.select(*kept, F.col(text_col).alias("__text")).join(places, same, "left") \
-        .select(*kept, "__text", "__bounds", "__gone")
+    rows = docs.select(*kept, F.col(text_col).alias("__text"), *[k.alias(f"__k{i}") for i, k in enumerate(_keys(id_col, text_col), 1)]) \
+        .join(gone, ["__k1", "__k2"], "left").select(*kept, "__text", "__n", "__gone")
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     if report:
         schema += ", n_sentences int, n_removed int, removed string, text string"
 
-    def clean(text: str | None, bounds: list[int] | None, gone: list[int] | None) -> tuple[str, str | None]:
-        spans: list[list[int]] = []
-        out, at = [], 0
-        for i in gone or ():
-            start, stop = bounds[i], bounds[i + 1]
+    def clean(text: str | None, gone: list[int] | None) -> tuple[str, str | None]:
+        if not gone:
+            return "", text
+        found, spans, out, at = sentences(text), [], [], 0
+        for i in gone:
+            start, stop, _ = found[i]
             out.append(text[at:start])
             at = stop
             if spans and spans[-1][1] == start:
                 spans[-1][1] = stop
             else:
                 spans.append([start, stop])
-        return ",".join(f"{a}:{b}" for a, b in spans), "".join(out) + text[at:] if spans else text
+        return ",".join(f"{a}:{b}" for a, b in spans), "".join(out) + text[at:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = len(kept)
             gone = b.column(n + 2).to_pylist()
-            done = [clean(t.as_py(), c.as_py(), g) if g else ("", t.as_py()) for t, c, g in zip(b.column(n), b.column(n + 1), gone)]
+            done = [clean(t.as_py(), g) for t, g in zip(b.column(n), gone)]
             text = pa.array([d[1] for d in done], pa.string())
             if report:
-                sentence_counts = [max(0, len(c) - 1) for c in b.column(n + 1)]
-                columns = [b.column(0), pa.array(sentence_counts, pa.int32()), pa.array([len(g or ()) for g in gone], pa.int32()),
+                columns = [b.column(0), b.column(n + 1), pa.array([len(g or ()) for g in gone], pa.int32()),
                            pa.array([d[0] for d in done], pa.string()), text]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_sentences", "n_removed", "removed", "text"])
             else:
