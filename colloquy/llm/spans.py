@@ -11,15 +11,15 @@ at any offset; up to a part at either end of it belongs to what stands beside it
 compared by their lower-cased words (of scripts without spaces: characters).
 
 Every text is split once and the hashes of its runs (96 bits, so that no two of 10^13 runs are taken
-for one by chance) are checkpointed; only texts that lose sentences are split again.  First the hashes
-met more than once are found from their first 64 bits alone, combined before the shuffle, so that a run
-that a third of all documents share is a few rows; only runs with such a hash go on as (hash, document,
-place) to the search for first occurrences by the whole hash.  AQE splits the joins where one hash is
-hot.  Texts move for the report, else only if the numbers of what goes are too many bytes to broadcast.
+for one by chance) are checkpointed; only texts that lose sentences are split again.  A run travels as
+(hash, number of its row, place).  Occurrences are combined per hash before the shuffle, so a run that a
+third of all documents share is a few rows; the first occurrences are checkpointed, so that AQE sees both
+sides of the join back and splits it where one hash is hot.  Texts move for the report, else only if the
+numbers of what goes are too many bytes to broadcast.
 
 Defined results: null texts stay null and empty ones empty, with no sentences; documents of fewer
 than ``RUN`` sentences have no runs and stay; null ids sort first; rows equal in id and text are one
-document and get the same result; other columns are not read (``remove_repeats`` keeps them).
+document and get the same result; rows of one id with different texts come in the table's order; other columns are not read (``remove_repeats`` keeps them).
 """
 
 from __future__ import annotations
@@ -129,18 +129,17 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", eve
     ensure_checkpoint_dir(docs.sparkSession)
     cut = _cut(docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col), F.col(text_col).alias("text"))) \
         .withColumn("doc", F.monotonically_increasing_id()).checkpoint()
-    again = cut.select(F.explode("h1").alias("h1")).groupBy("h1").agg(F.count("*").alias("times")).where("times > 1") \
-        .select("h1").checkpoint()
-    found = cut.select("doc", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("doc", "at", "h.*") \
-        .join(again, "h1", "left_semi").join(cut.select("doc", "id", "k1", "k2"), "doc").drop("doc").checkpoint()
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "k1", "k2", "at")).alias("first"))
-    here = F.struct("k1", "k2", "at")
-    later = found.join(first, ["h1", "h2"]).where(here != F.struct("first.k1", "first.k2", "first.at"))
-    gone = later.select("k1", "k2", "at").distinct().groupBy("k1", "k2").agg(F.collect_list("at").alias("starts")) \
-        .select("k1", "k2", F.array_sort(F.array_distinct(F.flatten(F.transform(
+    found = cut.select("id", "doc", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("id", "doc", "at", "h.*")
+    repeated = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "doc", "at")).alias("first"), F.count("*").alias("times")) \
+        .where("times > 1").select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at")).checkpoint()
+    later = found.select("h1", "h2", "doc", "at").join(repeated, ["h1", "h2"]) \
+        .where((F.col("doc") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))
+    gone = later.groupBy("doc").agg(F.collect_list("at").alias("starts")) \
+        .select("doc", F.array_sort(F.array_distinct(F.flatten(F.transform(
             "starts", lambda i: F.sequence(i, i + (RUN - 1)))))).alias("gone"))
-    counts = cut.groupBy("k1", "k2").agg(F.max("n").alias("n"))
-    return counts.join(gone, ["k1", "k2"], "left" if every else "inner")
+    # of equal rows the one of the least number, which meets no equal row before it, tells what all lose
+    names = cut.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.max("n").alias("n"))
+    return names.join(gone, "doc", "left" if every else "inner").drop("doc")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:

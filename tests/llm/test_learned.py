@@ -148,6 +148,8 @@ def test_short_runs_count_and_equal_ids_are_told_apart(docs):
     got = {(r["text"], r["n_removed"]) for r in spans.remove_repeats(docs(rows), report=True).collect()}
     assert got == {(rows[2][1], 0), ("Other two.", 0), (" Own one.", 3), ("Own two.", 3)}  # the null id sorts first
     assert {r["text"] for r in spans.remove_repeats(docs(rows)).collect()} == {t for t, _ in got}
+    twice = spans.remove_repeats(docs([rows[0]] * 2 + [rows[1]] * 3).repartition(4), report=True).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in twice) == [(1, rows[0][1])] * 2 + [(2, "Own two.")] * 3
 
 
 def test_a_passage_without_marks_goes_at_any_offset(docs):
