@@ -318,6 +318,21 @@ def q_conv_length_hist(spark, sf_dir):
                     r6(F.col("cum_pct")).alias("cum_pct"))
 
 
+LENGTH_EDGES = [0, 50, 100, 200, 400, 800, 1600, 100_000_000]
+
+
+@register("length_edges", f"""
+WITH e AS (SELECT unnest(range(7)) AS bin, unnest({LENGTH_EDGES[:-1]}) AS lo, unnest({LENGTH_EDGES[1:]}) AS hi)
+SELECT CAST(e.bin AS INT) AS bin, CAST(e.lo AS DOUBLE) AS lo, CAST(e.hi AS DOUBLE) AS hi, count(d.n_chars) AS count
+FROM e LEFT JOIN documents d ON d.n_chars >= e.lo AND (d.n_chars < e.hi OR (e.bin = 6 AND d.n_chars = e.hi))
+GROUP BY ALL
+""")
+def q_length_edges(spark, sf_dir):
+    """A16 with explicit edges: document lengths in doubling bins."""
+    h = pf.histogram_edges(read_driver_table(spark, sf_dir, "documents", ["n_chars"]), "n_chars", LENGTH_EDGES)
+    return h.select(F.col("bin").cast("int"), "lo", "hi", F.col("count").cast("bigint"))
+
+
 # ---------------------------------------------------------------------------
 # Dedup documents by text keeping the longest, duplicate report
 
@@ -367,6 +382,16 @@ def q_train_val(spark, sf_dir):
     return sp.train_val_split(_conv_ids(spark, sf_dir), "conv_id", 0.1, 42)
 
 
+@register("allowed_turns", "WITH " + _IDS_SQL.format(seed=42) + """
+SELECT c.conv_id, c.turn, c.role FROM conversations c
+WHERE c.conv_id IN (SELECT conv_id FROM sh, n WHERE pos < CAST(floor(n * 0.9) AS BIGINT))
+""")
+def q_allowed_turns(spark, sf_dir):
+    """P10: the turns of the conversations that the training part allows."""
+    train = sp.train_val_split(_conv_ids(spark, sf_dir), "conv_id", 0.1, 42).where("split = 'train'")
+    return sp.keep_allowed(read_driver_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role"]), train, "conv_id")
+
+
 @register("kfold", "WITH " + _IDS_SQL.format(seed=42) + """,
 p AS (SELECT n // 5 AS q, n % 5 AS rem FROM n)
 SELECT conv_id, pos, CAST(CASE WHEN pos < rem * (q + 1) THEN pos // (q + 1)
