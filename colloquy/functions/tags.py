@@ -39,35 +39,74 @@ def set_f1_metric(pred_n: Column, ref_n: Column, tp: Column) -> Column:
             .otherwise(2 * p * r / (p + r)))
 
 
+def tag_trie(vocab: DataFrame) -> DataFrame:
+    """H8: the vocabulary (``category, tag``) as a trie over words: one row per
+    prefix ``(depth, prefix, ends)``.  A prefix is the lowercase text of the first
+    ``depth`` words with the separators between them, ``ends`` the ``(category,
+    tag)`` that are complete there.  Tags that don't begin and end with a word
+    can't stand between word boundaries and are left out."""
+    tags = vocab.select("category", F.lower("tag").alias("tag")).distinct() \
+        .withColumn("__pcs", F.transform(F.regexp_extract_all("tag", F.lit(PIECE), 0), F.lower)) \
+        .withColumn("__n", ((F.size("__pcs") + 1) / 2).cast("int")) \
+        .where((F.size("__pcs") % 2 == 1) & F.try_element_at("__pcs", F.lit(1)).rlike("^" + WORD))
+    steps = F.transform(F.sequence(F.lit(1), F.col("__n")), lambda k: F.struct(
+        k.alias("depth"), F.array_join(F.slice("__pcs", F.lit(1), 2 * k - 1), "").alias("prefix")))
+    nodes = tags.select("category", "tag", "__n", F.explode(steps).alias("__x"))
+    return nodes.groupBy(F.col("__x.depth").alias("depth"), F.col("__x.prefix").alias("prefix")).agg(
+        F.collect_list(F.when(F.col("__n") == F.col("__x.depth"), F.struct("category", "tag"))).alias("ends"))
+
+
+def _walk_trie(df: DataFrame, ids: list[str], text_col: str, vocab: DataFrame, depth: int) -> DataFrame:
+    """One row per word of a text that begins a tag's path in the trie, with
+    the tags that end after its first, second, ... word as ``__e1, __e2, ...``
+    (NULL from where the path breaks off).  One join per depth; every prefix is one
+    row of the trie, so the rows never multiply."""
+    trie = tag_trie(vocab)
+    pieces = F.regexp_extract_all(_c(text_col), F.lit(PIECE), 0)
+    words = df.select(*ids, pieces.alias("__pcs")).select(*ids, "__pcs", F.posexplode("__pcs").alias("__p", "__w")) \
+        .where(F.col("__w").rlike("^" + WORD))
+    walk = words.select(*ids, "__p", F.lower("__w").alias("__g"),
+                        F.slice("__pcs", F.col("__p") + 2, max(2 * (depth - 1), 1)).alias("__tail"))
+    for d in range(1, depth + 1):
+        node = trie.where(F.col("depth") == d).select(F.col("prefix").alias("__g"), F.col("ends").alias(f"__e{d}"))
+        if d > 1:
+            longer = F.concat("__g", F.lower(F.try_element_at("__tail", F.lit(2 * d - 3))),
+                              F.lower(F.try_element_at("__tail", F.lit(2 * d - 2))))
+            # broken paths get keys of their own, so that they don't meet in one task
+            walk = walk.withColumn("__g", F.coalesce(F.when(F.col(f"__e{d - 1}").isNotNull(), longer),
+                                                     F.concat(F.lit("\u0000"), F.col("__p").cast("string"))))
+        walk = walk.join(node, "__g", "inner" if d == 1 else "left")
+    return walk
+
+
 def tag_mentions(df: DataFrame, id_col: str | list[str], text_col: str, vocab: DataFrame,
-                 max_words: int) -> DataFrame:
+                 max_words: int | None = None) -> DataFrame:
     """H8: distinct ``(id..., category, tag)`` found by ``\\b(tag1|tag2|...)\\b``
     (IGNORECASE, alternatives longest first) scanned per category, without a
     regex built on the driver.
 
-    The text is cut into alternating word / non-word pieces; every run of
-    ``k <= max_words`` words (with the exact separators between them) is a
-    candidate and candidates are equi-joined to the vocabulary (``category,
-    tag`` with lowercase ``tag``; AQE broadcasts it after measuring it).  The
+    The text is cut into alternating word / non-word pieces.  The vocabulary
+    (``category, tag``) is a trie; a word is a candidate only if it begins a tag,
+    and a candidate grows by its next separator and word only while the trie
+    holds the longer prefix (``_walk_trie``; ``max_words`` = the trie's depth, read
+    from the vocabulary if not given).  The
     regex scan is then replayed per ``(id, category)``: matches ordered by start,
     the longest at each start wins and a match starting inside an accepted one
     is skipped.  The replay folds the matches of one text only.
     """
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    pieces = F.regexp_extract_all(_c(text_col), F.lit(PIECE), 0)
-    base = df.select(*ids, pieces.alias("__pcs"))
-    exploded = base.select(*ids, "__pcs", F.posexplode("__pcs").alias("__p", "__w")) \
-        .where(F.col("__w").rlike("^" + WORD))
-    grams = F.array(*[F.when(F.col("__p") + 2 * k - 1 <= F.size("__pcs"),
-                             F.struct(F.lit(k).alias("k"),
-                                      F.array_join(F.slice("__pcs", F.col("__p") + 1, 2 * k - 1), "").alias("g")))
-                      for k in range(1, int(max_words) + 1)])
-    cands = exploded.select(*ids, "__p", F.explode(grams).alias("__x")).where(F.col("__x").isNotNull()) \
-        .select(*ids, "__p", F.col("__x.k").alias("__k"), F.lower("__x.g").alias("tag"))
-    hits = cands.join(vocab.select("category", F.lower("tag").alias("tag")).distinct(), "tag", "inner")
-    per = hits.groupBy(*ids, "category").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("__p").alias("p"), (-F.length("tag")).alias("nl"),
-        (F.col("__p") + 2 * F.col("__k") - 2).alias("e"), F.col("tag").alias("t")))).alias("__m"))
+    if max_words is None:
+        max_words = tag_trie(vocab).agg(F.max("depth")).first()[0]
+    depth = max(int(max_words or 1), 1)
+    walk = _walk_trie(df, ids, text_col, vocab, depth)
+
+    def ended(d: int) -> Column:
+        return F.transform(F.coalesce(F.col(f"__e{d}"), F.array()), lambda x: F.struct(
+            x["category"].alias("category"), (-F.length(x["tag"])).alias("nl"),
+            (F.col("__p") + 2 * d - 2).alias("e"), x["tag"].alias("t")))
+    hits = walk.select(*ids, "__p", F.explode(F.concat(*[ended(d) for d in range(1, depth + 1)])).alias("__x"))
+    per = hits.select(*ids, "__p", "__x.*").groupBy(*ids, "category").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("__p").alias("p"), "nl", "e", "t"))).alias("__m"))
     init = F.struct(F.lit(-1).cast("int").alias("end"), F.array().cast("array<string>").alias("tags"))
     scan = F.aggregate("__m", init, lambda acc, x: F.when(
         x["p"] > acc["end"], F.struct(x["e"].cast("int").alias("end"),

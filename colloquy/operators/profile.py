@@ -8,6 +8,7 @@ Running totals over ordered aggregates use ``plans.blocks.running_agg``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -219,9 +220,10 @@ def null_target_report(df: DataFrame, target: str, by: str = "source") -> DataFr
     return df.where(F.col(target).isNull()).groupBy(by).agg(F.count(F.lit(1)).cast("bigint").alias("n_null"))
 
 
-def vocabulary(df: DataFrame, source_col: str, category_cols: Sequence[str]) -> DataFrame:
-    """Per source and category, the sorted distinct values; list columns
-    are exploded, NULLs dropped.  ``(source, category, tags ARRAY<STRING>)``."""
+def vocabulary_rows(df: DataFrame, source_col: str, category_cols: Sequence[str]) -> DataFrame:
+    """The distinct ``(source, category, tag)`` rows of a corpus; list
+    columns are exploded, NULL tags dropped.  No list is gathered, so a category
+    may hold any number of tags."""
     parts = []
     for c in category_cols:
         dt = df.schema[c].dataType.simpleString()
@@ -230,17 +232,63 @@ def vocabulary(df: DataFrame, source_col: str, category_cols: Sequence[str]) ->
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u.where(F.col("tag").isNotNull()).groupBy("source", "category") \
-        .agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    return u.where(F.col("tag").isNotNull()).distinct()
+
+
+def vocabulary(df: DataFrame, source_col: str, category_cols: Sequence[str]) -> DataFrame:
+    """A19 with one row per source and category: ``(source, category, tags
+    ARRAY<STRING>)``, sorted.  The list is one cell, so this form is for
+    vocabularies that are read by people; ``vocabulary_rows`` has no such bound."""
+    return vocabulary_rows(df, source_col, category_cols).groupBy("source", "category") \
+        .agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+
+
+def _json_string(c: Column | str) -> Column:
+    return F.regexp_replace(F.to_json(F.array(_c(c))), r"^\[|\]$", "")
+
+
+def vocabulary_lines(rows: DataFrame) -> DataFrame:
+    """The document ``{source: {category: [tags]}}`` with sorted keys and tags
+    as lines ``(pos, value)``; the values in order of ``pos`` make up the JSON
+    text, one tag a line.
+
+    ``rows`` are ``vocabulary_rows``.  Which brackets a tag opens or closes follows
+    from the first and last key of its category, source and the whole (three
+    grouped minima and maxima); nothing is gathered.  A NULL source is written
+    under ``"null"``.  An empty vocabulary has no lines.
+    """
+    rows = rows.select(F.coalesce("source", F.lit("null")).alias("source"), "category", "tag").distinct()
+    placed = rank_within(rows, [], ["source", "category", "tag"], out="pos")
+    cats = rows.groupBy("source", "category").agg(F.min("tag").alias("__t0"), F.max("tag").alias("__t1"))
+    srcs = cats.groupBy("source").agg(F.min("category").alias("__c0"), F.max("category").alias("__c1"))
+    last = srcs.agg(F.max("source")).scalar()
+    x = placed.join(cats, ["source", "category"]).join(srcs, "source")
+    opens_cat = F.col("tag") == F.col("__t0")
+    opens_src = opens_cat & (F.col("category") == F.col("__c0"))
+    ends_cat = F.col("tag") == F.col("__t1")
+    ends_src = ends_cat & (F.col("category") == F.col("__c1"))
+    head = F.concat(F.when(F.col("pos") == 0, "{").otherwise(""),
+                    F.when(opens_src, F.concat(_json_string("source"), F.lit(":{"))).otherwise(""),
+                    F.when(opens_cat, F.concat(_json_string("category"), F.lit(":["))).otherwise(""))
+    tail = F.when(ends_src & (F.col("source") == last), "]}}").when(ends_src, "]},").when(ends_cat, "],").otherwise(",")
+    return x.select("pos", F.concat(head, _json_string("tag"), tail).alias("value"))
+
+
+def write_vocabulary_json(rows: DataFrame, path: str) -> None:
+    """``vocabulary_lines`` as text files; the part files in name order, one
+    after the other, are the JSON document (``{}`` for an empty vocabulary)."""
+    lines = vocabulary_lines(rows)
+    if lines.isEmpty():
+        lines = rows.sparkSession.createDataFrame([(0, "{}")], "pos long, value string")
+    lines.repartitionByRange("pos").sortWithinPartitions("pos").select("value").write.mode("overwrite").text(path)
 
 
 def vocabulary_json(vocab: DataFrame) -> DataFrame:
-    """One JSON document ``{source: {category: [tags]}}`` with sorted keys
-    (the vocabulary is small: bounded by its distinct tags)."""
+    """The same document as one string, from ``vocabulary``'s lists; for small
+    vocabularies (the whole text is one cell)."""
     per_source = vocab.groupBy("source").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "tags")))).alias("m"))
-    key = F.regexp_replace(F.to_json(F.array(F.col("source"))), r"^\[|\]$", "")   # JSON-quoted key
-    item = F.struct(F.col("source").alias("k"), F.concat(key, F.lit(":"), F.to_json("m")).alias("v"))
+    item = F.struct(F.col("source").alias("k"), F.concat(_json_string("source"), F.lit(":"), F.to_json("m")).alias("v"))
     ordered = F.transform(F.array_sort(F.collect_list(item)), lambda e: e["v"])     # sorted by key, like sort_keys
     return per_source.agg(F.concat(F.lit("{"), F.array_join(ordered, ","), F.lit("}")).alias("value"))
 
@@ -298,16 +346,66 @@ def label_consistency(df: DataFrame, group: Sequence[str], label: str, min_rows:
                       F.when(share.isNotNull(), share == 1.0).alias("unanimous"))
 
 
+#: Up to this many distinct set sizes a token's pairs of sizes are summed one by one.
+FEW_SIZES = 256
+#: Step of the exponential sum for ``1 / v`` (relative error below 1e-12).
+SPECTRUM_STEP = 0.3
+
+
+def _reciprocal_nodes(largest: float = 2.0 ** 32) -> list[tuple[float, float]]:
+    """``(t, w)`` with ``1 / v = sum w * exp(-t * v)`` for ``2 <= v <= largest``:
+    the trapezoidal rule for ``int exp(-v e^u + u) du``."""
+    low = math.floor((-math.log(largest) - 32) / SPECTRUM_STEP)
+    high = math.ceil(math.log(20) / SPECTRUM_STEP)
+    rates = [math.exp(SPECTRUM_STEP * i) for i in range(low, high + 1)]
+    return [(t, SPECTRUM_STEP * t) for t in rates]
+
+
+def _size_pair_sums(counts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Sum over unordered row pairs that share a token of ``2 / (s + s')``, in
+    parts per group, from ``(group, __t, __k size, __c rows)``.
+
+    Where a token has few sizes, its pairs of sizes are summed.  Beyond that,
+    ``1 / (s + s')`` is written as a short sum of ``w exp(-t s) exp(-t s')``, which
+    separates: ``sum_{s,s'} c c' / (s + s') = sum_t w P(t)^2`` with ``P(t) = sum_s
+    c_s exp(-t s)``, less the rows paired with themselves.  ``P`` is an ordinary
+    grouped sum, so the work is linear in the number of sizes and no list of
+    sizes is gathered.
+    """
+    g = list(group)
+    spread = [F.struct(F.lit(i).alias("j"), F.lit(t).alias("t"), F.lit(w).alias("w"))
+              for i, (t, w) in enumerate(_reciprocal_nodes())]
+    itself = F.struct(F.lit(-1).alias("j"), F.lit(0.0).alias("t"), F.lit(0.0).alias("w"))
+    direct = F.struct(F.lit(-2).alias("j"), F.lit(0.0).alias("t"), F.lit(0.0).alias("w"))
+    known = counts.withColumn("__d", F.count(F.lit(1)).over(Window.partitionBy(*g, "__t")))
+    terms = known.select(*g, "__t", "__k", "__c", F.explode(
+        F.when(F.col("__d") > FEW_SIZES, F.array(itself, *spread)).otherwise(F.array(direct))).alias("__n"))
+    j = F.col("__n.j")
+    part = F.when(j == -1, F.col("__c") / (2.0 * F.col("__k"))) \
+        .when(j >= 0, F.col("__c") * F.exp(-F.col("__n.t") * F.col("__k")))
+    sums = terms.groupBy(*g, "__t", "__n").agg(
+        F.sum(part).alias("__p"),
+        F.collect_list(F.when(j == -2, F.struct(F.col("__k").alias("s"), F.col("__c").alias("c")))).alias("__sc"))
+
+    def pair_sum(arr):
+        same = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x["c"] * (x["c"] - 1) / 2.0 / x["s"])
+        cross = F.aggregate(arr, F.lit(0.0), lambda a, x: a + F.aggregate(
+            F.filter(arr, lambda y: y["s"] > x["s"]), F.lit(0.0),
+            lambda b, y: b + 2.0 * x["c"] * y["c"] / (x["s"] + y["s"])))
+        return same + cross
+    return sums.select(*g, F.when(j == -2, pair_sum(F.col("__sc"))).when(j == -1, -F.col("__p"))
+                       .otherwise(F.col("__n.w") * F.col("__p") * F.col("__p")).alias("__f"))
+
+
 def pairwise_set_f1(df: DataFrame, group: Sequence[str], tags_col: str, min_rows: int = 2) -> DataFrame:
     """A25 (+ J10, H6): mean set-F1 over all unordered row pairs of a group,
     pairs where both sets are missing skipped, one missing = 0.
 
-    Exact without forming row pairs: for a token ``t`` shared by rows ``i, j``
+    Without forming row pairs: for a token ``t`` shared by rows ``i, j``
     the pair earns ``2 / (s_i + s_j)`` (``s`` = set size), so
     ``sum F1 = sum_t [sum_s C(c_s,2)/s + sum_{s<s'} 2 c_s c_s' / (s+s')]``
-    where ``c_s`` counts rows of size ``s`` holding ``t``.  Work is bounded by the
-    number of *distinct set sizes* per token, not by group size.  Valid pairs:
-    ``C(n,2) - C(e,2)`` with ``e`` rows without tags.
+    where ``c_s`` counts rows of size ``s`` holding ``t`` (``_size_pair_sums``).
+    Valid pairs: ``C(n,2) - C(e,2)`` with ``e`` rows without tags.
     """
     g = list(group)
     rows = df.select(*g, F.array_distinct(F.coalesce(tags_col, F.array().cast("array<string>"))).alias("__s"))
@@ -315,17 +413,7 @@ def pairwise_set_f1(df: DataFrame, group: Sequence[str], tags_col: str, min_rows
     sizes = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("__k") == 0).alias("__e"))
     tok = rows.where(F.col("__k") > 0).select(*g, "__k", F.explode("__s").alias("__t"))
     c = tok.groupBy(*g, "__t", "__k").agg(F.count(F.lit(1)).alias("__c"))
-    per_tok = c.groupBy(*g, "__t").agg(F.collect_list(F.struct(F.col("__k").alias("s"), F.col("__c").alias("c")))
-                                       .alias("__sc"))
-
-    def pair_sum(arr):
-        same = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x["c"] * (x["c"] - 1) / 2.0 / x["s"])
-        cross = F.aggregate(arr, F.lit(0.0), lambda a, x: a + F.aggregate(
-            F.filter(arr, lambda y: y["s"] > x["s"]), F.lit(0.0),
-            lambda b, y: b + 2.0 * x["c"] * y["c"] / (x["s"] + y["s"])))
-        return same + cross
-    tok_sum = per_tok.select(*g, pair_sum(F.col("__sc")).alias("__f"))
-    tot = tok_sum.groupBy(*g).agg(F.sum("__f").alias("__sum"))
+    tot = _size_pair_sums(c, g).groupBy(*g).agg(F.sum("__f").alias("__sum"))
     out = sizes.where(F.col("__n") >= min_rows).join(tot, g, "left")
     valid = F.col("__n") * (F.col("__n") - 1) / 2 - F.col("__e") * (F.col("__e") - 1) / 2
     mean = F.when(valid > 0, F.coalesce(F.col("__sum"), F.lit(0.0)) / valid)

@@ -869,8 +869,7 @@ FROM f GROUP BY source, category
 """)
 def q_tag_f1(spark, sf_dir):
     """T1 (+ H7, H8): tag-F1 per category and overall, vocabulary built by A19."""
-    voc = pf.vocabulary(_part_tags(spark, sf_dir), "p_brand", ["attribute", "object"]) \
-        .select("category", F.explode("tags").alias("tag")).distinct()
+    voc = pf.vocabulary_rows(_part_tags(spark, sf_dir), "p_brand", ["attribute", "object"]).select("category", "tag").distinct()
     out = sc.tag_f1(_part_pairs(spark, sf_dir), voc, id_col="id", group_col="source")
     return out.select("source", "category", r6(F.col("tag_f1_mean")).alias("tag_f1_mean"),
                       r6(F.col("tag_f1_std")).alias("tag_f1_std"))

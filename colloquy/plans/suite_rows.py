@@ -357,3 +357,78 @@ def q_length_crossings(spark, sf_dir):
     counts = read_driver_table(spark, sf_dir, "documents", ["n_chars"]).groupBy("n_chars").agg(F.count(F.lit(1)).alias("c"))
     cum = pf.cumulative_share(counts, ["n_chars"], "c")
     return pf.first_crossing(cum, "cum_pct", "n_chars", [50, 80, 95, 100])
+
+
+@register("vocab_json", "WITH " + suite._PART_TAGS_SQL + """,
+v AS (SELECT DISTINCT source, category, tag FROM (
+        SELECT p_brand AS source, 'attribute' AS category, unnest(attribute) AS tag FROM tg
+        UNION ALL SELECT p_brand, 'object', unnest(object) FROM tg) WHERE tag IS NOT NULL),
+k AS (SELECT *, row_number() OVER (ORDER BY source, category, tag) - 1 AS pos,
+             row_number() OVER (PARTITION BY source ORDER BY category, tag) AS s0, row_number() OVER (PARTITION BY source ORDER BY category DESC, tag DESC) AS s1,
+             row_number() OVER (PARTITION BY source, category ORDER BY tag) AS c0, row_number() OVER (PARTITION BY source, category ORDER BY tag DESC) AS c1,
+             max(source) OVER () AS top FROM v)
+SELECT pos, CASE WHEN pos = 0 THEN '{' ELSE '' END || CASE WHEN s0 = 1 THEN CAST(to_json(source) AS VARCHAR) || ':{' ELSE '' END
+       || CASE WHEN c0 = 1 THEN CAST(to_json(category) AS VARCHAR) || ':[' ELSE '' END || CAST(to_json(tag) AS VARCHAR)
+       || CASE WHEN s1 = 1 AND source = top THEN ']}}' WHEN s1 = 1 THEN ']},' WHEN c1 = 1 THEN '],' ELSE ',' END AS value FROM k
+""")
+def q_vocab_json(spark, sf_dir):
+    """S6 (+ A19): the vocabulary file of the brands, a line per tag in file order."""
+    return pf.vocabulary_lines(pf.vocabulary_rows(suite._part_tags(spark, sf_dir), "p_brand", ["attribute", "object"]))
+
+
+@register("speaker_summary", suite._PAIR_F1_SQL + """,
+lc AS (SELECT conv_id, role, label, count(*) AS c FROM cr WHERE label IS NOT NULL GROUP BY conv_id, role, label),
+m AS (SELECT conv_id, role, max(c) AS top, sum(c) AS tot FROM lc GROUP BY conv_id, role)
+SELECT res.role, count(res.conv_id) AS n_convs, round(avg(m.top / m.tot), 6) AS mean_consistency, round(avg(res.mean_f1), 6) AS mean_f1
+FROM res LEFT JOIN m ON res.conv_id = m.conv_id AND res.role = m.role GROUP BY res.role
+""")
+def q_speaker_summary(spark, sf_dir):
+    """A26 (+ A24, A25): per role, its conversations and their mean label consistency and mean pairwise F1."""
+    rows = suite._cons_rows(spark, sf_dir)
+    lc = pf.label_consistency(rows, ["conv_id", "role"], "label")
+    f1 = pf.pairwise_set_f1(rows, ["conv_id", "role"], "toks").drop("n_rows")
+    out = pf.per_speaker_summary(lc.join(f1, ["conv_id", "role"]), "role", "conv_id")
+    return out.select("role", "n_convs", r6(F.col("mean_consistency")).alias("mean_consistency"), r6(F.col("mean_f1")).alias("mean_f1"))
+
+
+_WAVE = "list_transform(list_filter(string_split_regex({}, '[ \\n\\t]+'), lambda w: w <> ''), lambda w: length(w))"
+
+
+def _wave(text):
+    return F.transform(F.filter(F.split(text, r"[ \n\t]+"), lambda w: w != ""), lambda w: F.length(w).cast("float"))
+
+
+@register("masked_targets", "WITH " + suite._UTT_SQL + "," + suite.chains_sql(3) + f"""
+SELECT conv_id, anchor_turn, CAST(len({_WAVE.format('texts[1]')}) AS INT) AS first_length,
+       CAST(len({_WAVE.format('texts[2]')}) AS INT) AS second_length,
+       round(CAST(coalesce(list_sum({_WAVE.format('texts[1]')}), 0) + coalesce(list_sum({_WAVE.format('texts[2]')}), 0) AS DOUBLE), 6) AS heard,
+       0 AS target_length, true AS target_text_only, CAST(length(texts[3]) AS INT) AS target_chars FROM chains
+""")
+def q_masked_targets(spark, sf_dir):
+    """H21 (+ W8): every 3-turn chain with its turns' word lengths as signals, the target's signal masked, its text kept."""
+    utt = suite._utterances(spark, sf_dir).withColumn("waveform", _wave(F.col("transcription")))
+    utt = utt.withColumn("length", F.coalesce(F.size("waveform"), F.lit(0))).withColumn("text_only", F.col("length") == 0)
+    chains = ch.build_chains(utt, 3, item_cols=("transcription", "text_description", "waveform", "length", "text_only"))
+    c = chains.where(ch.has_valid_target("chain")).select("part_id", "anchor_turn", ch.mask_target("chain").alias("chain"))
+    heard = F.aggregate("chain", F.lit(0.0), lambda a, u: a + F.aggregate(u["waveform"], F.lit(0.0), lambda b, x: b + x.cast("double")))
+    last = F.element_at("chain", -1)
+    return c.select(F.col("part_id").alias("conv_id"), "anchor_turn", F.col("chain")[0]["length"].alias("first_length"),
+                    F.col("chain")[1]["length"].alias("second_length"), r6(heard).alias("heard"), last["length"].alias("target_length"),
+                    last["text_only"].alias("target_text_only"), F.length(last["transcription"]).alias("target_chars"))
+
+
+@register("hooked_signals", """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, len(embedding) AS n FROM embeddings),
+m AS (SELECT vec_id, n, list_transform(e, lambda x: x - list_avg(e)) AS s FROM e)
+SELECT vec_id, CAST(n AS INT) AS length, 128 AS padded, round(list_sum(s[1:128]), 4) + 0.0 AS total,
+       round(CASE WHEN n < 128 THEN greatest(list_max(s), 0.0) ELSE list_max(s[1:128]) END, 6) AS top FROM m
+""")
+def q_hooked_signals(spark, sf_dir):
+    """U2 (+ H13): a user's transform (the mean of the whole signal taken off) before signals are cut or padded to one length."""
+    e = read_driver_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    mean = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size("embedding")
+    e = e.withColumn("mean", mean)
+    centred = sg.apply_transform(F.col("embedding"), lambda s: F.transform(s, lambda x: x.cast("double") - F.col("mean")))
+    p = e.select("vec_id", F.size("embedding").alias("length"), sg.pad_or_trim(centred, 128).alias("s"))
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
+    return p.select("vec_id", "length", F.size("s").alias("padded"), (F.round(total, 4) + 0.0).alias("total"), r6(F.array_max("s")).alias("top"))

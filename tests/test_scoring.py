@@ -242,3 +242,67 @@ def test_tag_f1_uses_each_sources_own_categories(spark):
     # s1: "calm  tone" has two blanks and is no tag; s2: {fast} against {fast, sad}; s3 has no vocabulary
     assert got == {("s1", "tone"): 0.0, ("s1", "overall"): 0.0, ("s2", "speed"): 1.0, ("s2", "tone"): 0.0,
                    ("s2", "overall"): round(2 / 3, 4), ("s3", "overall"): 1.0}
+
+
+def test_size_pairs_with_many_sizes_match_the_direct_sum(spark):
+    # 20,000 distinct sizes of one token beside tokens with few sizes
+    rnd = np.random.default_rng(3)
+    k = np.arange(1, 20_001)
+    c = rnd.integers(1, 4, len(k))
+    big = spark.createDataFrame(pd.DataFrame({"g": 0, "__t": "x", "__k": k.astype("int32"), "__c": c.astype("int64")}))
+    few = spark.createDataFrame([(0, "y", 2, 3), (0, "y", 5, 1), (1, "x", 4, 2)], "g long, __t string, __k int, __c long")
+    got = {r.g: r.f for r in pf._size_pair_sums(big.unionByName(few, True), ["g"]).groupBy("g").agg(F.sum("__f").alias("f")).collect()}
+    ordered = sum(float((c * ci / (k + ki)).sum()) for ki, ci in zip(k, c))     # twice the unordered pairs, with each row itself
+    want = ordered - float((c / (2.0 * k)).sum()) + (3 / 2 + 2 * 3 / 7)
+    assert math.isclose(got[0], want, rel_tol=1e-10)
+    assert math.isclose(got[1], 1 / 4)
+
+
+def test_pairwise_f1_beyond_few_sizes(spark, monkeypatch):
+    monkeypatch.setattr(pf, "FEW_SIZES", 2)
+    rnd = random.Random(8)
+    rows = [(g, o, [rnd.choice("abcdefghijkl") for _ in range(rnd.randint(0, 12))]) for g in range(3) for o in range(30)]
+    df = spark.createDataFrame(rows, "g int, ord int, tags array<string>")
+    fast = {r.g: r.mean_f1 for r in pf.pairwise_set_f1(df, ["g"], "tags").collect()}
+    brute = {r.g: r.mean_f1 for r in _all_pairs_f1(df, ["g"], "ord", "tags").collect()}
+    assert all(math.isclose(fast[g], brute[g], rel_tol=1e-10) for g in brute) and set(fast) == set(brute)
+
+
+def test_reciprocal_nodes():
+    nodes = pf._reciprocal_nodes()
+    for v in (2, 3, 17, 1000, 10 ** 6, 2 ** 32):
+        assert math.isclose(sum(w * math.exp(-t * v) for t, w in nodes), 1 / v, rel_tol=1e-11)
+
+
+def test_tag_trie_grows_only_known_prefixes(spark):
+    from colloquy.functions import tags
+    vocab = spark.createDataFrame([("a", "very fast"), ("a", "very fast speed"), ("b", "Fast"), ("b", "-odd"), ("b", "")],
+                                  "category string, tag string")
+    trie = {(r.depth, r.prefix): sorted(e.tag for e in r.ends) for r in tags.tag_trie(vocab).collect()}
+    assert trie == {(1, "very"): [], (2, "very fast"): ["very fast"], (3, "very fast speed"): ["very fast speed"], (1, "fast"): ["fast"]}
+    text = "plain words " * 500 + "a very slow and VERY FAST speed"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "very")], "id long, text string")
+    rows = tags._walk_trie(df, ["id"], "text", vocab, 3).collect()
+    # of more than 1,000 words only those that begin a tag are candidates; one row each
+    assert sorted((r.id, [x is not None for x in (r["__e1"], r["__e2"], r["__e3"])]) for r in rows) == [
+        (1, [True, False, False]), (1, [True, False, False]), (1, [True, True, True]), (4, [True, False, False])]
+    got = {(r.id, r.category, r.tag) for r in tags.tag_mentions(df, "id", "text", vocab).collect()}
+    assert got == {(1, "a", "very fast speed"), (1, "b", "fast")}
+    none = spark.createDataFrame([], vocab.schema)
+    assert tags.tag_mentions(df, "id", "text", none).count() == 0
+
+
+def test_tag_mentions_match_the_regex(spark):
+    import re
+    rnd = random.Random(11)
+    words = ["red", "Blue", "green", "sky-high", "x"]
+    vocab_rows = sorted({(c, " ".join(rnd.choice(words[:4]) for _ in range(rnd.randint(1, 4))).lower()) for c in "ab" for _ in range(8)})
+    texts = [(i, "".join(rnd.choice(words) + rnd.choice([" ", " ", "  ", ", ", "-"]) for _ in range(rnd.randint(0, 25)))) for i in range(80)]
+    want = set()
+    for cat in "ab":
+        alts = sorted((t for c, t in vocab_rows if c == cat), key=len, reverse=True)
+        pat = re.compile(r"\b(" + "|".join(map(re.escape, alts)) + r")\b", re.I)
+        want |= {(i, cat, m.lower()) for i, t in texts for m in pat.findall(t)}
+    vocab = spark.createDataFrame(vocab_rows, "category string, tag string")
+    got = {(r.id, r.category, r.tag) for r in tag_mentions(spark.createDataFrame(texts, "id long, text string"), "id", "text", vocab).collect()}
+    assert got == want and len(want) > 100

@@ -403,3 +403,28 @@ def test_wide_results_one_row_per_run_and_datasource(spark):
     b = rn.wide_results(runs, kind="baseline", trial=None)
     assert b.columns == ["run_name", "test_datasource", "f1"] and [tuple(r) for r in b.collect()] == [("r2", "x", 5.0)]
     assert rn.wide_results(runs.limit(0)).count() == 0
+
+
+def _document(path):
+    import glob
+    import json
+    return json.loads("".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(path + "/part-*"))))
+
+
+def test_vocabulary_file_of_a_million_tags(spark, tmp_path):
+    df = spark.range(1_000_000).select(F.lit("s").alias("source"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("tag"),
+                                       F.lit("k").alias("other"))
+    pf.write_vocabulary_json(pf.vocabulary_rows(df, "source", ["tag", "other"]), str(tmp_path / "v"))
+    doc = _document(str(tmp_path / "v"))
+    assert list(doc["s"]) == ["other", "tag"] and doc["s"]["other"] == ["k"]
+    assert doc["s"]["tag"] == sorted(f"t{i}" for i in range(1_000_000))
+
+
+def test_vocabulary_lines_edges(spark, tmp_path):
+    df = spark.createDataFrame([("b", ["x", 'q"\n', None], "k"), ("a b", [], "k"), (None, ["z"], None), ("c", None, None), ("b", ["x"], "k")],
+                               "source string, tags array<string>, acc string")
+    rows = pf.vocabulary_rows(df, "source", ["tags", "acc"])
+    pf.write_vocabulary_json(rows, str(tmp_path / "v"))
+    assert _document(str(tmp_path / "v")) == {"a b": {"acc": ["k"]}, "b": {"acc": ["k"], "tags": ['q"\n', "x"]}, "null": {"tags": ["z"]}}
+    pf.write_vocabulary_json(rows.where("false"), str(tmp_path / "e"))
+    assert _document(str(tmp_path / "e")) == {}
