@@ -419,7 +419,7 @@ def q_masked_targets(spark, sf_dir):
 
 @register("hooked_signals", """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, len(embedding) AS n FROM embeddings),
-m AS (SELECT vec_id, n, list_transform(e, lambda x: x - list_avg(e)) AS s FROM e)
+m AS (SELECT vec_id, n, list_transform(e, lambda x: CAST(CAST(x - list_avg(e) AS FLOAT) AS DOUBLE)) AS s FROM e)
 SELECT vec_id, CAST(n AS INT) AS length, 128 AS padded, round(list_sum(s[1:128]), 4) + 0.0 AS total,
        round(CASE WHEN n < 128 THEN greatest(list_max(s), 0.0) ELSE list_max(s[1:128]) END, 6) AS top FROM m
 """)
@@ -428,7 +428,7 @@ def q_hooked_signals(spark, sf_dir):
     e = read_driver_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     mean = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size("embedding")
     e = e.withColumn("mean", mean)
-    centred = sg.apply_transform(F.col("embedding"), lambda s: F.transform(s, lambda x: x.cast("double") - F.col("mean")))
+    centred = sg.apply_transform(F.col("embedding"), lambda s: F.transform(s, lambda x: (x.cast("double") - F.col("mean")).cast("float")))
     p = e.select("vec_id", F.size("embedding").alias("length"), sg.pad_or_trim(centred, 128).alias("s"))
-    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return p.select("vec_id", "length", F.size("s").alias("padded"), (F.round(total, 4) + 0.0).alias("total"), r6(F.array_max("s")).alias("top"))
