@@ -38,13 +38,15 @@ def read_driver_table(spark: SparkSession, sf_dir: str, name: str,
 
 def read_csv_table(spark: SparkSession, path: str | Sequence[str],
                    schema: T.StructType | None = None,
-                   null_tokens: Sequence[str] = ("NA", "")) -> DataFrame:
+                   null_tokens: Sequence[str] = ("NA", ""), multi_line: bool = True) -> DataFrame:
     """S3: CSV with header, UTF-8; every token in ``null_tokens`` becomes NULL.
 
+    With ``multi_line`` quoted cells may hold line breaks and a file is one
+    task; without it a row is a line and large files are split over tasks.
     Spark's ``nullValue`` takes a single token, so the rest are mapped with a
     projection (string columns only).
     """
-    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True)
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", multi_line)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", False)
     paths = [path] if isinstance(path, str) else list(path)
     df = reader.csv(paths)
@@ -63,7 +65,7 @@ def read_table(spark: SparkSession, path: str, **kwargs) -> DataFrame:
     """Choose the reader by suffix (``.parquet`` else CSV)."""
     if path.rstrip("/").endswith(".parquet"):
         return read_parquet(spark, path, kwargs.get("columns"), kwargs.get("schema"))
-    return read_csv_table(spark, path, kwargs.get("schema"))
+    return read_csv_table(spark, path, kwargs.get("schema"), multi_line=kwargs.get("multi_line", True))
 
 
 def stack_splits(frames: Sequence[DataFrame]) -> DataFrame:

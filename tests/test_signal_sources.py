@@ -193,3 +193,18 @@ def test_failure_reasons_and_routing(spark):
     w = spark.createDataFrame([([1.0, -3.0],)], "w array<double>")
     assert w.select(sg.apply_transform("w", lambda c: F.transform(c, lambda x: x * 2)).alias("y")).first().y == [2.0, -6.0]
     assert w.select(sg.apply_transform("w", None).alias("y")).first().y == [1.0, -3.0]
+
+
+def test_large_csv_is_split_over_tasks(spark, tmp_path):
+    path = str(tmp_path / "rows.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("k,text\n" + "".join(f"{i},row {i}\n" for i in range(20_000)))
+    whole = tables.read_csv_table(spark, path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        lines = tables.read_table(spark, path, multi_line=False)
+        assert lines.rdd.getNumPartitions() > 1
+        assert lines.exceptAll(whole).isEmpty() and lines.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
