@@ -11,11 +11,11 @@ at any offset; up to a part at either end of it belongs to what stands beside it
 compared by their lower-cased words (of scripts without spaces: characters).
 
 Every text is split once and the hashes of its runs (96 bits, so that no two of 10^13 runs are taken
-for one by chance) are checkpointed; only texts that lose sentences are split again.  A run travels as
-(hash, number of its row, place).  Occurrences are combined per hash before the shuffle, so a run that a
-third of all documents share is a few rows; the first occurrences are checkpointed, so that AQE sees both
-sides of the join back and splits it where one hash is hot.  Texts move for the report, else only if the
-numbers of what goes are too many bytes to broadcast.
+for one by chance) are checkpointed; only texts that lose sentences are split again.  Of a hash that comes more
+than once in a block of ``BLOCK_RUNS`` runs only the first occurrence goes on: the others can't be the first of all,
+so they are known to be later ones where they stand.  The rest travels once, as (hash, id, number of its row,
+place), and is ranked per hash.  So a run that a third of all documents share is one row per block.
+Texts move for the report, else only if the numbers of what goes are too many bytes to broadcast.
 
 Defined results: null texts stay null and empty ones empty, with no sentences; documents of fewer
 than ``RUN`` sentences have no runs and stay; null ids sort first; rows equal in id and text are one
@@ -29,8 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import if_small
@@ -39,6 +40,8 @@ from colloquy.session import ensure_checkpoint_dir
 RUN, SENTENCE_WORDS = 3, 16
 #: A cut at least every CUT_WINDOW + CUT_LEAST words; parts before a cut have CUT_LEAST words or more.
 CUT_WINDOW, CUT_LEAST = 9, 4
+#: Runs (16 bytes each) that a task holds to find the first occurrences among them.
+BLOCK_RUNS = 1 << 20
 _END = ".!?\n。！？｡．।॥؟۔։።፧။…‼⁇⁈⁉"
 _SENTENCE = re.compile(rf"[^{_END}]*(?:[{_END}]+|$)")
 #: Kana, ideographs, Thai, Lao, Burmese and Khmer: a character is a word.
@@ -97,24 +100,60 @@ def runs(found: list[tuple[int, int, list[str]]]) -> list[bytes]:
     return [xxhash.xxh3_128_digest(" . ".join(joined[i:i + RUN])) for i in range(len(found) - RUN + 1)]
 
 
+def _firsts(ids: pa.Array, hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """Per document and run, whether it is the first of its hash among all ``hashes``, by id (nulls first), row and place."""
+    order = np.roll(pc.array_sort_indices(ids).to_numpy(), ids.null_count)  # stable
+    h = np.concatenate([hashes[i] for i in order])
+    h1, h2 = _words(h)
+    by = np.lexsort((h2, h1))  # stable, so that the first of equal ones is the least
+    h1, h2 = h1[by], h2[by]
+    first = np.ones(len(h), bool)
+    first[by[1:][(h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])]] = False
+    parts = np.split(first, np.cumsum([len(hashes[i]) for i in order])[:-1])
+    return [parts[i] for i in np.argsort(order)]
+
+
+def _words(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits and 32 more of every hash."""
+    return np.ascontiguousarray(h[:, :2]).view(np.int64)[:, 0], h[:, 2]
+
+
 def _cut(docs: DataFrame) -> DataFrame:
-    """``(id, k1, k2, n, h1, h2)``: the number of sentences, 64 bits and 32 more of the hash of every run."""
+    """``(id, k1, k2, n, h1, h2, later)``: the number of sentences, 64 bits and 32 more of the hash of every run that is the
+    first of its hash in its block, and the numbers of the other runs."""
+    most = BLOCK_RUNS
+
+    def done(block: list[tuple[list[pa.Array], list[int], list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        firsts = iter(_firsts(pa.concat_arrays([names[0] for names, _, _ in block]), [h for _, _, hashes in block for h in hashes]))
+        for names, n, hashes in block:
+            first = [next(firsts) for _ in n]
+            kept = [_words(h[f]) for h, f in zip(hashes, first)]
+            yield pa.RecordBatch.from_arrays(
+                [*names, pa.array(n, pa.int32()), pa.array([h1 for h1, _ in kept], pa.list_(pa.int64())),
+                 pa.array([h2 for _, h2 in kept], pa.list_(pa.int32())),
+                 pa.array([np.flatnonzero(~f) for f in first], pa.list_(pa.int32()))], names=["id", "k1", "k2", "n", "h1", "h2", "later"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = [], 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                n, h1, h2 = [], [], []
+                n, hashes = [], []
                 for t in part.column(3):
                     found = sentences(t.as_py())
                     n.append(len(found))
-                    words = np.frombuffer(b"".join(runs(found)), np.int32).reshape(-1, 4)
-                    h1.append(np.ascontiguousarray(words[:, :2]).view(np.int64)[:, 0])
-                    h2.append(words[:, 2])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(n, pa.int32()), pa.array(h1, pa.list_(pa.int64())),
-                     pa.array(h2, pa.list_(pa.int32()))], names=["id", "k1", "k2", "n", "h1", "h2"])
+                    hashes.append(np.frombuffer(b"".join(runs(found)), np.int32).reshape(-1, 4))
+                # taken out, as a slice would keep the texts of its batch
+                block.append(([part.column(i).take(pa.array(range(len(n)))) for i in range(3)], n, hashes))
+                size += len(n) + sum(map(len, hashes))
+                if size >= most:
+                    yield from done(block)
+                    block, size = [], 0
+        if block:
+            yield from done(block)
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, n int, h1 array<long>, h2 array<int>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, n int, h1 array<long>, "
+                                "h2 array<int>, later array<int>")
 
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
@@ -129,12 +168,12 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", eve
     ensure_checkpoint_dir(docs.sparkSession)
     cut = _cut(docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col), F.col(text_col).alias("text"))) \
         .withColumn("doc", F.monotonically_increasing_id()).checkpoint()
-    found = cut.select("id", "doc", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("id", "doc", "at", "h.*")
-    repeated = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "doc", "at")).alias("first"), F.count("*").alias("times")) \
-        .where("times > 1").select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at")).checkpoint()
-    later = found.select("h1", "h2", "doc", "at").join(repeated, ["h1", "h2"]) \
-        .where((F.col("doc") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))
-    gone = later.groupBy("doc").agg(F.collect_list("at").alias("starts")) \
+    places = cut.where(F.size("h1") > 0).withColumn("at", F.array_except(F.sequence(F.lit(0), F.col("n") - RUN), "later"))
+    found = places.select("id", "doc", F.explode(F.arrays_zip("h1", "h2", "at")).alias("h")).select("id", "doc", "h.*")
+    nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id", "doc", "at"))
+    later = found.withColumn("nth", nth).where("nth > 1").select("doc", F.array("at").alias("starts")) \
+        .unionAll(cut.where(F.size("later") > 0).select("doc", F.col("later").alias("starts")))
+    gone = later.groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts")) \
         .select("doc", F.array_sort(F.array_distinct(F.flatten(F.transform(
             "starts", lambda i: F.sequence(i, i + (RUN - 1)))))).alias("gone"))
     # of equal rows the one of the least number, which meets no equal row before it, tells what all lose

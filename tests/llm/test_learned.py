@@ -136,6 +136,25 @@ def test_repeated_runs_equal_brute_force(docs):
     assert spans.remove_repeats(docs([])).count() == 0
 
 
+def test_of_a_repeated_run_one_row_a_block_goes_on(docs, monkeypatch):
+    rng = random.Random(3)
+    shared = [" ".join(f"s{k}{i}." for i in range(6)) for k in range(3)]
+    rows = [(i if i % 9 else None, f"A{i}. {rng.choice(shared)} B{i}. {rng.choice(shared)} C{i}.") for i in rng.sample(range(60), 60)]
+    rows = [*dict(rows).items()]
+    keys = [h for _, t in rows for h in spans.runs(spans.sentences(t))]
+    table = docs(rows).coalesce(1)
+    source = table.select("doc_id", *spans._keys("doc_id", "text"), "text")
+    cut = spans._cut(source.withColumnRenamed("doc_id", "id")).collect()
+    assert sum(len(r["h1"]) for r in cut) == len(set(keys)) < len(keys) == sum(len(r["h1"]) + len(r["later"]) for r in cut)
+    plan = spans.covered(table)._jdf.queryExecution().analyzed().toString()
+    assert "Window" in plan and not re.search(r"Join \w+, \(+h1#", plan)  # all runs travel once
+    gone = _repeats(rows)
+    for most in (1, 40, spans.BLOCK_RUNS):
+        monkeypatch.setattr(spans, "BLOCK_RUNS", most)
+        got = {r["doc_id"]: r["n_removed"] for r in spans.remove_repeats(table, report=True).collect()}
+        assert got == {i: len(gone[i]) for i, _ in rows}
+
+
 def test_a_long_passage_goes_whole_and_the_first_stays(docs):
     passage = " ".join(f"word{i}" for i in range(55)) + "."
     rows = [(i, f"Own start of {i}. It goes on {i}.\n{passage}\nOwn end {i}.") for i in range(4)]
