@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.plans.small import if_small
+from colloquy.session import ensure_checkpoint_dir
+
 WORD = r"[\pL\pN_]+"
 PIECE = r"[\pL\pN_]+|[^\pL\pN_]+"
 
@@ -60,8 +63,13 @@ def _walk_trie(df: DataFrame, ids: list[str], text_col: str, vocab: DataFrame, d
     """One row per word of a text that begins a tag's path in the trie, with
     the tags that end after its first, second, ... word as ``__e1, __e2, ...``
     (NULL from where the path breaks off).  One join per depth; every prefix is one
-    row of the trie, so the rows never multiply."""
-    trie = tag_trie(vocab)
+    row of the trie, so the rows never multiply.  The trie is made and counted first:
+    one within the limits of ``if_small`` is sent to every task, so that the words stay
+    where they are; whether AQE knows its size before it moves the words is up to chance."""
+    ensure_checkpoint_dir(df.sparkSession)
+    trie = tag_trie(vocab).checkpoint()
+    text = F.aggregate("ends", F.lit(0), lambda n, x: n + F.octet_length(x["category"]) + F.octet_length(x["tag"]))
+    nodes, size = trie.agg(F.count("*"), F.sum(F.octet_length("prefix") + F.coalesce(text, F.lit(0)))).first()
     pieces = F.regexp_extract_all(_c(text_col), F.lit(PIECE), 0)
     words = df.select(*ids, pieces.alias("__pcs")).select(*ids, "__pcs", F.posexplode("__pcs").alias("__p", "__w")) \
         .where(F.col("__w").rlike("^" + WORD))
@@ -75,7 +83,7 @@ def _walk_trie(df: DataFrame, ids: list[str], text_col: str, vocab: DataFrame, d
             # broken paths get keys of their own, so that they don't meet in one task
             walk = walk.withColumn("__g", F.coalesce(F.when(F.col(f"__e{d - 1}").isNotNull(), longer),
                                                      F.concat(F.lit("\u0000"), F.col("__p").cast("string"))))
-        walk = walk.join(node, "__g", "inner" if d == 1 else "left")
+        walk = walk.join(if_small(node, nodes, size or 0), "__g", "inner" if d == 1 else "left")
     return walk
 
 

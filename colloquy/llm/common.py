@@ -11,8 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes that a side may have to be sent to every task; beyond either the same join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+from colloquy.plans.small import BROADCAST_BYTES, BROADCAST_ROWS, if_small  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +26,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def if_small(small: DataFrame, rows: int, size: int = 0) -> DataFrame:
-    """``small`` marked for broadcast when its counted ``rows``, and the bytes ``size`` of what is of any
-    length in them, are within the limits; otherwise as it is, so that the join shuffles (AQE splits a hot key)."""
-    return F.broadcast(small) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else small
-
-
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     """Rows whose crc32(id as text) leaves ``remainder``; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

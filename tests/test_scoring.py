@@ -292,6 +292,23 @@ def test_tag_trie_grows_only_known_prefixes(spark):
     assert tags.tag_mentions(df, "id", "text", none).count() == 0
 
 
+def test_words_stay_where_they_are_for_a_small_trie(spark, monkeypatch):
+    from colloquy.functions import tags
+    from colloquy.plans import small
+    vocab = spark.createDataFrame([("a", "very fast"), ("b", "Fast"), ("b", None), (None, "slow")], "category string, tag string")
+    df = spark.createDataFrame([(i, f"word {i} very  fast, VERY FAST and slow") for i in range(50)], "id long, text string")
+
+    def shuffles():
+        walk = tags._walk_trie(df, ["id"], "text", vocab, 2)
+        return walk._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    want = {(i, c, t) for i in range(50) for c, t in (("a", "very fast"), ("b", "fast"), (None, "slow"))}
+    assert shuffles() == 0
+    assert {tuple(r) for r in tags.tag_mentions(df, "id", "text", vocab).collect()} == want
+    monkeypatch.setattr(small, "BROADCAST_BYTES", 20)   # the same join, shuffled
+    assert shuffles() > 0
+    assert {tuple(r) for r in tags.tag_mentions(df, "id", "text", vocab).collect()} == want
+
+
 def test_tag_mentions_match_the_regex(spark):
     import re
     rnd = random.Random(11)
