@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.llm.common import if_small
 from colloquy.session import ensure_checkpoint_dir
@@ -120,11 +121,13 @@ def _words(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut(docs: DataFrame) -> DataFrame:
     """``(id, k1, k2, n, h1, h2, later)``: the number of sentences, 64 bits and 32 more of the hash of every run that is the
-    first of its hash in its block, and the numbers of the other runs."""
-    most = BLOCK_RUNS
+    first of its hash in its block, and the numbers of the other runs (none for ids that Arrow can't sort)."""
+    most, sortable = BLOCK_RUNS, isinstance(docs.schema["id"].dataType, T.AtomicType)
 
     def done(block: list[tuple[list[pa.Array], list[int], list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-        firsts = iter(_firsts(pa.concat_arrays([names[0] for names, _, _ in block]), [h for _, _, hashes in block for h in hashes]))
+        every = [h for _, _, hashes in block for h in hashes]
+        firsts = iter(_firsts(pa.concat_arrays([names[0] for names, _, _ in block]), every) if sortable
+                      else [np.ones(len(h), bool) for h in every])
         for names, n, hashes in block:
             first = [next(firsts) for _ in n]
             kept = [_words(h[f]) for h, f in zip(hashes, first)]

@@ -7,6 +7,8 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -153,6 +155,12 @@ def test_of_a_repeated_run_one_row_a_block_goes_on(docs, monkeypatch):
         monkeypatch.setattr(spans, "BLOCK_RUNS", most)
         got = {r["doc_id"]: r["n_removed"] for r in spans.remove_repeats(table, report=True).collect()}
         assert got == {i: len(gone[i]) for i, _ in rows}
+    # the order of ids is Spark's (text: "10" before "9", NaN last), also of those that Arrow can't sort
+    same = docs([(i, "Yes sir. No sir. Ok.") for i in ("nan", "9", "10")], "string").coalesce(1)
+    for kind, least in (("string", "10"), ("float", 9.0), ("struct", Row(x="10"))):
+        ids = F.struct(F.col("doc_id").alias("x")) if kind == "struct" else F.col("doc_id").cast(kind)
+        got = spans.remove_repeats(same.withColumn("doc_id", ids), report=True).collect()
+        assert [r["doc_id"] for r in got if not r["n_removed"]] == [least] and len(got) == 3
 
 
 def test_a_long_passage_goes_whole_and_the_first_stays(docs):
